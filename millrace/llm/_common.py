@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +21,22 @@ _written: list[tuple[SparkSession, str]] = []
 _own_base: list[str] = []
 
 
+def _ship(context) -> None:
+    """Send this package to the executors, once for each context."""
+    if getattr(context, "_millrace", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="millrace-")) / "millrace-package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(top.rglob("*.py")):
+            z.write(source, source.relative_to(top.parent))
+    context.addPyFile(str(archive))
+    context._millrace = True
+
+
 def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small in bytes, as rows differ in length by a factor of thousands."""
+    """Make ready for Python on the executors: this package there, and Arrow batches small in bytes, as rows differ in length by a factor of thousands."""
+    _ship(spark.sparkContext)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
