@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, packing, simhash, suffix, tokens
+import corpus_pipeline
+from millrace.llm import ann, chat, langid, media, mixing, packing, simhash, suffix, tokens, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +37,41 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_telephony_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(media.decode_telephony(media.store_telephony(_table(spark, sf_dir, "documents"))))
+
+
+def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op7_bloom_cascade_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op9_incremental_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts are made of the template's own control strings."""
+    said = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    return chat.chat_digests(chat.format_chats(said.unionByName(own)))
+
+
+def op10_ivf_pq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pack_sum_of_squares, op4_transducer_token_counts, op5_naive_bayes_language, op6_simhash_positional_bytes, op8_suffix_array_dedup)
-}
+    for f in (
+        op1_pack_sum_of_squares, op2_telephony_media, op3_poisson_mixing, op4_transducer_token_counts, op5_naive_bayes_language,
+        op6_simhash_positional_bytes, op7_bloom_cascade_urls, op8_suffix_array_dedup, op9_incremental_chat_format, op10_ivf_pq_search, pipeline,
+    )
+}
 
 #: Queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_poisson_mixing": mixing.ORACLE, "op7_bloom_cascade_urls": urlfilter.ORACLE}
