@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import corpus
+from millrace.plans import analytics, corpus
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**corpus.QUERIES}
-ORACLE_SQL: dict[str, str] = {**corpus.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**corpus.QUERIES, **analytics.QUERIES}
+ORACLE_SQL: dict[str, str] = {**corpus.ORACLE_SQL, **analytics.ORACLE_SQL}
