@@ -26,8 +26,9 @@ K = 10
 #: Vectors the centroids and codebooks are trained on at most: those with the smallest hashes of their ids.
 FIT_ROWS = 20_000
 MOST_LISTS, CODES, SUBSPACE = 1024, 256, 4
-#: Share of the lists that a query visits, and members of a part that are reranked.
-PROBED, RERANKED = 0.3, 128
+#: Share of the sample's true neighbours that the lists visited must hold, queries of the sample it is measured by, and
+#: members of a part that are reranked.
+TARGET, TRIALS, RERANKED = 0.97, 256, 128
 #: Vectors of a part of a list, and queries of a block.
 PART, BLOCK = 16_384, 2048
 
@@ -90,24 +91,35 @@ def _sampled(vectors: DataFrame, rows: int) -> np.ndarray:
     return np.stack([np.asarray(v, np.float32) for v in table.sort_by("vec_id")["v"].to_pylist()])
 
 
-def fit(vectors: DataFrame, *, fit_rows: int = FIT_ROWS, probed: float = PROBED) -> Index | None:
-    """Train on the sample; lists are as many as the square root of the number of vectors, MOST_LISTS at most."""
+def probes_for(sample: np.ndarray, centroids: np.ndarray, own: np.ndarray, target: float) -> int:
+    """How many lists a query must visit for the target share of its K nearest in the sample; more rows only bring neighbours nearer."""
+    ask = sample[np.linspace(0, len(sample) - 1, min(TRIALS, len(sample))).astype(int)].astype(np.float64)
+    far = (sample.astype(np.float64) ** 2).sum(1)[None, :] - 2 * ask @ sample.astype(np.float64).T
+    near = np.argsort(far, 1, kind="stable")[:, : K + 1]
+    place = np.argsort(_nearest(ask.astype(np.float32), centroids, len(centroids)), 1)
+    needed = np.sort(np.take_along_axis(place, own[near], 1).ravel())
+    return int(needed[min(int(target * len(needed)), len(needed) - 1)]) + 1
+
+
+def fit(vectors: DataFrame, *, fit_rows: int = FIT_ROWS, target: float = TARGET) -> Index | None:
+    """Train on the sample; lists are twice the square root of the number of vectors, MOST_LISTS at most."""
     sample = _sampled(vectors, fit_rows)
     if not len(sample):
         return None
-    lists = min(MOST_LISTS, max(int(math.sqrt(vectors.count())), 1))
+    lists = min(MOST_LISTS, max(int(2 * math.sqrt(vectors.count())), 1))
     centroids = kmeans(sample, lists)
     own = np.concatenate([_nearest(sample[a : a + 4096], centroids)[:, 0] for a in range(0, len(sample), 4096)])
     rest, d = sample - centroids[own], sample.shape[1]
     slices = [slice(a, min(a + SUBSPACE, d)) for a in range(0, d, SUBSPACE)]
-    return Index(centroids, slices, [kmeans(rest[:, s], CODES, seed=j) for j, s in enumerate(slices)], max(1, math.ceil(probed * len(centroids))))
+    books = [kmeans(rest[:, s], CODES, seed=j) for j, s in enumerate(slices)]
+    return Index(centroids, slices, books, probes_for(sample, centroids, own, target))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
-def search(embeddings: DataFrame, *, queries: Column | None = None, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", probed: float = PROBED, reranked: int = RERANKED) -> DataFrame:
+def search(embeddings: DataFrame, *, queries: Column | None = None, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", target: float = TARGET, reranked: int = RERANKED) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query among all other rows, by Euclidean distance.
 
     queries: which rows ask (default: ids divisible by 100). Vectors that are null, zero, or hold null or non-finite
@@ -126,7 +138,7 @@ def search(embeddings: DataFrame, *, queries: Column | None = None, k: int = K,
     rows = materialize(rows.where(F.size("v") == lengths["d"]), "vectors")
     asks = rows.where(F.pmod("vec_id", F.lit(100)) == 0 if queries is None else queries)
     rank = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    index = fit(rows, probed=probed)
+    index = fit(rows, target=target)
     n_lists = len(index.centroids)
     shared = spark.sparkContext.broadcast(index)
 
