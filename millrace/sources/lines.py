@@ -38,7 +38,7 @@ def jsonl(spark: SparkSession, path: str | list[str], schema: str, *, pattern: s
 
 def json_array(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """Elements of files that hold one JSON array, numbered from 1."""
-    whole = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias(FILE), F.from_json("value", f"array<struct<{schema}>>").alias("_a"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias(FILE), F.from_json("value", f"array<struct<{schema}>>").alias("_a"))
     return whole.select(FILE, F.posexplode("_a").alias("_k", "_r")).select(FILE, (F.col("_k") + 1).cast("long").alias(LINE), "_r.*")
 
 
@@ -102,7 +102,7 @@ def instruction_records(spark: SparkSession, folders: list[str]) -> DataFrame:
 
 
 def _array_files(spark: SparkSession, folders: list[str], schema: str) -> DataFrame:
-    whole = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").text(folders)
+    whole = spark.read.option("pathGlobFilter", "*.json").text(folders, wholetext=True)
     items = whole.select(F.col("_metadata.file_path").alias(FILE), F.posexplode(F.from_json("value", f"array<struct<{schema}>>")).alias("_k", "_r"))
     return items.select(FILE, (F.col("_k") + 1).cast("long").alias(LINE), "_r.*")
 
@@ -142,7 +142,7 @@ def plain_records(spark: SparkSession, path: str, limit: int) -> DataFrame:
 
 def sections(spark: SparkSession, path: str) -> DataFrame:
     """line_no and text: of `=== Line N ===` sections (the last of a number stays), or of the lines of the trimmed file, from 1."""
-    whole = spark.read.option("wholetext", "true").text(path).select("value")
+    whole = spark.read.text(path, wholetext=True).select("value")
     cut = whole.where(F.contains("value", F.lit("=== Line"))).select(F.regexp_extract_all("value", F.lit(r"=== Line (\d+) ==="), 1).alias("n"), F.slice(F.split("value", r"=== Line \d+ ==="), 2, 1 << 30).alias("t"))
     marked = cut.select(F.posexplode(F.arrays_zip("n", "t")).alias("k", "x")).select("k", F.expr("try_cast(x.n AS int)").alias("line_no"), stripped(F.col("x.t")).alias("text"))
     last = marked.groupBy("line_no").agg(F.max_by("text", "k").alias("text"))
@@ -174,7 +174,7 @@ BOX = "center_x double, center_y double, center_z double, size_x double, size_y
 
 def boxes(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The six numbers of each box file."""
-    return spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias(FILE), F.from_json("value", BOX).alias("b")).select(FILE, "b.*")
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias(FILE), F.from_json("value", BOX).alias("b")).select(FILE, "b.*")
 
 
 def first_sample(spark: SparkSession, path: str) -> DataFrame:
