@@ -4,7 +4,7 @@ A document's full windows stand alone. Its rest, of s ids, goes to the partially
 level h makes the sum of N(level)^2 over all levels smallest, where N counts the partially filled windows of
 each level: an array of that length is all the state the choice needs (Csirik et al., "On the Sum-of-Squares
 Algorithm for Bin Packing"). Windows still open when a task's documents end, or when more than MAX_OPEN are
-open, are closed by cutting the pieces of the emptiest to fill the fullest, which leaves one open window.
+open, are filled by cutting the pieces of the emptiest to top up the fullest, which leaves one short window.
 
 A task packs the documents of its own partition, so there is no shuffle and no state besides the open
 windows. sequence_id has the task's partition in its upper bits.
@@ -180,10 +180,10 @@ class LevelPacker:
             self.count[h + s] += 1
             self.at_level.setdefault(h + s, []).append(window)
         if self.n_open > self.max_open:
-            self.close()
+            self.close(last=False)
 
-    def close(self) -> None:
-        """Fill the fullest open windows with cut pieces of the emptiest; at most one stays short."""
+    def close(self, last: bool = True) -> None:
+        """Fill the fullest open windows with cut pieces of the emptiest; the one that stays short closes with the last, else stays open."""
         open_ = [[level, *window] for level in sorted(self.at_level) for window in self.at_level[level]]
         self.count[:], self.n_open = 0, 0
         self.at_level.clear()
@@ -201,8 +201,11 @@ class LevelPacker:
                 high -= 1
             if not donor[2]:
                 low += 1
-        if low == high and open_:
+        if low == high and last:
             self.closed.append((open_[low][1], open_[low][2]))
+        elif low == high:
+            level, sequence, pieces = open_[low]
+            self.count[level], self.at_level[level], self.n_open = 1, [(sequence, pieces)], 1
 
 
 def _arrow(closed: list[tuple[int, list]]) -> pa.RecordBatch:
