@@ -74,8 +74,10 @@ def read_inst(formatted: str) -> list[Turn]:
     return turns
 
 
-def _shared(a: str, b: str) -> int:
-    return len(os.path.commonprefix([a, b]))
+def _shared(a: str, b: str, known: str) -> int:
+    """Length of the common prefix; both usually begin with what is known, which then isn't gone through again."""
+    skip = len(known) if a.startswith(known) and b.startswith(known) else 0
+    return skip + len(os.path.commonprefix([a[skip:], b[skip:]]))
 
 
 def locate(template: Template, turns: list[Turn]) -> tuple[str, list[tuple[int, int, int, int]], bool]:
@@ -86,7 +88,7 @@ def locate(template: Template, turns: list[Turn]) -> tuple[str, list[tuple[int,
         if not now.startswith(before):
             return template(turns), [], True
         one, two = (template([*turns[:k], (role, x)]) for x in "xy")
-        lead = _shared(one, two)
+        lead = _shared(one, two, before)
         tail = len(one) - lead - 1
         spans.append((len(before), len(now), lead, len(now) - tail))
         before = now

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm._common import fresh
+
 #: Shares of sources go as their sizes to this power, unless target weights are given.
 TEMPERATURE = 0.7
 SEED = "mix-1"
@@ -61,14 +63,15 @@ def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, temperature
 
     A null source is a source of its own (with given weights: that of the empty string); a null id draws like the
     text "null"; rows that repeat an id get equal counts; null and empty texts are rows like others; an empty table
-    stays empty; columns named `rate` or starting with an underscore in docs are kept as they are.
+    stays empty; a column named `copy` in docs is replaced, all others are kept as they are.
     """
-    means = rates(docs, weights=weights, temperature=temperature, epoch=epoch, source_col=source_col).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
-    counted = docs.join(means, F.col(source_col).cast("string").eqNullSafe(F.col("_source")))
+    source, rate, n = (fresh(docs, c) for c in ("_source", "_rate", "_n"))
+    means = rates(docs, weights=weights, temperature=temperature, epoch=epoch, source_col=source_col).select(F.col("source").alias(source), F.col("rate").alias(rate))
+    counted = docs.join(means, F.col(source_col).cast("string").eqNullSafe(F.col(source)))
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    copies = counted.withColumn("_n", repetitions(name, F.col("_rate"), seed)).where("_n > 0")
-    own = [c for c in docs.columns if c != "copy"]
-    spread = copies.select(*own, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy"))
+    copies = counted.withColumn(n, repetitions(name, F.col(rate), seed)).where(F.col(n) > 0)
+    own = [c for c in docs.columns if c.lower() != "copy"]
+    spread = copies.select(*own, F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("copy"))
     key = F.xxhash64(F.lit(seed), name, "copy")
     return spread.repartition(key).sortWithinPartitions(F.xxhash64(key, F.lit("order")), id_col, "copy")
 

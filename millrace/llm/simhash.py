@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import bound_batches, id_and_text, materialize
+from millrace.llm._common import bound_batches, fresh, id_and_text, materialize
 from millrace.llm.components import connected_components
 
 DISTANCE = 2
@@ -109,9 +109,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs, columns as they are: of each component the one document that names it; of rows that repeat its id, one.
 
-    Rows without an id stay only if they form a component of their own, once.
+    Of rows without an id one stays, if a component has no other.
     """
-    found = near_duplicates(docs, id_col=id_col, **options)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(first, F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    found, kept_id = near_duplicates(docs, id_col=id_col, **options), fresh(docs, "_kept")
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept_id)).distinct()
+    kept = docs.join(first, F.col(id_col).cast("long").eqNullSafe(F.col(kept_id)), "left_semi")
     return kept.dropDuplicates([id_col])

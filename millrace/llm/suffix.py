@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import bound_batches, buffers, materialize, runs_of_rows
+from millrace.llm._common import bound_batches, buffers, fresh, materialize, runs_of_rows
 
 LENGTH = 100
 GRAM = 24
@@ -553,10 +553,11 @@ def keep_unrepeated(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
     A null text stays null. Rows are told apart by id and text; equal rows lose the same bytes.
     """
     gone = repeated_places(docs, length=length, gram=gram, id_col=id_col, text_col=text_col)
-    by_doc = gone.groupBy("did", "tag").agg(F.collect_list(F.struct("q", "n")).alias("_places")).withColumnsRenamed({"did": "_did", "tag": "_tag"})
+    did, tag, places = (fresh(docs, c) for c in ("_did", "_tag", "_places"))
+    by_doc = gone.groupBy("did", "tag").agg(F.collect_list(F.struct("q", "n")).alias(places)).withColumnsRenamed({"did": did, "tag": tag})
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_did": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_tag": F.pmod(F.xxhash64(text), F.lit(1 << 15)).cast("int")})
-    joined = keyed.join(by_doc.hint("shuffle_hash"), ["_did", "_tag"], "left").select(*docs.columns, "_places")
+    keyed = docs.withColumns({did: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), tag: F.pmod(F.xxhash64(text), F.lit(1 << 15)).cast("int")})
+    joined = keyed.join(by_doc.hint("shuffle_hash"), [did, tag], "left").select(*docs.columns, places)
     at = docs.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

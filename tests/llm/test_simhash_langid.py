@@ -75,7 +75,7 @@ def test_near_duplicates(spark):
             least[group[k]] = min(least.get(group[k], texts[k][0]), texts[k][0])
     want = sorted(((texts[k][0], format(fp[k], "016x"), least.get(group[k])) for k in n), key=str)
     assert sorted((tuple(r) for r in simhash.near_duplicates(rows).collect()), key=str) == want
-    kept = simhash.keep_first(rows).collect()
+    kept = simhash.keep_first(rows.withColumn("_kept", F.lit(1))).collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(set(least.values()))
     assert simhash.near_duplicates(rows.limit(0)).count() == 0
 
