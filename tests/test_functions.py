@@ -118,3 +118,22 @@ def test_orders_do_not_depend_on_partitions(spark):
     assert order(rows.repartition(2)) == order(rows.repartition(7)) != list(range(500))
     assert mixing.replicate(rows, 3).count() == 1500
     assert mixing.keep_first(mixing.replicate(rows, 3), ["doc_id"], "copy").count() == 500
+
+
+def test_record_fields(spark):
+    from millrace.functions import records
+
+    def of(**fields):
+        return F.create_map(*(F.lit(x) for kv in fields.items() for x in kv))
+
+    reply = "Reasoning: why\nOptimized_SMILES: CCO"
+    assert value(spark, records.predicted_smiles(of(output=reply, my_SMILES=" CCN "))) == "CCN"
+    assert value(spark, records.optimized_smiles(of(output=reply, my_SMILES="CCN"))) == "CCO"
+    assert value(spark, records.optimized_smiles(of(other="x"))) == ""
+    assert value(spark, records.record_reasoning(of(output="none", Reasoning_text="r"))) == "r"
+    assert value(spark, records.smiles_variants(F.lit(" C[C@H]O.Cl "))) == ["C[C@H]O.Cl", "C[CH]O.Cl", "C[C@H]O", "CO.Cl"]
+    assert value(spark, records.smiles_variants(F.lit(" "))) == []
+    assert tuple(value(spark, records.alias_span(F.lit("the LogP of it"), "logP"))) == (4, 8)
+    assert value(spark, records.alias_span(F.lit("clogps"), "logP")) is None
+    assert tuple(value(spark, records.alias_span(F.lit("有毒性的"), "毒性"))) == (1, 3)
+    assert value(spark, records.reasoning_quality(F.lit("Reduce 毒性"))) == pytest.approx((2 * 2 / 25 + 2 * 1 / 24 + 0 + 0) / 4 + 9 / 500)
