@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.scoring import capped_reward
@@ -29,10 +29,10 @@ def gated(rollouts: DataFrame, *, answer: str = "answer", raw: str = "raw_reward
 
 def advantages(rewards: DataFrame, group: str, reward: str = "reward") -> DataFrame:
     """(reward - mean) / deviation within a group; the deviation (one degree less) is at least 1e-4, and a group of one has advantage 0."""
-    w = Window.partitionBy(group)
-    std = F.greatest(F.stddev_samp(reward).over(w), F.lit(1e-4))
-    value = F.when(F.count(reward).over(w) < 2, 0.0).otherwise((F.col(reward) - F.avg(reward).over(w)) / std)
-    return rewards.where(F.col(reward).isNotNull()).withColumn("advantage", value)
+    rows = rewards.where(F.col(reward).isNotNull())
+    moments = rows.groupBy(F.col(group).alias("_g")).agg(F.count(reward).alias("_n"), F.avg(reward).alias("_mean"), F.stddev_samp(reward).alias("_std"))
+    value = F.when(F.col("_n") < 2, 0.0).otherwise((F.col(reward) - F.col("_mean")) / F.greatest("_std", F.lit(1e-4)))
+    return rows.join(moments, F.col(group).eqNullSafe(F.col("_g"))).withColumn("advantage", value).drop("_g", "_n", "_mean", "_std")
 
 
 def candidates(answers: DataFrame, array: str, prompt: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.scoring import BANDS, CORE_FEATURES, FEATURE_WEIGHTS, LESS_IS_BETTER, MORE_IS_BETTER, feature_reward, number_of, set_f_score
 from millrace.functions.text import flat_key, plain_key, split_key, stripped
+from millrace.operators.stats import upper_median
 
 FEATURE_SCHEMA = "feature string, direction int, lo double, hi double, threshold double, weight double, is_core boolean"
 
@@ -143,9 +144,9 @@ def phrase_features(texts: DataFrame, phrases: DataFrame, *, id_col: str = "samp
 
 def corpus_report(scores: DataFrame, *, value: str = "total") -> DataFrame:
     """Means, bounds, the upper median and population deviation of the scores."""
-    n = F.count("*")
-    middle = F.get(F.array_sort(F.collect_list(value)), F.floor(n / 2).cast("int"))
-    return scores.agg(n.alias("count"), F.round(F.avg(value), 4).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), middle.alias("median"), F.stddev_pop(value).alias("std"))
+    bounds = scores.agg(F.count("*").alias("count"), F.round(F.avg(value), 4).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.stddev_pop(value).alias("std"))
+    middle = upper_median(scores, value, []).withColumnRenamed("upper_median", "median")  # one row, as bounds is
+    return bounds.join(F.broadcast(middle), how="inner").select("count", "mean", "min", "max", "median", "std")
 
 
 def top_features(listed: DataFrame, k: int = 10, *, feature: str = "feature", order: str = "pos") -> DataFrame:

@@ -8,12 +8,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Values are ranked in about so many ranges at once.
+RANGES = 64
+
+
+def before_value(counts: DataFrame, value: str, n: str, group: list[str], out: str) -> DataFrame:
+    """counts (a row for each group and distinct value, with n rows) with the rows of the group below the value.
+
+    Values are cut into ranges at approximate quantiles; windows run within a range, and the ranges' totals, a few
+    rows for each group, are added from a second small window. No group is sorted in one task.
+    """
+    cuts = sorted(set(counts.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [k / RANGES for k in range(1, RANGES)], 0.005)))
+    own = sum(((F.col(value) >= F.lit(c)).cast("int") for c in cuts), F.lit(0))
+    ranged = counts.withColumn("_range", own)
+    totals = ranged.groupBy(*group, "_range").agg(F.sum(n).alias("_total"))
+    lower = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("_offset", F.coalesce(F.sum("_total").over(lower), F.lit(0))).drop("_total")
+    within = Window.partitionBy(*group, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("_within", F.coalesce(F.sum(n).over(within), F.lit(0))).join(offsets, [*group, "_range"])
+    return placed.withColumn(out, F.col("_offset") + F.col("_within")).drop("_range", "_within", "_offset")
+
+
 def upper_median(df: DataFrame, value: str, group: list[str]) -> DataFrame:
     """sorted[n // 2] of each group, by counts of distinct values, so no group is collected."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    upto = counts.withColumn("_upto", F.sum("_n").over(w)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*group)))
-    return upto.where(F.col("_upto") > F.floor(F.col("_all") / 2)).groupBy(*group).agg(F.min(value).alias("upper_median"))
+    placed = before_value(counts, value, "_n", group, "_before")
+    sizes = counts.groupBy(*group).agg(F.sum("_n").alias("_all"))
+    found = placed.join(sizes, group) if group else placed.join(F.broadcast(sizes), how="inner")
+    return found.where(F.col("_before") + F.col("_n") > F.floor(F.col("_all") / 2)).groupBy(*group).agg(F.min(value).alias("upper_median"))
 
 
 def described(value: str) -> list[Column]:
@@ -71,8 +93,8 @@ def _beta(x: float, a: float, b: float) -> float:
 def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
     """Ranks from 1, ties at their mean; counts of distinct values are ranked, not rows."""
     counts = df.groupBy(value).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.select(F.col(value).alias("_v"), (F.coalesce(before, F.lit(0)) + (F.col("_n") + 1) / 2).alias(out))
+    placed = before_value(counts, value, "_n", [], "_before")
+    ranks = placed.select(F.col(value).alias("_v"), (F.col("_before") + (F.col("_n") + 1) / 2).alias(out))
     return df.join(ranks, F.col(value) == F.col("_v")).drop("_v")
 
 

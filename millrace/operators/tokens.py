@@ -74,8 +74,14 @@ def attention(ids: Column, pad: int) -> Column:
 
 def length_sorted_batches(df: DataFrame, length: str, order: str, batch: int, group: list[str] | None = None) -> DataFrame:
     """`batch_id` of rows by falling length, ties by order: batch rows each, the last one fewer."""
-    w = Window.partitionBy(*(group or [])).orderBy(F.desc(length), order)
-    return df.withColumn("batch_id", F.floor((F.row_number().over(w) - 1) / batch))
+    group = group or []
+    # Rows of one length are numbered behind those of greater lengths, which a small table of lengths counts.
+    sizes = df.groupBy(*group, length).agg(F.count("*").alias("_n"))
+    longer = Window.partitionBy(*group).orderBy(F.desc(length)).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(longer), F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy(*group, length).orderBy(order)) - 1
+    numbered = df.withColumn("_place", place).join(offsets, [*group, length])
+    return numbered.withColumn("batch_id", F.floor((F.col("_offset") + F.col("_place")) / batch)).select(*df.columns, "batch_id")
 
 
 def padded_batches(df: DataFrame, batch: str, ids: str, label: str, pad: int) -> DataFrame:

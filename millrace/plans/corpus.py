@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import scoring, text
 from millrace.operators import mixing, tokens
 from millrace.operators.scoring import phrase_features, top_features
-from millrace.operators.stats import binary_f1
+from millrace.operators.stats import binary_f1, upper_median
 
 SEED = "7"
 KEYWORDS = ["the", "and", "ing", "tion", "with", "here", "ent", "the"]
@@ -121,12 +121,12 @@ def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     score = F.round(text.keyword_score("text", KEYWORDS), 4)
     n = F.count("*")
-    middle = F.get(F.array_sort(F.collect_list("score")), F.floor(n / 2).cast("int"))
     per = rows.select("lang", score.alias("score"), "quality", "toxic")
-    return per.groupBy("lang").agg(
+    report = per.groupBy("lang").agg(
         n.alias("paired"), F.count("quality").alias("used"), (n - F.count("quality")).alias("skipped"), F.round(F.avg("score"), 4).alias("mean_score"), F.min("score").alias("min_score"),
-        F.max("score").alias("max_score"), middle.alias("median_score"), F.round(F.stddev_pop("score"), 6).alias("std_score"), F.round(F.avg(F.col("toxic").isNotNull().cast("double")), 6).alias("labelled_ratio"),
+        F.max("score").alias("max_score"), F.round(F.stddev_pop("score"), 6).alias("std_score"), F.round(F.avg(F.col("toxic").isNotNull().cast("double")), 6).alias("labelled_ratio"),
     )
+    return report.join(upper_median(per, "score", ["lang"]).withColumnRenamed("upper_median", "median_score"), "lang")
 
 
 def top_words(spark: SparkSession, sf_dir: str) -> DataFrame:

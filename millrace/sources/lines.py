@@ -57,15 +57,26 @@ def clean(c: str | Column) -> Column:
     return stripped(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
 
 
-def numbered(df: DataFrame, prefix: str, *order: str | Column) -> Column:
-    """prefix and the row's place among all rows, from 0."""
-    return F.concat(F.lit(prefix), (F.row_number().over(Window.orderBy(*order)) - 1).cast("string"))
+#: Lines of a file that are numbered in one window.
+SPAN = 1_000_000
+
+
+def numbered(df: DataFrame, out: str, prefix: str = "") -> DataFrame:
+    """df with each row's place among all rows, from 0, by file and line: counted within spans of lines, and before them by a row for each span."""
+    spans = df.withColumn("_span", F.floor(F.col(LINE) / SPAN))
+    sizes = spans.groupBy(FILE, "_span").agg(F.count("*").alias("_n"))
+    before = Window.orderBy(FILE, "_span").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy(FILE, "_span").orderBy(LINE)) - 1
+    joined = spans.withColumn("_place", place).join(offsets, [FILE, "_span"])
+    number = F.col("_offset") + F.col("_place")
+    return joined.withColumn(out, F.concat(F.lit(prefix), number.cast("string")) if prefix else number).drop("_span", "_place", "_offset")
 
 
 def reasoning_records(spark: SparkSession, path: str, stage: str | None = None) -> DataFrame:
     """Chat records of instruction/input/output lines; ids count the accepted lines."""
-    rows = jsonl(spark, path, "instruction string, input string, output string")
-    return rows.select(numbered(rows, "chem-", FILE, LINE).alias("id"), F.lit("chem").alias("source"), clean("instruction").alias("system"), clean("input").alias("user"), clean("output").alias("assistant_raw"), F.lit(stage).cast("string").alias("chem_stage"), FILE, LINE)
+    rows = numbered(jsonl(spark, path, "instruction string, input string, output string"), "id", "chem-")
+    return rows.select("id", F.lit("chem").alias("source"), clean("instruction").alias("system"), clean("input").alias("user"), clean("output").alias("assistant_raw"), F.lit(stage).cast("string").alias("chem_stage"), FILE, LINE)
 
 
 MESSAGES = "messages array<struct<role: string, content: string>>, prompt string, response string, output string, dataset string"
@@ -82,8 +93,8 @@ def chat_records(spark: SparkSession, folder: str, limit: int = 20_000) -> DataF
     user = F.when(has, stripped(_said("user"))).otherwise(clean("prompt"))
     reply = F.when(clean("response") != "", clean("response")).otherwise(clean("output"))
     kept = rows.select(FILE, LINE, user.alias("user"), F.when(has, stripped(_said("assistant"))).otherwise(reply).alias("assistant_raw")).where("user <> '' OR assistant_raw <> ''")
-    first = kept.orderBy(FILE, LINE).limit(limit)
-    return first.select(numbered(first, "chat-", FILE, LINE).alias("id"), F.lit("ultrachat").alias("source"), F.lit("").alias("system"), "user", "assistant_raw", FILE, LINE)
+    first = numbered(kept.orderBy(FILE, LINE).limit(limit), "id", "chat-")
+    return first.select("id", F.lit("ultrachat").alias("source"), F.lit("").alias("system"), "user", "assistant_raw", FILE, LINE)
 
 
 def instruction_records(spark: SparkSession, folders: list[str]) -> DataFrame:
@@ -136,8 +147,8 @@ def message_records(spark: SparkSession, path: str, limit: int) -> DataFrame:
 
 def plain_records(spark: SparkSession, path: str, limit: int) -> DataFrame:
     """Plain texts with their channel; empty ones are left out."""
-    rows = jsonl(spark, path, "text string, channel string").where(clean("text") != "").orderBy(FILE, LINE).limit(limit)
-    return rows.select(numbered(rows, "cpt-", FILE, LINE).alias("id"), F.lit("cpt").alias("source"), F.lit("").alias("system"), F.lit("").alias("user"), clean("text").alias("assistant_raw"), F.coalesce("channel", F.lit("unknown")).alias("channel"), FILE, LINE)
+    rows = numbered(jsonl(spark, path, "text string, channel string").where(clean("text") != "").orderBy(FILE, LINE).limit(limit), "id", "cpt-")
+    return rows.select("id", F.lit("cpt").alias("source"), F.lit("").alias("system"), F.lit("").alias("user"), clean("text").alias("assistant_raw"), F.coalesce("channel", F.lit("unknown")).alias("channel"), FILE, LINE)
 
 
 def sections(spark: SparkSession, path: str) -> DataFrame:
@@ -152,8 +163,8 @@ def sections(spark: SparkSession, path: str) -> DataFrame:
 
 def smiles_list(spark: SparkSession, path: str) -> DataFrame:
     """_index (from 0) and smiles of the lines that aren't blank."""
-    rows = lines(spark, path).where(stripped(VALUE) != "")
-    return rows.select((F.row_number().over(Window.orderBy(FILE, LINE)) - 1).cast("long").alias("_index"), stripped(VALUE).alias("smiles"))
+    rows = numbered(lines(spark, path).where(stripped(VALUE) != ""), "_index")
+    return rows.select(F.col("_index").cast("long").alias("_index"), stripped(VALUE).alias("smiles"))
 
 
 def molecules(spark: SparkSession, path: str) -> DataFrame:
