@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.scoring import is_critical, judge_blend
 from millrace.functions.text import json_in_text
+from millrace.session import ship
 
 
 def targets_of(spark: SparkSession, specs: list[str]) -> DataFrame:
@@ -26,6 +27,7 @@ def result_matrix(items: DataFrame, targets: list[str], run: Callable[[str, str]
 
     Each item is a row of work that an injected runner does for every target in turn; a failed target leaves empty cells.
     """
+    ship(items.sparkSession)
     columns = "".join(f", `{t}_affinity` double, `{t}_rank` int" for t in targets)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

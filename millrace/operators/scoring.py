@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions.scoring import BANDS, CORE_FEATURES, FEATURE_WEIGHTS, LESS_IS_BETTER, MORE_IS_BETTER, feature_reward, number_of, set_f_score
 from millrace.functions.text import flat_key, plain_key, split_key, stripped
 from millrace.operators.stats import upper_median
+from millrace.session import ship
 
 FEATURE_SCHEMA = "feature string, direction int, lo double, hi double, threshold double, weight double, is_core boolean"
 
@@ -53,6 +54,8 @@ def normalized_features(props: DataFrame, aliases: DataFrame, *, sample: str = "
 def lookup(molecules: DataFrame, client: Callable[[str], dict], *, tries: int = 3, smiles: str = "smiles") -> DataFrame:
     """smiles and props (a map) by an injected client; each distinct molecule is asked once, with retries; failures give an empty map."""
 
+    ship(molecules.sparkSession)
+
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import time
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import ship
+
 IGNORED = -100
 #: Smallest and largest prompt budgets by domain, and the share of the length between them.
 BUDGETS = {"chem": (512, 1024), "other": (256, 512)}
@@ -106,6 +108,8 @@ def packed_rows(lengths: list[int], limit: int) -> list[int]:
 def pack_in_order(df: DataFrame, *, length: str, order: str, group: str, limit: int) -> DataFrame:
     """`pack_id` of each sequence within its group; groups are batches, so of bounded size."""
 
+    ship(df.sparkSession)
+
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)
         return rows.assign(pack_id=pd.Series(packed_rows(rows[length].tolist(), limit), index=rows.index, dtype="int64"))
@@ -117,6 +121,8 @@ def pack_in_order(df: DataFrame, *, length: str, order: str, group: str, limit:
 def tokenized(df: DataFrame, column: str, tokenizer: Callable[[str], list[int]], out: str = "ids") -> DataFrame:
     """df with the ids that an injected tokenizer gives, in Arrow batches."""
 
+    ship(df.sparkSession)
+
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: tokenizer(t or ""))
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.scoring import novelty, novelty_tier
+from millrace.session import ship
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -64,5 +65,6 @@ def text_novelty(distances: DataFrame, norm: DataFrame, *, text: str = "text_id"
 
 def encoded(sentences: DataFrame, encoder: Callable[[list[str]], list[list[float]]], column: str = "sentence") -> DataFrame:
     """sentences with the vectors of an injected encoder, in Arrow batches."""
+    ship(sentences.sparkSession)
     run = F.pandas_udf(lambda s: pd.Series([[float(x) for x in v] for v in encoder(s.tolist())]), "array<float>")
     return sentences.withColumn("embedding", run(column))
