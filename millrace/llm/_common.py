@@ -5,15 +5,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.session import ship
+
 #: Bytes of an Arrow batch sent to a Python worker; a row above it travels alone.
 BATCH_BYTES = 8 << 20
 
@@ -21,22 +21,9 @@ _written: list[tuple[SparkSession, str]] = []
 _own_base: list[str] = []
 
 
-def _ship(context) -> None:
-    """Send this package to the executors, once for each context."""
-    if getattr(context, "_millrace", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="millrace-")) / "millrace-package.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for source in sorted(top.rglob("*.py")):
-            z.write(source, source.relative_to(top.parent))
-    context.addPyFile(str(archive))
-    context._millrace = True
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Make ready for Python on the executors: this package there, and Arrow batches small in bytes, as rows differ in length by a factor of thousands."""
-    _ship(spark.sparkContext)
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
@@ -99,10 +86,15 @@ def delete_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def forget_scratch(keep: int = 0) -> None:
-    """Delete scratch tables but for the newest `keep`; results that read them must be used up by then."""
-    while len(_written) > keep:
-        spark, path = _written.pop(0)
+def scratch_mark() -> int:
+    """The number of scratch tables so far, for forget_scratch."""
+    return len(_written)
+
+
+def forget_scratch(since: int = 0, keep: int = 0) -> None:
+    """Delete the scratch tables written since a mark, but for the newest `keep`; results that read them must be used up by then."""
+    while len(_written) > since + keep:
+        spark, path = _written.pop(since)
         if spark.sparkContext._jsc is not None:
             delete_path(spark, path)
 
