@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import fresh
+from millrace.llm._common import fresh, materialize
 
 #: Shares of sources go as their sizes to this power, unless target weights are given.
 TEMPERATURE = 0.7
@@ -20,6 +20,8 @@ SEED = "mix-1"
 LARGEST_MEAN = 16.0
 #: Terms of an inversion; the tail of a mean of LARGEST_MEAN beyond them is below 2^-52.
 TERMS = 64
+#: Sources whose rates are broadcast at most, a few MB of them.
+MOST_BROADCAST = 50_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -66,8 +68,10 @@ def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, temperature
     stays empty; a column named `copy` in docs is replaced, all others are kept as they are.
     """
     source, rate, n = (fresh(docs, c) for c in ("_source", "_rate", "_n"))
-    means = rates(docs, weights=weights, temperature=temperature, epoch=epoch, source_col=source_col).select(F.col("source").alias(source), F.col("rate").alias(rate))
-    counted = docs.join(means, F.col(source_col).cast("string").eqNullSafe(F.col(source)))
+    means = materialize(rates(docs, weights=weights, temperature=temperature, epoch=epoch, source_col=source_col).select(F.col("source").alias(source), F.col("rate").alias(rate)), "rates")
+    # Sources are few, and dealing rows out by them would put a hot source into one task; more than that many are joined by shuffle.
+    few = means.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    counted = docs.join(F.broadcast(means) if few else means, F.col(source_col).cast("string").eqNullSafe(F.col(source)))
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     copies = counted.withColumn(n, repetitions(name, F.col(rate), seed)).where(F.col(n) > 0)
     own = [c for c in docs.columns if c.lower() != "copy"]
