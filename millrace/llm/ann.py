@@ -87,8 +87,8 @@ def _sampled(vectors: DataFrame, rows: int) -> np.ndarray:
     bound = vectors.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
     if bound is None:
         return np.empty((0, 0), np.float32)
-    table = vectors.where(h <= F.lit(bound)).select("vec_id", "v").limit(2 * rows).toArrow()
-    return np.stack([np.asarray(v, np.float32) for v in table.sort_by("vec_id")["v"].to_pylist()])
+    table = vectors.where(h <= F.lit(bound)).select("vec_id", F.col("v").cast("array<float>").alias("v")).limit(2 * rows).toArrow().sort_by("vec_id")
+    return np.ascontiguousarray(table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1))
 
 
 def probes_for(sample: np.ndarray, centroids: np.ndarray, own: np.ndarray, target: float) -> int:
