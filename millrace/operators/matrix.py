@@ -38,6 +38,8 @@ def result_matrix(items: DataFrame, targets: list[str], run: Callable[[str, str]
                 for t in targets:
                     try:
                         found.append(run(s, t))
+                    except ImportError:
+                        raise
                     except Exception:  # noqa: BLE001  the runner's own errors
                         found.append(None)
                 rows.append([i, s, *(x for a in found for x in (a, None if a is None else 1))])

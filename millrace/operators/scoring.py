@@ -67,6 +67,8 @@ def lookup(molecules: DataFrame, client: Callable[[str], dict], *, tries: int =
                     try:
                         props = {str(a): str(b) for a, b in (client(s) or {}).items()}
                         break
+                    except ImportError:
+                        raise
                     except Exception:  # noqa: BLE001  the client's own errors
                         time.sleep(min(0.2 * 2**k, 1.6))
                 found.append(props)
