@@ -111,7 +111,9 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFra
 
     Of rows without an id one stays, if a component has no other.
     """
-    found, kept_id = near_duplicates(docs, id_col=id_col, **options), fresh(docs, "_kept")
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept_id)).distinct()
-    kept = docs.join(first, F.col(id_col).cast("long").eqNullSafe(F.col(kept_id)), "left_semi")
-    return kept.dropDuplicates([id_col])
+    found, kept_id, repeats = near_duplicates(docs, id_col=id_col, **options), fresh(docs, "_kept"), fresh(docs, "_repeats")
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(kept_id)).agg((F.count("*") > 1).alias(repeats))
+    kept = docs.join(first, F.col(id_col).cast("long").eqNullSafe(F.col(kept_id)))
+    # Only rows whose ids repeat are shuffled again; both parts read the join's one shuffle of the texts.
+    once, again = kept.where(~F.col(repeats)), kept.where(F.col(repeats)).dropDuplicates([id_col])
+    return once.select(*docs.columns).union(again.select(*docs.columns))
