@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import materialize
+from millrace.llm._common import fresh, materialize
 
 MAX_ROUNDS = 60
 
@@ -43,3 +43,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = now
     raise RuntimeError(f"components not settled after {MAX_ROUNDS} rounds")
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A hash of the whole row, nulls told apart by place."""
+    plain = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    return F.xxhash64(*plain, *(F.col(f"`{f.name}`").isNull() for f in docs.schema))
+
+
+def keep_one(docs: DataFrame, placed: DataFrame, id_col: str) -> DataFrame:
+    """One row of docs of each root of placed (id, row, root of every row; row is its row_key): least id, nulls last, then least row."""
+    key, kept_id, kept_row, repeats = (fresh(docs, n) for n in ("_key", "_kept", "_row", "_repeats"))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "row")
+    counted = placed.groupBy("root", "id", "row").agg(F.count("*").alias("n"))
+    first = counted.groupBy("root").agg(F.min(F.struct(order.alias("at"), "n")).alias("m")).select(F.col("m.at.id").alias(kept_id), F.col("m.at.row").alias(kept_row), (F.col("m.n") > 1).alias(repeats))
+    keyed = docs.withColumn(key, row_key(docs))
+    kept = keyed.join(first, (F.col(key) == F.col(kept_row)) & F.col(id_col).cast("long").eqNullSafe(F.col(kept_id)))
+    # Only rows that repeat are shuffled again; both parts read the join's one shuffle of the texts.
+    once, again = kept.where(~F.col(repeats)), kept.where(F.col(repeats)).dropDuplicates([id_col, key])
+    return once.select(*docs.columns).union(again.select(*docs.columns))
