@@ -22,8 +22,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import bound_batches, fresh, id_and_text, materialize
-from millrace.llm.components import connected_components
+from millrace.llm._common import bound_batches, id_and_text, materialize
+from millrace.llm.components import connected_components, keep_one, row_key
 
 DISTANCE = 2
 SHINGLE = 3
@@ -50,15 +50,21 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id and the fingerprint fp as a signed long, for every row; null and empty texts have 0."""
-    bound_batches(docs.sparkSession)
+    return _fingerprints(id_and_text(docs, id_col, text_col), shingle)
+
+
+def _fingerprints(texts: DataFrame, shingle: int) -> DataFrame:
+    """The columns of texts, all longs, with fp in place of text."""
+    bound_batches(texts.sparkSession)
+    others = [c for c in texts.columns if c != "text"]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.large_binary()).to_pylist()
             fp = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, others), pa.array(fp)], [*others, "fp"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(compute, "doc_id long, fp long")
+    return texts.mapInArrow(compute, ", ".join(f"{c} long" for c in [*others, "fp"]))
 
 
 def _shared_bytes(a: Column, b: Column) -> Column:
@@ -88,6 +94,14 @@ def near_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return verified.select("u", "v").union(starred)
 
 
+def _classes(own: DataFrame) -> DataFrame:
+    """fp, the least doc_id of its rows, and the root of its component."""
+    distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = connected_components(near_links(distinct.select("fp")))
+    root = F.coalesce("root", "fp")
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", root.alias("root"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id of every row.
 
@@ -97,23 +111,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     not read.
     """
     own = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
-    distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = connected_components(near_links(distinct.select("fp")))
-    root = F.coalesce("root", "fp")
-    classes = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", root.alias("root"))
+    classes = _classes(own)
     linked = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = classes.select("fp", "root").join(linked, "root").select("fp", "component_id")
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs, columns as they are: of each component the one document that names it; of rows that repeat its id, one.
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs, columns as they are: one of each component, as components.keep_one chooses it.
 
-    Of rows without an id one stays, if a component has no other.
+    Ids that repeat, or are null, in several components name a row of each.
     """
-    found, kept_id, repeats = near_duplicates(docs, id_col=id_col, **options), fresh(docs, "_kept"), fresh(docs, "_repeats")
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(kept_id)).agg((F.count("*") > 1).alias(repeats))
-    kept = docs.join(first, F.col(id_col).cast("long").eqNullSafe(F.col(kept_id)))
-    # Only rows whose ids repeat are shuffled again; both parts read the join's one shuffle of the texts.
-    once, again = kept.where(~F.col(repeats)), kept.where(F.col(repeats)).dropDuplicates([id_col])
-    return once.select(*docs.columns).union(again.select(*docs.columns))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(docs).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    own = materialize(_fingerprints(texts, shingle), "fingerprints")
+    placed = own.join(_classes(own).select("fp", "root"), "fp").select(F.col("doc_id").alias("id"), "row", "root")
+    return keep_one(docs, placed, id_col)

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from millrace.llm import components, langid, simhash
+from millrace.llm import components, langid, similar, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,6 +80,16 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("keep_first", [simhash.keep_first, similar.keep_first])
+def test_one_row_of_each_component(spark, keep_first):
+    text = lambda k: " ".join(f"w{k}x{n}" for n in range(40))
+    rows = [(None, text(1), "a"), (None, text(2), "a"), (None, text(3), None), (5, text(3), "a"), (7, text(4), "a"), (7, text(5), None), (7, text(5), None), (None, text(6), "a"), (None, text(6), "a"), (8, text(7), "b"), (8, text(7), "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = keep_first(docs).collect()
+    got = sorted(((r["doc_id"], r["text"]) for r in kept), key=str)
+    assert got == sorted([(None, text(1)), (None, text(2)), (5, text(3)), (7, text(4)), (7, text(5)), (None, text(6)), (8, text(7))], key=str)
+
+
 def test_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(docs, fit_rows=300)
