@@ -31,6 +31,8 @@ ALLOW, BLOCK = "allow", "block"
 RULES = ((ALLOW, "org/"), (BLOCK, "example.org/es/"), (BLOCK, "example.org/en/1"), (ALLOW, "com/fr/"), (BLOCK, "com/de/"))
 #: Labels whose hosts are on the production list.
 LISTED_LABELS = ("cheap-pills", "casino", "free-money")
+#: Domains of the list that the query url_domain_list takes as a table: the junk sites of the pages.
+LISTED_DOMAINS = tuple(f"{site}.example.{end}" for site in ("cheap-pills", "casino-win", "free-bets", "ads-track", "spam-farm", "adult-x") for end in ("com", "net", "org"))
 
 
 def host_of(url: Column) -> Column:
@@ -127,6 +129,20 @@ def listed_hosts(hosts: DataFrame, labels: tuple[str, ...] = LISTED_LABELS) -> D
     return hosts.where(F.arrays_overlap(F.split("key", r"\."), F.array(*map(F.lit, labels)))).select("key")
 
 
+def hosts_under(hosts: DataFrame, domains: DataFrame) -> DataFrame:
+    """The hosts (column `key`) that are a listed domain (column `domain`) or a subdomain of one, as a rule's hosts are."""
+    labels = F.split("key", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat_ws(".", F.slice(labels, k, F.size(labels))))
+    wanted = domains.select(F.translate("domain", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("end")).where("end <> ''").distinct()
+    return hosts.select("key", F.explode(ends).alias("end")).join(wanted, "end", "left_semi").select("key").distinct()
+
+
+def judge_listed_domains(pages: DataFrame, domains: DataFrame, *, url_col: str = "url", **options) -> DataFrame:
+    """judge_urls with a table of listed domains, each holding for its subdomains; the cascade is built over all hosts."""
+    hosts = pages.select(host_of(F.coalesce(F.col(url_col).cast("string"), F.lit(""))).alias("key")).distinct()
+    return judge_urls(pages, hosts_under(hosts, domains), url_col=url_col, **options)
+
+
 def judge_urls(pages: DataFrame, listed: DataFrame | None = None, *, rules: tuple[tuple[str, str], ...] = RULES, most_keys: int = MOST_KEYS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, listed of every row.
 
@@ -177,7 +193,7 @@ def _probed(rows: DataFrame, levels: list[np.ndarray]) -> DataFrame:
     return rows.select("page_id", "host", "path", "rule", "ruled", *hashes).mapInArrow(probe, "page_id long, host string, path string, rule string, ruled string, listed boolean")
 
 
-def _oracle() -> str:
+def _oracle(listed: str) -> str:
     host, path = "translate(regexp_extract(behind, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')", "regexp_extract(behind, '^[^/?#]*([^?#]*)', 1)"
     by_length = sorted(RULES, key=lambda r: (-len(r[1]), r[0] != BLOCK))
 
@@ -187,7 +203,6 @@ def _oracle() -> str:
 
     rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for _, r in by_length) + " END"
     verdict = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{v}'" for v, r in by_length) + " WHEN listed THEN 'block' ELSE 'allow' END"
-    listed = "list_has_any(string_split(host, '.'), [" + ", ".join(f"'{x}'" for x in LISTED_LABELS) + "])"
     return f"""
         WITH parts AS (SELECT page_id, contains(url, '://') AS ok, substr(url, strpos(url, '://') + 3) AS behind FROM pages),
         split AS (SELECT page_id, CASE WHEN ok THEN {host} ELSE '' END AS host, CASE WHEN ok THEN {path} ELSE '' END AS path FROM parts),
@@ -195,4 +210,5 @@ def _oracle() -> str:
         SELECT page_id, host, path, {rule} AS rule, {verdict} AS verdict, listed FROM known"""
 
 
-ORACLE = _oracle()
+ORACLE = _oracle("list_has_any(string_split(host, '.'), [" + ", ".join(f"'{x}'" for x in LISTED_LABELS) + "])")
+ORACLE_DOMAINS = _oracle("(" + " OR ".join(f"host = '{d}' OR ends_with(host, '.{d}')" for d in LISTED_DOMAINS) + ")")
