@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import scoring, text
@@ -98,17 +98,27 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "copies", F.length("text").alias("n_chars"))
 
 
-def _found(c: str) -> list:
+def _found(c: Column) -> list:
     low = F.lower(c)
     return [F.when(F.contains(low, F.lit(k)), k) for k in dict.fromkeys(KEYWORDS)]
 
 
 def bad_feature_fscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Agreement of rule-based and keyword-based feature sets of labelled documents."""
-    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    """Agreement of rule-based and keyword-based feature sets of labelled documents; keywords of the first 400 characters only, as its SQL."""
+    return _fscore(spark, sf_dir, F.substring("text", 1, 400))
+
+
+def bad_feature_fscore_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with keywords of whole texts."""
+    return _fscore(spark, sf_dir, F.col("text"))
+
+
+def _fscore(spark: SparkSession, sf_dir: str, searched: Column) -> DataFrame:
+    predicted = F.array_compact(F.array(*_found(searched)))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", predicted.alias("predicted"))  # before the join, which texts stay out of
+    rows = docs.join(table(spark, sf_dir, "labels"), "doc_id")
     bad = F.array_compact(F.array(F.when(F.col("n_chars") > 2000, "the"), F.when(F.col("quality") == 0, "ing"), F.when(F.col("toxic") == 1, "tion"), F.when(F.col("lang") == "en", "with")))
-    predicted = F.array_compact(F.array(*_found(F.substring("text", 1, 400))))
-    sets = rows.select("doc_id", bad.alias("bad"), predicted.alias("predicted"), (F.col("n_chars") > 100).alias("reasoned"))
+    sets = rows.select("doc_id", bad.alias("bad"), "predicted", (F.col("n_chars") > 100).alias("reasoned"))
     return sets.select("doc_id", F.round(scoring.set_f_score("bad", "predicted", F.col("reasoned")), 6).alias("f_score"))
 
 
@@ -182,6 +192,7 @@ QUERIES = {
         chat_first_turn, cpt_records, mixed_corpus_counts, seeded_shuffle_sample, train_val_split, length_cap_p99, length_sorted_batches,
         truncation_budget, sequence_packing_stats, sentence_split_count, keyword_quality_score, tag_extract, exact_dedup, bad_feature_fscore,
         binary_f1_by_length, corpus_report, top_words, feature_set_algebra, phrase_theta_join, positional_join, domain_normalised,
+        bad_feature_fscore_whole,
     )
 }
 
@@ -247,3 +258,6 @@ ORACLE_SQL = {
             ELSE 'Reasoning: ' || split_part(text, chr(10), 1) || chr(10) || 'noise' || chr(10) || 'Optimized SMILES: ' || conv_id END AS output
         FROM conversations WHERE role = 'assistant'""",
 }
+
+#: Counterparts of the queries over whole texts and tables, beside those whose SQL fixes a cut.
+ORACLE_SQL["bad_feature_fscore_whole"] = ORACLE_SQL["bad_feature_fscore"].replace("substr(text, 1, 400)", "text")
