@@ -13,3 +13,8 @@ def test_keywords_behind_400_characters(spark, tmp_path):
     docs = [(1, "x " * 300 + "WITH", "en", "s", 604)], "doc_id long, text string, lang string, source string, n_chars long"
     labels = [(1, 1, 0)], "doc_id long, quality int, toxic int"
     assert run(spark, tmp_path, "bad_feature_fscore_whole", documents=docs, labels=labels) == [(1, 1.0)]
+
+
+def test_long_documents_lose_nothing_in_packs(spark, tmp_path):
+    docs = [(k, "w " * n, "en", "s", n) for k, n in enumerate((500, 3000, 523, 500))], "doc_id long, text string, lang string, source string, n_chars long"
+    assert run(spark, tmp_path, "sequence_packing_whole", documents=docs) == [("s/0", 3, 4, 4523)]
