@@ -166,16 +166,31 @@ def phrase_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def positional_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """positional_join_whole, of each text its first 40 characters, as its SQL."""
+    both = positional_join_whole(spark, sf_dir)
+    return both.select("place", F.substring("item_text", 1, 40).alias("item_start"), F.substring("doc_text", 1, 40).alias("doc_start"))
+
+
+def positional_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items beside documents of the same place; every item, with an empty text where there is no document."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("place"), F.substring("text", 1, 40).alias("doc_start"))
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("place"), F.substring("text", 1, 40).alias("item_start"))
-    return items.join(docs, "place", "left").select("place", "item_start", F.coalesce("doc_start", F.lit("")).alias("doc_start"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("place"), F.col("text").alias("doc_text"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("place"), F.col("text").alias("item_text"))
+    return items.join(docs, "place", "left").select("place", "item_text", F.coalesce("doc_text", F.lit("")).alias("doc_text"))
 
 
 def domain_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-line outputs of assistant turns that get tags, for even conversations as chem."""
+    """Two-line outputs of assistant turns that get tags, for even conversations as chem; of first lines only, as its SQL."""
+    return _normalised(spark, sf_dir, F.substring_index("text", "\n", 1))
+
+
+def domain_normalised_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of whole turns."""
+    return _normalised(spark, sf_dir, F.col("text"))
+
+
+def _normalised(spark: SparkSession, sf_dir: str, said: Column) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    raw = F.concat(F.lit("Reasoning: "), F.substring_index("text", "\n", 1), F.lit("\nnoise\nOptimized SMILES: "), F.col("conv_id").cast("string"))
+    raw = F.concat(F.lit("Reasoning: "), said, F.lit("\nnoise\nOptimized SMILES: "), F.col("conv_id").cast("string"))
     source = F.when(F.col("conv_id") % 2 == 0, "chem").otherwise("ultrachat")
     return turns.select("conv_id", "turn", text.domain_output(raw, source).alias("output"))
 
@@ -203,6 +218,7 @@ QUERIES = {
         binary_f1_by_length, corpus_report, top_words, feature_set_algebra, phrase_theta_join, positional_join, domain_normalised,
         bad_feature_fscore_whole,
         sequence_packing_whole,
+        positional_join_whole, domain_normalised_whole,
     )
 }
 
@@ -272,3 +288,9 @@ ORACLE_SQL = {
 #: Counterparts of the queries over whole texts and tables, beside those whose SQL fixes a cut.
 ORACLE_SQL["bad_feature_fscore_whole"] = ORACLE_SQL["bad_feature_fscore"].replace("substr(text, 1, 400)", "text")
 ORACLE_SQL["sequence_packing_whole"] = ORACLE_SQL["sequence_packing_stats"].replace("least(n, 1024) AS n", "n")
+ORACLE_SQL["positional_join_whole"] = "SELECT item_id AS place, b.text AS item_text, coalesce(d.text, '') AS doc_text FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id"
+ORACLE_SQL["domain_normalised_whole"] = r"""
+    WITH raw AS (SELECT conv_id, turn, 'Reasoning: ' || text || chr(10) || 'noise' || chr(10) || 'Optimized SMILES: ' || conv_id AS said FROM conversations WHERE role = 'assistant'),
+    own AS (SELECT *, list_transform(regexp_split_to_array(said, '\r\n|\r|\n'), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS l FROM raw),
+    two AS (SELECT *, list_filter(l, lambda x: regexp_matches(x, '(?i)^\s*Reasoning\s*:'))[-1] || chr(10) || list_filter(l, lambda x: regexp_matches(x, '(?i)^\s*Optimized[_\s-]*SMILES\s*:'))[-1] AS pair FROM own)
+    SELECT conv_id, turn, CASE WHEN conv_id % 2 <> 0 THEN said WHEN contains(pair, '<END>') THEN pair ELSE pair || chr(10) || '<END>' END AS output FROM two"""

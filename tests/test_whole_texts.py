@@ -18,3 +18,15 @@ def test_keywords_behind_400_characters(spark, tmp_path):
 def test_long_documents_lose_nothing_in_packs(spark, tmp_path):
     docs = [(k, "w " * n, "en", "s", n) for k, n in enumerate((500, 3000, 523, 500))], "doc_id long, text string, lang string, source string, n_chars long"
     assert run(spark, tmp_path, "sequence_packing_whole", documents=docs) == [("s/0", 3, 4, 4523)]
+
+
+def test_texts_are_joined_whole(spark, tmp_path):
+    docs = [(1, "d" * 100 + "end")], "doc_id long, text string"
+    items = [(1, "i" * 100 + "end"), (2, "alone")], "item_id long, text string"
+    assert sorted(run(spark, tmp_path, "positional_join_whole", documents=docs, benchmark=items)) == [(1, "i" * 100 + "end", "d" * 100 + "end"), (2, "alone", "")]
+
+
+def test_later_lines_of_a_turn_are_normalised(spark, tmp_path):
+    said = [(c, 1, "assistant", "first\n\n  reasoning : second \nOptimized_SMILES: C\nrest") for c in (2, 3)], "conv_id long, turn long, role string, text string"
+    got = sorted(run(spark, tmp_path, "domain_normalised_whole", conversations=said))
+    assert got == [(2, 1, "reasoning : second\nOptimized SMILES: 2\n<END>"), (3, 1, "Reasoning: " + said[0][0][3] + "\nnoise\nOptimized SMILES: 3")]
