@@ -33,8 +33,16 @@ def cpt_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents capped for each language and tripled, with first-turn chats: rows by source."""
-    docs = mixing.cap_per_group(table(spark, sf_dir, "documents").select("lang", "doc_id"), "lang", "doc_id", 50)
+    """Documents capped for each language (50) and tripled, with first-turn chats: rows by source."""
+    return _mixed(spark, sf_dir, mixing.cap_per_group(table(spark, sf_dir, "documents").select("lang", "doc_id"), "lang", "doc_id", 50))
+
+
+def mixed_corpus_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of all documents."""
+    return _mixed(spark, sf_dir, table(spark, sf_dir, "documents").select("lang", "doc_id"))
+
+
+def _mixed(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
     mixed = mixing.union_sources([mixing.replicate(docs.select(F.concat(F.lit("cpt-"), "lang").alias("source")), 3).select("source"), chat_first_turn(spark, sf_dir).select(F.lit("chat").alias("source"))])
     return mixed.groupBy("source").agg(F.count("*").alias("n"))
 
@@ -219,6 +227,7 @@ QUERIES = {
         bad_feature_fscore_whole,
         sequence_packing_whole,
         positional_join_whole, domain_normalised_whole,
+        mixed_corpus_counts_whole,
     )
 }
 
@@ -294,3 +303,4 @@ ORACLE_SQL["domain_normalised_whole"] = r"""
     own AS (SELECT *, list_transform(regexp_split_to_array(said, '\r\n|\r|\n'), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS l FROM raw),
     two AS (SELECT *, list_filter(l, lambda x: regexp_matches(x, '(?i)^\s*Reasoning\s*:'))[-1] || chr(10) || list_filter(l, lambda x: regexp_matches(x, '(?i)^\s*Optimized[_\s-]*SMILES\s*:'))[-1] AS pair FROM own)
     SELECT conv_id, turn, CASE WHEN conv_id % 2 <> 0 THEN said WHEN contains(pair, '<END>') THEN pair ELSE pair || chr(10) || '<END>' END AS output FROM two"""
+ORACLE_SQL["mixed_corpus_counts_whole"] = ORACLE_SQL["mixed_corpus_counts"].replace(" WHERE r <= 50", "")

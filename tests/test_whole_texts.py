@@ -30,3 +30,9 @@ def test_later_lines_of_a_turn_are_normalised(spark, tmp_path):
     said = [(c, 1, "assistant", "first\n\n  reasoning : second \nOptimized_SMILES: C\nrest") for c in (2, 3)], "conv_id long, turn long, role string, text string"
     got = sorted(run(spark, tmp_path, "domain_normalised_whole", conversations=said))
     assert got == [(2, 1, "reasoning : second\nOptimized SMILES: 2\n<END>"), (3, 1, "Reasoning: " + said[0][0][3] + "\nnoise\nOptimized SMILES: 3")]
+
+
+def test_all_documents_are_mixed(spark, tmp_path):
+    docs = [(k, "en") for k in range(70)], "doc_id long, lang string"
+    chats = [(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string"
+    assert sorted(run(spark, tmp_path, "mixed_corpus_counts_whole", documents=docs, conversations=chats)) == [("chat", 1), ("cpt-en", 210)]
