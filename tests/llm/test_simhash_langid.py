@@ -3,6 +3,7 @@
 import random
 import re
 
+import corpus_pipeline
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -103,6 +104,14 @@ def test_languages(spark):
     assert langid.keep_identified(odd, model).columns == odd.columns
 
 
+def test_stage_rejects_und_alone(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(9001, None, "en"), (9002, "12 %", "en"), (9003, "", "en"), (9004, "zzz qqq xxj", "en")], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs.union(odd), SF).collect()}
+    assert kept == {r["doc_id"] for r in docs.collect()} | {9004}
+    assert "und" in corpus_pipeline.language.__doc__
+
+
 def test_held_out_rows_teach_nothing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     wrong = docs.withColumn("lang", F.when(langid.held_out(), "xx").otherwise(F.col("lang")))
