@@ -7,52 +7,68 @@ counts up to them relative to the count here, are the transducer's state; a tran
 number of tokens it adds (which may be negative, as a longer piece can replace several). States and transitions
 are compiled from the vocabulary when first met.
 
-No piece has white space after another character, so white space resets the state: the map from entry state to
-(exit state, tokens) that a chunk of text stands for is a head run from the entry state, and constants behind its
-first reset. Maps of chunks compose associatively; texts above CHUNK characters are counted by a parallel prefix
-scan over their chunks' maps, shorter ones are one chunk.
+Texts are cut into chunks, and a chunk is a map from entry state to (exit state, tokens). No piece has white space
+after another character, so a chunk that begins with white space resets the state: its map is a constant. Most chunks
+are such words, equal ones of a batch are one entry of an Arrow dictionary, and only entries are run. A longer word is
+cut every CHUNK characters; the maps of its chunks compose by a prefix scan in rounds of neighbours. As the states are
+without number, a map holds those entries it was asked for: first the state that the characters before the chunk lead
+to from a reset, which is nearly always right, and any other when a composition brings it.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import bound_batches, id_and_text
+from millrace.llm._common import bound_batches, buffers, id_and_text, runs_of_rows
 
 SPACE = "▁"
-#: Characters of a chunk.
-CHUNK = 1 << 16
-#: Words and states a worker keeps before it starts afresh.
-MAX_WORDS, MAX_STATES, MAX_PAIRS = 400_000, 250_000, 400_000
+#: Characters of a chunk inside a word, and characters before it from which its first entry state is guessed.
+CHUNK, BEFORE = 64, 24
+#: Words, states and pairs a worker keeps before it starts afresh.
+MAX_WORDS, MAX_STATES, MAX_PAIRS = 600_000, 400_000, 600_000
 LIMIT = 4096
-#: Pieces with one prefix above which a state isn't searched for dead ends.
-MANY = 256
-_WORDS = re.compile(f"{SPACE}+[^{SPACE}]*")
-#: Longest word remembered whole.
-_WORD = 64
+#: Bytes of text cut into words at a time.
+STEP_BYTES = 8 << 20
 
 START = (("", None, 0),)
 _ready: dict[str, "PieceTransducer"] = {}
 
 
-class _Words(dict):
-    """Tokens by word; an unknown one is run through the transducer."""
+class ChunkMap:
+    """The map of one chunk: its text, and (exit state, tokens) by entry state as far as known."""
 
-    def __init__(self, transducer: PieceTransducer):
-        self.transducer = transducer
+    __slots__ = ("known", "text", "transducer")
 
-    def __missing__(self, text: str) -> int:
-        n = self.transducer.run(self.transducer.start, text)[1]
-        if len(text) <= _WORD:
-            self[text] = n
-        return n
+    def __init__(self, transducer: PieceTransducer, text: str):
+        self.transducer, self.text, self.known = transducer, text, {}
+
+    def at(self, state: dict) -> tuple[dict, int]:
+        if (found := self.known.get(id(state))) is None:
+            found = self.known[id(state)] = self.transducer.run(state, self.text)
+        return found
+
+
+class Composed:
+    """The map of two neighbouring maps, one after the other."""
+
+    __slots__ = ("known", "left", "right")
+
+    def __init__(self, left: ChunkMap | Composed, right: ChunkMap | Composed):
+        self.left, self.right, self.known = left, right, {}
+
+    def at(self, state: dict) -> tuple[dict, int]:
+        if (found := self.known.get(id(state))) is None:
+            middle, n = self.left.at(state)
+            out, more = self.right.at(middle)
+            found = self.known[id(state)] = out, n + more
+        return found
 
 
 class PieceTransducer:
@@ -68,19 +84,22 @@ class PieceTransducer:
         if inner:
             raise ValueError(f"pieces with white space inside: {inner[:3]}")
         self.chars = {p for p in self.score if len(p) == 1}
-        self.prefixes: dict[str, list[str]] = {}  # of longer pieces
-        for piece in self.score:
-            for k in range(1, len(piece)):
-                self.prefixes.setdefault(piece[:k], []).append(piece)
-        self.open: dict[tuple[str, str | None], bool] = {}
+        self.prefixes = {piece[:k] for piece in self.score for k in range(1, len(piece))}
         in_order = sorted(self.score.values(), reverse=True)
         rank_of = dict(zip(in_order, range(len(in_order)), strict=True))
-        self.rank = {p: rank_of[s] for p, s in self.score.items()}
-        self.made = {p: -1 if len(p) == 1 else r for p, r in self.rank.items()}
+        rank = {p: rank_of[s] for p, s in self.score.items()}
+        self.made = {p: -1 if len(p) == 1 else r for p, r in rank.items()}
+        #: Rank of the piece that two pieces make together, by the first and then the second.
+        self.joins: dict[str, dict[str, int]] = {p: {} for p in self.score}
+        for piece, r in rank.items():
+            for k in range(1, len(piece)):
+                if piece[:k] in self.score and piece[k:] in self.score:
+                    self.joins[piece[:k]][piece[k:]] = r
+        #: Pieces whose rows of white space share one score, where ties to the left decide.
+        self.tied = {p for p in self.score if p.startswith(SPACE * 2)}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.halves: dict[str, list[str]] = {}
-        self.words = _Words(self)
-        self.word = self.words.__getitem__
+        self.words: dict[bytes, int] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -110,50 +129,47 @@ class PieceTransducer:
 
     def _neighbours(self, a: str, b: str) -> bool:
         """Whether no merge across the border comes before those that make a and b; seen backwards from the last merges."""
-        if a.startswith(SPACE * 2) or b.startswith(SPACE * 2) or a == SPACE:  # these pieces share one score
+        if a in self.tied or b in self.tied or a == SPACE:
             return self.merged(a + b) == [a, b]
-        limit = len(self.rank)
+        made, joins, limit = self.made, self.joins, 1 << 30
+        from_a, made_a, made_b = joins[a], made[a], made[b]
         while True:
-            if self.rank.get(a + b, limit) < limit:
+            if from_a.get(b, limit) < limit:
                 return False
-            if self.made[a] > self.made[b]:
-                limit = self.made[a]
+            if made_a > made_b:
+                limit = made_a
                 a = self._split(a)[1]
-            elif self.made[b] < 0:
+                from_a, made_a = joins[a], made[a]
+            elif made_b < 0:
                 return True
             else:
-                limit = self.made[b] + 1
+                limit = made_b + 1
                 b = self._split(b)[0]
+                made_b = made[b]
 
     def _fits(self, last: str | None, piece: str) -> bool:
-        if len(piece) > 1 and len(self._split(piece)) > 2:
-            return False
+        if last is not None and (found := self.pairs.get((last, piece))) is not None:
+            return found
+        reached = len(piece) == 1 or len(self._split(piece)) == 2
         if last is None:
-            return True
+            return reached
         if len(self.pairs) > MAX_PAIRS:
             self.pairs.clear()
-        if (found := self.pairs.get((last, piece))) is None:
-            found = self.pairs[last, piece] = self._neighbours(last, piece)
-        return found
-
-    def _leads_on(self, s: str, before: str | None) -> bool:
-        """Whether a longer piece that begins with s may follow the piece before; states leave out what can't."""
-        pieces = self.prefixes[s]
-        if len(pieces) > MANY:
-            return True
-        if (found := self.open.get((s, before))) is None:
-            if len(self.open) > MAX_PAIRS:
-                self.open.clear()
-            found = self.open[s, before] = any(self._fits(before, p) for p in pieces)
+        found = self.pairs[last, piece] = reached and self._neighbours(last, piece)
         return found
 
     def _compile(self, state: dict, c: str) -> tuple[dict, int]:
         if c not in self.chars:
             target, emitted = START, len(c.encode())
         else:
-            live = state[""]
-            last, emitted = next((s + c, count + 1) for s, before, count in live if s + c in self.score and self._fits(before, s + c))
-            target = (*((s + c, before, count - emitted) for s, before, count in live if s + c in self.prefixes and self._leads_on(s + c, before)), ("", last, 0))
+            last, emitted, grown = None, 0, []
+            for s, before, count in state[""]:
+                s += c
+                if last is None and s in self.score and self._fits(before, s):
+                    last, emitted = s, count + 1
+                if s in self.prefixes:
+                    grown.append((s, before, count))
+            target = (*((s, before, count - emitted) for s, before, count in grown), ("", last, 0))
         arc = state[c] = (self.states.setdefault(target, {"": target}), emitted)
         return arc
 
@@ -161,76 +177,69 @@ class PieceTransducer:
         """Exit state and tokens of a text without a reset inside, from a state."""
         total = 0
         for c in text:
-            try:
-                state, n = state[c]
-            except KeyError:
-                state, n = self._compile(state, c)
+            state, n = state.get(c) or self._compile(state, c)
             total += n
         return state, total
 
-    def chunk_map(self, chunk: str) -> tuple[str, dict, int] | str:
-        """(head, exit state, tokens behind the head) of a chunk with a reset, or its text where it has none."""
-        resets = re.search(f"(?<=[^{SPACE}]){SPACE}", chunk)
-        if resets is None:
-            return chunk
-        words = _WORDS.findall(chunk, resets.start())
-        state, tail = self.run(self.start, words[-1])
-        return chunk[: resets.start()], state, sum(map(self.word, words[:-1])) + tail
-
-    def compose(self, a, b):
-        if isinstance(a, str) and isinstance(b, str):
-            return self._rejoined(a + b)
-        if isinstance(a, str):
-            return self._headed(a, b)
-        if isinstance(b, str):
-            # A chunk may begin with white space that resets a state left by the one before.
-            if b.startswith(SPACE) and not self._in_space(a[1]):
-                state, n = self.run(self.start, b)
-            else:
-                state, n = self.run(a[1], b)
-            return a[0], state, a[2] + n
-        head = b[0]
-        n = self.run(self.start if head.startswith(SPACE) and not self._in_space(a[1]) else a[1], head)[1]
-        return a[0], b[1], a[2] + n + b[2]
-
-    def _rejoined(self, text: str):
-        return self.chunk_map(text)
-
-    def _headed(self, a: str, b: tuple):
-        joined = self.chunk_map(a + b[0])
-        if isinstance(joined, str):
-            return joined, b[1], b[2]
-        return joined[0], b[1], joined[2] + b[2]
-
-    def _in_space(self, state: dict) -> bool:
-        last = state[""][-1][1]
-        return last is None or last[-1] == SPACE
+    def count_word(self, word: str, chunk: int = CHUNK) -> int:
+        """Tokens of a word: white space, and what follows up to the next."""
+        maps: list[ChunkMap | Composed] = []
+        for at in range(0, len(word), chunk):
+            maps.append(ChunkMap(self, word[at : at + chunk]))
+            maps[-1].at(self.run(self.start, word[max(at - BEFORE, 0) : at])[0])
+        while len(maps) > 1:
+            maps = [Composed(*maps[at : at + 2]) if at + 1 < len(maps) else maps[at] for at in range(0, len(maps), 2)]
+        return maps[0].at(self.start)[1] if maps else 0
+
+    def count_words(self, words: list[bytes], chunk: int = CHUNK) -> np.ndarray:
+        """Tokens of each word, whose white space is spaces; those of one chunk are remembered."""
+        out, memo = np.empty(len(words), np.int64), self.words
+        if len(memo) > MAX_WORDS:
+            memo.clear()
+        for k, word in enumerate(words):
+            if (n := memo.get(word)) is None:
+                if len(self.states) > MAX_STATES:
+                    self._reset()
+                text = word.decode().replace(" ", SPACE)
+                if len(text) <= chunk:
+                    n = memo[word] = self.run(self.start, text)[1]
+                else:
+                    n = self.count_word(text, chunk)
+            out[k] = n
+        return out
+
+    def count_texts(self, texts: pa.Array, chunk: int = CHUNK) -> np.ndarray:
+        """Tokens of each whole text of a string array without nulls."""
+        data, offsets = buffers(pc.replace_substring(texts, SPACE, " "))
+        counts = np.zeros(len(offsets) - 1, np.int64)
+        for a, b in runs_of_rows(offsets, STEP_BYTES):
+            own = offsets[a : b + 1] - offsets[a]
+            full = np.flatnonzero(np.diff(own))
+            # A space before each text that isn't empty, as the model adds one.
+            spaced = np.insert(data[offsets[a] : offsets[b]], own[full], 32)
+            blank = spaced == 32
+            begins = blank.copy()
+            begins[1:] &= ~blank[:-1]
+            begins[own[full] + np.arange(len(full))] = True
+            starts = np.flatnonzero(begins)
+            ends = np.append(starts, len(spaced))
+            words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(spaced.tobytes())]).dictionary_encode()
+            n = self.count_words(words.dictionary.to_pylist(), chunk)[words.indices.to_numpy()]
+            if len(full):
+                counts[a + full] = np.add.reduceat(n, np.searchsorted(starts, own[full] + np.arange(len(full))))
+        return counts
 
     def count(self, text: str, chunk: int = CHUNK) -> int:
-        """Tokens of a whole text."""
-        if not text:
-            return 0
-        if len(self.states) > MAX_STATES:
-            self._reset()
-        if len(self.words) > MAX_WORDS:
-            self.words.clear()
-        text = SPACE + text.replace(" ", SPACE)
-        if len(text) <= chunk:
-            return sum(map(self.word, _WORDS.findall(text)))
-        maps = [self.chunk_map(text[at : at + chunk]) for at in range(0, len(text), chunk)]
-        while len(maps) > 1:
-            maps = [self.compose(*maps[at : at + 2]) if at + 1 < len(maps) else maps[at] for at in range(0, len(maps), 2)]
-        if isinstance(maps[0], str):
-            return self.run(self.start, maps[0])[1]
-        head, _, n = maps[0]
-        return self.run(self.start, head)[1] + n
+        """Tokens of one whole text."""
+        return int(self.count_texts(pa.array([text]), chunk)[0])
 
 
 def count_tokens(docs: DataFrame, *, tokenizer: str | None = None, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every whole text.
 
-    tokenizer: path of a sentencepiece BPE model on the executors. Null and empty texts have 0 bytes and 0 tokens;
-    repeated rows give repeated rows; an empty table gives none. Other columns are not read.
+    tokenizer: path of a sentencepiece BPE model on the executors. Null and empty texts have 0 bytes and 0 tokens; a
+    text of any length is counted whole, in one task; repeated rows give repeated rows; an empty table gives none.
+    Other columns are not read.
     """
     path = tokenizer or public_tokenizers.path("piece_bpe_32k.model")
     bound_batches(docs.sparkSession)
@@ -239,8 +248,8 @@ def count_tokens(docs: DataFrame, *, tokenizer: str | None = None, limit: int =
         # What a worker process has compiled serves its later tasks.
         transducer = _ready.get(path) or _ready.setdefault(path, PieceTransducer(path))
         for batch in batches:
-            n = [transducer.count(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.binary_length(batch.column("text")).cast(pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            n = transducer.count_texts(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.binary_length(batch.column("text")).cast(pa.int64()), pa.array(n)], ["doc_id", "n_bytes", "n_tokens"])
 
     counted = id_and_text(docs, id_col, text_col).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))

@@ -45,6 +45,20 @@ def test_transducer_forgets_and_still_counts(monkeypatch):
     assert [own.count(t) for t in ODD] == [len(x) for x in library.encode(ODD)]
 
 
+def test_long_words_are_counted_by_composed_maps(monkeypatch):
+    import base64
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    own, library = tokens.PieceTransducer(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(3)
+    chinese = "".join(rng.choice("中文没有空格的长文本测试日本語カナ") for _ in range(20_000))
+    for t in (chinese, base64.b64encode(rng.randbytes(30_000)).decode(), "a" * 9999, "▁" * 700, " " * 333 + "end", chinese + " " + "ab" * 5000 + "  "):
+        assert own.count(t) == len(library.encode(t))
+    # Guesses that are often wrong change nothing: compositions ask for the right entry state.
+    monkeypatch.setattr(tokens, "BEFORE", 0)
+    assert own.count(chinese) == len(library.encode(chinese))
+
+
 def test_sum_of_squares_choice():
     p = packing.LevelPacker(10, 0)
     p.count[[4, 6]] = [3, 1]
