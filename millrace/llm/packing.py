@@ -41,7 +41,6 @@ _BLANK = np.isin(_ASCII, [32, 9, 10, 13])
 _VISIBLE = (_ASCII > 32) & (_ASCII < 127)
 _LETTER = ((_ASCII | 32) >= 97) & ((_ASCII | 32) <= 122)
 _STOP = np.isin(_ASCII, [44, 46])
-_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -99,6 +98,10 @@ class ByteLevelIds:
         self.memo[piece] = k
         return k
 
+    def _place_of(self, piece: bytes) -> int:
+        k = self.memo.get(piece)
+        return self._learn(piece) if k is None else k
+
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all documents, end to end, and where each document's begin (n + 1 places)."""
         if not len(data):
@@ -107,23 +110,20 @@ class ByteLevelIds:
             self._forget()
         starts = piece_starts(data, offsets)
         ends = np.append(starts[1:], len(data))
-        powers = np.cumprod(np.full(int((ends - starts).max()) + 1, _ODD))
-        place = np.arange(len(data)) - np.repeat(starts, ends - starts)
-        with np.errstate(over="ignore"):
-            keys = np.add.reduceat((data + np.uint64(1)) * powers[place], starts)
-            keys ^= keys >> np.uint64(29)
-        _, at, piece_of = np.unique(keys, return_index=True, return_inverse=True)
-        whole, memo = data.tobytes(), self.memo
-        known = np.empty(len(at), np.int64)
-        for i, (a, b) in enumerate(zip(starts[at].tolist(), ends[at].tolist(), strict=True)):
-            piece = whole[a:b]
-            k = memo.get(piece)
-            known[i] = self._learn(piece) if k is None else k
-        k = known[piece_of]
-        n, first = self.length[k], self.first[k]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        ids = self.pool[np.arange(upto[-1]) + np.repeat(first - upto[:-1], n)]
-        return ids, upto[np.searchsorted(starts, offsets)]
+        tokens, lengths = [], []
+        for a, b in runs_of_rows(np.append(starts, len(data)), STEP_BYTES):  # a long text goes by parts too
+            # Arrow's dictionary compares bytes, so each distinct piece is one entry.
+            bounds = np.append(starts[a:b], ends[b - 1]) - starts[a]
+            part = data[starts[a] : ends[b - 1]]
+            pieces = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(part.tobytes())]).dictionary_encode()
+            known = np.fromiter(map(self._place_of, pieces.dictionary.to_pylist()), np.int64, len(pieces.dictionary))
+            k = known[pieces.indices.to_numpy()]
+            n, first = self.length[k], self.first[k]
+            upto = np.concatenate([[0], np.cumsum(n)])
+            tokens.append(self.pool[np.arange(upto[-1]) + np.repeat(first - upto[:-1], n)])
+            lengths.append(n)
+        upto = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+        return np.concatenate(tokens), upto[np.searchsorted(starts, offsets)]
 
 
 _ready: dict[str, ByteLevelIds] = {}

@@ -29,6 +29,22 @@ def test_byte_level_ids_equal_the_library():
     assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == want
 
 
+def test_patterned_texts_have_ids_of_their_own(monkeypatch):
+    """Words whose polynomial hashes are equal for any odd base: the Thue-Morse word and its complement."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [word, word.translate(str.maketrans("ab", "ba")), "x" * 4000 + " y " * 900]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    want = [library.encode(t, add_special_tokens=False).ids for t in rows]
+    assert want[0] != want[1]
+    for step in (2 << 20, 64):
+        monkeypatch.setattr(packing, "STEP_BYTES", step)
+        ids, first = packing.ByteLevelIds(path, public_tokenizers.path("byte_bpe_50k.tiktoken")).ids(*buffers(pa.array(rows)))
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == want
+
+
 @pytest.mark.parametrize("chunk", [1, 3, 50, tokens.CHUNK])
 def test_transducer_counts_equal_the_library(chunk):
     path = public_tokenizers.path("piece_bpe_32k.model")
