@@ -7,7 +7,6 @@ text picks one cell of every language's row.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +25,8 @@ ALPHA = 0.1
 UNDETERMINED = "und"
 #: Characters scored at a time.
 STEP = 1 << 19
-_LETTER = re.compile(r"[^\W\d_]")
+#: Languages learned at most, those with the most rows of the sample: their matrix has 256 KB each, 64 MB in all.
+MOST_LANGUAGES = 256
 _GAP = "\n\n"
 
 
@@ -35,11 +35,35 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the lower-cased texts with gaps between, and where each text begins."""
-    low = [t.lower() + _GAP for t in texts]
-    starts = np.cumsum([0, *map(len, low)])[:-1]
-    return np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), "<u4"), starts
+def has_letter(text: str | None) -> bool:
+    """Whether there is a letter of any script (category L: numerals such as \u2167 or \u00bd are none)."""
+    return text is not None and any(map(str.isalpha, text))
+
+
+def _parts(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Code points of about STEP lower-cased characters, a gap behind each text; where their parts of texts begin and end, and whose they are.
+
+    A text longer than STEP goes in several parts; what its next part begins with stands behind an end, for the n-grams that reach there.
+    """
+    held, begins, ends, owners, size = [], [], [], [], 0
+
+    def points() -> tuple[np.ndarray, ...]:
+        return np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), "<u4"), np.array(begins), np.array(ends), np.array(owners)
+
+    for k, text in enumerate(texts):
+        low = text.lower() + _GAP
+        for at in range(0, len(low), STEP):
+            part = low[at : at + STEP]
+            if size and size + len(part) > STEP:
+                yield points()
+                held, begins, ends, owners, size = [], [], [], [], 0
+            begins.append(size)
+            ends.append(size + len(part))
+            owners.append(k)
+            held += [part, low[at + STEP : at + STEP + len(_GAP)] if at + STEP < len(low) else ""]
+            size += sum(map(len, held[-2:]))
+    if held:
+        yield points()
 
 
 def features(points: np.ndarray) -> Iterator[np.ndarray]:
@@ -53,17 +77,6 @@ def features(points: np.ndarray) -> Iterator[np.ndarray]:
             yield ((h * np.uint32(0x85EBCA6B + 2 * n)) >> np.uint32(16)).astype(np.int64)
 
 
-def _steps(texts: list[str]) -> Iterator[tuple[int, int]]:
-    at, size = 0, 0
-    for k, t in enumerate(texts):
-        if size and size + len(t) > STEP:
-            yield at, k
-            at, size = k, 0
-        size += len(t)
-    if texts:
-        yield at, len(texts)
-
-
 @dataclass(frozen=True)
 class LanguageModel:
     """Languages, their log priors, and log probabilities as float32 [languages, BUCKETS]."""
@@ -75,25 +88,28 @@ class LanguageModel:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The language and its posterior probability; a null text or one without letters is undetermined, at 0."""
         names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        known = [k for k, t in enumerate(texts) if t and _LETTER.search(t)] if self.languages else []
-        for a, b in _steps([texts[k] for k in known]):
-            points, starts = _points([texts[k] for k in known[a:b]])
-            total = np.tile(self.prior, (b - a, 1))
+        known = [k for k, t in enumerate(texts) if has_letter(t)] if self.languages else []
+        total = np.tile(self.prior, (len(known), 1))
+        for points, begins, ends, owners in _parts([texts[k] for k in known]):
+            cuts = np.stack([begins, ends], 1).ravel()  # what lies between an end and the next begin isn't summed
             for bucket in features(points):
                 for j in range(len(self.languages)):
-                    total[:, j] += np.add.reduceat(self.log_p[j].take(bucket), starts, dtype=np.float64)
+                    sums = np.add.reduceat(np.append(self.log_p[j].take(bucket), np.float32(0)), cuts, dtype=np.float64)[::2]
+                    np.add.at(total[:, j], owners, sums)
+        if known:
             best = total.argmax(1)
             p = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-            for i, k in enumerate(known[a:b]):
+            for i, k in enumerate(known):
                 names[k], scores[k] = self.languages[best[i]], float(min(p[i], 1.0))
         return names, scores
 
 
-def fit(docs: DataFrame, *, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+def fit(docs: DataFrame, *, fit_rows: int = FIT_ROWS, most_languages: int = MOST_LANGUAGES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fit on at most fit_rows rows outside the held-out fold that have a language and a text; without any, no language is known.
 
     Two passes: one over ids and languages finds the hash below which fit_rows rows lie, one reads those rows' texts.
-    Repeated rows count as often as they occur.
+    Of these rows, those of the most_languages languages with the most of them are the sample (ties to the smaller
+    name), so that the matrix is bounded. Repeated rows count as often as they occur.
     """
     bound_batches(docs.sparkSession)
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string"), F.lit("fit")).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
@@ -110,16 +126,22 @@ def fit(docs: DataFrame, *, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", te
                 own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
                 docs_of[lang] = docs_of.get(lang, 0) + len(own)
                 table = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                for a, b in _steps(own):
-                    for bucket in features(_points(own[a:b])[0]):
-                        table += np.bincount(bucket, minlength=BUCKETS)
+                for points, begins, ends, _ in _parts(own):
+                    inside = np.zeros(len(points) + 1, np.int64)
+                    inside[begins] += 1
+                    inside[ends] -= 1
+                    inside = np.cumsum(inside[:-1]) > 0
+                    for bucket in features(points):
+                        table += np.bincount(bucket[inside], minlength=BUCKETS)
         for lang, table in sums.items():
             at = np.flatnonzero(table)
             at, n = np.append(at, -1), np.append(table[at], docs_of[lang])  # bucket -1: documents
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(n, pa.int64())], ["lang", "bucket", "n"])
 
-    sums = rows.where(F.col("h") <= F.lit(bound)).select("lang", "text").mapInArrow(count, "lang string, bucket int, n long")
-    # At most BUCKETS + 1 rows for each language of the bounded sample.
+    sample = rows.where(F.col("h") <= F.lit(bound))
+    often = sample.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    sums = sample.join(F.broadcast(often.select("lang")), "lang").select("lang", "text").mapInArrow(count, "lang string, bucket int, n long")
+    # At most BUCKETS + 1 rows for each of most_languages languages.
     table = sums.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs, bucket, n = (table[c].to_numpy(zero_copy_only=False) for c in ("lang", "bucket", "n"))
     names = sorted(set(langs.tolist()))
@@ -135,8 +157,9 @@ def fit(docs: DataFrame, *, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", te
 def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row, from its whole text alone.
 
-    Null texts and texts without letters are `und` with score 0; equal texts get equal results, repeated rows repeated
-    ones; an empty table gives no row. Other columns are not read.
+    Null texts and texts without letters are `und` with score 0; of languages that tie the first by name is taken; a
+    text of any length is scored whole, in parts; equal texts get equal results, repeated rows repeated ones; an empty
+    table gives no row. Other columns are not read.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -152,7 +175,11 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", t
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, *, least: float = 0.0, languages: tuple[str, ...] | None = None, text_col: str = "text") -> DataFrame:
-    """The rows of docs, columns as they are, whose language is determined, has at least that score, and is wanted."""
+    """The rows of docs, columns as they are, whose language is determined, has at least that score, and is wanted.
+
+    Null, empty and letterless texts go; texts of any length are scored whole; repeated rows stay or go together; ids may
+    be null or repeat, as only texts are read; an empty table stays empty.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)

@@ -104,6 +104,26 @@ def test_languages(spark):
     assert langid.keep_identified(odd, model).columns == odd.columns
 
 
+def test_only_letters_determine_a_language(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs)
+    symbols = ["½ ②", "Ⅷ", "１２", "_", "\n", "🙂"]
+    names, scores = model.predict([*symbols, "Ⅷ é"])
+    assert names[:-1] == ["und"] * len(symbols) and scores[:-1] == [0.0] * len(symbols) and names[-1] in model.languages
+    # Long texts go in parts, with n-grams across their borders.
+    texts = [r["text"] for r in docs.limit(40).collect()] + ["İstanbul ve " * 40]
+    whole = model.predict(texts)
+    monkeypatch.setattr(langid, "STEP", 50)
+    cut = model.predict(texts)
+    assert cut[0] == whole[0] and cut[1] == pytest.approx(whole[1], abs=1e-9)
+
+
+def test_languages_learned_are_bounded(spark):
+    rows = [(k, "some text", f"dirty{k}") for k in range(300)] + [(k, "mehr text", "de") for k in range(300, 320)] + [(k, "more text", "en") for k in range(320, 340)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_languages=2)
+    assert model.languages == ["de", "en"] and model.log_p.shape == (2, langid.BUCKETS)
+
+
 def test_stage_rejects_und_alone(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
     odd = spark.createDataFrame([(9001, None, "en"), (9002, "12 %", "en"), (9003, "", "en"), (9004, "zzz qqq xxj", "en")], docs.schema)
