@@ -20,8 +20,10 @@ SEED = "mix-1"
 LARGEST_MEAN = 16.0
 #: Terms of an inversion; the tail of a mean of LARGEST_MEAN beyond them is below 2^-52.
 TERMS = 64
-#: Sources whose rates are broadcast at most, a few MB of them.
+#: Rows of a table of rates or of repeated ids up to which it is broadcast, a few MB; a larger one is joined by shuffle,
+#: to rows dealt out by source and one of SALTS numbers, or by id.
 MOST_BROADCAST = 50_000
+SALTS = 64
 
 
 def uniform(*parts: Column) -> Column:
@@ -63,21 +65,34 @@ def rates(docs: DataFrame, *, weights: dict[str, float] | None = None, temperatu
 def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, epoch: float | None = None, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The rows of docs, repeated, with `copy` (from 0), in a global pseudo-random order.
 
-    A null source is a source of its own (with given weights: that of the empty string); a null id draws like the
-    text "null"; rows that repeat an id get equal counts; null and empty texts are rows like others; an empty table
-    stays empty; a column named `copy` in docs is replaced, all others are kept as they are.
+    A null source is a source of its own (with given weights: that of the empty string). A row draws by its id; rows
+    whose id is null or repeats draw each for itself, by their places in the input, and are dealt out so too. Null
+    and empty texts of any length are rows like others; an empty table stays empty; all columns of docs are kept as
+    they are, and where one is named `copy` the number is `copy_`.
     """
-    source, rate, n = (fresh(docs, c) for c in ("_source", "_rate", "_n"))
+    source, rate, n, salt, name, again, copy = (fresh(docs, c) for c in ("_source", "_rate", "_n", "_salt", "_name", "_again", "copy"))
     means = materialize(rates(docs, weights=weights, temperature=temperature, epoch=epoch, source_col=source_col).select(F.col("source").alias(source), F.col("rate").alias(rate)), "rates")
-    # Sources are few, and dealing rows out by them would put a hot source into one task; more than that many are joined by shuffle.
-    few = means.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    counted = docs.join(F.broadcast(means) if few else means, F.col(source_col).cast("string").eqNullSafe(F.col(source)))
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    copies = counted.withColumn(n, repetitions(name, F.col(rate), seed)).where(F.col(n) > 0)
-    own = [c for c in docs.columns if c.lower() != "copy"]
-    spread = copies.select(*own, F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("copy"))
-    key = F.xxhash64(F.lit(seed), name, "copy")
-    return spread.repartition(key).sortWithinPartitions(F.xxhash64(key, F.lit("order")), id_col, "copy")
+    own = F.col(id_col).cast("string")
+    repeated = materialize(docs.where(F.col(id_col).isNotNull()).groupBy(own.alias(again)).agg(F.count("*").alias(n)).where(F.col(n) > 1).select(again), "repeated")
+    small = lambda table: table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    # Rows that one scan task reads are told apart by their numbers there.
+    placed = docs.withColumn(salt, F.monotonically_increasing_id())
+    same_source = F.col(source_col).cast("string").eqNullSafe(F.col(source))
+    if small(means):
+        counted = placed.join(F.broadcast(means), same_source)
+    else:
+        spread = means.withColumn(again, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        counted = placed.join(spread, same_source & (F.pmod(salt, F.lit(SALTS)) == F.col(again))).drop(again)
+    if repeated.isEmpty():
+        counted = counted.withColumn(again, F.lit(None).cast("string"))
+    else:
+        counted = counted.join(F.broadcast(repeated) if small(repeated) else repeated, own == F.col(again), "left")
+    each = F.concat_ws("#", F.coalesce(own, F.lit("null")), F.col(salt).cast("string"))
+    named = counted.withColumn(name, F.when(F.col(id_col).isNotNull() & F.col(again).isNull(), own).otherwise(each))
+    copies = named.withColumn(n, repetitions(F.col(name), F.col(rate), seed)).where(F.col(n) > 0)
+    exploded = copies.select(*docs.columns, name, F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(copy))
+    key = F.xxhash64(F.lit(seed), F.col(name), F.col(copy))
+    return exploded.repartition(key).sortWithinPartitions(F.xxhash64(key, F.lit("order")), name, copy).drop(name)
 
 
 ORACLE = f"""

@@ -77,12 +77,29 @@ def test_mixture_meets_targets(spark):
     shares = {r["source"]: r["count"] for r in mixing.mix(docs, weights={"rare": 1, "often": 1}).groupBy("source").count().collect()}
     assert shares["rare"] == pytest.approx(15_000, rel=0.05) and shares["often"] == pytest.approx(15_000, rel=0.05)
     odd = spark.createDataFrame([(1, None, None), (1, None, None), (None, "t", "s")], "doc_id long, text string, source string")
-    assert set(mixing.mix(odd).columns) == {"doc_id", "text", "source", "copy"}
+    assert mixing.mix(odd).columns == ["doc_id", "text", "source", "copy"]
     assert mixing.mix(odd, epoch=0).count() == 0 and mixing.mix(odd.limit(0)).count() == 0
     key = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
     assert key(mixing.mix(docs.repartition(7))) == key(mixing.mix(docs))
 
 
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_rows_without_an_id_of_their_own_draw_each_for_itself(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", few)
+    null, same, own = (spark.range(8000).select(i.alias("doc_id"), F.lit(x).alias("source"), F.lit("kept").alias("copy")) for x, i in (("a", F.lit(None).cast("long")), ("b", F.lit(5)), ("c", F.col("id") + 10)))
+    docs = null.union(same).union(own)
+    mixed = mixing.mix(docs, weights={"a": 1, "b": 1, "c": 1})
+    assert mixed.columns == ["doc_id", "source", "copy", "copy_"] and mixed.where("copy <> 'kept'").isEmpty()
+    for source in "abc":
+        part = mixed.where(F.col("source") == source)
+        drawn = part.where("copy_ = 0").count()  # 1 - 1/e of the rows have a copy
+        assert part.count() == pytest.approx(8000, rel=0.06) and drawn == pytest.approx(5057, rel=0.05)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sizes = [r["n"] for r in mixed.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(sizes) < 2 * sum(sizes) / len(sizes)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql_counterparts(spark, name):
     con = duckdb.connect()
