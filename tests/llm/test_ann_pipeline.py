@@ -33,6 +33,35 @@ def test_recall_and_scores(spark):
     assert hits >= 0.9 * len(got)
 
 
+def test_visiting_all_lists_is_exact(spark):
+    table = spark.read.parquet(f"{SF}/embeddings.parquet")
+    rows = table.toPandas()
+    ids, x = rows["vec_id"].to_numpy(), np.stack(rows["embedding"]).astype(float)
+    got = ann.search(table, queries=F.col("vec_id") % 25 == 0, probes=1 << 20).toPandas().sort_values(["query_id", "rank"])
+    for q, own in got.groupby("query_id"):
+        near, far = exact(ids, x, q)
+        assert own["vec_id"].tolist() == near.tolist() and np.allclose(own["score"], far, rtol=1e-12)
+
+
+def test_repeated_rows_and_ids(spark):
+    table = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id < 200")
+    rows = {r["vec_id"]: list(r["embedding"]) for r in table.collect()}
+    far = rows[7]
+    more = [(0, rows[0])] * 3 + [(100, rows[100])] * 12 + [(205, rows[100]), (3, rows[3]), (300, rows[50]), (300, far), (8, rows[0])]
+    got = ann.search(table.union(spark.createDataFrame(more, table.schema)), probes=1 << 20).toPandas().sort_values(["query_id", "rank"])
+    points = [(i, v) for i, v in [*rows.items(), *more]]
+    assert got.groupby("query_id").size().to_dict() == {0: 10, 100: 10, 300: 10}
+    for q, own in got.groupby("query_id"):
+        asked = [np.array(v) for i, v in points if i == q]
+        least = {}
+        for i, v in points:
+            if i != q:
+                least[i] = min(least.get(i, np.inf), *(float(np.sqrt(((np.array(v) - a) ** 2).sum())) for a in asked))
+        want = sorted(least.items(), key=lambda p: (p[1], p[0]))[:10]
+        assert own["vec_id"].tolist() == [i for i, _ in want] and np.allclose(own["score"], [d for _, d in want])
+    assert got[got.query_id == 100]["vec_id"].iloc[0] == 205 and got[got.query_id == 0]["vec_id"].iloc[0] == 8
+
+
 def test_odd_vectors(spark):
     inf = float("inf")
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (200, None), (300, [0.0, 0.0]), (400, [inf, 1.0]), (1, [None, 1.0]), (2, []), (3, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (4, [float("nan"), 1.0])]
