@@ -1,14 +1,14 @@
 """SimHash fingerprints and their near duplicates, by a byte-position inverted index with count filtering.
 
-Two 64-bit fingerprints that differ in at most DISTANCE = 2 bits agree in at least 6 of their 8 byte positions, so of
-four pairs of positions they agree in at least two whole pairs. The index has a posting list for each of the six
-choices of two pairs and the bytes there; two fingerprints meet in at least one list. Within a list, pairs are
-tallied by the positional bytes they share, those with at least 8 - DISTANCE go on, and their bits are compared.
-
-The index holds each distinct fingerprint once, so copies of a text meet no one. A list of more than SHORT
-fingerprints is not paired at all: its members are linked exactly through their one-bit neighbours, as two
-fingerprints are within two bits just if flipping at most one bit of each makes them equal. A neighbour has 65
-origins at most, so no group there is large.
+Two 64-bit fingerprints that differ in at most DISTANCE = 2 bits agree in at least 6 of their 8 byte positions. The
+index starts from lists of single positional bytes and splits each by further positions until those that its members
+share reach that guaranteed minimum: a list stands for a choice of six positions and the bytes there, so what meets in
+it has the tally, and what lacks the tally meets nowhere. Each list is verified bit by bit in its two other bytes.
+
+The index holds each distinct fingerprint once, so copies of a text meet no one, and a list holds at most the 65,536
+values of two bytes. It isn't paired out: two members are within two bits just if flipping at most one bit of each
+makes them equal, so a list's links come from 17 flips of each member's two bytes, and what the list gives is a star
+of each of its components. Work and links are in proportion to the index, however crowded a list is.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm._common import bound_batches, id_and_text, materialize
@@ -28,9 +28,8 @@ from millrace.llm.components import connected_components, keep_one, row_key
 DISTANCE = 2
 SHINGLE = 3
 SEED = 42
-#: Fingerprints of a posting list up to which its pairs are formed.
-SHORT = 24
-_PAIRS = list(combinations(range(4), 2))
+#: The two byte positions that each choice of six leaves out.
+_OPEN = list(combinations(range(8), 2))
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -67,31 +66,66 @@ def _fingerprints(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(compute, ", ".join(f"{c} long" for c in [*others, "fp"]))
 
 
-def _shared_bytes(a: Column, b: Column) -> Column:
-    """The tally: byte positions in which two fingerprints agree."""
-    x = a.bitwiseXOR(b)
-    return sum((F.when(F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for k in range(8)), F.lit(0))
+def list_links(choice: np.ndarray, shared: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (least member, member) of the components under two bits of each list; rows are sorted by choice, shared bytes and fp."""
+    new = np.ones(len(fp), bool)
+    new[1:] = (choice[1:] != choice[:-1]) | (shared[1:] != shared[:-1])
+    which = np.cumsum(new) - 1
+    met = np.flatnonzero(np.bincount(which)[which] > 1)
+    which, low, high = which[met], 8 * np.array(_OPEN)[choice[met], 0], 8 * np.array(_OPEN)[choice[met], 1]
+    x = fp[met].view(np.uint64)
+    rest = (x >> low.astype(np.uint64) & np.uint64(255)) | (x >> high.astype(np.uint64) & np.uint64(255)) << np.uint64(8)
+    flips = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(16, dtype=np.uint64)])
+    near = ((which.astype(np.uint64)[:, None] << np.uint64(16)) | rest[:, None] ^ flips[None, :]).ravel()
+    member = np.repeat(np.arange(len(met)), len(flips))
+    order = np.argsort(near, kind="stable")
+    near, member = near[order], member[order]
+    starts = np.flatnonzero(np.append(True, near[1:] != near[:-1])) if len(near) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(starts, len(near)))
+    label = np.arange(len(met))  # members are in order of fp within a list
+    while len(met):
+        least = np.repeat(np.minimum.reduceat(label[member], starts), sizes)
+        now = label.copy()
+        np.minimum.at(now, member, least)
+        now = now[now]
+        if np.array_equal(now, label):
+            break
+        label = now
+    linked = np.flatnonzero(label != np.arange(len(met)))
+    return fp[met[label[linked]]], fp[met[linked]]
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by choice, shared and fp; the last list of a batch waits for the next one."""
+    held: list[np.ndarray] | None = None
+
+    def links(rows: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in list_links(*rows)], ["u", "v"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch.column(k).to_numpy() for k in range(3)]
+        if held is not None:
+            rows = [np.concatenate(c) for c in zip(held, rows, strict=True)]
+        last = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])
+        at = int(np.argmax(last))
+        held = [c[at:] for c in rows]
+        if at:
+            yield links([c[:at] for c in rows])
+    if held is not None:
+        yield links(held)
 
 
 def near_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Links (u, v) between distinct fingerprints fp that connect all within two bits, directly or through the smallest of a neighbour's origins."""
+    """Links (u, v) between distinct fingerprints fp that connect all within two bits, each list's components by their least members."""
     if distance != 2:
-        raise ValueError("the index and the one-bit neighbours are laid out for two bits")
-    two = lambda k: F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))
-    keys = F.array(*(F.shiftleft(F.lit(n).cast("long"), 32).bitwiseOR(F.shiftleft(two(i), 16)).bitwiseOR(two(j)) for n, (i, j) in enumerate(_PAIRS)))
-    postings = fps.select("fp", F.explode(keys).alias("key"))
-    lengths = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialize(postings.join(lengths, "key"), "postings")
-    short = met.where(F.col("n") <= SHORT).groupBy("key").agg(F.collect_list("fp").alias("fps"))  # at most SHORT each
-    pairs = short.select("fps", F.explode("fps").alias("u")).select("u", F.explode("fps").alias("v")).where("u < v")
-    counted = pairs.where(_shared_bytes(F.col("u"), F.col("v")) >= 8 - distance)
-    verified = counted.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance)
-    crowded = met.where(F.col("n") > SHORT).select("fp").distinct()
-    flips = F.array(F.lit(0).cast("long"), *(F.shiftleft(F.lit(1).cast("long"), k) for k in range(64)))
-    near = crowded.select("fp", F.explode(F.transform(flips, lambda bit: F.col("fp").bitwiseXOR(bit))).alias("near"))
-    stars = near.groupBy("near").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)  # at most 65 each
-    starred = stars.select(F.array_min("fps").alias("u"), F.explode("fps").alias("v")).where("u <> v")
-    return verified.select("u", "v").union(starred)
+        raise ValueError("the index is laid out for two bits")
+    masks = [sum(0 if k in open_ else 255 << 8 * k for k in range(8)) for open_ in _OPEN]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    lists = F.array(*(F.struct(F.lit(n).alias("choice"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("shared")) for n, m in enumerate(signed)))
+    postings = fps.select("fp", F.explode(lists).alias("at")).select("at.choice", "at.shared", "fp")
+    return postings.repartition("choice", "shared").sortWithinPartitions("choice", "shared", "fp").mapInArrow(_linked, "u long, v long").distinct()
 
 
 def _classes(own: DataFrame) -> DataFrame:
@@ -107,12 +141,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     component_id is the smallest doc_id reachable over links of at most two differing bits. Texts without words have
     fingerprint zero and are linked like any other; repeated rows are linked as equals; a null doc_id is linked but
-    never names a component unless the component has no other id; an empty table gives no row. Other columns are
-    not read.
+    never names a component unless the component has no other id; texts of any length are hashed whole; an empty
+    table gives no row. Other columns are not read.
     """
     own = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
     classes = _classes(own)
     linked = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    # A text with many copies, or a component of many texts, is a hot key of these joins only on their long sides, which
+    # Spark splits, as the other side has one row for it.
     named = classes.select("fp", "root").join(linked, "root").select("fp", "component_id")
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -42,26 +43,38 @@ def test_components(spark):
     assert got == {k: v for k, v in want.items() if k != v}
 
 
-@pytest.mark.parametrize("short", [24, 2])
-def test_links_join_what_all_pairs_join(spark, monkeypatch, short):
-    monkeypatch.setattr(simhash, "SHORT", short)
+@pytest.mark.parametrize("spread", [30, 400])
+def test_links_join_what_all_pairs_join(spark, spread):
+    """Sparse lists, and lists crowded with dozens of members: one path."""
     rng = random.Random(2)
     fps = {0, 3}
     for _ in range(6):
         centre = rng.getrandbits(64)
-        for _ in range(30):
+        bits = [rng.randrange(64) for _ in range(9)]
+        for _ in range(spread):
             x = centre
             for _ in range(rng.randint(0, 4)):
-                x ^= 1 << rng.randrange(64)
+                x ^= 1 << (rng.choice(bits) if spread > 99 else rng.randrange(64))
             fps.add(x)
     fps |= {rng.getrandbits(64) for _ in range(100)}
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     pairs = [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2]
     links = [tuple(r) for r in simhash.near_links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()]
-    assert all(((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4 for a, b in links)
+    assert len(links) <= 28 * len(signed)
     assert plain_components(signed, links) == plain_components(signed, pairs)
 
 
+def test_a_crowded_list_is_linked_as_its_pairs(spark):
+    rng = random.Random(4)
+    for n in (2, 3, 20, 24, 25, 300, 3000):
+        fp = np.array(sorted(rng.sample(range(1 << 16), n)), np.int64) | 5 << 40
+        u, v = simhash.list_links(np.zeros(n, np.int32), fp >> 16, fp)
+        got = plain_components(fp.tolist(), list(zip(u.tolist(), v.tolist(), strict=True)))
+        flips = [0, *(1 << a for a in range(16)), *(1 << a | 1 << b for a in range(16) for b in range(a))]
+        own = set(fp.tolist())
+        assert got == plain_components(fp.tolist(), [(a, a ^ f) for a in own for f in flips if a ^ f in own]) and len(u) < n
+
+
 def test_near_duplicates(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     odd = spark.createDataFrame([(9001, None), (9002, " \t"), (9003, "One"), (9004, "one"), (9004, "one"), (None, "one"), (9005, "A b"), (9006, "x " * 5000)], "doc_id long, text string")
