@@ -1,28 +1,34 @@
-"""Documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, joined exactly.
-
-No Hamming radius holds that similarity: fingerprints of such pairs differ in a dozen bits and more, and eight spread
-bits already leave no byte position in common. Candidates hence come from prefixes: in any order that all documents
-share, two sets that similar have a common shingle among the first n - ceil(0.8 n) + 1 of each. The order puts
-shingles that a bounded sample shows to be common last and goes by hash else; it decides the length of posting
-lists, never what is found. Of two prefixes the one that ends first holds all that is shared up to there, so the
-number of shared shingles and the rest of that set bound the overlap. Candidates that may reach 0.8 are verified on
-whole sets.
-
-Only one document of each distinct set is joined. A posting list is first joined to its smallest member; what is
-left are pairs across the components so found, so a large group of near copies costs no square of its size.
+"""The corpus form of SimHash near-dedup: documents whose sets of five-word shingles have a similarity of 0.8 or more.
+
+1. Fingerprints of the five-word shingles go through the byte-position index of `simhash`; its links within two bits
+   are verified on the sets.
+2. No Hamming radius holds a Jaccard similarity of 0.8: fingerprints of such pairs differ in a dozen bits and more,
+   and eight spread bits already leave no byte position in common. The other candidates hence come from prefixes: in
+   any order that all documents share, two sets that similar have a common shingle among the first n - ceil(0.8 n) + 1
+   of each. The order puts shingles that a bounded sample shows to be common last and goes by hash else; it decides
+   the length of posting lists, never what is found.
+3. Rounds of stars: of each posting list, members outside its most frequent component meet one member of that
+   component, another one in each round and list, and each goes on with its best candidate. A large group of near
+   copies so becomes few components without a square of its size.
+4. What is left are pairs across components, in lists where several meet. A pair goes on only if its sketches allow
+   it: 1024 bits, each the parity of the shingles hashed to it, differ in no more bits than the sets in shingles.
+
+Candidates are verified on whole sets, so links are exact, and 2 and 4 miss none. Only one document of each distinct
+set takes part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import simhash
 from millrace.llm._common import bound_batches, materialize
 from millrace.llm.components import connected_components, keep_one, row_key
 
@@ -30,6 +36,8 @@ SHINGLE = 5
 SEED = 42
 #: Documents of the sample, and of them those in which a shingle is common.
 SAMPLE, COMMON = 20_000, 8
+#: Words of 64 bits of a sketch.
+SKETCH = 16
 #: Bits of the broadcast filter of documents whose whole sets are needed, in words of 64.
 WORDS = 1 << 16
 
@@ -56,6 +64,18 @@ def prefix(h: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
     return first, (int(first[-1]) >> 2) | int(len(first) > n - late.sum()) << 62
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """Parities of the shingles by their lowest bits: sketches differ in no more bits than sets in shingles."""
+    odd = np.bincount((h & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<u8")
+
+
+def _fingerprint(h: np.ndarray) -> int:
+    """Bits set in over half of the distinct shingles."""
+    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
 def _lists(values: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
     flat = np.concatenate(values) if values else np.empty(0, np.uint64)
@@ -77,20 +97,22 @@ def _common(texts: DataFrame) -> np.ndarray:
 
 
 def _own(texts: DataFrame) -> DataFrame:
-    """id, row and text_hash of every row, with digest, size and prefix of its set."""
-    common = texts.sparkSession.sparkContext.broadcast(_common(texts))
+    """id, row and text_hash of every row, with digest, size, prefix, fingerprint and sketch of its set."""
+    common = texts.sparkSession.sparkContext.broadcast(_common(texts))  # at most the sample's shingles / COMMON
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t) for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
             prefixes = [prefix(h, common.value) for h in sets]
+            long = lambda values: pa.array(np.array(values, np.uint64).view(np.int64))
             columns = [batch.column(c) for c in ("id", "row", "text_hash")]
-            columns += [pa.array(np.array([digest(h) for h in sets], np.uint64).view(np.int64)), pa.array([len(h) for h in sets], pa.int64())]
+            columns += [long([digest(h) for h in sets]), pa.array([len(h) for h in sets], pa.int64())]
             columns += [pa.array([last for _, last in prefixes], pa.int64()), _lists([p for p, _ in prefixes])]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "row", "text_hash", "node", "n", "last", "prefix"])
+            columns += [long([_fingerprint(h) for h in sets]), _lists([sketch(h) for h in sets])]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "row", "text_hash", "node", "n", "last", "prefix", "fp", "sketch"])
 
-    made = texts.select("id", "row", "text_hash", "text").mapInArrow(compute, "id long, row long, text_hash long, node long, n long, last long, prefix array<long>")
-    return materialize(made, "prefixes")
+    schema = "id long, row long, text_hash long, node long, n long, last long, prefix array<long>, fp long, sketch array<long>"
+    return materialize(texts.select("id", "row", "text_hash", "text").mapInArrow(compute, schema), "prefixes")
 
 
 def _sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -117,44 +139,84 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(5 * shared >= 4 * (F.size("u_set") + F.size("v_set") - shared)).select("u", "v")
 
 
+def _apart(a: str, b: str) -> Column:
+    """Bits in which two sketches differ."""
+    return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(SKETCH)), F.lit(0))
+
+
+def _sizes_allow(a: str, b: str) -> Column:
+    return 5 * F.least(f"{a}.n", f"{b}.n") >= 4 * F.greatest(f"{a}.n", f"{b}.n")
+
+
+def _sketches_allow(a: str, b: str, a_sketch: str, b_sketch: str) -> Column:
+    """Sets with at least 4/5 of their union in common differ in at most a ninth of their shingles together."""
+    return 9 * _apart(a_sketch, b_sketch) <= F.col(f"{a}.n") + F.col(f"{b}.n")
+
+
 def _bounded(met: DataFrame) -> DataFrame:
-    """Pairs (u, v) that may be similar, of rows that stand for a shingle two prefixes share: structs a and b of node, n, last."""
+    """Pairs (u, v) that may be similar, of rows that stand for each shingle two prefixes share: structs a and b of node, n, last."""
     size, last = (lambda c: F.col(f"{c}.n")), (lambda c: F.col(f"{c}.last"))
     left = lambda c: F.ceil(size(c) * 4 / 5) - 1  # noqa: E731, what is behind the prefix
     behind = F.when(last("a") < last("b"), left("a")).when(last("a") > last("b"), left("b")).otherwise(F.greatest(left("a"), left("b")))
-    near = met.where(5 * F.least(size("a"), size("b")) >= 4 * F.greatest(size("a"), size("b")))
-    return near.groupBy("a", "b").agg(F.count("*").alias("shared")).where(9 * (F.col("shared") + behind) >= 4 * (size("a") + size("b"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    return met.groupBy("a", "b").agg(F.count("*").alias("shared")).where(9 * (F.col("shared") + behind) >= 4 * (size("a") + size("b"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+
+
+def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows (with a struct a) with the root of each node's component."""
+    roots = connected_components(links).select(F.col("node").alias("of"), "root")
+    return rows.join(roots, rows["a.node"] == roots["of"], "left").select(*rows.columns, F.coalesce("root", "a.node").alias("root"))
 
 
 def similar_links(texts: DataFrame, own: DataFrame) -> DataFrame:
     """Links (u, v) between distinct sets that connect all with a similarity of 0.8 or more."""
-    each = own.dropDuplicates(["node"]).select(F.struct("node", "n", "last").alias("a"), "text_hash", F.explode("prefix").alias("shingle"))
-    lists = Window.partitionBy("shingle")
-    met = materialize(each.withColumns({"members": F.count("*").over(lists), "hub": F.min("a").over(lists)}).where("members > 1").drop("members"), "met")
-
-    def joined(candidates: DataFrame, name: str) -> DataFrame:
-        pairs = materialize(_bounded(candidates), name)
-        nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        wanted = met.select(F.col("a.node").alias("node"), "text_hash").join(nodes, "node", "left_semi").select("text_hash").distinct()
+    nodes = materialize(own.groupBy("node").agg(F.min(F.struct("text_hash", "n", "last", "fp")).alias("m"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")).select("node", "m.*", "sketch", "prefix"), "nodes")
+    each = nodes.select(F.struct("node", "n", "last").alias("a"), F.explode("prefix").alias("shingle"))
+    several = each.groupBy("shingle").agg(F.count("*").alias("members")).where("members > 1").select("shingle")
+    met = materialize(each.join(several, "shingle"), "met")
+    sketches = nodes.select(F.struct("node", "n", "last").alias("at"), "sketch")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = materialize(pairs, name)
+        wanted = nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi").select("text_hash")
         return materialize(_verified(pairs, _sets(texts, wanted)), "links")
 
-    first = joined(met.where("a.node <> hub.node").select(F.col("hub").alias("a"), F.col("a").alias("b")), "stars")
-    roots = connected_components(first).select(F.col("node").alias("of"), "root")
-    placed = met.join(roots, met["a.node"] == roots["of"], "left").select("shingle", "a", F.coalesce("root", "a.node").alias("root"))
+    # Sets of one fingerprint meet its first one; fingerprints within two bits meet by their first sets.
+    firsts = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    same = nodes.join(firsts, "fp").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    names = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))
+    near = simhash.near_links(firsts.select("fp")).join(names("u"), "u").join(names("v"), "v").select(F.col("u_first").alias("u"), F.col("v_first").alias("v"))
+    links = verified(same.union(near), "fingerprint-links")
+
+    for round_ in count():
+        placed = materialize(_rooted(met, links), "placed")
+        main = placed.groupBy("shingle", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("a.node", "shingle", F.lit(round_)).alias("h"), "a")).alias("hub"))
+        main = main.groupBy("shingle").agg(F.max_by(F.struct("root", "hub.a"), F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("shingle", "main")
+        mixed = materialize(placed.join(main, "shingle"), "mixed")
+        stars = mixed.where("root <> main.root").select("a", F.col("main.a").alias("b")).where(_sizes_allow("a", "b")).distinct()
+        told = stars.join(sketches.withColumnsRenamed({"at": "a", "sketch": "a_sketch"}), "a").join(sketches.withColumnsRenamed({"at": "b", "sketch": "b_sketch"}), "b")
+        best = told.where(_sketches_allow("a", "b", "a_sketch", "b_sketch")).groupBy("a").agg(F.min_by("b", F.struct(_apart("a_sketch", "b_sketch"), "b.node")).alias("b"))
+        found = verified(best.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), "stars")
+        if found.isEmpty():
+            break
+        links = links.union(found)
+
     # Of each list, the members outside its most frequent component meet all others, each pair once.
-    main = placed.groupBy("shingle", "root").count().groupBy("shingle").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = materialize(placed.join(main.select("shingle", "main"), "shingle"), "mixed")
-    rest = mixed.where("root <> main").select("shingle", F.col("a").alias("b"), F.col("root").alias("b_root"))
+    drawn = mixed.join(sketches.withColumnRenamed("at", "a"), "a").select("shingle", "a", "sketch", "root", F.col("main.root").alias("main"))
+    rest = drawn.where("root <> main").select("shingle", F.col("a").alias("b"), F.col("sketch").alias("b_sketch"), F.col("root").alias("b_root"))
     once = (F.col("root") == F.col("main")) | (F.col("a.node") < F.col("b.node"))
-    across = mixed.join(rest, "shingle").where((F.col("root") != F.col("b_root")) & once)
-    return first.union(joined(across.select(F.when(F.col("a.node") < F.col("b.node"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("a.node") < F.col("b.node"), F.col("b")).otherwise(F.col("a")).alias("b")), "across"))
+    allowed = _sizes_allow("a", "b") & _sketches_allow("a", "b", "sketch", "b_sketch")
+    drawn, rest = drawn.alias("x"), rest.alias("y")
+    across = drawn.join(rest, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("root") != F.col("b_root")) & once & allowed)
+    ordered = F.col("a.node") < F.col("b.node")
+    return links.union(verified(_bounded(across.select(F.when(ordered, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(ordered, F.col("b")).otherwise(F.col("a")).alias("b"))), "across"))
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, columns as they are: one of each component over links of a similarity of 0.8 or more.
 
     It is the one with the smallest id; rows with null ids stand last, and rows with equal ids go by a hash of the
-    whole row. Texts without words count as equal.
+    whole row. Texts without words count as equal, null ones among them; texts of any length go whole; equal rows
+    leave one; an empty table stays empty.
     """
     bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
