@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
@@ -30,7 +32,7 @@ END_ID = 1
 #: Open windows a task may hold (8 KB each) before it closes them.
 MAX_OPEN = 8192
 #: Pieces of text whose ids a worker remembers, and bytes of text it encodes at a time.
-MAX_MEMO, STEP_BYTES = 600_000, 2 << 20
+MAX_MEMO, STEP_BYTES = 600_000, 4 << 20
 OUT_BYTES = 8 << 20
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -66,7 +68,8 @@ class ByteLevelIds:
         import tokenizers
 
         self.library = tokenizers.Tokenizer.from_file(path)
-        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        special = [re.escape(t.content.encode()) for t in self.library.get_added_tokens_decoder().values()]
+        self.slow = re.compile(b"|".join([b"[\x1c-\x1f]", *special]))  # on U+001C to U+001F libraries differ
         self.fast = None
         if ranks:
             import tiktoken
@@ -79,28 +82,29 @@ class ByteLevelIds:
     def _forget(self) -> None:
         self.memo: dict[bytes, int] = {}
         self.pool, self.used = np.empty(1 << 16, "<u4"), 0
-        self.first, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
-
-    def _encoded(self, piece: bytes) -> np.ndarray:
-        if self.fast is None or any(s in piece for s in self.special) or any(28 <= c <= 31 for c in piece):  # on U+001C to U+001F libraries differ
-            return np.asarray(self.library.encode(piece.decode(), add_special_tokens=False).ids, "<u4")
-        return np.frombuffer(self.fast.encode_to_tiktoken_buffer(piece.decode(), set()), "<u4")
-
-    def _learn(self, piece: bytes) -> int:
-        ids, k = self._encoded(piece), len(self.memo)
-        if k == len(self.first):
-            self.first, self.length = np.resize(self.first, 2 * k), np.resize(self.length, 2 * k)
-        if self.used + len(ids) > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * (self.used + len(ids)))
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.first[k], self.length[k] = self.used, len(ids)
-        self.used += len(ids)
-        self.memo[piece] = k
-        return k
-
-    def _place_of(self, piece: bytes) -> int:
-        k = self.memo.get(piece)
-        return self._learn(piece) if k is None else k
+        self.first, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _encoded(self, piece: bytes) -> bytes:
+        if self.fast is None or self.slow.search(piece):
+            return np.asarray(self.library.encode(piece.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return bytes(self.fast.encode_to_tiktoken_buffer(piece.decode(), set()))
+
+    def _places_of(self, pieces: list[bytes]) -> np.ndarray:
+        """The number of each piece in what is remembered; unknown ones are learned."""
+        memo, encoded, ids = self.memo, self._encoded, []
+        known = np.fromiter(map(memo.get, pieces, repeat(-1)), np.int64, len(pieces))
+        for k in np.flatnonzero(known < 0).tolist():
+            known[k] = memo[pieces[k]] = len(memo)
+            ids.append(encoded(pieces[k]))
+        if ids:
+            n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            ends = self.used + np.cumsum(n)
+            self.first, self.length = np.concatenate([self.first, ends - n]), np.concatenate([self.length, n])
+            if ends[-1] > len(self.pool):
+                self.pool = np.resize(self.pool, 2 * ends[-1])
+            self.pool[self.used : ends[-1]] = np.frombuffer(b"".join(ids), "<u4")
+            self.used = int(ends[-1])
+        return known
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all documents, end to end, and where each document's begin (n + 1 places)."""
@@ -116,8 +120,7 @@ class ByteLevelIds:
             bounds = np.append(starts[a:b], ends[b - 1]) - starts[a]
             part = data[starts[a] : ends[b - 1]]
             pieces = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(part.tobytes())]).dictionary_encode()
-            known = np.fromiter(map(self._place_of, pieces.dictionary.to_pylist()), np.int64, len(pieces.dictionary))
-            k = known[pieces.indices.to_numpy()]
+            k = self._places_of(pieces.dictionary.to_pylist())[pieces.indices.to_numpy()]
             n, first = self.length[k], self.first[k]
             upto = np.concatenate([[0], np.cumsum(n)])
             tokens.append(self.pool[np.arange(upto[-1]) + np.repeat(first - upto[:-1], n)])
