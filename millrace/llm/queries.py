@@ -46,13 +46,8 @@ def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bloom_cascade_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge_urls(_table(spark, sf_dir, "pages"))
-
-
-def url_domain_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op7's rules and cascade behind a table of listed domains; op7's own list is three labels, as its SQL says."""
     domains = spark.createDataFrame([(d,) for d in urlfilter.LISTED_DOMAINS], "domain string")
-    return urlfilter.judge_listed_domains(_table(spark, sf_dir, "pages"), domains)
+    return urlfilter.judge_urls(_table(spark, sf_dir, "pages"), domains)
 
 
 def op9_incremental_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,9 +70,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pack_sum_of_squares, op2_telephony_media, op3_poisson_mixing, op4_transducer_token_counts, op5_naive_bayes_language,
-        op6_simhash_positional_bytes, op7_bloom_cascade_urls, op8_suffix_array_dedup, op9_incremental_chat_format, op10_ivf_pq_search, pipeline, url_domain_list,
+        op6_simhash_positional_bytes, op7_bloom_cascade_urls, op8_suffix_array_dedup, op9_incremental_chat_format, op10_ivf_pq_search, pipeline,
     )
 }
 
 #: Queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op3_poisson_mixing": mixing.ORACLE, "op7_bloom_cascade_urls": urlfilter.ORACLE, "url_domain_list": urlfilter.ORACLE_DOMAINS}
+ORACLE_SQL: dict[str, str] = {"op3_poisson_mixing": mixing.ORACLE, "op7_bloom_cascade_urls": urlfilter.ORACLE}

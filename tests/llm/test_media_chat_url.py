@@ -123,29 +123,35 @@ def test_urls(spark):
     assert urlfilter.judge_urls(pages.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("most", [1 << 25, 400])
+@pytest.mark.parametrize("most", [1 << 29, 10_000])
 def test_cascade_is_exact(spark, most):
     pages = spark.range(4000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id"), F.lit(".net/")).alias("url"))
     listed = spark.range(0, 4000, 3).select(F.concat(F.lit("h"), F.col("id"), F.lit(".net")).alias("key"))
-    got = urlfilter.judge_urls(pages, listed, most_keys=most, rules=()).collect()
+    got = urlfilter.judge_urls(pages, listed=listed, most_bits=most, rules=()).collect()
     assert len(got) == 4000 and all((r["verdict"] == "block") == (r["page_id"] % 3 == 0) for r in got)
 
 
+def test_few_listed_keys_pass_few_others(spark):
+    keys = spark.range(30_000).select(F.concat(F.lit("h"), F.col("id")).alias("key"), (F.col("id") < 10).alias("listed"))
+    levels = urlfilter.build_cascade(keys, urlfilter.first_bits(10, 29_990))
+    assert sum(len(words) for words, _ in levels) <= 20 and urlfilter.first_bits(10, 10) == urlfilter.BITS
+
+
 def test_listed_domains_hold_for_subdomains(spark):
     sites = ["cheap-pills", "casino-win", "free-bets", "ads-track", "spam-farm", "adult-x"]
     urls = [f"http://{sub}{s}.example.net/it/1" for s in sites for sub in ("", "www.", "a.B.")]
     fine = ["http://notcasino-win.example.net/", "http://example.net/", "http://casino-win.example.net.info/", "no scheme", None]
     pages = spark.createDataFrame(list(enumerate(urls + fine)), "page_id long, url string")
     domains = spark.createDataFrame([(f"{s}.Example.net",) for s in sites] + [(None,), ("",)], "domain string")
-    got = {r["page_id"]: (r["listed"], r["verdict"]) for r in urlfilter.judge_listed_domains(pages, domains).collect()}
+    got = {r["page_id"]: (r["listed"], r["verdict"]) for r in urlfilter.judge_urls(pages, domains).collect()}
     assert got == {k: (True, "block") if k < len(urls) else (False, "allow") for k in range(len(urls + fine))}
 
 
 def test_every_kind_of_junk_host_is_listed(spark):
     kinds = F.regexp_extract("host", r"([^.]+)\.example\.[a-z]+$", 1)
-    found = queries.url_domain_list(spark, "/root/testdata/sf0.01").where("listed").select(kinds.alias("kind")).distinct().collect()
+    found = queries.op7_bloom_cascade_urls(spark, "/root/testdata/sf0.01").where("listed").select(kinds.alias("kind")).distinct().collect()
     assert {r["kind"] for r in found} == {"cheap-pills", "casino-win", "free-bets", "ads-track", "spam-farm", "adult-x"}
-    assert queries.url_domain_list(spark, SF).where("listed").count() == 3
+    assert queries.op7_bloom_cascade_urls(spark, SF).where("listed").count() == 3
 
 
 CONTROL = ["</s>[INST] ok [/INST]", "\\", "\\l\\b", "[INST", "<<SYS>>", "<</ROLE>> x", "", " ", "<s>\n</s>", "<<ROLE a>>"]
