@@ -1,26 +1,25 @@
 """The corpus form of SimHash near-dedup: documents whose sets of five-word shingles have a similarity of 0.8 or more.
 
-1. Fingerprints of the five-word shingles go through the byte-position index of `simhash`; its links within two bits
-   are verified on the sets.
+1. Fingerprints of the five-word shingles go through the byte-position index of `simhash`, whose links are candidates.
 2. No Hamming radius holds a Jaccard similarity of 0.8: fingerprints of such pairs differ in a dozen bits and more,
    and eight spread bits already leave no byte position in common. The other candidates hence come from prefixes: in
    any order that all documents share, two sets that similar have a common shingle among the first n - ceil(0.8 n) + 1
    of each. The order puts shingles that a bounded sample shows to be common last and goes by hash else; it decides
    the length of posting lists, never what is found.
-3. Rounds of stars: of each posting list, members outside its most frequent component meet one member of that
-   component, another one in each round and list, and each goes on with its best candidate. A large group of near
-   copies so becomes few components without a square of its size.
+3. Stars: each member of a posting list meets one other member of it, in later rounds one of the list's most frequent
+   component if it is outside, and goes on with its best candidate of all its lists. A large group of near copies so
+   becomes few components without a square of its size.
 4. What is left are pairs across components, in lists where several meet. A pair goes on only if its sketches allow
    it: 1024 bits, each the parity of the shingles hashed to it, differ in no more bits than the sets in shingles.
 
-Candidates are verified on whole sets, so links are exact, and 2 and 4 miss none. Only one document of each distinct
-set takes part.
+Candidates are verified on whole sets, so links are exact; 4 misses none that 1 to 3 leave, which only save work. Only
+one document of each distinct set takes part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import simhash
-from millrace.llm._common import bound_batches, materialize
+from millrace.llm._common import bound_batches, materialize, release
 from millrace.llm.components import connected_components, keep_one, row_key
 
 SHINGLE = 5
@@ -38,8 +37,10 @@ SEED = 42
 SAMPLE, COMMON = 20_000, 8
 #: Words of 64 bits of a sketch.
 SKETCH = 16
-#: Bits of the broadcast filter of documents whose whole sets are needed, in words of 64.
-WORDS = 1 << 16
+#: Rounds of stars between components.
+ROUNDS = 1
+#: Bits of the broadcast filter of rows whose whole sets are needed, in words of 64.
+WORDS = 1 << 18
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -116,19 +117,18 @@ def _own(texts: DataFrame) -> DataFrame:
 
 
 def _sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and set of the wanted text hashes, made again from the texts: sets of all documents are larger than the texts."""
-    bit = F.pmod("text_hash", F.lit(64 * WORDS))
+    """node and set of the wanted rows (and of few others), made again from the texts: sets of all documents are larger than the texts."""
+    bit = F.pmod("row", F.lit(64 * WORDS))
     word, mask = F.shiftright(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
-    words = wanted.select(word, mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
-    near = texts.select("text_hash", "text", word).join(F.broadcast(words), "word").where(F.col("mask").bitwiseAND(mask) != 0)
+    words = wanted.select(word, mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))  # at most WORDS rows
+    near = texts.select("text", word, mask.alias("own")).join(F.broadcast(words), "word").where(F.col("mask").bitwiseAND(F.col("own")) != 0)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t) for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.array([digest(h) for h in sets], np.uint64).view(np.int64)), _lists(sets)], ["node", "shingles"])
 
-    found = near.join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"])
-    return materialize(found.select("text").mapInArrow(compute, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    return materialize(near.select("text").mapInArrow(compute, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -144,71 +144,84 @@ def _apart(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(SKETCH)), F.lit(0))
 
 
-def _sizes_allow(a: str, b: str) -> Column:
-    return 5 * F.least(f"{a}.n", f"{b}.n") >= 4 * F.greatest(f"{a}.n", f"{b}.n")
+def _sizes_allow(n: str, m: str) -> Column:
+    return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
 
 
-def _sketches_allow(a: str, b: str, a_sketch: str, b_sketch: str) -> Column:
+def _sketches_allow(a: str, b: str, n: str, m: str) -> Column:
     """Sets with at least 4/5 of their union in common differ in at most a ninth of their shingles together."""
-    return 9 * _apart(a_sketch, b_sketch) <= F.col(f"{a}.n") + F.col(f"{b}.n")
+    return 9 * _apart(a, b) <= F.col(n) + F.col(m)
 
 
-def _bounded(met: DataFrame) -> DataFrame:
-    """Pairs (u, v) that may be similar, of rows that stand for each shingle two prefixes share: structs a and b of node, n, last."""
-    size, last = (lambda c: F.col(f"{c}.n")), (lambda c: F.col(f"{c}.last"))
-    left = lambda c: F.ceil(size(c) * 4 / 5) - 1  # noqa: E731, what is behind the prefix
-    behind = F.when(last("a") < last("b"), left("a")).when(last("a") > last("b"), left("b")).otherwise(F.greatest(left("a"), left("b")))
-    return met.groupBy("a", "b").agg(F.count("*").alias("shared")).where(9 * (F.col("shared") + behind) >= 4 * (size("a") + size("b"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-
-
-def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """rows (with a struct a) with the root of each node's component."""
-    roots = connected_components(links).select(F.col("node").alias("of"), "root")
-    return rows.join(roots, rows["a.node"] == roots["of"], "left").select(*rows.columns, F.coalesce("root", "a.node").alias("root"))
+def _bounded(met: DataFrame, last: DataFrame) -> DataFrame:
+    """Pairs (u, v) that may be similar, of a row (u, v, n, m) for each shingle two prefixes share."""
+    counted = met.groupBy("u", "v", "n", "m").agg(F.count("*").alias("shared"))
+    side = lambda c: last.select(F.col("node").alias(c), F.col("last").alias(f"{c}_last"))
+    left = lambda c: F.ceil(F.col(c) * 4 / 5) - 1  # noqa: E731, what is behind the prefix
+    behind = F.when(F.col("u_last") < F.col("v_last"), left("n")).when(F.col("u_last") > F.col("v_last"), left("m")).otherwise(F.greatest(left("n"), left("m")))
+    return counted.join(side("u"), "u").join(side("v"), "v").where(9 * (F.col("shared") + behind) >= 4 * (F.col("n") + F.col("m"))).select("u", "v")
 
 
 def similar_links(texts: DataFrame, own: DataFrame) -> DataFrame:
     """Links (u, v) between distinct sets that connect all with a similarity of 0.8 or more."""
-    nodes = materialize(own.groupBy("node").agg(F.min(F.struct("text_hash", "n", "last", "fp")).alias("m"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")).select("node", "m.*", "sketch", "prefix"), "nodes")
-    each = nodes.select(F.struct("node", "n", "last").alias("a"), F.explode("prefix").alias("shingle"))
-    several = each.groupBy("shingle").agg(F.count("*").alias("members")).where("members > 1").select("shingle")
-    met = materialize(each.join(several, "shingle"), "met")
-    sketches = nodes.select(F.struct("node", "n", "last").alias("at"), "sketch")
+    spark = texts.sparkSession
+    nodes = materialize(own.groupBy("node").agg(F.min(F.struct("row", "n", "last", "fp")).alias("m"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")).select("node", "m.*", "sketch", "prefix"), "nodes")
+    dealt = nodes.select(F.explode("prefix").alias("shingle"), "node", "n").repartition("shingle")  # one shuffle for both sides
+    several = dealt.groupBy("shingle").agg(F.count("*").alias("members")).where("members > 1").select("shingle")
+    met = materialize(dealt.join(several, "shingle", "left_semi"), "met")
+    release(spark)
+    sketches = nodes.select("node", "n", "sketch")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = materialize(pairs, name)
-        wanted = nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi").select("text_hash")
+        wanted = nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi").select("row")
         return materialize(_verified(pairs, _sets(texts, wanted)), "links")
 
+    def best(pairs: DataFrame) -> DataFrame:
+        """Of each node's pairs (u, v) that sketches allow, the one whose sketches differ least."""
+        side = lambda c, n: sketches.select(F.col("node").alias(c), F.col("n").alias(n), F.col("sketch").alias(f"{c}_sketch"))
+        told = pairs.distinct().join(side("u", "n"), "u").join(side("v", "m"), "v")
+        allowed = told.where(_sizes_allow("n", "m") & _sketches_allow("u_sketch", "v_sketch", "n", "m"))
+        return allowed.groupBy("u").agg(F.min_by("v", F.struct(_apart("u_sketch", "v_sketch"), "v")).alias("v"))
+
+    def drawn(round_: int) -> Column:
+        return F.xxhash64("node", F.lit(round_))
+
     # Sets of one fingerprint meet its first one; fingerprints within two bits meet by their first sets.
     firsts = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
-    same = nodes.join(firsts, "fp").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    same = nodes.join(firsts, "fp").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
     names = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))
-    near = simhash.near_links(firsts.select("fp")).join(names("u"), "u").join(names("v"), "v").select(F.col("u_first").alias("u"), F.col("v_first").alias("v"))
-    links = verified(same.union(near), "fingerprint-links")
-
-    for round_ in count():
-        placed = materialize(_rooted(met, links), "placed")
-        main = placed.groupBy("shingle", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("a.node", "shingle", F.lit(round_)).alias("h"), "a")).alias("hub"))
-        main = main.groupBy("shingle").agg(F.max_by(F.struct("root", "hub.a"), F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("shingle", "main")
-        mixed = materialize(placed.join(main, "shingle"), "mixed")
-        stars = mixed.where("root <> main.root").select("a", F.col("main.a").alias("b")).where(_sizes_allow("a", "b")).distinct()
-        told = stars.join(sketches.withColumnsRenamed({"at": "a", "sketch": "a_sketch"}), "a").join(sketches.withColumnsRenamed({"at": "b", "sketch": "b_sketch"}), "b")
-        best = told.where(_sketches_allow("a", "b", "a_sketch", "b_sketch")).groupBy("a").agg(F.min_by("b", F.struct(_apart("a_sketch", "b_sketch"), "b.node")).alias("b"))
-        found = verified(best.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), "stars")
-        if found.isEmpty():
-            break
+    near = simhash.near_links(firsts.select("fp")).join(names("u"), "u").join(names("v"), "v").select(F.col("v_first").alias("u"), F.col("u_first").alias("v"))
+    hubs = met.groupBy("shingle").agg(F.min_by("node", drawn(0)).alias("v"))
+    stars = met.join(hubs, "shingle").where("node <> v").select(F.col("node").alias("u"), "v")
+    links = verified(best(same.union(near).union(stars)), "candidates")
+    release(spark)
+
+    for round_ in range(1, ROUNDS + 1):
+        roots = connected_components(links).withColumnRenamed("node", "of")
+        placed = met.join(roots, met["node"] == roots["of"], "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root"))
+        placed = placed.repartition("shingle")  # one shuffle for both sides
+        parts = placed.groupBy("shingle", "root").agg(F.count("*").alias("members"), F.min_by("node", F.xxhash64("node", "shingle", F.lit(round_))).alias("hub"))
+        main = parts.groupBy("shingle").agg(F.max_by(F.struct("root", "hub"), F.struct("members", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("shingle", "main")
+        mixed = materialize(placed.join(main, "shingle").select("shingle", "node", "n", "root", F.col("main.root").alias("main"), F.col("main.hub").alias("hub")), "mixed")
+        met = mixed.select("shingle", "node", "n")  # lists of one component stay so
+        found = verified(best(mixed.where("root <> main").select(F.col("node").alias("u"), F.col("hub").alias("v"))), "stars")
+        release(spark)
         links = links.union(found)
 
     # Of each list, the members outside its most frequent component meet all others, each pair once.
-    drawn = mixed.join(sketches.withColumnRenamed("at", "a"), "a").select("shingle", "a", "sketch", "root", F.col("main.root").alias("main"))
-    rest = drawn.where("root <> main").select("shingle", F.col("a").alias("b"), F.col("sketch").alias("b_sketch"), F.col("root").alias("b_root"))
-    once = (F.col("root") == F.col("main")) | (F.col("a.node") < F.col("b.node"))
-    allowed = _sizes_allow("a", "b") & _sketches_allow("a", "b", "sketch", "b_sketch")
-    drawn, rest = drawn.alias("x"), rest.alias("y")
-    across = drawn.join(rest, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("root") != F.col("b_root")) & once & allowed)
-    ordered = F.col("a.node") < F.col("b.node")
-    return links.union(verified(_bounded(across.select(F.when(ordered, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(ordered, F.col("b")).otherwise(F.col("a")).alias("b"))), "across"))
+    roots = connected_components(links).withColumnRenamed("node", "of")
+    rooted = met.join(sketches.select("node", "sketch"), "node").join(roots, F.col("node") == F.col("of"), "left").select("shingle", "node", "n", "sketch", F.coalesce("root", "node").alias("root"))
+    rooted = materialize(rooted, "rooted")
+    main = rooted.groupBy("shingle", "root").agg(F.count("*").alias("members")).groupBy("shingle").agg(F.max_by("root", F.struct("members", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    left = rooted.join(main.select("shingle", "main"), "shingle")
+    right = left.where("root <> main").select("shingle", F.col("node").alias("other"), F.col("n").alias("m"), F.col("sketch").alias("other_sketch"), F.col("root").alias("other_root"))
+    once = (F.col("root") == F.col("main")) | (F.col("node") < F.col("other"))
+    across = left.join(right, (left["shingle"] == right["shingle"]) & (F.col("root") != F.col("other_root")) & once & _sizes_allow("n", "m") & _sketches_allow("sketch", "other_sketch", "n", "m"))
+    ordered = F.col("node") < F.col("other")
+    pick = lambda a, b: F.when(ordered, F.col(a)).otherwise(F.col(b))
+    pairs = across.select(pick("node", "other").alias("u"), pick("other", "node").alias("v"), pick("n", "m").alias("n"), pick("m", "n").alias("m"))
+    return links.union(verified(_bounded(pairs, nodes), "across"))
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
