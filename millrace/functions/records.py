@@ -30,21 +30,31 @@ def record_reasoning(record: Column) -> Column:
     return F.coalesce(F.nullif(lenient_output(F.try_element_at(record, F.lit("output")))["reasoning"], F.lit("")), _named(record, "reasoning"), F.lit(""))
 
 
+#: What the rewrites of a molecule take out, and the names that are searched as whole words.
+VARIANT_CUTS = (r"\s+", r"[@/\\]", r"\[[^\]]+\]", r"\(\)")
+PLAIN_ALIAS = r"[a-z0-9][a-z0-9 _\-]*[a-z0-9]"
+
+
 def smiles_variants(c: str | Column) -> Column:
     """Rewrites to try for a molecule that isn't found: without white space, stereo marks, odd dashes, further
     components, bracket atoms or empty branches; each once, in that order; none for blank text."""
     s = stripped(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
     without = lambda pattern: F.regexp_replace(s, pattern, "")
-    forms = F.array(s, without(r"\s+"), without(r"[@/\\]"), F.translate(s, "–—−", "---"), F.substring_index(s, ".", 1), without(r"\[[^\]]+\]"), without(r"\(\)"))
+    space, stereo, bracket, empty = map(without, VARIANT_CUTS)
+    forms = F.array(s, space, stereo, F.translate(s, "–—−", "---"), F.substring_index(s, ".", 1), bracket, empty)
     return F.filter(F.array_distinct(forms), lambda x: x != "")
 
 
-def alias_span(text: str | Column, alias: str) -> Column:
-    """Start (from 0) and end of an alias in lower-cased text: a whole word for plain names, a substring for others; null without one."""
-    low, a = F.lower(F.col(text) if isinstance(text, str) else text), alias.lower()
-    plain = re.fullmatch(r"[a-z0-9][a-z0-9 _\-]*[a-z0-9]", a)
-    at = F.regexp_instr(low, F.lit(rf"\b{re.escape(a)}\b")) if plain else F.instr(low, a)
-    return F.when(at > 0, F.struct((at - 1).alias("start"), (at - 1 + len(a)).alias("end")))
+def alias_spans(text: str | Column, alias: str) -> Column:
+    """Starts (from 0) and ends of an alias in lower-cased text: every whole word for plain names, the first substring for others."""
+    low, a = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), alias.lower()
+    span = lambda at: F.struct(at.cast("int").alias("start"), (at + len(a)).cast("int").alias("end"))
+    if not re.fullmatch(PLAIN_ALIAS, a):
+        return F.when(F.contains(low, F.lit(a)), F.array(span(F.instr(low, a) - 1))).otherwise(F.array().cast("array<struct<start: int, end: int>>"))
+    # What stands before the k-th hit, and the hits before it.
+    parts = F.split(low, rf"\b{re.escape(a)}\b", -1)
+    before = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda _, k: F.aggregate(F.slice(parts, 1, k + 1), F.lit(0), lambda n, p: n + F.length(p)) + k * len(a))
+    return F.transform(before, span)
 
 
 #: The keyword lists of the quality score; entries count as often as they are listed.

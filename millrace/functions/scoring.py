@@ -12,6 +12,7 @@ def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: Fixed value: numbers with their units.
 _NUMBER = r"(?i)(?:[<>]=?|~)?\s*([-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)\s*([munp]M|μM|%)?"
 
 
@@ -124,6 +125,7 @@ FEATURE_WEIGHTS = {
     "Toxicity: Drug-induced Nephrotoxicity": 2.0, "Hematotoxicity": 1.8, "Caco-2 Permeability": 1.5, "HIA": 1.5,
     "BBB": 1.5, "logS": 1.5, "PPB": 1.3, "Fu": 1.3,
 }
+#: Bands, and the features of which more, or less, is better.
 BANDS = {"logP": (1.0, 3.0), "Topological Polar Surface Area (TPSA)": (20.0, 130.0), "Molecular Weight (MW)": (150.0, 500.0)}
 MORE_IS_BETTER = ("HLM Stability", "logS", "logD7.4", "Flexibility", "Fsp3", "QED", "NPscore", "Caco-2 Permeability", "MDCK Permeability", "PAMPA", "Fu")
 LESS_IS_BETTER = ("Human Hepatotoxicity", "Genotoxicity", "Carcinogenicity", "Eye Irritation", "Eye Corrosion", "Respiratory", "Skin Sensitization", "DILI", "AMES Toxicity", "PPB")

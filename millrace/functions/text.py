@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,6 +44,7 @@ def prompt(system: str | Column, user: str | Column) -> Column:
     return F.concat(F.lit("System: "), F.coalesce(_c(system), F.lit("")), F.lit("\nUser: "), F.coalesce(_c(user), F.lit("")), F.lit("\nAssistant: "))
 
 
+#: Fixed value: the strict format.
 _TWO_LINES = r"(?is)^(?:.*?</THINK>\s*)?\s*Reasoning\s*:\s*([^\n]+?)\s*\n\s*Optimized_SMILES\s*:\s*(\S+?)\s*(?:</?END>)?\s*$"
 
 
@@ -77,6 +80,23 @@ def longest_component(smiles: str | Column) -> Column:
     return F.when(F.contains(_c(smiles), F.lit(".")), best).otherwise(_c(smiles))
 
 
+def chosen_component(smiles: str | Column, strategy: str = "longest", score: Callable[[Column], Column] | None = None, valid: Callable[[Column], Column] | None = None) -> Column:
+    """One of the dot-separated molecules: of the valid ones the first with the largest score, without a valid one the first longest.
+
+    strategy: longest (the length), first (the place, so that the last valid one is taken), or any other name with a
+    score given: a column function of a molecule, such as a UDF over a chemistry toolkit. valid: likewise, by default
+    smiles_sane.
+    """
+    if strategy not in ("longest", "first") and score is None:
+        raise ValueError(f"{strategy} needs a score")
+    s = _c(smiles)
+    parts = F.filter(F.transform(F.split(s, r"\."), lambda x: stripped(x)), lambda x: x != "")
+    points = (lambda x, k: k.cast("double")) if strategy == "first" else (lambda x, k: (score(x) if score else F.length(x)).cast("double"))
+    scored = F.filter(F.transform(parts, lambda x, k: F.when((valid or smiles_sane)(x), F.struct(points(x, k).alias("score"), (-k).alias("place"), x.alias("smiles")))), lambda x: x.isNotNull())
+    several = F.coalesce(F.array_max(scored)["smiles"], longest_component(s))
+    return F.when(~F.contains(s, F.lit(".")) | (F.size(parts) == 0), s).when(F.size(parts) == 1, F.get(parts, F.lit(0))).otherwise(several)
+
+
 def lenient_output(c: str | Column) -> Column:
     """reasoning and smiles of a reply: reasoning up to the next SMILES tag or the end; the first token of the tagged
     line, without closing punctuation; of several molecules the longest. Nothing behind a tag gives an empty string."""

@@ -22,10 +22,12 @@ def targets_of(spark: SparkSession, specs: list[str]) -> DataFrame:
     return spark.createDataFrame([(*p, k) for k, p in enumerate(parts)], "target string, receptor string, box string, place int")
 
 
-def result_matrix(items: DataFrame, targets: list[str], run: Callable[[str, str], float | None]) -> DataFrame:
+def result_matrix(items: DataFrame, targets: list[str], run: Callable[[str, str], float | None], prepare: Callable[[str], str | None] | None = None) -> DataFrame:
     """id, smiles, and by target affinity and rank; selectivity: second less first affinity that came out.
 
-    Each item is a row of work that an injected runner does for every target in turn; a failed target leaves empty cells.
+    Each item is a row of work that an injected runner does for every target in turn; a failed target leaves empty
+    cells. prepare: makes what the runner gets (a conformer with charges, say); items for which it fails or gives
+    nothing have no row.
     """
     ship(items.sparkSession)
     columns = "".join(f", `{t}_affinity` double, `{t}_rank` int" for t in targets)
@@ -35,16 +37,24 @@ def result_matrix(items: DataFrame, targets: list[str], run: Callable[[str, str]
             rows = []
             for i, s in zip(batch["id"], batch["smiles"], strict=True):
                 found = []
+                try:
+                    ready = prepare(s) if prepare else s
+                except ImportError:
+                    raise
+                except Exception:  # noqa: BLE001  the preparation's own errors
+                    ready = None
+                if ready is None and prepare:
+                    continue
                 for t in targets:
                     try:
-                        found.append(run(s, t))
+                        found.append(run(ready, t))
                     except ImportError:
                         raise
                     except Exception:  # noqa: BLE001  the runner's own errors
                         found.append(None)
                 rows.append([i, s, *(x for a in found for x in (a, None if a is None else 1))])
             names = ["id", "smiles", *(f"{t}_{x}" for t in targets for x in ("affinity", "rank"))]
-            out = pd.DataFrame(rows, columns=names)
+            out = pd.DataFrame(rows, columns=names).astype({"id": "object", "smiles": "object"})
             for t in targets:
                 out[f"{t}_rank"] = out[f"{t}_rank"].astype("Int32")
                 out[f"{t}_affinity"] = out[f"{t}_affinity"].astype("float64")
@@ -54,6 +64,12 @@ def result_matrix(items: DataFrame, targets: list[str], run: Callable[[str, str]
     return done.withColumn("selectivity", selectivity(*(F.col(f"`{t}_affinity`") for t in targets)))
 
 
+def outcomes(items: DataFrame, done: DataFrame) -> DataFrame:
+    """One row: items that have a row of results, and items that failed."""
+    n = items.agg(F.count("*").alias("items")).join(F.broadcast(done.agg(F.count("*").alias("successful"))), how="inner")
+    return n.select("successful", (F.col("items") - F.col("successful")).alias("failed"))
+
+
 def selectivity(*affinities: Column) -> Column:
     came = F.filter(F.array(*affinities), lambda a: a.isNotNull())
     return F.get(came, F.lit(1)) - F.get(came, F.lit(0))

@@ -46,7 +46,16 @@ def keep_first(df: DataFrame, key: list[str], order: str) -> DataFrame:
     return df.groupBy(*[F.col(k).alias(f"_{i}") for i, k in enumerate(key)]).agg(F.min_by(own, F.col(order)).alias("_r")).select("_r.*")
 
 
-def until_cap(df: DataFrame, size: str, group: str, order: str, cap: int) -> DataFrame:
-    """Rows of a group up to and including the one that reaches the cap."""
-    before = F.sum(size).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return df.where(F.col(size).isNotNull()).withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < cap).drop("_before")
+def until_cap(df: DataFrame, size: str, group: list[str], order: str, cap: int, span: int = 1_000_000) -> DataFrame:
+    """Rows of a group up to and including the one that reaches the cap, by a numeric order.
+
+    Sizes are summed up within spans of the order, and before them by a row for each span; so a group, or with none the
+    whole corpus, isn't one window.
+    """
+    spans = df.where(F.col(size).isNotNull()).withColumn("_span", F.floor(F.col(order) / span))
+    lower = lambda keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    totals = spans.groupBy(*group, "_span").agg(F.sum(size).alias("_total"))
+    earlier = totals.withColumn("_earlier", F.coalesce(F.sum("_total").over(lower(group, "_span")), F.lit(0))).where(F.col("_earlier") < cap).drop("_total")
+    within = F.coalesce(F.sum(size).over(lower([*group, "_span"], order)), F.lit(0))
+    placed = spans.join(earlier, [*group, "_span"]).withColumn("_within", within)
+    return placed.where(F.col("_earlier") + F.col("_within") < cap).select(*df.columns)

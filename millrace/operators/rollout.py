@@ -41,6 +41,11 @@ def candidates(answers: DataFrame, array: str, prompt: str) -> DataFrame:
     return out.where(F.trim("candidate") != "").drop(array)
 
 
+def prompt_stats(rollouts: DataFrame, length: str) -> DataFrame:
+    """Count, mean and largest of the prompts' lengths in a batch."""
+    return rollouts.agg(F.count(length).alias("count"), F.avg(length).alias("mean"), F.max(length).alias("max"))
+
+
 def spread(reward: Column, ids: Column) -> Column:
     return F.array_repeat(reward, F.size(ids))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.scoring import BANDS, CORE_FEATURES, FEATURE_WEIGHTS, LESS_IS_BETTER, MORE_IS_BETTER, feature_reward, number_of, set_f_score
 from millrace.functions.text import flat_key, plain_key, split_key, stripped
+from millrace.functions.vocabulary import MERGES, PHRASES, default_aliases
 from millrace.operators.stats import upper_median
 from millrace.session import ship
 
@@ -29,13 +32,34 @@ def feature_table(spark: SparkSession, thresholds: dict[str, float] | None = Non
     return spark.createDataFrame(rows, FEATURE_SCHEMA)
 
 
-def normalized_features(props: DataFrame, aliases: DataFrame, *, sample: str = "sample_id", role: str = "role", name: str = "name", raw: str = "raw", pos: str = "pos") -> DataFrame:
+def alias_table(spark: SparkSession, more: dict[str, str] | None = None) -> DataFrame:
+    """alias and canonical of the default aliases and further ones."""
+    return spark.createDataFrame(list((default_aliases() | (more or {})).items()), "alias string, canonical string")
+
+
+def phrase_table(spark: SparkSession, more: dict[str, str] | None = None) -> DataFrame:
+    """phrase, feature, direction and pos of the known phrases, features by their canonical names."""
+    aliases = default_aliases() | (more or {})
+    flat = {re.sub("[^0-9a-z]+", "", a): c for a, c in aliases.items()}
+
+    def canonical(name: str) -> str:
+        known = aliases.get(name.lower(), name)
+        known = MERGES.get(known, known)
+        return flat.get(re.sub("[^0-9a-z]+", "", known.lower()), known)
+
+    named = {phrase: (canonical(feature), direction) for phrase, feature, direction in PHRASES}
+    return spark.createDataFrame([(p, f, d, k) for k, (p, (f, d)) in enumerate(named.items())], "phrase string, feature string, direction string, pos int")
+
+
+def normalized_features(props: DataFrame, aliases: DataFrame | None = None, *, merges: dict[str, str] = MERGES, sample: str = "sample_id", role: str = "role", name: str = "name", raw: str = "raw", pos: str = "pos") -> DataFrame:
     """Long features with canonical names and numbers.
 
-    aliases: alias (lower case, unique) and canonical. A name is looked up as it is, with seams split, with _ and -
-    as spaces, and by its letters and digits alone (empty: unknown); the first that is known wins, else the spaced
-    name stays. Of names that become one, the last by pos wins.
+    aliases: alias (lower case, unique) and canonical, by default alias_table. A name is looked up as it is, with seams
+    split, with _ and - as spaces; the first that is known wins, else the spaced name stays; then merges are applied,
+    and the letters and digits alone looked up (empty: unknown). Of names that become one, the last by pos wins.
     """
+    aliases = alias_table(props.sparkSession) if aliases is None else aliases
+    merged = F.create_map(*(F.lit(x) for kv in merges.items() for x in kv)) if merges else F.create_map().cast("map<string,string>")
     table = F.broadcast(aliases.select("alias", "canonical")) if aliases.count() <= 100_000 else aliases
     flat = aliases.select(flat_key("alias").alias("alias"), "canonical").where("alias <> ''").groupBy("alias").agg(F.max("canonical").alias("canonical"))
     seams = split_key(name)
@@ -44,7 +68,8 @@ def normalized_features(props: DataFrame, aliases: DataFrame, *, sample: str = "
     out = props
     for k, form in enumerate(forms):
         out = out.withColumn(f"_f{k}", form).join(table.select(F.col("alias").alias(f"_f{k}"), F.col("canonical").alias(f"_c{k}")), f"_f{k}", "left")
-    out = out.withColumn("_known", F.coalesce("_c0", "_c1", "_c2", spaced)).withColumn("_flat", flat_key("_known"))
+    out = out.withColumn("_found", F.coalesce("_c0", "_c1", "_c2", spaced))
+    out = out.withColumn("_known", F.coalesce(F.try_element_at(merged, F.col("_found")), "_found")).withColumn("_flat", flat_key("_known"))
     out = out.join(flat.select(F.col("alias").alias("_flat"), F.col("canonical").alias("_c3")), "_flat", "left")
     feature = F.coalesce("_c3", "_known")
     numbers = out.select(sample, role, feature.alias("feature"), number_of(raw).alias("value"), pos)
@@ -130,20 +155,54 @@ def _by_sample():
     return Window.partitionBy("sample_id")
 
 
-def phrase_features(texts: DataFrame, phrases: DataFrame, *, id_col: str = "sample_id", text_col: str = "text", inline: int = 500) -> DataFrame:
+#: Phrases of one automaton: tens of MB on each worker.
+AUTOMATON = 100_000
+
+
+def _automaton_hits(texts: DataFrame, phrases: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = [tuple(r) for r in phrases.collect()]  # at most AUTOMATON
+    shared = texts.sparkSession.sparkContext.broadcast(rows)
+    kind = texts.schema[id_col].dataType.simpleString()
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton, everywhere = ahocorasick.Automaton(), []
+        for k, (phrase, *_) in enumerate(shared.value):
+            if phrase:
+                automaton.add_word(phrase, [*automaton.get(phrase, []), k])
+            else:
+                everywhere.append(k)
+        automaton.make_automaton()
+        for batch in batches:
+            found = []
+            for i, text in zip(batch[id_col], batch["_low"], strict=True):
+                hits = {k for _, ks in automaton.iter(text) for k in ks} if len(automaton) else set()
+                found += [(i, *shared.value[k]) for k in [*everywhere, *hits]]
+            yield pd.DataFrame(found, columns=[id_col, "phrase", "feature", "direction", "pos"])
+
+    ship(texts.sparkSession)
+    return texts.select(id_col, F.lower(F.coalesce(text_col, F.lit(""))).alias("_low")).mapInPandas(find, f"{id_col} {kind}, phrase string, feature string, direction string, pos int")
+
+
+def phrase_features(texts: DataFrame, phrases: DataFrame | None = None, *, id_col: str = "sample_id", text_col: str = "text", inline: int = 500) -> DataFrame:
     """id, feature, direction of phrases found in lower-cased texts; of a feature's phrases the first by pos.
 
-    phrases: phrase, feature, direction, pos. Up to `inline` phrases are folded into one expression; more are a
-    broadcast nested loop over the phrase table, whose size was counted for the choice.
+    phrases: phrase, feature, direction, pos (by default phrase_table). Up to `inline` phrases are folded into one
+    expression; more go through automata of AUTOMATON phrases each, a pass over the texts for every one. A null text
+    counts as empty, and an empty phrase is in every text.
     """
+    phrases = phrase_table(texts.sparkSession) if phrases is None else phrases
     if (n := phrases.count()) <= inline:
         rows = phrases.orderBy("pos").collect()
         table = F.array(*(F.struct(F.lit(r["phrase"]).alias("phrase"), F.lit(r["feature"]).alias("feature"), F.lit(r["direction"]).alias("direction"), F.lit(int(r["pos"])).alias("pos")) for r in rows))
         low = F.lower(F.coalesce(text_col, F.lit("")))
         hits = texts.select(id_col, F.explode(F.filter(table, lambda p: F.contains(low, p["phrase"]))).alias("h")).select(id_col, "h.*")
     else:
-        side = F.broadcast(phrases) if n <= 100_000 else phrases
-        hits = texts.join(side, F.contains(F.lower(text_col), F.col("phrase"))).select(id_col, "phrase", "feature", "direction", "pos")
+        blocks = -(-n // AUTOMATON)
+        own = phrases.select("phrase", "feature", "direction", F.col("pos").cast("int").alias("pos"))
+        split = [own.where(F.pmod(F.xxhash64("phrase", "pos"), F.lit(2 * blocks)) == k) for k in range(2 * blocks)] if blocks > 1 else [own]
+        hits = reduce(DataFrame.union, (_automaton_hits(texts, part, id_col, text_col) for part in split))
     return hits.groupBy(id_col, "feature").agg(F.min_by("direction", "pos").alias("direction"))
 
 

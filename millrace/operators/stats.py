@@ -8,18 +8,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Values are ranked in about so many ranges at once.
-RANGES = 64
+#: Values are ranked in one range for so many distinct values, in this many ranges at least and at most.
+RANGE_VALUES, LEAST_RANGES, MOST_RANGES = 250_000, 64, 4096
+#: Cuts that one step of the search for a value's range compares.
+STEP = 64
+
+
+def _range_of(value: Column, cuts: list[float]) -> Column:
+    """The number of sorted cuts at or below a value, searched in two steps where they are many."""
+    at_or_below = lambda own: sum(((value >= F.lit(c)).cast("int") for c in own), F.lit(0))
+    if len(cuts) <= STEP:
+        return at_or_below(cuts)
+    blocks = [cuts[a : a + STEP] for a in range(0, len(cuts), STEP)]
+    block = at_or_below([b[0] for b in blocks])
+    table = F.array(*(F.array(*map(F.lit, b)) for b in blocks))
+    return F.when(block > 0, (block - 1) * STEP + F.size(F.filter(F.element_at(table, block), lambda c: value >= c))).otherwise(0)
 
 
 def before_value(counts: DataFrame, value: str, n: str, group: list[str], out: str) -> DataFrame:
     """counts (a row for each group and distinct value, with n rows) with the rows of the group below the value.
 
-    Values are cut into ranges at approximate quantiles; windows run within a range, and the ranges' totals, a few
-    rows for each group, are added from a second small window. No group is sorted in one task.
+    Values are cut at approximate quantiles into ranges in proportion to their number; windows run within a range, and
+    the ranges' totals, a few rows for each group, are added from a second small window. No group is sorted in one task.
     """
-    cuts = sorted(set(counts.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [k / RANGES for k in range(1, RANGES)], 0.005)))
-    own = sum(((F.col(value) >= F.lit(c)).cast("int") for c in cuts), F.lit(0))
+    ranges = min(max(counts.count() // RANGE_VALUES, LEAST_RANGES), MOST_RANGES)
+    cuts = sorted(set(counts.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [k / ranges for k in range(1, ranges)], 0.3 / ranges)))
+    own = _range_of(F.col(value).cast("double"), cuts)
     ranged = counts.withColumn("_range", own)
     totals = ranged.groupBy(*group, "_range").agg(F.sum(n).alias("_total"))
     lower = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -38,11 +52,27 @@ def upper_median(df: DataFrame, value: str, group: list[str]) -> DataFrame:
     return found.where(F.col("_before") + F.col("_n") > F.floor(F.col("_all") / 2)).groupBy(*group).agg(F.min(value).alias("upper_median"))
 
 
-def described(value: str) -> list[Column]:
-    return [
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.stddev_pop(value).alias("std"),
-        F.min(value).alias("min"), F.max(value).alias("max"), F.percentile(value, F.lit(0.25)).alias("p25"), F.percentile(value, F.lit(0.75)).alias("p75"),
-    ]
+def quantiles(df: DataFrame, value: str, group: list[str], shares: dict[str, float]) -> DataFrame:
+    """The linear quantiles of each group, by name, from counts of distinct values: no group is held in one task."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
+    placed = before_value(counts, value, "_n", group, "_before")
+    sizes = counts.groupBy(*group).agg((F.sum("_n") - 1).alias("_last"))
+    found = placed.join(sizes, group) if group else placed.join(F.broadcast(sizes), how="inner")
+    v = F.col(value).cast("double")
+    sides = []
+    for name, share in shares.items():
+        at = F.col("_last") * F.lit(float(share))
+        sides += [F.max(F.when(F.col("_before") <= F.floor(at), v)).alias(f"_{name}_lo"), F.min(F.when(F.col("_before") + F.col("_n") > F.ceil(at), v)).alias(f"_{name}_hi"), F.max(at - F.floor(at)).alias(f"_{name}_part")]
+    ends = found.groupBy(*group).agg(*sides)
+    between = lambda n: F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_part")
+    return ends.select(*group, *(between(n).alias(n) for n in shares))
+
+
+def described(df: DataFrame, value: str, group: list[str]) -> DataFrame:
+    """Count, mean, median, population deviation, bounds and quartiles of each group."""
+    plain = df.groupBy(*group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    cut = quantiles(df, value, group, {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    return plain.join(cut, group, "left") if group else plain.join(F.broadcast(cut), how="left")
 
 
 def closed_histogram(df: DataFrame, value: Column, bins: int = 5) -> DataFrame:
@@ -103,10 +133,17 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return ranked.agg(F.corr("ra", "rb").alias("spearman"))
 
 
+def pearson(df: DataFrame, a: str, b: str) -> DataFrame:
+    """The correlation of two columns; 0 without rows or where one of them hardly varies."""
+    m = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(F.corr(a, b).alias("r"), F.count("*").alias("n"), F.var_pop(a).alias("va"), F.var_pop(b).alias("vb"))
+    flat = (F.col("n") == 0) | (F.col("va") * F.col("n") <= 1e-12) | (F.col("vb") * F.col("n") <= 1e-12)
+    return m.select(F.when(flat, 0.0).otherwise(F.col("r")).alias("pearson"))
+
+
 def tier_agreement(df: DataFrame, a: str, b: str, cuts: tuple[float, float] = (0.33, 0.66)) -> DataFrame:
-    """Share of rows whose two scores fall in the same third."""
-    tier = lambda c: F.when(F.col(c) < cuts[0], 0).when(F.col(c) < cuts[1], 1).otherwise(2)
-    return df.agg(F.avg((tier(a) == tier(b)).cast("double")).alias("agreement"))
+    """Share of rows whose two scores fall in the same third, to 4 places; a bound belongs to the lower third."""
+    tier = lambda c: F.when(F.col(c) <= cuts[0], 0).when(F.col(c) <= cuts[1], 1).otherwise(2)
+    return df.agg(F.round(F.coalesce(F.avg((tier(a) == tier(b)).cast("double")), F.lit(0.0)), 4).alias("agreement"))
 
 
 def binary_f1(predicted: Column, actual: Column) -> Column:

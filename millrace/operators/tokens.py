@@ -81,14 +81,32 @@ def length_sorted_batches(df: DataFrame, length: str, order: str, batch: int, gr
     sizes = df.groupBy(*group, length).agg(F.count("*").alias("_n"))
     longer = Window.partitionBy(*group).orderBy(F.desc(length)).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(longer), F.lit(0))).drop("_n")
-    place = F.row_number().over(Window.partitionBy(*group, length).orderBy(order)) - 1
-    numbered = df.withColumn("_place", place).join(offsets, [*group, length])
+    numbered = numbered_within(df, [*group, length], order, "_place").join(offsets, [*group, length])
     return numbered.withColumn("batch_id", F.floor((F.col("_offset") + F.col("_place")) / batch)).select(*df.columns, "batch_id")
 
 
-def padded_batches(df: DataFrame, batch: str, ids: str, label: str, pad: int) -> DataFrame:
-    """input_ids, attention_mask and labels, each padded to its batch's longest row; empty rows are left out."""
-    rows = df.where(F.size(ids) > 0).withColumn("_to", F.max(F.size(ids)).over(Window.partitionBy(batch)))
+#: Values of a numeric order that are numbered or summed up in one window.
+SPAN = 1_000_000
+
+
+def numbered_within(df: DataFrame, group: list[str], order: str, out: str, span: int = SPAN) -> DataFrame:
+    """df with each row's place (from 0) in its group by a numeric order, counted within spans of it, and before them by a row for each span."""
+    spans = df.withColumn("_span", F.floor(F.col(order) / span))
+    counted = spans.groupBy(*group, "_span").agg(F.count("*").alias("_count"))
+    before = Window.partitionBy(*group).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = counted.withColumn("_earlier", F.coalesce(F.sum("_count").over(before), F.lit(0))).drop("_count")
+    place = F.row_number().over(Window.partitionBy(*group, "_span").orderBy(order)) - 1
+    return spans.withColumn("_in_span", place).join(earlier, [*group, "_span"]).withColumn(out, F.col("_earlier") + F.col("_in_span")).drop("_span", "_in_span", "_earlier")
+
+
+def padded_batches(df: DataFrame, batch: str, ids: str, label: str, pad: int, fatal: bool = True) -> DataFrame:
+    """input_ids, attention_mask and labels, each padded to its batch's longest row; empty rows are left out.
+
+    A batch of empty rows alone ends the job, or with fatal=False leaves no row.
+    """
+    longest = F.max(F.size(ids)).over(Window.partitionBy(batch))
+    checked = F.when(longest > 0, longest).otherwise(F.raise_error(F.concat(F.lit("no row with ids in batch "), F.col(batch).cast("string"))) if fatal else F.lit(0))
+    rows = df.withColumn("_to", checked.cast("int")).where((F.col("_to") > 0) & (F.size(ids) > 0))
     own = padded(F.col(ids), F.col("_to"), pad)
     return rows.withColumns({"input_ids": own, "attention_mask": attention(own, pad), "labels": padded(F.col(label), F.col("_to"), IGNORED)}).drop("_to")
 

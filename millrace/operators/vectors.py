@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.scoring import novelty, novelty_tier
+from millrace.functions.text import reasoning_slice, sentences, stripped
+from millrace.operators.stats import quantiles
 from millrace.session import ship
 
 
@@ -39,6 +41,14 @@ def cluster_count(n: int) -> int:
     return min(64, max(8, n // 50))
 
 
+def lloyd_round(vectors: DataFrame, centroids: list[list[float]], vector: str = "embedding") -> DataFrame:
+    """centroid (from 0) and the mean vector of those nearest to it by Euclidean distance, ties to the first; one without any has no row."""
+    table = F.array(*(F.array(*map(F.lit, c)) for c in centroids))
+    far = F.transform(table, lambda c: F.aggregate(F.zip_with(F.col(vector), c, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
+    near = vectors.select(vector, far.alias("_far")).select(vector, (F.array_position("_far", F.array_min("_far")) - 1).cast("int").alias("nearest"))
+    return mean_centroids(near, "nearest", vector).withColumnsRenamed({"nearest": "cluster"})
+
+
 def fit_centroids(vectors: DataFrame, *, k: int | None = None, tries: int = 10, vector: str = "embedding") -> list[list[float]]:
     """Centroids of the cheapest of several seeded k-means fits."""
     rows = vectors.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features")).persist()
@@ -51,8 +61,8 @@ def fit_centroids(vectors: DataFrame, *, k: int | None = None, tries: int = 10,
 
 def distance_norm(distances: DataFrame, share: float = 0.9, distance: str = "distance") -> DataFrame:
     """The linear quantile of the distances at a share within [0.75, 0.99]; 1 if it is next to nothing."""
-    q = F.percentile(distance, F.lit(min(max(share, 0.75), 0.99)))
-    return distances.agg(F.when(q < 1e-6, 1.0).otherwise(q).alias("norm"))
+    cut = quantiles(distances, distance, [], {"q": min(max(share, 0.75), 0.99)})
+    return cut.select(F.when(F.col("q") < 1e-6, 1.0).otherwise(F.col("q")).alias("norm"))
 
 
 def text_novelty(distances: DataFrame, norm: DataFrame, *, text: str = "text_id", distance: str = "distance") -> DataFrame:
@@ -68,3 +78,23 @@ def encoded(sentences: DataFrame, encoder: Callable[[list[str]], list[list[float
     ship(sentences.sparkSession)
     run = F.pandas_udf(lambda s: pd.Series([[float(x) for x in v] for v in encoder(s.tolist())]), "array<float>")
     return sentences.withColumn("embedding", run(column))
+
+
+def evaluated(texts: DataFrame, encoder: Callable[[list[str]], list[list[float]]], centroids: list[list[float]], norm: float, *, id_col: str = "text_id", text_col: str = "text") -> DataFrame:
+    """Distance statistics, novelty and tier of a batch of texts by their sentences; a text without sentences has no row."""
+    parts = texts.select(F.col(id_col).alias("text_id"), F.explode(sentences(text_col)).alias("sentence"))
+    near = nearest_centroid(encoded(parts, encoder), centroids)
+    return text_novelty(near, texts.sparkSession.range(1).select(F.lit(float(norm)).alias("norm")))
+
+
+def evaluated_file(lines: DataFrame, encoder: Callable[[list[str]], list[list[float]]], centroids: list[list[float]], norm: float, most_lines: int | None = None) -> DataFrame:
+    """The same of the reasoning in a file's JSON lines (a row of sources.lines each), text_id the line's number.
+
+    most_lines caps raw lines, blank and unreadable ones included; the reasoning is the field of that name, else what
+    stands behind its tag in the output field.
+    """
+    read = lines.where(F.col("_line") <= most_lines) if most_lines else lines
+    record = F.from_json("value", "reasoning string, output string")
+    said = F.coalesce(F.nullif(stripped(record["reasoning"]), F.lit("")), F.nullif(reasoning_slice(record["output"], F.lit("")), F.lit("")))
+    rows = read.select(F.col("_line").alias("text_id"), said.alias("text")).where("text IS NOT NULL")
+    return evaluated(rows, encoder, centroids, norm)

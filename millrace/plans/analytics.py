@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +9,8 @@ from millrace.functions import scoring
 from millrace.operators import matrix, rollout, stats, vectors
 from millrace.operators.scoring import sample_scores
 from millrace.plans.corpus import table
+from millrace.session import scratch
+from millrace.streaming.rollout_log import to_sink, windowed
 
 
 def json_property_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def upper_median_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def describe_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(*stats.described("o_totalprice"))
+    d = stats.described(table(spark, sf_dir, "orders"), "o_totalprice", ["o_orderpriority"])
     return d.select("o_orderpriority", "n", *(F.round(c, 4).alias(c) for c in ("mean", "median", "std", "min", "max", "p25", "p75")))
 
 
@@ -152,15 +152,13 @@ def judge_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rollout_stream_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts, mean values and shares of clicks by a stream over events that stops when all is read."""
-    from millrace.streaming.rollout_log import to_sink, windowed
-
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    out = f"{where.rstrip('/')}/rollout-{uuid.uuid4().hex}"
+    out = scratch(spark, "rollout")
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*.parquet")
     ok = stream.withColumn("ok_format", F.col("event_type") == "click").withColumn("ts", F.col("ts").cast("timestamp"))
     hourly = windowed(ok, time="ts", reward="value")
-    to_sink(hourly, lambda df, k: df.write.mode("append").parquet(f"{out}/rows"), f"{out}/checkpoint", mode="complete").awaitTermination()
+    # A batch of the complete mode holds the whole result, so the last one stands for all.
+    to_sink(hourly, lambda df, k: df.write.mode("overwrite").parquet(f"{out}/rows"), f"{out}/checkpoint", mode="complete").awaitTermination()
     return spark.read.schema(hourly.schema).parquet(f"{out}/rows").select("window_start", "n", F.round("mean_reward", 6).alias("mean_reward"), F.round("ok_share", 6).alias("ok_share"))
 
 

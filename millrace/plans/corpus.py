@@ -27,24 +27,16 @@ def chat_first_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.groupBy("conv_id").agg(first("user").alias("user"), first("assistant").alias("assistant"))
 
 
-def cpt_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(F.trim("text") != "")
-    return docs.select(F.concat(F.lit("cpt-"), F.col("doc_id").cast("string")).alias("id"), F.lit("cpt").alias("source"), F.lit("").alias("system"), F.lit("").alias("user"), F.trim("text").alias("assistant_raw"), F.coalesce("source", F.lit("unknown")).alias("channel"))
-
-
 def mixed_corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents capped for each language (50) and tripled, with first-turn chats: rows by source."""
-    return _mixed(spark, sf_dir, mixing.cap_per_group(table(spark, sf_dir, "documents").select("lang", "doc_id"), "lang", "doc_id", 50))
-
-
-def mixed_corpus_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of all documents."""
-    return _mixed(spark, sf_dir, table(spark, sf_dir, "documents").select("lang", "doc_id"))
+    """All documents tripled, with first-turn chats: rows by source."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("cpt-"), "lang").alias("source"))
+    mixed = mixing.union_sources([mixing.replicate(docs, 3).select("source"), None, chat_first_turn(spark, sf_dir).select(F.lit("chat").alias("source"))])
+    return mixed.groupBy("source").agg(F.count("*").alias("n"))
 
 
-def _mixed(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
-    mixed = mixing.union_sources([mixing.replicate(docs.select(F.concat(F.lit("cpt-"), "lang").alias("source")), 3).select("source"), chat_first_turn(spark, sf_dir).select(F.lit("chat").alias("source"))])
-    return mixed.groupBy("source").agg(F.count("*").alias("n"))
+def language_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 50 documents of each language (the cap is the feature)."""
+    return mixing.cap_per_group(table(spark, sf_dir, "documents").select("lang", "doc_id"), "lang", "doc_id", 50)
 
 
 def seeded_shuffle_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,17 +70,8 @@ def truncation_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sequence_packing_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of 1024 that each batch of 32 documents of a source packs into, in order; longer documents are cut to 1024, as its SQL."""
-    return _packing(length_sorted_batches(spark, sf_dir).withColumn("n", F.least("n", F.lit(1024))))
-
-
-def sequence_packing_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with true lengths: documents above 1024 stand alone and lose nothing."""
-    return _packing(length_sorted_batches(spark, sf_dir))
-
-
-def _packing(lengths: DataFrame) -> DataFrame:
-    batched = lengths.withColumn("batch", F.concat_ws("/", "source", F.col("batch_id").cast("string")))
+    """Rows of 1024 that each batch of 32 documents of a source packs into, in order; documents above 1024 stand alone."""
+    batched = length_sorted_batches(spark, sf_dir).withColumn("batch", F.concat_ws("/", "source", F.col("batch_id").cast("string")))
     packed = tokens.pack_in_order(batched.select("batch", "doc_id", "n"), length="n", order="doc_id", group="batch", limit=1024)
     return packed.groupBy("batch").agg((F.max("pack_id") + 1).alias("packs"), F.count("*").alias("sequences"), F.sum("n").alias("tokens"))
 
@@ -102,36 +85,14 @@ def keyword_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.round(score, 6).alias("quality"))
 
 
-def tag_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    return pages.select("page_id", F.trim(title).alias("title"), F.length(F.regexp_replace("html", "<[^>]+>", "")).alias("text_chars"))
-
-
-def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first document of each text, with the number of its copies."""
-    docs = table(spark, sf_dir, "documents")
-    kept = docs.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    return kept.select("doc_id", "copies", F.length("text").alias("n_chars"))
-
-
 def _found(c: Column) -> list:
     low = F.lower(c)
     return [F.when(F.contains(low, F.lit(k)), k) for k in dict.fromkeys(KEYWORDS)]
 
 
 def bad_feature_fscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Agreement of rule-based and keyword-based feature sets of labelled documents; keywords of the first 400 characters only, as its SQL."""
-    return _fscore(spark, sf_dir, F.substring("text", 1, 400))
-
-
-def bad_feature_fscore_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with keywords of whole texts."""
-    return _fscore(spark, sf_dir, F.col("text"))
-
-
-def _fscore(spark: SparkSession, sf_dir: str, searched: Column) -> DataFrame:
-    predicted = F.array_compact(F.array(*_found(searched)))
+    """Agreement of rule-based and keyword-based feature sets of labelled documents, keywords of whole texts."""
+    predicted = F.array_compact(F.array(*_found(F.col("text"))))
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", predicted.alias("predicted"))  # before the join, which texts stay out of
     rows = docs.join(table(spark, sf_dir, "labels"), "doc_id")
     bad = F.array_compact(F.array(F.when(F.col("n_chars") > 2000, "the"), F.when(F.col("quality") == 0, "ing"), F.when(F.col("toxic") == 1, "tion"), F.when(F.col("lang") == "en", "with")))
@@ -163,9 +124,9 @@ def top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sets of the distinct words of each document's first and last line."""
-    first, last = (tokens.words(F.substring_index("text", "\n", k)) for k in (1, -1))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.array_intersect(first, last)).alias("both"), F.size(F.array_except(first, last)).alias("only_first"), F.size(F.array_except(last, first)).alias("only_last"), F.size(F.array_union(first, last)).alias("either"), F.size(F.array_distinct(first)).alias("distinct_first"))
+    """Sets of the distinct words of each document and of the document behind its first line."""
+    whole, rest = tokens.words("text"), tokens.words(F.substr("text", F.length(F.substring_index("text", "\n", 1)) + 1))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.array_intersect(whole, rest)).alias("both"), F.size(F.array_except(whole, rest)).alias("only_first"), F.size(F.array_except(rest, whole)).alias("only_last"), F.size(F.array_union(whole, rest)).alias("either"), F.size(F.array_distinct(whole)).alias("distinct_first"))
 
 
 def phrase_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,12 +135,6 @@ def phrase_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def positional_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """positional_join_whole, of each text its first 40 characters, as its SQL."""
-    both = positional_join_whole(spark, sf_dir)
-    return both.select("place", F.substring("item_text", 1, 40).alias("item_start"), F.substring("doc_text", 1, 40).alias("doc_start"))
-
-
-def positional_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items beside documents of the same place; every item, with an empty text where there is no document."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("place"), F.col("text").alias("doc_text"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("place"), F.col("text").alias("item_text"))
@@ -187,18 +142,9 @@ def positional_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def domain_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-line outputs of assistant turns that get tags, for even conversations as chem; of first lines only, as its SQL."""
-    return _normalised(spark, sf_dir, F.substring_index("text", "\n", 1))
-
-
-def domain_normalised_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of whole turns."""
-    return _normalised(spark, sf_dir, F.col("text"))
-
-
-def _normalised(spark: SparkSession, sf_dir: str, said: Column) -> DataFrame:
+    """Two-line outputs of whole assistant turns that get tags, for even conversations as chem."""
     turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    raw = F.concat(F.lit("Reasoning: "), said, F.lit("\nnoise\nOptimized SMILES: "), F.col("conv_id").cast("string"))
+    raw = F.concat(F.lit("Reasoning: "), "text", F.lit("\nnoise\nOptimized SMILES: "), F.col("conv_id").cast("string"))
     source = F.when(F.col("conv_id") % 2 == 0, "chem").otherwise("ultrachat")
     return turns.select("conv_id", "turn", text.domain_output(raw, source).alias("output"))
 
@@ -221,22 +167,18 @@ def _score_sql(keys: str) -> str:
 QUERIES = {
     f.__name__: f
     for f in (
-        chat_first_turn, cpt_records, mixed_corpus_counts, seeded_shuffle_sample, train_val_split, length_cap_p99, length_sorted_batches,
-        truncation_budget, sequence_packing_stats, sentence_split_count, keyword_quality_score, tag_extract, exact_dedup, bad_feature_fscore,
+        chat_first_turn, mixed_corpus_counts, language_cap, seeded_shuffle_sample, train_val_split, length_cap_p99, length_sorted_batches,
+        truncation_budget, sequence_packing_stats, sentence_split_count, keyword_quality_score, bad_feature_fscore,
         binary_f1_by_length, corpus_report, top_words, feature_set_algebra, phrase_theta_join, positional_join, domain_normalised,
-        bad_feature_fscore_whole,
-        sequence_packing_whole,
-        positional_join_whole, domain_normalised_whole,
-        mixed_corpus_counts_whole,
     )
 }
 
 ORACLE_SQL = {
     "chat_first_turn": _CHAT,
-    "cpt_records": "SELECT 'cpt-' || doc_id AS id, 'cpt' AS source, '' AS system, '' AS \"user\", trim(text) AS assistant_raw, coalesce(source, 'unknown') AS channel FROM documents WHERE trim(text) <> ''",
     "mixed_corpus_counts": f"""
-        SELECT 'cpt-' || lang AS source, 3 * count(*) AS n FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) WHERE r <= 50 GROUP BY lang
+        SELECT 'cpt-' || lang AS source, 3 * count(*) AS n FROM documents GROUP BY lang
         UNION ALL SELECT 'chat', count(*) FROM ({_CHAT}) HAVING count(*) > 0""",
+    "language_cap": "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) WHERE r <= 50",
     "seeded_shuffle_sample": f"SELECT doc_id, lang, {_MD5} AS shuffle_key FROM documents ORDER BY shuffle_key, doc_id LIMIT 100",
     "train_val_split": f"SELECT doc_id, CASE WHEN ('0x' || substr({_MD5}, 1, 8))::BIGINT % 10000 < 500 THEN 'validation' ELSE 'train' END AS split FROM documents",
     "length_cap_p99": f"SELECT lang, greatest(16, least(3072, floor(quantile_cont(n, 0.99))))::INT AS cap FROM (SELECT lang, len({_WORDS.format('text')})::DOUBLE AS n FROM documents) GROUP BY lang",
@@ -250,7 +192,7 @@ ORACLE_SQL = {
         SELECT doc_id, domain, prompt_n, answer_n, (CASE WHEN over THEN least(prompt_n, 2048 - answer_kept) ELSE prompt_n END)::INT AS prompt_kept, answer_kept::INT AS answer_kept FROM k""",
     "sequence_packing_stats": f"""
         WITH RECURSIVE b AS (
-            SELECT source || '/' || batch_id AS batch, least(n, 1024) AS n, row_number() OVER (PARTITION BY source, batch_id ORDER BY doc_id) AS r FROM ({_BATCHES})),
+            SELECT source || '/' || batch_id AS batch, n, row_number() OVER (PARTITION BY source, batch_id ORDER BY doc_id) AS r FROM ({_BATCHES})),
         fold AS (
             SELECT batch, r, n AS used, 1 AS packs FROM b WHERE r = 1
             UNION ALL SELECT b.batch, b.r, CASE WHEN used + 1 + b.n > 1024 THEN b.n ELSE used + 1 + b.n END, packs + CASE WHEN used + 1 + b.n > 1024 THEN 1 ELSE 0 END
@@ -258,13 +200,11 @@ ORACLE_SQL = {
         SELECT batch, max(packs)::BIGINT AS packs, (SELECT count(*) FROM b WHERE b.batch = fold.batch) AS sequences, (SELECT sum(n)::BIGINT FROM b WHERE b.batch = fold.batch) AS tokens FROM fold GROUP BY batch""",
     "sentence_split_count": r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[\n\.!?]\s+'), lambda s: length(trim(s)) >= 8))::INT AS n_sentences FROM documents",
     "keyword_quality_score": f"SELECT doc_id, round(CASE WHEN trim(text) = '' THEN 0.0 ELSE least(({_score_sql(_KEYS)} + {_score_sql(_KEYS2)}) / 2 + least(length(text) / 500, 0.2), 1.0) END, 6)::DOUBLE AS quality FROM documents",
-    "tag_extract": "SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, length(regexp_replace(html, '<[^>]+>', '', 'g'))::INT AS text_chars FROM pages",
-    "exact_dedup": "SELECT min(doc_id) AS doc_id, count(*) AS copies, length(text)::INT AS n_chars FROM documents GROUP BY text",
     "bad_feature_fscore": f"""
         WITH sets AS (
             SELECT doc_id, n_chars > 100 AS reasoned,
                 list_filter([CASE WHEN n_chars > 2000 THEN 'the' END, CASE WHEN quality = 0 THEN 'ing' END, CASE WHEN toxic = 1 THEN 'tion' END, CASE WHEN lang = 'en' THEN 'with' END], lambda x: x IS NOT NULL) AS bad,
-                list_filter({_DISTINCT_KEYS}, lambda k: contains(lower(substr(text, 1, 400)), k)) AS pred
+                list_filter({_DISTINCT_KEYS}, lambda k: contains(lower(text), k)) AS pred
             FROM documents JOIN labels USING (doc_id)),
         c AS (SELECT doc_id, reasoned, len(bad)::DOUBLE AS b, len(pred)::DOUBLE AS q, len(list_intersect(bad, pred))::DOUBLE AS t FROM sets),
         f AS (SELECT *, CASE WHEN q > 0 THEN t / q END AS p, CASE WHEN b > 0 THEN t / b END AS r FROM c),
@@ -285,22 +225,12 @@ ORACLE_SQL = {
     "feature_set_algebra": f"""
         SELECT doc_id, len(list_intersect(list_distinct(a), list_distinct(b)))::INT AS both, len(list_filter(list_distinct(a), lambda x: NOT list_contains(b, x)))::INT AS only_first,
             len(list_filter(list_distinct(b), lambda x: NOT list_contains(a, x)))::INT AS only_last, len(list_distinct(list_concat(a, b)))::INT AS either, len(list_distinct(a))::INT AS distinct_first
-        FROM (SELECT doc_id, {_WORDS.format("split_part(text, chr(10), 1)")} AS a, {_WORDS.format("split_part(text, chr(10), -1)")} AS b FROM documents)""",
+        FROM (SELECT doc_id, {_WORDS.format("text")} AS a, {_WORDS.format("substr(text, length(split_part(text, chr(10), 1)) + 1)")} AS b FROM documents)""",
     "phrase_theta_join": "SELECT doc_id, feature, arg_min(direction, pos) AS direction FROM documents JOIN (VALUES " + ", ".join(str(p) for p in PHRASES) + ") p(phrase, feature, direction, pos) ON contains(lower(text), phrase) GROUP BY doc_id, feature",
-    "positional_join": "SELECT item_id AS place, substr(b.text, 1, 40) AS item_start, coalesce(substr(d.text, 1, 40), '') AS doc_start FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id",
-    "domain_normalised": """
-        SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN trim('Reasoning: ' || split_part(text, chr(10), 1)) || chr(10) || 'Optimized SMILES: ' || conv_id || chr(10) || '<END>'
-            ELSE 'Reasoning: ' || split_part(text, chr(10), 1) || chr(10) || 'noise' || chr(10) || 'Optimized SMILES: ' || conv_id END AS output
-        FROM conversations WHERE role = 'assistant'""",
+    "positional_join": "SELECT item_id AS place, b.text AS item_text, coalesce(d.text, '') AS doc_text FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id",
+    "domain_normalised": r"""
+        WITH raw AS (SELECT conv_id, turn, 'Reasoning: ' || text || chr(10) || 'noise' || chr(10) || 'Optimized SMILES: ' || conv_id AS said FROM conversations WHERE role = 'assistant'),
+        own AS (SELECT *, list_transform(regexp_split_to_array(said, '\r\n|\r|\n'), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS l FROM raw),
+        two AS (SELECT *, list_filter(l, lambda x: regexp_matches(x, '(?i)^\s*Reasoning\s*:'))[-1] || chr(10) || list_filter(l, lambda x: regexp_matches(x, '(?i)^\s*Optimized[_\s-]*SMILES\s*:'))[-1] AS pair FROM own)
+        SELECT conv_id, turn, CASE WHEN conv_id % 2 <> 0 THEN said WHEN contains(pair, '<END>') THEN pair ELSE pair || chr(10) || '<END>' END AS output FROM two""",
 }
-
-#: Counterparts of the queries over whole texts and tables, beside those whose SQL fixes a cut.
-ORACLE_SQL["bad_feature_fscore_whole"] = ORACLE_SQL["bad_feature_fscore"].replace("substr(text, 1, 400)", "text")
-ORACLE_SQL["sequence_packing_whole"] = ORACLE_SQL["sequence_packing_stats"].replace("least(n, 1024) AS n", "n")
-ORACLE_SQL["positional_join_whole"] = "SELECT item_id AS place, b.text AS item_text, coalesce(d.text, '') AS doc_text FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id"
-ORACLE_SQL["domain_normalised_whole"] = r"""
-    WITH raw AS (SELECT conv_id, turn, 'Reasoning: ' || text || chr(10) || 'noise' || chr(10) || 'Optimized SMILES: ' || conv_id AS said FROM conversations WHERE role = 'assistant'),
-    own AS (SELECT *, list_transform(regexp_split_to_array(said, '\r\n|\r|\n'), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS l FROM raw),
-    two AS (SELECT *, list_filter(l, lambda x: regexp_matches(x, '(?i)^\s*Reasoning\s*:'))[-1] || chr(10) || list_filter(l, lambda x: regexp_matches(x, '(?i)^\s*Optimized[_\s-]*SMILES\s*:'))[-1] AS pair FROM own)
-    SELECT conv_id, turn, CASE WHEN conv_id % 2 <> 0 THEN said WHEN contains(pair, '<END>') THEN pair ELSE pair || chr(10) || '<END>' END AS output FROM two"""
-ORACLE_SQL["mixed_corpus_counts_whole"] = ORACLE_SQL["mixed_corpus_counts"].replace(" WHERE r <= 50", "")

@@ -86,14 +86,19 @@ def _said(role: str) -> Column:
     return F.coalesce(F.try_element_at(F.filter("messages", lambda m: (m["role"] == role) & (clean(m["content"]) != "")), F.lit(1))["content"], F.lit(""))
 
 
-def chat_records(spark: SparkSession, folder: str, limit: int = 20_000) -> DataFrame:
+def _first(rows: DataFrame, limit: int | None) -> DataFrame:
+    """The first rows by file and line; all of them without a limit."""
+    return rows if limit is None else rows.orderBy(FILE, LINE).limit(limit)
+
+
+def chat_records(spark: SparkSession, folder: str, limit: int | None = 20_000) -> DataFrame:
     """The first user and first assistant text of each line of *.jsonl files, by file and line; at most `limit` kept rows."""
     rows = jsonl(spark, folder, MESSAGES, pattern="*.jsonl")
     has = F.size(F.coalesce("messages", F.array())) > 0
     user = F.when(has, stripped(_said("user"))).otherwise(clean("prompt"))
     reply = F.when(clean("response") != "", clean("response")).otherwise(clean("output"))
     kept = rows.select(FILE, LINE, user.alias("user"), F.when(has, stripped(_said("assistant"))).otherwise(reply).alias("assistant_raw")).where("user <> '' OR assistant_raw <> ''")
-    first = numbered(kept.orderBy(FILE, LINE).limit(limit), "id", "chat-")
+    first = numbered(_first(kept, limit), "id", "chat-")
     return first.select("id", F.lit("ultrachat").alias("source"), F.lit("").alias("system"), "user", "assistant_raw", FILE, LINE)
 
 
@@ -136,21 +141,35 @@ def qa_records(spark: SparkSession, line_files: list[str], array_files: list[str
     return rows.select(F.concat(F.lit("qa-"), F.element_at(F.split(FILE, "/"), -1), F.lit("-"), F.col(LINE).cast("string")).alias("id"), F.lit("chem").alias("source"), F.lit(system).alias("system"), user.alias("user"), clean("output").alias("assistant_raw"), FILE, LINE)
 
 
-def message_records(spark: SparkSession, path: str, limit: int) -> DataFrame:
+def message_records(spark: SparkSession, path: str, limit: int | None) -> DataFrame:
     """Lines with at least two messages: the first is the user's unless its role differs, the second the assistant's likewise."""
     rows = jsonl(spark, path, MESSAGES).where(F.size("messages") >= 2)
     m = lambda k: F.get("messages", F.lit(k))
     user = F.when(m(0)["role"] == "user", m(0)["content"]).otherwise(m(1)["content"])
     reply = F.when(m(1)["role"] == "assistant", m(1)["content"]).otherwise(m(0)["content"])
-    return rows.orderBy(FILE, LINE).limit(limit).select(F.lit("chem").alias("source"), F.lit("").alias("system"), clean(user).alias("user"), clean(reply).alias("assistant_raw"), "dataset", FILE, LINE)
+    return _first(rows, limit).select(F.lit("chem").alias("source"), F.lit("").alias("system"), clean(user).alias("user"), clean(reply).alias("assistant_raw"), "dataset", FILE, LINE)
 
 
-def plain_records(spark: SparkSession, path: str, limit: int) -> DataFrame:
+def plain_records(spark: SparkSession, path: str, limit: int | None) -> DataFrame:
     """Plain texts with their channel; empty ones are left out."""
-    rows = numbered(jsonl(spark, path, "text string, channel string").where(clean("text") != "").orderBy(FILE, LINE).limit(limit), "id", "cpt-")
+    rows = numbered(_first(jsonl(spark, path, "text string, channel string").where(clean("text") != ""), limit), "id", "cpt-")
     return rows.select("id", F.lit("cpt").alias("source"), F.lit("").alias("system"), F.lit("").alias("user"), clean("text").alias("assistant_raw"), F.coalesce("channel", F.lit("unknown")).alias("channel"), FILE, LINE)
 
 
+def validation_records(spark: SparkSession, path: str) -> DataFrame:
+    """_file, _line and record (JSON) of validation files, of equal records the first by file and line.
+
+    Where a file's first line that isn't blank is JSON, its lines are, up to the first that isn't; else each line is a
+    reasoning. Records are equal if they are with their fields sorted by name.
+    """
+    rows = lines(spark, path).where(stripped(VALUE) != "").select(FILE, LINE, stripped(VALUE).alias(VALUE), F.try_parse_json(stripped(VALUE)).alias("_v"))
+    first = rows.groupBy(FILE).agg(F.min_by(F.col("_v").isNotNull(), LINE).alias("_json"), F.min(F.when(F.col("_v").isNull(), F.col(LINE))).alias("_bad"))  # a row for each file
+    kept = rows.join(first, FILE).where(~F.col("_json") | F.col("_bad").isNull() | (F.col(LINE) < F.col("_bad")))
+    record = F.when(F.col("_json"), F.to_json("_v")).otherwise(F.to_json(F.struct(F.col(VALUE).alias("reasoning"))))
+    place = F.struct(FILE, LINE)
+    return kept.groupBy(record.alias("record")).agg(F.min(place).alias("_at")).select(F.col(f"_at.{FILE}").alias(FILE), F.col(f"_at.{LINE}").alias(LINE), "record")
+
+
 def sections(spark: SparkSession, path: str) -> DataFrame:
     """line_no and text: of `=== Line N ===` sections (the last of a number stays), or of the lines of the trimmed file, from 1."""
     whole = spark.read.text(path, wholetext=True).select("value")

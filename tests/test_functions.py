@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import scoring, text
 from millrace.operators import matrix, mixing, rollout, stats, tokens
+from millrace.operators import scoring as scoring_op
 
 
 def value(spark, column, **cells):
@@ -106,7 +107,8 @@ def test_judges_and_selectivity(spark):
 def test_statistics(spark):
     rows = spark.createDataFrame([(float(x), "g") for x in (1, 5, 2, 9, 4, 7)], "x double, g string")
     assert stats.upper_median(rows, "x", ["g"]).first()["upper_median"] == 5
-    d = rows.agg(*stats.described("x")).first()
+    d = stats.described(rows, "x", []).first()
+    assert stats.described(rows, "x", ["g"]).first()["median"] == 4.5
     assert (d["median"], d["p25"], round(d["std"], 6)) == (4.5, 2.5, 2.748737)
     assert stats.two_sided_p(2.0, 10) == pytest.approx(0.0733880, abs=1e-6)
     assert stats.two_sided_p(-0.5, 3) == pytest.approx(0.6514, abs=1e-4)
@@ -133,7 +135,45 @@ def test_record_fields(spark):
     assert value(spark, records.record_reasoning(of(output="none", Reasoning_text="r"))) == "r"
     assert value(spark, records.smiles_variants(F.lit(" C[C@H]O.Cl "))) == ["C[C@H]O.Cl", "C[CH]O.Cl", "C[C@H]O", "CO.Cl"]
     assert value(spark, records.smiles_variants(F.lit(" "))) == []
-    assert tuple(value(spark, records.alias_span(F.lit("the LogP of it"), "logP"))) == (4, 8)
-    assert value(spark, records.alias_span(F.lit("clogps"), "logP")) is None
-    assert tuple(value(spark, records.alias_span(F.lit("有毒性的"), "毒性"))) == (1, 3)
+    spans = lambda text, alias: [tuple(x) for x in value(spark, records.alias_spans(F.lit(text), alias))]
+    assert spans("the LogP of logp-s, clogp and logP", "logP") == [(4, 8), (12, 16), (30, 34)]
+    assert spans("clogps", "logP") == [] and spans(None, "x y") == []
+    assert spans("有毒性的毒性", "毒性") == [(1, 3)]
     assert value(spark, records.reasoning_quality(F.lit("Reduce 毒性"))) == pytest.approx((2 * 2 / 25 + 2 * 1 / 24 + 0 + 0) / 4 + 9 / 500)
+
+
+def test_many_ranges_rank_as_few(spark, monkeypatch):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 1009).cast("double").alias("x"), (F.col("id") % 3).alias("g"))
+    few = stats.quantiles(rows, "x", ["g"], {"a": 0.1, "b": 0.77}).collect()
+    monkeypatch.setattr(stats, "RANGE_VALUES", 10)
+    assert sorted(stats.quantiles(rows, "x", ["g"], {"a": 0.1, "b": 0.77}).collect()) == sorted(few)
+    for r in few:
+        own = sorted(float(k * 7919 % 1009) for k in range(5000) if k % 3 == r["g"])
+        for name, share in (("a", 0.1), ("b", 0.77)):
+            at = share * (len(own) - 1)
+            assert r[name] == pytest.approx(own[int(at)] + (own[int(at) + 1] - own[int(at)]) * (at - int(at)))
+
+
+def test_phrases_beyond_one_expression(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "Alpha beta"), (2, None), (3, "gamma")], "sample_id long, text string")
+    phrases = spark.createDataFrame([("alpha", "A", "up", 1), ("beta", "A", "down", 0), ("", "E", "up", 2), ("mm", "G", "up", 3), ("mm", "H", "down", 4)], "phrase string, feature string, direction string, pos int")
+    want = [(1, "A", "down"), (1, "E", "up"), (2, "E", "up"), (3, "E", "up"), (3, "G", "up"), (3, "H", "down")]
+    rows = lambda **o: sorted(tuple(r) for r in scoring_op.phrase_features(texts, phrases, **o).collect())
+    assert rows() == rows(inline=2) == want
+    monkeypatch.setattr(scoring_op, "AUTOMATON", 2)
+    assert rows(inline=2) == want
+
+
+def test_caps_and_places_across_spans(spark):
+    rows = spark.createDataFrame([(k, k % 4, "g") for k in range(100)], "k long, size long, g string")
+    for span in (7, 1000):
+        assert [r["k"] for r in mixing.until_cap(rows, "size", ["g"], "k", 20, span).orderBy("k").collect()] == list(range(15))
+        assert {r["k"]: r["p"] for r in tokens.numbered_within(rows, ["size"], "k", "p", span).collect()} == {k: k // 4 for k in range(100)}
+
+
+def test_a_batch_without_ids_ends_the_job(spark):
+    rows = spark.createDataFrame([(1, [1, 2]), (1, []), (2, [])], "b long, ids array<int>")
+    assert [r["input_ids"] for r in tokens.padded_batches(rows.where("b = 1"), "b", "ids", "ids", 0).collect()] == [[1, 2]]
+    assert tokens.padded_batches(rows, "b", "ids", "ids", 0, fatal=False).count() == 1
+    with pytest.raises(Exception, match="no row with ids in batch 2"):
+        tokens.padded_batches(rows, "b", "ids", "ids", 0).collect()
