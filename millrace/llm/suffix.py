@@ -5,12 +5,14 @@ in the same one before. Only windows that may repeat get into a suffix array:
 
 1. Each window picks an anchor, the GRAM bytes inside it with the smallest hash; equal windows pick equal anchors, so
    windows of different anchors need no comparison. Consecutive windows with the same anchor are a block.
-2. Blocks meet by anchor. Of blocks with equal bytes the first stays (a task drops its own repeats before the
-   shuffle); an anchor left with one block is settled.
+2. Blocks meet by anchor. Of blocks with equal bytes, by a cryptographic digest of 128 bits, the first stays (a task
+   drops its own repeats before the shuffle); an anchor left with one block is settled. Blocks of anchors that a bounded
+   sample shows to be common meet by their digests instead, and the first ones stay open, so that no anchor's blocks
+   meet in one task for being many.
 3. The other blocks' bytes, cut in two on either side of the anchor, meet by the bytes all their windows share
    (the core). Cores with several different segments form shards. A shard's suffixes are sorted by induced sorting;
    neighbours in the suffix array whose permuted common prefix reaches LENGTH hold equal windows, and of equal windows
-   the first stays. A core with more than MOST_SEGMENTS segments isn't sorted in one task: its windows are halved by
+   the first stays. Segments of common anchors are halved as often as HALVED says before they meet; and a core with more than MOST_SEGMENTS segments isn't sorted in one task: its windows are halved by
    how far before the core they start, which lengthens the cores, and meet again; at one window a core is the window.
 
 Places are (document, start); a document is its id and 15 bits of its text's hash, so that rows with one id and
@@ -36,9 +38,14 @@ STEP_BITS = 20
 #: Blocks a task holds to drop its own repeats, and segments of a core and bytes of a shard sorted at once.
 MOST_BLOCKS, MOST_SEGMENTS, SHARD_BYTES = 1 << 20, 4096, 1 << 20
 NO_ID = -(1 << 63)
+#: Documents of the sample that shows which anchors are common, the share of it that makes one common, and how often its
+#: segments are halved at once. They decide where blocks meet, never what is found.
+HOT_SAMPLE, HOT_SHARE, HALVED = 20_000, 0.005, 3
+#: Marks a block of a common anchor, on the anchor's offset.
+_HOT = 1 << 16
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BLOCK_SCHEMA = "core long, seg long, did long, tag int, q int, n int, a int"
+_BLOCK_SCHEMA = "core long, seg long, seg2 long, did long, tag int, q int, n int, a int"
 _PLACE_SCHEMA = "kind int, did long, tag int, q int, n int, a int"
 _SEGMENT_SCHEMA = "key long, did long, tag int, q int, seg binary, c int, d int"
 
@@ -69,11 +76,11 @@ def _hash_of(upto: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
 
 
 def blocks(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Blocks of the documents in data: document, first window's start, windows, anchor's offset in it, hashes of anchor and bytes."""
+    """Blocks of the documents in data: document, first window's start, windows, anchor's offset in it, hash of the anchor, digest of the bytes in two."""
     n = len(data)
     none = np.empty(0, np.int64)
     if n < length:
-        return none, none, none, none, none, none
+        return (none,) * 7
     upto = _prefix_hashes(data)
     at = np.arange(n - gram + 1)
     grams = _hash_of(upto, at, at + gram)
@@ -90,11 +97,14 @@ def blocks(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
     begins[1:] &= ~valid[:-1] | (anchor[1:] != anchor[:-1])
     start = np.flatnonzero(begins)
     if not len(start):
-        return none, none, none, none, none, none
+        return (none,) * 7
     stop = np.flatnonzero(valid & ~np.append(valid[1:] & ~begins[1:], False)) + 1
     doc = np.searchsorted(offsets, start, side="right") - 1
     a = anchor[start]
-    return doc, start - offsets[doc], stop - start, a - start, grams[a].view(np.int64), _hash_of(upto, start, stop + length - 1).view(np.int64)
+    whole, digest = memoryview(np.ascontiguousarray(data)), hashlib.blake2b
+    digests = b"".join([digest(whole[b:e], digest_size=16).digest() for b, e in zip(start.tolist(), (stop + length - 1).tolist(), strict=True)])
+    seg, seg2 = np.frombuffer(digests, np.int64).reshape(-1, 2).T
+    return doc, start - offsets[doc], stop - start, a - start, grams[a].view(np.int64), seg, seg2
 
 
 def _steps(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
@@ -128,21 +138,30 @@ def _after(did: np.ndarray, q: np.ndarray, first_did: np.ndarray, first_q: np.nd
 
 def _settle_own(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     """A task's blocks: the first of equal ones as they are; the rest, as runs of windows that go, under n below 0."""
-    did, tag, q, n, a, core, seg = (np.concatenate(c) for c in zip(*rows, strict=True))
-    order = np.lexsort((q, did, seg, core))
-    did, tag, q, n, a, core, seg = (c[order] for c in (did, tag, q, n, a, core, seg))
+    did, tag, q, n, a, core, seg, seg2 = (np.concatenate(c) for c in zip(*rows, strict=True))
+    order = np.lexsort((q, did, seg2, seg, core))
+    did, tag, q, n, a, core, seg, seg2 = (c[order] for c in (did, tag, q, n, a, core, seg, seg2))
     new = np.ones(len(q), bool)
-    new[1:] = (core[1:] != core[:-1]) | (seg[1:] != seg[:-1])
+    new[1:] = (core[1:] != core[:-1]) | (seg[1:] != seg[:-1]) | (seg2[1:] != seg2[:-1])
     first = np.maximum.accumulate(np.where(new, np.arange(len(q)), 0))
     gone = _after(did, q, did[first], q[first])
     rd, rt, rq, rn = _merged(did[gone], tag[gone], q[gone], n[gone])
     spread = _mixed((rd * 31 + rq).astype(np.int64).view(np.uint64)).view(np.int64)
     keep = ~gone
     join = lambda x, y: np.concatenate([x[keep], y])
-    return _batch(_BLOCK_SCHEMA, join(core, spread), join(seg, spread), join(did, rd), join(tag, rt), join(q, rq), join(n, -rn), join(a, np.zeros(len(rd), np.int64)))
+    return _batch(_BLOCK_SCHEMA, join(core, spread), join(seg, spread), join(seg2, spread), join(did, rd), join(tag, rt), join(q, rq), join(n, -rn), join(a, np.zeros(len(rd), np.int64)))
 
 
-def _block_rows(length: int, gram: int):
+def _block_rows(length: int, gram: int, common: np.ndarray):
+    """common: sorted hashes of the common anchors."""
+
+    def dealt(core: np.ndarray, seg: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where blocks meet, and the anchor's offset with its mark: blocks of common anchors by their digests."""
+        if not len(common):
+            return core, a
+        hot = common[np.minimum(np.searchsorted(common, core), len(common) - 1)] == core
+        return np.where(hot, seg, core), np.where(hot, a + _HOT, a)
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for batch in batches:
@@ -151,8 +170,9 @@ def _block_rows(length: int, gram: int):
             for a, b, lo, hi in _steps(offsets, length):
                 own = offsets[a : b + 1] - offsets[a]
                 own = np.array([0, hi - lo]) if hi - lo < own[-1] else own
-                doc, q, n, at, core, seg = blocks(data[offsets[a] + lo : offsets[a] + hi], own, length, gram)
-                held.append((ids[a + doc], tags[a + doc], q + lo, n, at, core, seg))
+                doc, q, n, at, core, seg, seg2 = blocks(data[offsets[a] + lo : offsets[a] + hi], own, length, gram)
+                core, at = dealt(core, seg, at)
+                held.append((ids[a + doc], tags[a + doc], q + lo, n, at, core, seg, seg2))
                 count += len(q)
                 if count > MOST_BLOCKS:
                     yield _settle_own(held)
@@ -163,20 +183,35 @@ def _block_rows(length: int, gram: int):
     return make
 
 
+def _anchors(length: int, gram: int):
+    """The anchors' hashes of a document's blocks, each once."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffers(batch.column("text"))
+            for a, b, lo, hi in _steps(offsets, length):
+                own = offsets[a : b + 1] - offsets[a]
+                own = np.array([0, hi - lo]) if hi - lo < own[-1] else own
+                doc, _, _, _, core, _, _ = blocks(data[offsets[a] + lo : offsets[a] + hi], own, length, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.stack([doc, core]), axis=1)[1])], ["core"])
+
+    return make
+
+
 def _settle_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks sorted by anchor, bytes and place: kind 0 for runs of windows that go, kind 1 for first blocks of anchors with several."""
     core0 = seg0 = did0 = q0 = pending = None
     for batch in batches:
-        core, seg, did, tag, q, n, a = (batch.column(k).to_numpy() for k in range(7))
+        core, seg, seg2, did, tag, q, n, a = (batch.column(k).to_numpy() for k in range(8))
         if not len(core):
             continue
         ready = n < 0
         new_core, new_seg = np.ones(len(q), bool), np.ones(len(q), bool)
         new_core[1:] = core[1:] != core[:-1]
-        new_seg[1:] = new_core[1:] | (seg[1:] != seg[:-1])
+        new_seg[1:] = new_core[1:] | (seg[1:] != seg[:-1]) | (seg2[1:] != seg2[:-1])
         if core0 is not None:
             new_core[0] = core[0] != core0
-            new_seg[0] = new_core[0] or seg[0] != seg0
+            new_seg[0] = new_core[0] or (seg[0], seg2[0]) != seg0
         at = np.maximum.accumulate(np.where(new_seg, np.arange(len(q)), -1))
         fd, fq = np.where(at >= 0, did[at], did0 or 0), np.where(at >= 0, q[at], q0 or 0)
         gone = ready | ~new_seg & _after(did, q, fd, fq)
@@ -185,15 +220,16 @@ def _settle_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         if len(firsts):
             if pending is not None and several[0]:
                 yield _batch(_PLACE_SCHEMA, np.ones(1), *pending)
-            open_ = several.copy()
+            hot = a[firsts] >= _HOT
+            open_ = several | hot
             open_[:-1] |= several[1:]
             k = firsts[open_ & ~ready[firsts]]
             yield _batch(_PLACE_SCHEMA, np.ones(len(k)), did[k], tag[k], q[k], n[k], a[k])
             last = firsts[-1]
-            pending = None if several[-1] or ready[last] else tuple(c[last : last + 1] for c in (did, tag, q, n, a))
+            pending = None if several[-1] or hot[-1] or ready[last] else tuple(c[last : last + 1] for c in (did, tag, q, n, a))
         rd, rt, rq, rn = _merged(did[gone], tag[gone], q[gone], np.abs(n[gone]))
         yield _batch(_PLACE_SCHEMA, np.zeros(len(rd)), rd, rt, rq, rn, np.zeros(len(rd)))
-        core0, seg0, did0, q0 = core[-1], seg[-1], fd[-1], fq[-1]
+        core0, seg0, did0, q0 = core[-1], (seg[-1], seg2[-1]), fd[-1], fq[-1]
 
 
 def _key_of(core: bytes) -> int:
@@ -232,12 +268,15 @@ def _segments(length: int, gram: int):
             for k, (did, tag, places) in enumerate(zip(batch.column("did").to_pylist(), batch.column("tag").to_pylist(), batch.column("places").to_pylist(), strict=True)):
                 text = data[offsets[k] : offsets[k + 1]].tobytes()
                 for p in places:
-                    q, n, a = p["q"], p["n"], p["a"]
+                    q, n, a, hot = p["q"], p["n"], p["a"] % _HOT, p["a"] >= _HOT
                     left = min(max(a - middle, 0), n)  # windows with more than `middle` bytes before the anchor
                     for first, m, c, d in ((q, left, a - middle - 1, length - middle - 1 - gram), (q + left, n - left, a - left, middle)):
                         if m:
-                            rows.append(_segment(did, tag, first, text[first : first + m - 1 + length], c, d, length))
-                            size += m + length
+                            own = [_segment(did, tag, first, text[first : first + m - 1 + length], c, d, length)]
+                            for _ in range(HALVED if hot else 0):
+                                own = [half for row in own for half in (_halves(row, length) if row[6] else (row,))]
+                            rows += own
+                            size += sum(len(row[4]) for row in own)
                 if size > 4 << 20:
                     yield _segment_batch(rows)
                     rows, size = [], 0
@@ -300,62 +339,95 @@ def _induced(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, size: int) -> np.
     return np.concatenate([np.array([len(s) - 1]), *out])
 
 
-#: Characters up to which buckets are induced one by one; names beyond that are sorted by doubling their prefixes.
+#: Characters up to which a bucket's places are induced together in numpy; the names of a recursion are more, and their
+#: places are induced one by one.
 _MOST_BUCKETS = 512
 
 
-def _doubled(s: np.ndarray) -> np.ndarray:
-    rank, h, n = s.astype(np.int64), 1, len(s)
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: n - h] = rank[h:] + 1
-        key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        rank[order] = new
-        h *= 2
-        if new[-1] == n - 1 or h >= n:
-            return order
-
-
-def suffix_array(s: np.ndarray) -> np.ndarray:
-    """The suffix array of s, whose last character is its one 0 and smallest."""
-    n, size = len(s), int(s.max()) + 1
-    if n < 3 or size > _MOST_BUCKETS:
-        return _doubled(s)
-    s = s.astype(np.int64)
+def _types(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which suffixes are smaller than the next one, and the leftmost of each run of these, in order of place."""
+    n = len(s)
     differs = np.append(np.flatnonzero(s[1:] != s[:-1]), n - 1)
     next_change = differs[np.searchsorted(differs, np.arange(n))]
     is_s = np.ones(n, bool)
     is_s[:-1] = s[next_change[:-1]] < s[next_change[:-1] + 1]
-    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
-    if len(lms) < 2:
-        return _induced(s, is_s, lms[lms < n - 1], size) if len(lms) and lms[0] < n - 1 else _induced_from_end(s, is_s, size)
-    # Leftmost-smaller substrings, sorted by induction from any order, get names; the string of names is sorted recursively.
-    order = _induced_all(s, is_s, lms, size)
-    in_text = np.full(n, -1, np.int64)
-    in_text[lms] = np.arange(len(lms))
-    sorted_lms = order[in_text[order] >= 0]
-    ends = np.append(lms[1:], n - 1)
-    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum((s.astype(np.uint64) + np.uint64(1)) * _powers_for(n)[:n])])
-    stop = np.minimum(ends + 1, n)
-    digest = _mixed((upto[stop] - upto[lms]) * _POWERS[0][1][lms] + (stop - lms).astype(np.uint64))
-    by_rank = digest[in_text[sorted_lms]]
+    return is_s, np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
+
+
+def _induced_each(s: list[int], is_s: list[bool], lms: list[int], counts: np.ndarray) -> np.ndarray:
+    """The order of all suffixes that the given order of leftmost-smaller ones induces, place by place."""
+    n, ends = len(s), np.cumsum(counts)
+    out, tails, heads = [-1] * n, ends.tolist(), (ends - counts).tolist()
+    for p in reversed(lms):
+        tails[s[p]] -= 1
+        out[tails[s[p]]] = p
+    for k in range(n):
+        p = out[k] - 1
+        if p >= 0 and not is_s[p]:
+            c = s[p]
+            out[heads[c]] = p
+            heads[c] += 1
+    tails = ends.tolist()
+    for k in range(n - 1, -1, -1):
+        p = out[k] - 1
+        if p >= 0 and is_s[p]:
+            c = s[p]
+            tails[c] -= 1
+            out[tails[c]] = p
+    out[0] = n - 1
+    return np.array(out)
+
+
+def _names(s: np.ndarray, lms: np.ndarray, ranked: np.ndarray) -> np.ndarray:
+    """A name for each leftmost-smaller substring (by rank of its place), equal ones alike, compared character by character.
+
+    lms: their places in order; ranked: the same places sorted by substring.
+    """
+    n, at = len(s), np.empty(len(s), np.int64)
+    at[lms] = np.arange(len(lms))
+    size = np.append(lms[1:], n - 1) - lms
+    a, b = ranked[:-1], ranked[1:]
+    same = size[at[a]] == size[at[b]]
+    live = np.flatnonzero(same)
+    for k in range(int(size.max()) + 1 if len(size) else 0):
+        live = live[k <= size[at[a[live]]]]
+        if not len(live):
+            break
+        equal = s[a[live] + k] == s[b[live] + k]
+        same[live[~equal]] = False
+        live = live[equal]
     names = np.empty(len(lms), np.int64)
-    names[in_text[sorted_lms]] = np.concatenate([[0], np.cumsum(by_rank[1:] != by_rank[:-1])])
-    if names.max() + 1 < len(lms):
-        lms = lms[suffix_array(names)]
-    else:
-        ranked = np.empty(len(lms), np.int64)
-        ranked[names] = lms
-        lms = ranked
-    return _induced_all(s, is_s, lms, size)
+    names[at[ranked]] = np.concatenate([[0], np.cumsum(~same)])
+    return names
 
 
-def _powers_for(n: int) -> np.ndarray:
-    if not _POWERS or len(_POWERS[0][0]) < n + 1:
-        _POWERS[:] = [_powers(max(n, 1 << STEP_BITS))]
-    return _POWERS[0][0]
+def suffix_array(s: np.ndarray) -> np.ndarray:
+    """The suffix array of s, whose last character is its one 0 and smallest, by induced sorting.
+
+    Leftmost-smaller substrings, sorted by induction from any order, get names; the string of names is sorted by
+    recursion until all differ, and its order induces that of all suffixes.
+    """
+    n, size = len(s), int(s.max()) + 1
+    if n < 3:
+        return np.argsort(s, kind="stable")
+    s = s.astype(np.int64)
+    is_s, lms = _types(s)
+    if size > _MOST_BUCKETS:
+        counts, chars, smaller = np.bincount(s, minlength=size), s.tolist(), is_s.tolist()
+        induce = lambda places: _induced_each(chars, smaller, places.tolist(), counts)
+    else:
+        induce = lambda places: _induced_all(s, is_s, places, size)
+    if len(lms) < 2:
+        return induce(lms if len(lms) else np.array([n - 1]))
+    is_lms = np.zeros(n, bool)
+    is_lms[lms] = True
+    order = induce(lms)
+    names = _names(s, lms, order[is_lms[order]])
+    if names.max() + 1 < len(lms):
+        return induce(lms[suffix_array(names)])
+    ranked = np.empty(len(lms), np.int64)
+    ranked[names] = lms
+    return induce(ranked)
 
 
 def _induced_all(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
@@ -364,23 +436,31 @@ def _induced_all(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, size: int) ->
     return order[1:] if order[1] == len(s) - 1 else order
 
 
-def _induced_from_end(s: np.ndarray, is_s: np.ndarray, size: int) -> np.ndarray:
-    return _induced_all(s, is_s, np.array([len(s) - 1]), size)
+def permuted_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """For each position of the text, the length of the prefix (up to `most`) that it shares with its neighbour before it in the suffix array.
 
-
-def repeated_prefix(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """For each position of the text, whether it shares `length` bytes with its neighbour before it in the suffix array (the permuted common prefix, cut off there)."""
-    before = np.full(len(text), -1, np.int64)
+    Lengths are in order of position (permuted), so texts are compared as they lie. They are found by halving steps, of
+    which each compares its bytes 8 at a time for the positions that still agree: work in proportion to the text.
+    """
+    n, step = len(text), 8
+    before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    padded = np.concatenate([text, np.zeros(length + 8, np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    words = np.ascontiguousarray(words).view("<u8").ravel()
-    live = np.flatnonzero((before >= 0) & (np.arange(len(text)) + length <= len(text)) & (before + length <= len(text)))
-    for k in [*range(0, length - 8, 8), length - 8]:
-        live = live[words[live + k] == words[before[live] + k]]
-    out = np.zeros(len(text), bool)
-    out[live] = True
-    return out
+    room = np.minimum(n - np.arange(n), n - before)
+    padded = np.concatenate([text, np.zeros(most + 16, np.uint8)])
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view("<u8").ravel()
+    out = np.zeros(n, np.int64)
+    live = np.flatnonzero(before >= 0)
+    while len(live):  # whole words first
+        at = out[live]
+        equal = words[live + at] == words[before[live] + at]
+        live = live[equal & (at < most)]
+        out[live] += step
+    close = np.flatnonzero((before >= 0) & (out < most))
+    apart = words[close + out[close]] ^ words[before[close] + out[close]]
+    low = apart & (~apart + np.uint64(1))  # the lowest bit that differs
+    same = np.where(apart == 0, 8, np.floor(np.log2(np.maximum(low, np.uint64(1)).astype(np.float64))).astype(np.int64) >> 3)
+    out[close] += same
+    return np.minimum(np.minimum(out, room), most) * (before >= 0)
 
 
 def repeats_in_shard(segs: list[bytes], did: np.ndarray, q: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -392,7 +472,7 @@ def repeats_in_shard(segs: list[bytes], did: np.ndarray, q: np.ndarray, length:
     s[seps] = 1
     order = suffix_array(np.append(s, 0))
     order = order[order < len(raw)]
-    same = repeated_prefix(raw, order, length)
+    same = permuted_prefixes(raw, order, length) >= length
     seg = np.repeat(np.arange(len(segs)), sizes + 1)
     offset = np.arange(len(raw)) - np.repeat(seps - sizes, sizes + 1)
     whole = offset + length <= sizes[seg]
@@ -514,17 +594,27 @@ def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(own.alias("doc_id"), F.coalesce(own, F.lit(NO_ID)).alias("did"), F.pmod(F.xxhash64(text), F.lit(1 << 15)).cast("int").alias("tag"), text.alias("text"))
 
 
+def _common_anchors(docs: DataFrame, texts: DataFrame, length: int, gram: int) -> np.ndarray:
+    """Sorted hashes of the anchors that are in HOT_SHARE of a sample's documents or more: at most its blocks / (HOT_SHARE * HOT_SAMPLE)."""
+    n = docs.count()
+    share = min(HOT_SAMPLE / max(n, 1), 1.0)
+    drawn = texts.where(F.pmod(F.xxhash64("did", "tag", F.lit("anchors")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    blocks_ = drawn.mapInArrow(_anchors(length, gram), "core long")
+    often = blocks_.groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") >= max(int(HOT_SHARE * min(n, HOT_SAMPLE)), 50))
+    return np.sort(often.select("core").toArrow()["core"].to_numpy())
+
+
 def repeated_places(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Runs of windows that go: did, tag (the document), q (first start), n (starts)."""
     bound_batches(docs.sparkSession)
     rows = _placed(docs, id_col, text_col)
     long_enough = rows.where(F.octet_length("text") >= length).select("did", "tag", "text")
-    found = long_enough.mapInArrow(_block_rows(length, gram), _BLOCK_SCHEMA)
-    met = found.repartition("core").sortWithinPartitions("core", "seg", "did", "q")
+    found = long_enough.mapInArrow(_block_rows(length, gram, _common_anchors(docs, long_enough, length, gram)), _BLOCK_SCHEMA)
+    met = found.repartition("core").sortWithinPartitions("core", "seg", "seg2", "did", "q")
     settled = materialize(met.mapInArrow(_settle_blocks, _PLACE_SCHEMA), "blocks")
     gone = settled.where("kind = 0").select("did", "tag", "q", "n")
     unsure = settled.where("kind = 1").groupBy("did", "tag").agg(F.collect_list(F.struct("q", "n", "a")).alias("places"))
-    segments = long_enough.join(unsure.hint("shuffle_hash"), ["did", "tag"]).mapInArrow(_segments(length, gram), _SEGMENT_SCHEMA)
+    segments = long_enough.join(unsure, ["did", "tag"]).mapInArrow(_segments(length, gram), _SEGMENT_SCHEMA)
     while True:
         by_core = segments.repartition("key").sortWithinPartitions("key", "seg", "did", "q")
         judged = materialize(by_core.mapInArrow(_settle_segments(length), _SETTLED_SCHEMA), "segments")
@@ -543,7 +633,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, i
     """
     gone = repeated_places(docs, length=length, gram=gram, id_col=id_col, text_col=text_col)
     by_doc = gone.groupBy("did", "tag").agg(F.collect_list(F.struct("q", "n")).alias("places"))
-    rows = _placed(docs, id_col, text_col).join(by_doc.hint("shuffle_hash"), ["did", "tag"], "left").select("doc_id", "text", "places")
+    rows = _placed(docs, id_col, text_col).join(by_doc, ["did", "tag"], "left").select("doc_id", "text", "places")
     return rows.mapInArrow(_kept(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
@@ -557,7 +647,7 @@ def keep_unrepeated(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
     by_doc = gone.groupBy("did", "tag").agg(F.collect_list(F.struct("q", "n")).alias(places)).withColumnsRenamed({"did": did, "tag": tag})
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.withColumns({did: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), tag: F.pmod(F.xxhash64(text), F.lit(1 << 15)).cast("int")})
-    joined = keyed.join(by_doc.hint("shuffle_hash"), [did, tag], "left").select(*docs.columns, places)
+    joined = keyed.join(by_doc, [did, tag], "left").select(*docs.columns, places)
     at = docs.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

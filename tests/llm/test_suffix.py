@@ -20,6 +20,45 @@ def test_suffix_arrays():
         assert suffix.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
 
 
+def test_suffix_arrays_of_many_letters():
+    rng = random.Random(2)
+    for n, size in ((2000, 1500), (3000, 600), (4000, 3)):
+        s = [rng.randint(1, size) for _ in range(n // 2)]
+        s = np.array([*s, *s[: n // 3], *s, 0])
+        assert suffix.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+
+
+def test_permuted_prefixes():
+    rng = random.Random(3)
+    for most in (7, 100):
+        text = "".join(rng.choice("ab") for _ in range(400)) * 2 + "a" * 150
+        raw = np.frombuffer(text.encode(), np.uint8)
+        order = suffix.suffix_array(np.append(raw.astype(np.int64) + 1, 0))
+        order = order[order < len(raw)]
+        want = [0] * len(raw)
+        for x, y in zip(order[:-1].tolist(), order[1:].tolist(), strict=True):
+            k = 0
+            while k < most and max(x, y) + k < len(text) and text[x + k] == text[y + k]:
+                k += 1
+            want[y] = k
+        assert suffix.permuted_prefixes(raw, order, most).tolist() == want
+
+
+def test_one_passage_in_all_documents(spark, monkeypatch):
+    """A common anchor's blocks meet by their bytes, and its segments by lengthened cores."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = word(300)
+    table = [(d, word(rng.randint(0, 150)) + passage[rng.randint(0, 9) :] + word(rng.randint(0, 150))) for d in range(400)]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    met = []
+    monkeypatch.setattr(suffix, "materialize", lambda df, name, make=suffix.materialize: met.append((name, make(df, name))) or met[-1][1])
+    common = suffix._common_anchors(docs, suffix._placed(docs, "doc_id", "text"), 100, 24)
+    assert len(common) >= 5
+    got = suffix.remove_repeats(docs).collect()
+    assert sorted(((r[0], r[1], r[2], r[3], hashlib.sha256(bytes(r[4])).hexdigest()) for r in got), key=str) == brute(table, 100)
+
+
 def first(d):
     return suffix.NO_ID if d is None else d
 
