@@ -78,7 +78,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_base(spark)}/millrace/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -87,8 +89,11 @@ def delete_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the shuffle files of plans that are used up go now, not when the driver happens to collect its garbage."""
+def release(spark: SparkSession, *used_up: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more, and let the shuffle files of plans that are used up go now, not when the driver happens to collect its garbage."""
+    for path in (df._scratch_path for df in used_up):
+        _written.remove((spark, path))
+        delete_path(spark, path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -6,7 +6,7 @@
    any order that all documents share, two sets that similar have a common shingle among the first n - ceil(0.8 n) + 1
    of each. The order puts shingles that a bounded sample shows to be common last and goes by hash else; it decides
    the length of posting lists, never what is found.
-3. Stars: each member of a posting list meets one other member of it, in later rounds one of the list's most frequent
+3. Stars: each member of a posting list meets one other member of it, in later rounds some of the list's most frequent
    component if it is outside, and goes on with its best candidate of all its lists. A large group of near copies so
    becomes few components without a square of its size.
 4. What is left are pairs across components, in lists where several meet. A pair goes on only if its sketches allow
@@ -37,8 +37,8 @@ SEED = 42
 SAMPLE, COMMON = 20_000, 8
 #: Words of 64 bits of a sketch.
 SKETCH = 16
-#: Rounds of stars between components.
-ROUNDS = 1
+#: Rounds of stars between components, and members of a list's most frequent component that the others meet in each.
+ROUNDS, HUBS = 2, 4
 #: Bits of the broadcast filter of rows whose whole sets are needed, in words of 64.
 WORDS = 1 << 18
 
@@ -117,7 +117,10 @@ def _own(texts: DataFrame) -> DataFrame:
 
 
 def _sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and set of the wanted rows (and of few others), made again from the texts: sets of all documents are larger than the texts."""
+    """node and set of the wanted rows, made again from the texts: sets of all documents are larger than the texts.
+
+    A few other rows pass the filter too; that repeats or adds a node, which changes no result.
+    """
     bit = F.pmod("row", F.lit(64 * WORDS))
     word, mask = F.shiftright(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
     words = wanted.select(word, mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))  # at most WORDS rows
@@ -128,7 +131,7 @@ def _sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             sets = [shingles(t) for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.array([digest(h) for h in sets], np.uint64).view(np.int64)), _lists(sets)], ["node", "shingles"])
 
-    return materialize(near.select("text").mapInArrow(compute, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    return materialize(near.select("text").mapInArrow(compute, "node long, shingles array<long>"), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -163,19 +166,23 @@ def _bounded(met: DataFrame, last: DataFrame) -> DataFrame:
 
 
 def similar_links(texts: DataFrame, own: DataFrame) -> DataFrame:
-    """Links (u, v) between distinct sets that connect all with a similarity of 0.8 or more."""
+    """Links (u, v) between distinct sets that connect all with a similarity of 0.8 or more; own is used up."""
     spark = texts.sparkSession
     nodes = materialize(own.groupBy("node").agg(F.min(F.struct("row", "n", "last", "fp")).alias("m"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")).select("node", "m.*", "sketch", "prefix"), "nodes")
     dealt = nodes.select(F.explode("prefix").alias("shingle"), "node", "n").repartition("shingle")  # one shuffle for both sides
     several = dealt.groupBy("shingle").agg(F.count("*").alias("members")).where("members > 1").select("shingle")
     met = materialize(dealt.join(several, "shingle", "left_semi"), "met")
-    release(spark)
+    whole, nodes = nodes, materialize(nodes.drop("prefix"), "nodes")
+    release(spark, whole, own)
     sketches = nodes.select("node", "n", "sketch")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = materialize(pairs, name)
         wanted = nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi").select("row")
-        return materialize(_verified(pairs, _sets(texts, wanted)), "links")
+        sets = _sets(texts, wanted)
+        links = materialize(_verified(pairs, sets).distinct(), "links")
+        release(spark, sets, pairs)
+        return links
 
     def best(pairs: DataFrame) -> DataFrame:
         """Of each node's pairs (u, v) that sketches allow, the one whose sketches differ least."""
@@ -195,18 +202,16 @@ def similar_links(texts: DataFrame, own: DataFrame) -> DataFrame:
     hubs = met.groupBy("shingle").agg(F.min_by("node", drawn(0)).alias("v"))
     stars = met.join(hubs, "shingle").where("node <> v").select(F.col("node").alias("u"), "v")
     links = verified(best(same.union(near).union(stars)), "candidates")
-    release(spark)
 
     for round_ in range(1, ROUNDS + 1):
         roots = connected_components(links).withColumnRenamed("node", "of")
         placed = met.join(roots, met["node"] == roots["of"], "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root"))
         placed = placed.repartition("shingle")  # one shuffle for both sides
-        parts = placed.groupBy("shingle", "root").agg(F.count("*").alias("members"), F.min_by("node", F.xxhash64("node", "shingle", F.lit(round_))).alias("hub"))
-        main = parts.groupBy("shingle").agg(F.max_by(F.struct("root", "hub"), F.struct("members", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("shingle", "main")
-        mixed = materialize(placed.join(main, "shingle").select("shingle", "node", "n", "root", F.col("main.root").alias("main"), F.col("main.hub").alias("hub")), "mixed")
+        parts = placed.groupBy("shingle", "root").agg(F.count("*").alias("members"), F.array(*(F.min_by("node", F.xxhash64("node", "shingle", F.lit(HUBS * round_ + k))) for k in range(HUBS))).alias("hubs"))
+        main = parts.groupBy("shingle").agg(F.max_by(F.struct("root", "hubs"), F.struct("members", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("shingle", "main")
+        mixed = materialize(placed.join(main, "shingle").select("shingle", "node", "n", "root", F.col("main.root").alias("main"), F.when(F.col("root") != F.col("main.root"), F.array_distinct("main.hubs")).alias("hubs")), "mixed")
         met = mixed.select("shingle", "node", "n")  # lists of one component stay so
-        found = verified(best(mixed.where("root <> main").select(F.col("node").alias("u"), F.col("hub").alias("v"))), "stars")
-        release(spark)
+        found = verified(best(mixed.where("root <> main").select(F.col("node").alias("u"), F.explode("hubs").alias("v"))), "stars")
         links = links.union(found)
 
     # Of each list, the members outside its most frequent component meet all others, each pair once.
@@ -235,6 +240,7 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), row_key(docs).alias("row"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     own = _own(texts)
+    rows = materialize(own.select("id", "row", "node"), "rows")
     roots = connected_components(similar_links(texts, own)).select(F.col("node").alias("of"), "root")
-    placed = own.join(roots, own["node"] == roots["of"], "left").select("id", "row", F.coalesce("root", "node").alias("root"))
+    placed = rows.join(roots, rows["node"] == roots["of"], "left").select("id", "row", F.coalesce("root", "node").alias("root"))
     return keep_one(docs, placed, id_col)
