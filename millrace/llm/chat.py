@@ -31,10 +31,20 @@ _PLAIN = {v[1]: k for k, v in _ESCAPES.items()}
 _ESCAPED = re.compile(r"\\(.)", re.S)
 
 
-@lru_cache(4096)
+#: Texts whose escaped forms are kept, and their characters at most: 16 MB or so in all.
+KEPT, KEPT_CHARS = 4096, 4096
+
+
+def _escaped(text: str) -> str:
+    return _CONTROL.sub(lambda m: _ESCAPES[m[0]], text)
+
+
+_kept_escape = lru_cache(KEPT)(_escaped)
+
+
 def escape(text: str) -> str:
     """Backslashes doubled, and the first character of each control string named by a letter."""
-    return _CONTROL.sub(lambda m: _ESCAPES[m[0]], text)
+    return _kept_escape(text) if len(text) <= KEPT_CHARS else _escaped(text)
 
 
 def unescape(text: str) -> str:
@@ -98,10 +108,11 @@ def locate(template: Template, turns: list[Turn]) -> tuple[str, list[tuple[int,
 def format_chats(conversations: DataFrame, *, template: Template = inst_template, trained: tuple[str, ...] = ("assistant",), id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, formatted, spans (role, start, end: code points), loss (start, end of the trained roles' texts), rewrites.
 
-    Turns go by number, then role and text; a null text, role or number counts as empty, empty and first; rows with a
-    null conv_id are one conversation; repeated rows are turns of their own; an empty table gives no row. A
-    conversation's rows come to one task, sorted by Spark, as each prefix needs the ones before. Other columns are
-    not read.
+    Turns go by number, of equal numbers by role and text; a null text, role or number counts as empty, empty and first;
+    rows with a null conv_id are one conversation; repeated rows are turns of their own; texts of any length go whole;
+    an empty table gives no row. A conversation's rows come to one task, sorted by Spark, as each prefix needs the
+    ones before, and it is rendered as often as it has turns: work goes with the square of its turns, so give rows that
+    are no conversation ids of their own. Other columns are not read.
     """
     bound_batches(conversations.sparkSession)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))

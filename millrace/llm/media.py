@@ -163,8 +163,8 @@ def decode(media: list[bytes]) -> list[tuple[bytes, bytes, str]]:
 def store_telephony(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes and media: each text's payload in a WAVE file whose codec the payload's checksum picks.
 
-    Null and empty texts are one unit of fill; equal texts have equal files; an empty table gives no row. Other
-    columns are not read.
+    Null and empty texts are one unit of fill; equal texts and repeated rows have equal files; ids may be null or repeat;
+    a text goes whole into one file, so its file must fit a row; an empty table gives no row. Other columns are not read.
     """
     bound_batches(docs.sparkSession)
 
@@ -178,7 +178,11 @@ def store_telephony(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def decode_telephony(stored_media: DataFrame) -> DataFrame:
-    """The table of store_telephony with payload, pcm (a WAVE file) and feature, from the stored bytes alone; a null file gives nulls."""
+    """The table of store_telephony with payload, pcm (a WAVE file) and feature, from the stored bytes alone.
+
+    A null file gives nulls; repeated rows repeat; an empty table gives no row. A file's sound has up to 8 bytes for a
+    byte of payload, and a row of Spark ends at 2 GB, so texts go up to about 200 MB; a longer one ends the job.
+    """
     bound_batches(stored_media.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -640,7 +640,8 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, i
 def keep_unrepeated(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows of docs, columns as they are, with only the kept bytes in their texts; bytes of a cut character are left out.
 
-    A null text stays null. Rows are told apart by id and text; equal rows lose the same bytes.
+    A null text stays null, empty and short ones lose nothing, and texts of any length are judged whole. Rows are told
+    apart by id and text, null ids come first; equal rows lose the same bytes; an empty table stays empty.
     """
     gone = repeated_places(docs, length=length, gram=gram, id_col=id_col, text_col=text_col)
     did, tag, places = (fresh(docs, c) for c in ("_did", "_tag", "_places"))

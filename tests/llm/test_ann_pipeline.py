@@ -1,10 +1,13 @@
 """Recall of the vector search, and the pipeline's stages."""
 
 import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
+from test_similar import survivors
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from millrace.llm import ann, langid, packing, simhash
+from millrace.llm import ann, langid, mixing, packing
 
 SF = "/root/testdata/sf0.001"
 
@@ -86,14 +89,27 @@ def test_stages(spark):
     assert kept.columns == docs.columns
     assert {r[0] for r in table.select("doc_id").collect()} - {r[0] for r in kept.select("doc_id").collect()} == {9001, 9002}
     first = corpus_pipeline.near_duplicates(spark, kept, SF)
-    want = {r["component_id"] for r in simhash.near_duplicates(kept).collect()}
-    assert sorted(r["doc_id"] for r in first.collect()) == sorted(want) and first.columns == docs.columns
+    ids = sorted(r["doc_id"] for r in first.collect())
+    assert ids == survivors([(r["doc_id"], r["text"]) for r in kept.collect()]) and first.columns == docs.columns
     cut = corpus_pipeline.repeated_passages(spark, first, SF)
-    assert cut.count() == len(want) and cut.columns == docs.columns
+    assert sorted(r["doc_id"] for r in cut.collect()) == ids and cut.columns == docs.columns
     mixed = corpus_pipeline.mixture(spark, cut, SF)
     assert mixed.columns == docs.columns
-    packed = corpus_pipeline.packed(spark, mixed, SF)
-    assert packed.columns[:2] == ["doc_id", "start"] and packed.count() > 0
+    # As many copies as the Poisson counts of the kept documents' sources say, each as it was.
+    sizes = {r["source"]: r["count"] for r in cut.groupBy("source").count().collect()}
+    shares = {s: n**mixing.TEMPERATURE for s, n in sizes.items()}
+    for s, n in sizes.items():
+        rate = sum(sizes.values()) * shares[s] / (sum(shares.values()) * n)
+        own = cut.where(F.col("source").eqNullSafe(F.lit(s)))
+        want = {r[0]: r[1] for r in own.select("doc_id", mixing.repetitions(F.col("doc_id").cast("string"), F.lit(rate))).collect()}
+        drawn = mixed.where(F.col("source").eqNullSafe(F.lit(s)))
+        assert {r["doc_id"]: r["count"] for r in drawn.groupBy("doc_id").count().collect()} == {d: c for d, c in want.items() if c}
+    assert mixed.where("lang IS NOT NULL AND source IS NOT NULL").join(cut, docs.columns, "left_anti").isEmpty()
+    packed = corpus_pipeline.packed(spark, mixed, SF).toPandas()
+    assert list(packed.columns[:2]) == ["doc_id", "start"]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = sum(len(library.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in mixed.collect())
+    assert packed["length"].sum() == want and packed.groupby("sequence_id")["length"].sum().max() <= packing.WINDOW
 
 
 def test_run_on_empty_tables(spark, tmp_path):

@@ -54,6 +54,26 @@ def test_doubling_keeps_samples_and_clips_apart():
     assert out[::2].tolist() == x.tolist() and out[7::2].tolist() == [7, 7, 7, 7]
 
 
+def test_tables_hold_every_value():
+    """Against the definitions, a value at a time."""
+    for code in range(256):
+        x = ~code & 255
+        size = ((((x & 15) << 3) + 132) << (x >> 4 & 7)) - 132
+        assert media.mulaw_table()[code] == (-size if x & 128 else size)
+        y = code ^ 0x55
+        e, m = y >> 4 & 7, y & 15
+        size = (m << 4) + 8 if e == 0 else ((m << 4) + 0x108) << (e - 1)
+        assert media.alaw_table()[code] == (size if y & 128 else -size)
+
+
+def test_long_and_repeated_texts_in_media(spark):
+    rows = [(1, "long text " * 300_000), (1, "long text " * 300_000), (2, "x")]
+    got = media.media_digests(media.decode_telephony(media.store_telephony(spark.createDataFrame(rows, "doc_id long, text string")))).collect()
+    payload = media.padded(rows[0][1].encode())
+    own = [r for r in got if r["doc_id"] == 1]
+    assert len(got) == 3 and own[0] == own[1] and own[0]["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+
+
 def test_media_table(spark):
     rows = [(1, "a", "clash"), (2, None, "c"), (3, "", "c"), (4, "a", "c"), (None, "é" * 900, "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, media string")
@@ -121,6 +141,8 @@ def test_urls(spark):
         8: ("a.net", "", None, "allow"), 9: ("cheap-pills.example.net", "/en/", None, "block"), 10: ("a.com", "/fr", None, "allow"),
     }
     assert urlfilter.judge_urls(pages.limit(0)).count() == 0
+    twice = spark.createDataFrame([(None, "http://a.com/fr/" + "x" * 100_000), (1, "http://b.org"), (1, "http://b.org")], "page_id long, url string")
+    assert sorted((r["page_id"] or 0, len(r["path"]), r["verdict"]) for r in urlfilter.judge_urls(twice).collect()) == [(0, 100_004, "allow"), (1, 0, "allow"), (1, 0, "allow")]
 
 
 @pytest.mark.parametrize("most", [1 << 29, 10_000])
@@ -165,6 +187,14 @@ def test_chats_come_back():
     assert [b for _, b, _, _ in spans[:-1]] == [a for a, _, _, _ in spans[1:]]
 
 
+def test_long_texts_come_back():
+    turns = [("user", "</s>[INST] " * 40_000), ("assistant", "\\" * 100_000), ("user", ""), ("assistant", "end")]
+    out, spans, rewrites = chat.locate(chat.inst_template, turns)
+    assert chat.read_inst(out) == turns and not rewrites
+    assert [chat.unescape(out[c:d]) for _, _, c, d in spans] == [t for _, t in turns]
+    assert chat._kept_escape.cache_info().maxsize == chat.KEPT and chat.escape("x" * 5000) == "x" * 5000
+
+
 def test_rewritten_history_is_found():
     forgetful = lambda turns: "".join(t for _, t in turns[-2:])
     assert chat.locate(forgetful, [("user", "a"), ("assistant", "b"), ("user", "c")])[1:] == ([], True)
