@@ -3,9 +3,11 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 
 from millrace import catalogue
+from millrace.operators import vectors
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -38,9 +40,19 @@ def test_matches_sql(spark, duck, name):
     assert got == sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall()), key=str)
 
 
-def test_kmeans_covers_all_vectors(spark):
+def test_kmeans_assigns_and_centres(spark):
+    """Fitted centroids: each is about the mean of its own vectors, and each vector goes to its nearest by cosine."""
+    table = spark.read.parquet(f"{SF}/embeddings.parquet")
     rows = catalogue.QUERIES["kmeans_summary"](spark, SF).collect()
-    assert sum(r["n"] for r in rows) == spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    assert sum(r["n"] for r in rows) == table.count()
+    centres = np.array(vectors.fit_centroids(table, k=10, tries=2))
+    x = np.array([r["embedding"] for r in table.orderBy("vec_id").collect()], float)
+    own = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+    drift = [np.abs(x[own == k].mean(0) - centres[k]).max() for k in range(10) if (own == k).any()]
+    assert max(drift) < 0.1
+    far = 1 - x @ centres.T / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(centres, axis=1)[None])
+    got = vectors.nearest_centroid(table, centres.tolist()).orderBy("vec_id").collect()
+    assert [r["centroid"] for r in got] == far.argmin(1).tolist() and np.allclose([r["distance"] for r in got], far.min(1))
 
 
 def test_entry(spark):
