@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions import scoring, text
 from millrace.operators import mixing, tokens
+from millrace.operators.scoring import corpus_report as scoring_report
 from millrace.operators.scoring import phrase_features, top_features
-from millrace.operators.stats import binary_f1, upper_median
+from millrace.operators.stats import binary_f1
 
 SEED = "7"
 KEYWORDS = ["the", "and", "ing", "tion", "with", "here", "ent", "the"]
@@ -106,15 +107,14 @@ def binary_f1_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword scores of all documents by language, with how many are labelled."""
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    score = F.round(text.keyword_score("text", KEYWORDS), 4)
-    n = F.count("*")
-    per = rows.select("lang", score.alias("score"), "quality", "toxic")
-    report = per.groupBy("lang").agg(
-        n.alias("paired"), F.count("quality").alias("used"), (n - F.count("quality")).alias("skipped"), F.round(F.avg("score"), 4).alias("mean_score"), F.min("score").alias("min_score"),
-        F.max("score").alias("max_score"), F.round(F.stddev_pop("score"), 6).alias("std_score"), F.round(F.avg(F.col("toxic").isNotNull().cast("double")), 6).alias("labelled_ratio"),
+    per = rows.select("lang", F.round(text.keyword_score("text", KEYWORDS), 4).alias("score"), "quality", "toxic")
+    report = scoring_report(per, value="score", group=["lang"], used="quality", marked="toxic")
+    return report.select(
+        "lang", F.col("count").alias("paired"), "used", "skipped", F.col("mean").alias("mean_score"), F.col("min").alias("min_score"), F.col("max").alias("max_score"),
+        F.round("std", 6).alias("std_score"), F.round("share", 6).alias("labelled_ratio"), F.col("median").alias("median_score"),
     )
-    return report.join(upper_median(per, "score", ["lang"]).withColumnRenamed("upper_median", "median_score"), "lang")
 
 
 def top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
