@@ -29,16 +29,23 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def _marked(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The written edges, with their count and a sum over them."""
+    written = materialize(edges, "edges")
+    return written, tuple(written.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def connected_components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(node, root) for every node of the edges (u, v) that isn't its component's smallest node.
 
-    Rounds end when a round changes nothing; edges then are stars around the smallest nodes. No edges: no rows.
+    known: components (node, root) of some edges already, which these extend. Rounds end when a round changes nothing;
+    edges then are stars around the smallest nodes. No edges: no rows.
     """
-    edges = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = None
+    if known is not None:
+        edges = edges.select("u", "v").union(known.select("node", "root"))
+    edges, mark = _marked(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(MAX_ROUNDS):
-        edges = materialize(_stars(_stars(edges, True), False), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        edges, now = _marked(_stars(_stars(edges, True), False))
         if now == mark or now[0] == 0:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = now

@@ -39,6 +39,8 @@ SAMPLE, COMMON = 20_000, 8
 SKETCH = 16
 #: Rounds of stars between components, and members of a list's most frequent component that the others meet in each.
 ROUNDS, HUBS = 2, 4
+#: Meetings across components, for a node, up to which they are left to the pairs without a round of stars.
+FEW = 32
 #: Bits of the broadcast filter of rows whose whole sets are needed, in words of 64.
 WORDS = 1 << 18
 
@@ -165,8 +167,8 @@ def _bounded(met: DataFrame, last: DataFrame) -> DataFrame:
     return counted.join(side("u"), "u").join(side("v"), "v").where(9 * (F.col("shared") + behind) >= 4 * (F.col("n") + F.col("m"))).select("u", "v")
 
 
-def similar_links(texts: DataFrame, own: DataFrame) -> DataFrame:
-    """Links (u, v) between distinct sets that connect all with a similarity of 0.8 or more; own is used up."""
+def similar_components(texts: DataFrame, own: DataFrame) -> DataFrame:
+    """node and root of the distinct sets that a similarity of 0.8 or more connects to a smaller one; own is used up."""
     spark = texts.sparkSession
     nodes = materialize(own.groupBy("node").agg(F.min(F.struct("row", "n", "last", "fp")).alias("m"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")).select("node", "m.*", "sketch", "prefix"), "nodes")
     dealt = nodes.select(F.explode("prefix").alias("shingle"), "node", "n").repartition("shingle")  # one shuffle for both sides
@@ -203,20 +205,24 @@ def similar_links(texts: DataFrame, own: DataFrame) -> DataFrame:
     stars = met.join(hubs, "shingle").where("node <> v").select(F.col("node").alias("u"), "v")
     links = verified(best(same.union(near).union(stars)), "candidates")
 
+    n_nodes, roots = nodes.count(), connected_components(links)
     for round_ in range(1, ROUNDS + 1):
-        roots = connected_components(links).withColumnRenamed("node", "of")
-        placed = met.join(roots, met["node"] == roots["of"], "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root"))
+        of = roots.withColumnRenamed("node", "of")
+        placed = met.join(of, met["node"] == of["of"], "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root"))
         placed = placed.repartition("shingle")  # one shuffle for both sides
         parts = placed.groupBy("shingle", "root").agg(F.count("*").alias("members"), F.array(*(F.min_by("node", F.xxhash64("node", "shingle", F.lit(HUBS * round_ + k))) for k in range(HUBS))).alias("hubs"))
-        main = parts.groupBy("shingle").agg(F.max_by(F.struct("root", "hubs"), F.struct("members", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("shingle", "main")
-        mixed = materialize(placed.join(main, "shingle").select("shingle", "node", "n", "root", F.col("main.root").alias("main"), F.when(F.col("root") != F.col("main.root"), F.array_distinct("main.hubs")).alias("hubs")), "mixed")
+        main = parts.groupBy("shingle").agg(F.max_by(F.struct("root", "hubs"), F.struct("members", "root")).alias("main"), F.max("members").alias("most"), F.sum("members").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+        main = main.select("shingle", "main", (F.col("all") - F.col("most")).alias("outside"))
+        mixed = materialize(placed.join(main, "shingle").select("outside", "shingle", "node", "n", "root", F.col("main.root").alias("main"), F.when(F.col("root") != F.col("main.root"), F.array_distinct("main.hubs")).alias("hubs")), "mixed")
         met = mixed.select("shingle", "node", "n")  # lists of one component stay so
+        if (mixed.agg(F.sum("outside")).first()[0] or 0) <= FEW * n_nodes:
+            break
         found = verified(best(mixed.where("root <> main").select(F.col("node").alias("u"), F.explode("hubs").alias("v"))), "stars")
-        links = links.union(found)
+        roots = connected_components(found, roots)
 
     # Of each list, the members outside its most frequent component meet all others, each pair once.
-    roots = connected_components(links).withColumnRenamed("node", "of")
-    rooted = met.join(sketches.select("node", "sketch"), "node").join(roots, F.col("node") == F.col("of"), "left").select("shingle", "node", "n", "sketch", F.coalesce("root", "node").alias("root"))
+    of = roots.withColumnRenamed("node", "of")
+    rooted = met.join(sketches.select("node", "sketch"), "node").join(of, F.col("node") == F.col("of"), "left").select("shingle", "node", "n", "sketch", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "rooted")
     main = rooted.groupBy("shingle", "root").agg(F.count("*").alias("members")).groupBy("shingle").agg(F.max_by("root", F.struct("members", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     left = rooted.join(main.select("shingle", "main"), "shingle")
@@ -226,7 +232,7 @@ def similar_links(texts: DataFrame, own: DataFrame) -> DataFrame:
     ordered = F.col("node") < F.col("other")
     pick = lambda a, b: F.when(ordered, F.col(a)).otherwise(F.col(b))
     pairs = across.select(pick("node", "other").alias("u"), pick("other", "node").alias("v"), pick("n", "m").alias("n"), pick("m", "n").alias("m"))
-    return links.union(verified(_bounded(pairs, nodes), "across"))
+    return connected_components(verified(_bounded(pairs, nodes), "across"), roots)
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,6 +247,6 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     texts = docs.select(F.col(id_col).cast("long").alias("id"), row_key(docs).alias("row"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     own = _own(texts)
     rows = materialize(own.select("id", "row", "node"), "rows")
-    roots = connected_components(similar_links(texts, own)).select(F.col("node").alias("of"), "root")
+    roots = similar_components(texts, own).select(F.col("node").alias("of"), "root")
     placed = rows.join(roots, rows["node"] == roots["of"], "left").select("id", "row", F.coalesce("root", "node").alias("root"))
     return keep_one(docs, placed, id_col)
