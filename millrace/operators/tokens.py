@@ -111,29 +111,23 @@ def padded_batches(df: DataFrame, batch: str, ids: str, label: str, pad: int, fa
     return rows.withColumns({"input_ids": own, "attention_mask": attention(own, pad), "labels": padded(F.col(label), F.col("_to"), IGNORED)}).drop("_to")
 
 
-def packed_rows(lengths: list[int], limit: int) -> list[int]:
-    """The row of each sequence, greedily in order: a separator counts, so nothing is cut; longer ones than limit stand alone."""
-    row, used, out = -1, limit, []
-    for n in lengths:
-        if row < 0 or used + 1 + n > limit:
-            row, used = row + 1, n
-        else:
-            used += 1 + n
-        out.append(row)
-    return out
-
-
 def pack_in_order(df: DataFrame, *, length: str, order: str, group: str, limit: int) -> DataFrame:
-    """`pack_id` of each sequence within its group; groups are batches, so of bounded size."""
-
-    ship(df.sparkSession)
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        return rows.assign(pack_id=pd.Series(packed_rows(rows[length].tolist(), limit), index=rows.index, dtype="int64"))
+    """`pack_id` of each sequence within its group, greedily in order; groups are batches, so of bounded size.
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.groupBy(group).applyInPandas(pack, f"{fields}, pack_id long")
+    A separator counts, so nothing is cut; sequences longer than the limit stand alone.
+    """
+    item = F.struct(F.col(order).alias("order"), F.col(length).alias("n"), F.struct(*df.columns).alias("row"))
+    batches = df.groupBy(F.col(group).alias("_group")).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    start = F.struct(F.lit(-1).cast("long").alias("pack"), F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(s: Column, item: Column) -> Column:
+        n = item["n"].cast("long")
+        fits = (s["pack"] >= 0) & (s["used"] + 1 + n <= limit)
+        pack = F.when(fits, s["pack"]).otherwise(s["pack"] + 1)
+        return F.struct(pack.alias("pack"), F.when(fits, s["used"] + 1 + n).otherwise(n).alias("used"), F.concat(s["out"], F.array(pack)).alias("out"))
+
+    packs = F.aggregate("_items", start, step, lambda s: s["out"])
+    return batches.select(F.explode(F.arrays_zip(F.col("_items").alias("item"), packs.alias("pack"))).alias("x")).select("x.item.row.*", F.col("x.pack").alias("pack_id"))
 
 
 def tokenized(df: DataFrame, column: str, tokenizer: Callable[[str], list[int]], out: str = "ids") -> DataFrame:

@@ -100,12 +100,18 @@ def clipped_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(rollout.masked_mean(loss, mask), 6).alias("loss"))
 
 
+#: Labels whose means are broadcast at most.
+MOST_LABELS = 4096
+
+
 def _centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.mean_centroids(table(spark, sf_dir, "embeddings"))
 
 
 def cosine_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest label mean of every vector. The means are a row for each label, folded into one row of arrays."""
+    """Nearest label mean of every vector. The means are a row for each label, folded into one row of arrays; labels are few."""
+    if (n := table(spark, sf_dir, "embeddings").select("label").distinct().count()) > MOST_LABELS:
+        raise ValueError(f"{n} labels are too many to broadcast their means")
     means = _centroids(spark, sf_dir).agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("means"))
     rows = table(spark, sf_dir, "embeddings").join(F.broadcast(means), how="inner")
     far = F.transform("means", lambda m: F.struct(vectors.cosine_distance(F.col("embedding"), m["centroid"]).alias("d"), m["label"].alias("label")))

@@ -87,7 +87,8 @@ def test_sequences(spark):
     assert value(spark, tokens.labels(ids, F.array(F.lit(7), F.lit(8)), 1)) == [-100, -100, -100, -100, 8]
     assert value(spark, tokens.padded(ids, F.lit(5), 0)) == [1, 2, 3, 0, 0]
     assert value(spark, tokens.attention(tokens.padded(ids, F.lit(5), 0), 0)) == [1, 1, 1, 0, 0]
-    assert tokens.packed_rows([4, 4, 7, 2], 10) == [0, 0, 1, 1]
+    packed = tokens.pack_in_order(spark.createDataFrame([(k, n, "g") for k, n in enumerate((4, 4, 7, 2))], "k long, n int, g string"), length="n", order="k", group="g", limit=10)
+    assert [r["pack_id"] for r in packed.orderBy("k").collect()] == [0, 0, 1, 1]
     assert value(spark, rollout.aligned(F.lit(None).cast("array<double>"), ids)) == [0.0, 0.0, 0.0]
     assert value(spark, rollout.generation_cap(F.lit(2090))) == 64
 
