@@ -24,7 +24,11 @@ def tag_line(c: str | Column, tag: str) -> Column:
     return stripped(F.regexp_extract(_c(c), rf"(?im)^\s*{tag}\s*[:：]\s*(.*)$", 1))
 
 
+#: Tags, and the patterns of the molecule that a prompt asks about and of a leniently read reply.
 REASONING, SMILES = "Reasoning", r"Optimized[_\s-]*SMILES"
+_ORIGINAL_TOKEN, _ORIGINAL_LINE = r"(?im)^\s*Original\s+SMILES\s*:\s*(\S+)", r"(?m)^\s*Original SMILES:(.*)$"
+_LENIENT_REASONING = r"(?is)\breasoning\s*:\s*(.+?)(?:\n+\s*(?:optimized[_\s-]*smiles|smiles)\s*:|$)"
+_LENIENT_TAGS = (r"optimized[_\s-]*smiles", "smiles")
 
 
 def domain_output(text: str | Column, source: str | Column, smiles_only: bool = False) -> Column:
@@ -64,12 +68,12 @@ def original_smiles(c: str | Column, variant: str = "token") -> Column:
     the first line's first colon, or that line; line: the rest of the first line starting `Original SMILES:` exactly."""
     text = F.coalesce(_c(c), F.lit(""))
     if variant == "token":
-        return F.regexp_extract(text, r"(?im)^\s*Original\s+SMILES\s*:\s*(\S+)", 1)
+        return F.regexp_extract(text, _ORIGINAL_TOKEN, 1)
     if variant == "colon":
         first = F.element_at(F.split(stripped(text), "\n"), 1)
         return stripped(F.when(F.contains(first, F.lit(":")), F.regexp_extract(first, r"(?s)^[^:]*:(.*)$", 1)).otherwise(first))
     if variant == "line":
-        return stripped(F.regexp_extract(text, r"(?m)^\s*Original SMILES:(.*)$", 1))
+        return stripped(F.regexp_extract(text, _ORIGINAL_LINE, 1))
     raise ValueError(variant)
 
 
@@ -101,14 +105,14 @@ def lenient_output(c: str | Column) -> Column:
     """reasoning and smiles of a reply: reasoning up to the next SMILES tag or the end; the first token of the tagged
     line, without closing punctuation; of several molecules the longest. Nothing behind a tag gives an empty string."""
     text = F.regexp_replace(stripped(F.coalesce(_c(c), F.lit(""))), r"(?i)\s*<\s*end\s*>\s*$", "")
-    reasoning = stripped(F.regexp_extract(text, r"(?is)\breasoning\s*:\s*(.+?)(?:\n+\s*(?:optimized[_\s-]*smiles|smiles)\s*:|$)", 1))
+    reasoning = stripped(F.regexp_extract(text, _LENIENT_REASONING, 1))
 
     def tagged(tag: str) -> Column:
         rest = stripped(F.regexp_replace(stripped(F.regexp_extract(text, rf"(?im)^\s*{tag}\s*:\s*(.+)$", 1)), r"(?i)\s*<\s*end\s*>.*$", ""))
         token = F.regexp_extract(rest, r"^\S+", 0)
         return F.nullif(F.regexp_replace(token, r"^[.,;，；。]+|[.,;，；。]+$", ""), F.lit(""))
 
-    smiles = F.coalesce(tagged(r"optimized[_\s-]*smiles"), tagged("smiles"), F.lit(""))
+    smiles = F.coalesce(*map(tagged, _LENIENT_TAGS), F.lit(""))
     return F.struct(reasoning.alias("reasoning"), longest_component(smiles).alias("smiles"))
 
 
