@@ -22,7 +22,7 @@ different texts stay apart.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -354,28 +354,38 @@ def _types(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return is_s, np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
 
 
-def _induced_each(s: list[int], is_s: list[bool], lms: list[int], counts: np.ndarray) -> np.ndarray:
-    """The order of all suffixes that the given order of leftmost-smaller ones induces, place by place."""
-    n, ends = len(s), np.cumsum(counts)
-    out, tails, heads = [-1] * n, ends.tolist(), (ends - counts).tolist()
-    for p in reversed(lms):
-        tails[s[p]] -= 1
-        out[tails[s[p]]] = p
-    for k in range(n):
-        p = out[k] - 1
-        if p >= 0 and not is_s[p]:
-            c = s[p]
-            out[heads[c]] = p
-            heads[c] += 1
-    tails = ends.tolist()
-    for k in range(n - 1, -1, -1):
-        p = out[k] - 1
-        if p >= 0 and is_s[p]:
-            c = s[p]
-            tails[c] -= 1
-            out[tails[c]] = p
-    out[0] = n - 1
-    return np.array(out)
+def _induced_each(s: np.ndarray, is_s: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """The order of all suffixes that an order of leftmost-smaller ones induces, place by place, as a function of that order."""
+    n, counts = len(s), np.bincount(s)
+    ends = np.cumsum(counts)
+    firsts = (ends - counts).tolist()
+    # Of each place the character before it, and whether that one's suffix is larger, or smaller, than the next; a free slot holds n.
+    before, larger, smaller = np.append(np.roll(s, 1), 0).tolist(), np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+    larger[1:n], smaller[1:n] = ~is_s[:-1], is_s[:-1]
+    larger, smaller = larger.tolist(), smaller.tolist()
+
+    def induce(lms: np.ndarray) -> np.ndarray:
+        # Each bucket's leftmost-smaller suffixes stand at its end, in their order.
+        out, chars = np.full(n, n), s[lms]
+        by_char = np.argsort(chars, kind="stable")
+        own, at = chars[by_char], np.arange(len(lms))
+        last = np.searchsorted(own, own, side="right")
+        out[ends[own] - (last - at)] = lms[by_char]
+        out, heads, tails = out.tolist(), firsts.copy(), ends.tolist()
+        for p in out:  # filled ahead of the loop
+            if larger[p]:
+                c = before[p]
+                out[heads[c]] = p - 1
+                heads[c] += 1
+        for p in reversed(out):
+            if smaller[p]:
+                c = before[p]
+                tails[c] -= 1
+                out[tails[c]] = p - 1
+        out[0] = n - 1
+        return np.array(out)
+
+    return induce
 
 
 def _names(s: np.ndarray, lms: np.ndarray, ranked: np.ndarray) -> np.ndarray:
@@ -413,8 +423,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     s = s.astype(np.int64)
     is_s, lms = _types(s)
     if size > _MOST_BUCKETS:
-        counts, chars, smaller = np.bincount(s, minlength=size), s.tolist(), is_s.tolist()
-        induce = lambda places: _induced_each(chars, smaller, places.tolist(), counts)
+        induce = _induced_each(s, is_s)
     else:
         induce = lambda places: _induced_all(s, is_s, places, size)
     if len(lms) < 2:
