@@ -51,10 +51,11 @@ def alias_spans(text: str | Column, alias: str) -> Column:
     span = lambda at: F.struct(at.cast("int").alias("start"), (at + len(a)).cast("int").alias("end"))
     if not re.fullmatch(PLAIN_ALIAS, a):
         return F.when(F.contains(low, F.lit(a)), F.array(span(F.instr(low, a) - 1))).otherwise(F.array().cast("array<struct<start: int, end: int>>"))
-    # What stands before the k-th hit, and the hits before it.
-    parts = F.split(low, rf"\b{re.escape(a)}\b", -1)
-    before = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda _, k: F.aggregate(F.slice(parts, 1, k + 1), F.lit(0), lambda n, p: n + F.length(p)) + k * len(a))
-    return F.transform(before, span)
+    # The starts run on: each is the end of the hit before and the length of what stands between.
+    parts = F.transform(F.split(low, rf"\b{re.escape(a)}\b", -1), F.length)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda s, n: F.struct((s["at"] + n + len(a)).alias("at"), F.concat(s["out"], F.array(s["at"] + n)).alias("out"))
+    return F.transform(F.aggregate(F.slice(parts, 1, F.size(parts) - 1), start, step, lambda s: s["out"]), span)
 
 
 #: The keyword lists of the quality score; entries count as often as they are listed.
