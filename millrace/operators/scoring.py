@@ -185,7 +185,7 @@ def _automaton_hits(texts: DataFrame, phrases: DataFrame, id_col: str, text_col:
     return texts.select(id_col, F.lower(F.coalesce(text_col, F.lit(""))).alias("_low")).mapInPandas(find, f"{id_col} {kind}, phrase string, feature string, direction string, pos int")
 
 
-def phrase_features(texts: DataFrame, phrases: DataFrame | None = None, *, id_col: str = "sample_id", text_col: str = "text", inline: int = 500) -> DataFrame:
+def phrase_features(texts: DataFrame, phrases: DataFrame | None = None, *, id_col: str = "sample_id", text_col: str = "text", inline: int = 64) -> DataFrame:
     """id, feature, direction of phrases found in lower-cased texts; of a feature's phrases the first by pos.
 
     phrases: phrase, feature, direction, pos (by default phrase_table). Up to `inline` phrases are folded into one
