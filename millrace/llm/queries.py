@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import ann, chat, langid, media, mixing, packing, periods, simhash, suffix, tokens, urlfilter, variants
+from millrace.llm import ann, chat, langid, media, minhash, mixing, packing, periods, simhash, suffix, tokens, urlfilter, variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_ivf_pq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_minhash_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(variants.word_counts(_table(spark, sf_dir, "documents"), change=variants.misspelt))
 
@@ -78,10 +82,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pack_sum_of_squares, op2_telephony_media, op3_poisson_mixing, op4_transducer_token_counts, op5_naive_bayes_language,
-        op6_simhash_positional_bytes, op7_bloom_cascade_urls, op8_suffix_array_dedup, op9_incremental_chat_format, op10_ivf_pq_search, op12_spelling_variants,
-        op13_periodic_runs, pipeline,
+        op6_simhash_positional_bytes, op7_bloom_cascade_urls, op8_suffix_array_dedup, op9_incremental_chat_format, op10_ivf_pq_search, op11_minhash_hamming_join,
+        op12_spelling_variants, op13_periodic_runs, pipeline,
     )
 }
 
 #: Queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op3_poisson_mixing": mixing.ORACLE, "op7_bloom_cascade_urls": urlfilter.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_poisson_mixing": mixing.ORACLE, "op7_bloom_cascade_urls": urlfilter.ORACLE, "op11_minhash_hamming_join": minhash.ORACLE}
