@@ -15,8 +15,8 @@ in the same one before. Only windows that may repeat get into a suffix array:
    the first stays. Segments of common anchors are halved as often as HALVED says before they meet; and a core with more than MOST_SEGMENTS segments isn't sorted in one task: its windows are halved by
    how far before the core they start, which lengthens the cores, and meet again; at one window a core is the window.
 
-Places are (document, start); a document is its id and 15 bits of its text's hash, so that rows with one id and
-different texts stay apart.
+Places are (document, start), and their order is total: a document is its id and 120 bits of its text's MD5 (tag, tag2),
+so that rows of one id, or of none, with different texts are documents of their own, in the order of these bits.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm._common import bound_batches, buffers, fresh, materialize, runs_of_rows
@@ -38,6 +38,7 @@ STEP_BITS = 20
 #: Blocks a task holds to drop its own repeats, and segments of a core and bytes of a shard sorted at once.
 MOST_BLOCKS, MOST_SEGMENTS, SHARD_BYTES = 1 << 20, 4096, 1 << 20
 NO_ID = -(1 << 63)
+_DOCUMENT = ["did", "tag", "tag2"]
 #: Documents of the sample that shows which anchors are common, the share of it that makes one common, and how often its
 #: segments are halved at once. They decide where blocks meet, never what is found.
 HOT_SAMPLE, HOT_SHARE, HALVED = 20_000, 0.005, 3
@@ -45,9 +46,9 @@ HOT_SAMPLE, HOT_SHARE, HALVED = 20_000, 0.005, 3
 _HOT = 1 << 16
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BLOCK_SCHEMA = "core long, seg long, seg2 long, did long, tag int, q int, n int, a int"
-_PLACE_SCHEMA = "kind int, did long, tag int, q int, n int, a int"
-_SEGMENT_SCHEMA = "key long, did long, tag int, q int, seg binary, c int, d int"
+_BLOCK_SCHEMA = "core long, seg long, seg2 long, did long, tag long, tag2 long, q int, n int, a int"
+_PLACE_SCHEMA = "kind int, did long, tag long, tag2 long, q int, n int, a int"
+_SEGMENT_SCHEMA = "key long, did long, tag long, tag2 long, q int, seg binary, c int, d int"
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,14 +117,14 @@ def _steps(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int, in
             yield a, b, lo, min(lo + most, size)
 
 
-def _merged(did: np.ndarray, tag: np.ndarray, q: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+def _merged(did: np.ndarray, tag: np.ndarray, tag2: np.ndarray, q: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of windows, with neighbouring runs of a document joined."""
-    order = np.lexsort((q, tag, did))
-    did, tag, q, n = did[order], tag[order], q[order], n[order]
+    order = np.lexsort((q, tag2, tag, did))
+    did, tag, tag2, q, n = did[order], tag[order], tag2[order], q[order], n[order]
     new = np.ones(len(q), bool)
-    new[1:] = (did[1:] != did[:-1]) | (tag[1:] != tag[:-1]) | (q[1:] != q[:-1] + n[:-1])
+    new[1:] = (did[1:] != did[:-1]) | (tag[1:] != tag[:-1]) | (tag2[1:] != tag2[:-1]) | (q[1:] != q[:-1] + n[:-1])
     at = np.flatnonzero(new)
-    return did[at], tag[at], q[at], np.add.reduceat(n, at) if len(at) else n
+    return did[at], tag[at], tag2[at], q[at], np.add.reduceat(n, at) if len(at) else n
 
 
 def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
@@ -132,24 +133,25 @@ def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.astype(kinds[k]) if k in kinds else c) for c, (_, k) in zip(columns, fields, strict=True)], [f for f, _ in fields])
 
 
-def _after(did: np.ndarray, q: np.ndarray, first_did: np.ndarray, first_q: np.ndarray) -> np.ndarray:
-    return (did > first_did) | (did == first_did) & (q > first_q)
+def _after(place: tuple[np.ndarray, ...], first: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Which places (did, tag, tag2, q) differ from the first ones of their windows, which none comes before."""
+    return np.logical_or.reduce([a != b for a, b in zip(place, first, strict=True)])
 
 
 def _settle_own(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     """A task's blocks: the first of equal ones as they are; the rest, as runs of windows that go, under n below 0."""
-    did, tag, q, n, a, core, seg, seg2 = (np.concatenate(c) for c in zip(*rows, strict=True))
-    order = np.lexsort((q, did, seg2, seg, core))
-    did, tag, q, n, a, core, seg, seg2 = (c[order] for c in (did, tag, q, n, a, core, seg, seg2))
+    did, tag, tag2, q, n, a, core, seg, seg2 = (np.concatenate(c) for c in zip(*rows, strict=True))
+    order = np.lexsort((q, tag2, tag, did, seg2, seg, core))
+    did, tag, tag2, q, n, a, core, seg, seg2 = (c[order] for c in (did, tag, tag2, q, n, a, core, seg, seg2))
     new = np.ones(len(q), bool)
     new[1:] = (core[1:] != core[:-1]) | (seg[1:] != seg[:-1]) | (seg2[1:] != seg2[:-1])
     first = np.maximum.accumulate(np.where(new, np.arange(len(q)), 0))
-    gone = _after(did, q, did[first], q[first])
-    rd, rt, rq, rn = _merged(did[gone], tag[gone], q[gone], n[gone])
+    gone = _after((did, tag, tag2, q), (did[first], tag[first], tag2[first], q[first]))
+    rd, rt, rt2, rq, rn = _merged(did[gone], tag[gone], tag2[gone], q[gone], n[gone])
     spread = _mixed((rd * 31 + rq).astype(np.int64).view(np.uint64)).view(np.int64)
     keep = ~gone
     join = lambda x, y: np.concatenate([x[keep], y])
-    return _batch(_BLOCK_SCHEMA, join(core, spread), join(seg, spread), join(seg2, spread), join(did, rd), join(tag, rt), join(q, rq), join(n, -rn), join(a, np.zeros(len(rd), np.int64)))
+    return _batch(_BLOCK_SCHEMA, join(core, spread), join(seg, spread), join(seg2, spread), join(did, rd), join(tag, rt), join(tag2, rt2), join(q, rq), join(n, -rn), join(a, np.zeros(len(rd), np.int64)))
 
 
 def _block_rows(length: int, gram: int, common: np.ndarray):
@@ -166,13 +168,13 @@ def _block_rows(length: int, gram: int, common: np.ndarray):
         held, count = [], 0
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            ids, tags = batch.column("did").to_numpy(), batch.column("tag").to_numpy()
+            ids, tags, tags2 = (batch.column(c).to_numpy() for c in ("did", "tag", "tag2"))
             for a, b, lo, hi in _steps(offsets, length):
                 own = offsets[a : b + 1] - offsets[a]
                 own = np.array([0, hi - lo]) if hi - lo < own[-1] else own
                 doc, q, n, at, core, seg, seg2 = blocks(data[offsets[a] + lo : offsets[a] + hi], own, length, gram)
                 core, at = dealt(core, seg, at)
-                held.append((ids[a + doc], tags[a + doc], q + lo, n, at, core, seg, seg2))
+                held.append((ids[a + doc], tags[a + doc], tags2[a + doc], q + lo, n, at, core, seg, seg2))
                 count += len(q)
                 if count > MOST_BLOCKS:
                     yield _settle_own(held)
@@ -200,9 +202,9 @@ def _anchors(length: int, gram: int):
 
 def _settle_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks sorted by anchor, bytes and place: kind 0 for runs of windows that go, kind 1 for first blocks of anchors with several."""
-    core0 = seg0 = did0 = q0 = pending = None
+    core0 = seg0 = place0 = pending = None
     for batch in batches:
-        core, seg, seg2, did, tag, q, n, a = (batch.column(k).to_numpy() for k in range(8))
+        core, seg, seg2, did, tag, tag2, q, n, a = (batch.column(k).to_numpy() for k in range(9))
         if not len(core):
             continue
         ready = n < 0
@@ -213,8 +215,9 @@ def _settle_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             new_core[0] = core[0] != core0
             new_seg[0] = new_core[0] or (seg[0], seg2[0]) != seg0
         at = np.maximum.accumulate(np.where(new_seg, np.arange(len(q)), -1))
-        fd, fq = np.where(at >= 0, did[at], did0 or 0), np.where(at >= 0, q[at], q0 or 0)
-        gone = ready | ~new_seg & _after(did, q, fd, fq)
+        place = (did, tag, tag2, q)
+        first = tuple(np.where(at >= 0, c[at], c0) for c, c0 in zip(place, place0 or (0,) * 4, strict=True))
+        gone = ready | ~new_seg & _after(place, first)
         firsts = np.flatnonzero(new_seg)
         several = ~new_core[firsts]
         if len(firsts):
@@ -224,12 +227,12 @@ def _settle_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             open_ = several | hot
             open_[:-1] |= several[1:]
             k = firsts[open_ & ~ready[firsts]]
-            yield _batch(_PLACE_SCHEMA, np.ones(len(k)), did[k], tag[k], q[k], n[k], a[k])
+            yield _batch(_PLACE_SCHEMA, np.ones(len(k)), did[k], tag[k], tag2[k], q[k], n[k], a[k])
             last = firsts[-1]
-            pending = None if several[-1] or hot[-1] or ready[last] else tuple(c[last : last + 1] for c in (did, tag, q, n, a))
-        rd, rt, rq, rn = _merged(did[gone], tag[gone], q[gone], np.abs(n[gone]))
-        yield _batch(_PLACE_SCHEMA, np.zeros(len(rd)), rd, rt, rq, rn, np.zeros(len(rd)))
-        core0, seg0, did0, q0 = core[-1], (seg[-1], seg2[-1]), fd[-1], fq[-1]
+            pending = None if several[-1] or hot[-1] or ready[last] else tuple(c[last : last + 1] for c in (did, tag, tag2, q, n, a))
+        merged = _merged(did[gone], tag[gone], tag2[gone], q[gone], np.abs(n[gone]))
+        yield _batch(_PLACE_SCHEMA, np.zeros(len(merged[0])), *merged, np.zeros(len(merged[0])))
+        core0, seg0, place0 = core[-1], (seg[-1], seg2[-1]), tuple(c[-1] for c in first)
 
 
 def _key_of(core: bytes) -> int:
@@ -237,24 +240,24 @@ def _key_of(core: bytes) -> int:
 
 
 def _segment_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "did", "tag", "q", "seg", "c", "d"])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "did", "tag", "tag2", "q", "seg", "c", "d"])
 
 
-def _segment(did: int, tag: int, q: int, seg: bytes, c: int, d: int, length: int) -> tuple:
+def _segment(did: int, tag: int, tag2: int, q: int, seg: bytes, c: int, d: int, length: int) -> tuple:
     """A segment whose windows start up to d bytes before the core that they share, which starts at c."""
-    return _key_of(seg[c : c + length - d]), did, tag, q, seg, c, d
+    return _key_of(seg[c : c + length - d]), did, tag, tag2, q, seg, c, d
 
 
 def _halves(row: tuple, length: int) -> Iterator[tuple]:
     """The segment's windows in two: those that start in the far half before the core, and those in the near half."""
-    _, did, tag, q, seg, c, d = row
+    _, did, tag, tag2, q, seg, c, d = row
     n, near = len(seg) - length + 1, d // 2
     far = min(max(c - near, 0), n)
     if far:
-        yield _segment(did, tag, q, seg[: far - 1 + length], c - near - 1, d - near - 1, length)
+        yield _segment(did, tag, tag2, q, seg[: far - 1 + length], c - near - 1, d - near - 1, length)
     if n > far:
-        yield _segment(did, tag, q + far, seg[far:], c - far, near, length)
+        yield _segment(did, tag, tag2, q + far, seg[far:], c - far, near, length)
 
 
 def _segments(length: int, gram: int):
@@ -265,18 +268,18 @@ def _segments(length: int, gram: int):
         rows, size = [], 0
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            for k, (did, tag, places) in enumerate(zip(batch.column("did").to_pylist(), batch.column("tag").to_pylist(), batch.column("places").to_pylist(), strict=True)):
+            for k, (did, tag, tag2, places) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("did", "tag", "tag2", "places")), strict=True)):
                 text = data[offsets[k] : offsets[k + 1]].tobytes()
                 for p in places:
                     q, n, a, hot = p["q"], p["n"], p["a"] % _HOT, p["a"] >= _HOT
                     left = min(max(a - middle, 0), n)  # windows with more than `middle` bytes before the anchor
                     for first, m, c, d in ((q, left, a - middle - 1, length - middle - 1 - gram), (q + left, n - left, a - left, middle)):
                         if m:
-                            own = [_segment(did, tag, first, text[first : first + m - 1 + length], c, d, length)]
+                            own = [_segment(did, tag, tag2, first, text[first : first + m - 1 + length], c, d, length)]
                             for _ in range(HALVED if hot else 0):
-                                own = [half for row in own for half in (_halves(row, length) if row[6] else (row,))]
+                                own = [half for row in own for half in (_halves(row, length) if row[7] else (row,))]
                             rows += own
-                            size += sum(len(row[4]) for row in own)
+                            size += sum(len(row[5]) for row in own)
                 if size > 4 << 20:
                     yield _segment_batch(rows)
                     rows, size = [], 0
@@ -472,8 +475,8 @@ def permuted_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndar
     return np.minimum(np.minimum(out, room), most) * (before >= 0)
 
 
-def repeats_in_shard(segs: list[bytes], did: np.ndarray, q: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, offset) of each window of the segments that occurs in them at an earlier place; did and q place the segments."""
+def repeats_in_shard(segs: list[bytes], doc: tuple[np.ndarray, ...], q: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, offset) of each window of the segments that occurs in them at an earlier place; doc (did, tag, tag2) and q place the segments."""
     sizes = np.array([len(x) for x in segs])
     raw = np.frombuffer(b"".join(x + b"\0" for x in segs), np.uint8)
     s = raw.astype(np.int64) + 2
@@ -496,7 +499,8 @@ def repeats_in_shard(segs: list[bytes], did: np.ndarray, q: np.ndarray, length:
     if not len(start):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     ranks = np.empty(len(in_order), np.int64)
-    wd, wq = did[seg[in_order]], q[seg[in_order]] + offset[in_order]
+    _, nth = np.unique(np.stack(doc, axis=1), axis=0, return_inverse=True)  # documents, in order
+    wd, wq = nth.ravel()[seg[in_order]], q[seg[in_order]] + offset[in_order]
     place = np.lexsort((wq, wd))
     step = np.concatenate([[0], np.cumsum((wd[place][1:] != wd[place][:-1]) | (wq[place][1:] != wq[place][:-1]))])
     ranks[place] = step
@@ -510,22 +514,22 @@ def repeats_in_shard(segs: list[bytes], did: np.ndarray, q: np.ndarray, length:
 
 def _settle_segments(length: int):
     """Segments sorted by key, bytes and place: kind 0 for windows that go, kind 1 (with bytes) for halves of crowded cores."""
-    schema = ["kind", "key", "did", "tag", "q", "n", "seg", "c", "d"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
+    schema = ["kind", "key", "did", "tag", "tag2", "q", "n", "seg", "c", "d"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema)
 
     def sorted_shard(shard: list[tuple]) -> Iterator[pa.RecordBatch]:
-        did, tag, q = (np.array([r[k] for r in shard], np.int64) for k in (1, 2, 3))
-        seg, offset = repeats_in_shard([r[4] for r in shard], did, q, length)
-        rd, rt, rq, rn = _merged(did[seg], tag[seg], q[seg] + offset, np.ones(len(seg), np.int64))
-        if len(rd):
-            yield batch([(0, 0, d, t, a, n, None, 0, 0) for d, t, a, n in zip(rd.tolist(), rt.tolist(), rq.tolist(), rn.tolist(), strict=True)])
+        did, tag, tag2, q = (np.array([r[k] for r in shard], np.int64) for k in (1, 2, 3, 4))
+        seg, offset = repeats_in_shard([r[5] for r in shard], (did, tag, tag2), q, length)
+        merged = _merged(did[seg], tag[seg], tag2[seg], q[seg] + offset, np.ones(len(seg), np.int64))
+        if len(merged[0]):
+            yield batch([(0, 0, *place_and_n, None, 0, 0) for place_and_n in zip(*(c.tolist() for c in merged), strict=True)])
 
     def halves(row: tuple) -> Iterator[tuple]:
-        for key, did, tag, q, seg, c, d in _halves(row, length):
-            yield (1, key, did, tag, q, 0, seg, c, d)
+        for key, did, tag, tag2, q, seg, c, d in _halves(row, length):
+            yield (1, key, did, tag, tag2, q, 0, seg, c, d)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard: list[tuple] = []  # closed cores with several segments
@@ -538,16 +542,16 @@ def _settle_segments(length: int):
                 if row[0] != key:
                     if len(core) > 1:
                         shard += core
-                        size += sum(len(r[4]) for r in core)
+                        size += sum(len(r[5]) for r in core)
                     core, key, seg, crowded = [], row[0], None, False
                     if size > SHARD_BYTES:
                         yield from sorted_shard(shard)
                         shard, size = [], 0
-                if row[4] == seg:
-                    if (row[1], row[3]) > place:
-                        out.append((0, 0, row[1], row[2], row[3], len(seg) - length + 1, None, 0, 0))
+                if row[5] == seg:
+                    if row[1:5] != place:
+                        out.append((0, 0, *row[1:5], len(seg) - length + 1, None, 0, 0))
                 else:
-                    seg, place = row[4], (row[1], row[3])
+                    seg, place = row[5], row[1:5]
                     if crowded:
                         out += halves(row)
                     else:
@@ -569,7 +573,7 @@ def _settle_segments(length: int):
     return settle
 
 
-_SETTLED_SCHEMA = "kind int, key long, did long, tag int, q int, n int, seg binary, c int, d int"
+_SETTLED_SCHEMA = "kind int, key long, did long, tag long, tag2 long, q int, n int, seg binary, c int, d int"
 
 
 def _kept(length: int):
@@ -597,10 +601,17 @@ def _kept(length: int):
     return make
 
 
+def _document(id_col: str, text_col: str, names: tuple[str, str, str] = ("did", "tag", "tag2")) -> list[Column]:
+    """What a row is told apart by, and ordered: its id, null first, and twice 60 bits of its text's MD5."""
+    digest = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    bits = [F.conv(F.substring(digest, at, 15), 16, 10).cast("long") for at in (1, 16)]
+    return [c.alias(name) for c, name in zip((F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), *bits), names, strict=True)]
+
+
 def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = F.col(id_col).cast("long")
-    return docs.select(own.alias("doc_id"), F.coalesce(own, F.lit(NO_ID)).alias("did"), F.pmod(F.xxhash64(text), F.lit(1 << 15)).cast("int").alias("tag"), text.alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(own.alias("doc_id"), *_document(id_col, text_col), text.alias("text"))
 
 
 def _common_anchors(docs: DataFrame, texts: DataFrame, length: int, gram: int) -> np.ndarray:
@@ -614,21 +625,21 @@ def _common_anchors(docs: DataFrame, texts: DataFrame, length: int, gram: int) -
 
 
 def repeated_places(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Runs of windows that go: did, tag (the document), q (first start), n (starts)."""
+    """Runs of windows that go: did, tag and tag2 (the document), q (first start), n (starts)."""
     bound_batches(docs.sparkSession)
     rows = _placed(docs, id_col, text_col)
-    long_enough = rows.where(F.octet_length("text") >= length).select("did", "tag", "text")
+    long_enough = rows.where(F.octet_length("text") >= length).select(*_DOCUMENT, "text")
     found = long_enough.mapInArrow(_block_rows(length, gram, _common_anchors(docs, long_enough, length, gram)), _BLOCK_SCHEMA)
-    met = found.repartition("core").sortWithinPartitions("core", "seg", "seg2", "did", "q")
+    met = found.repartition("core").sortWithinPartitions("core", "seg", "seg2", *_DOCUMENT, "q")
     settled = materialize(met.mapInArrow(_settle_blocks, _PLACE_SCHEMA), "blocks")
-    gone = settled.where("kind = 0").select("did", "tag", "q", "n")
-    unsure = settled.where("kind = 1").groupBy("did", "tag").agg(F.collect_list(F.struct("q", "n", "a")).alias("places"))
-    segments = long_enough.join(unsure, ["did", "tag"]).mapInArrow(_segments(length, gram), _SEGMENT_SCHEMA)
+    gone = settled.where("kind = 0").select(*_DOCUMENT, "q", "n")
+    unsure = settled.where("kind = 1").groupBy(*_DOCUMENT).agg(F.collect_list(F.struct("q", "n", "a")).alias("places"))
+    segments = long_enough.join(unsure, _DOCUMENT).mapInArrow(_segments(length, gram), _SEGMENT_SCHEMA)
     while True:
-        by_core = segments.repartition("key").sortWithinPartitions("key", "seg", "did", "q")
+        by_core = segments.repartition("key").sortWithinPartitions("key", "seg", *_DOCUMENT, "q")
         judged = materialize(by_core.mapInArrow(_settle_segments(length), _SETTLED_SCHEMA), "segments")
-        gone = gone.union(judged.where("kind = 0").select("did", "tag", "q", "n"))
-        segments = judged.where("kind = 1").select("key", "did", "tag", "q", "seg", "c", "d")
+        gone = gone.union(judged.where("kind = 0").select(*_DOCUMENT, "q", "n"))
+        segments = judged.where("kind = 1").select("key", *_DOCUMENT, "q", "seg", "c", "d")
         if segments.isEmpty():
             return gone
 
@@ -636,13 +647,13 @@ def repeated_places(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
 def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the bytes kept, for every row.
 
-    Null and empty texts, and texts shorter than `length`, lose nothing; rows that repeat an id and a text share their
-    places, so neither removes the other, and places of rows with one id and different texts count by their starts; a
-    null id comes before all others; an empty table gives no row. Other columns are not read.
+    Null and empty texts, and texts shorter than `length`, lose nothing; rows that repeat an id and a text are one
+    document, so neither removes the other; rows with one id and different texts are documents in the order of their
+    texts' MD5, null ids before all others; an empty table gives no row. Other columns are not read.
     """
     gone = repeated_places(docs, length=length, gram=gram, id_col=id_col, text_col=text_col)
-    by_doc = gone.groupBy("did", "tag").agg(F.collect_list(F.struct("q", "n")).alias("places"))
-    rows = _placed(docs, id_col, text_col).join(by_doc, ["did", "tag"], "left").select("doc_id", "text", "places")
+    by_doc = gone.groupBy(*_DOCUMENT).agg(F.collect_list(F.struct("q", "n")).alias("places"))
+    rows = _placed(docs, id_col, text_col).join(by_doc, _DOCUMENT, "left").select("doc_id", "text", "places")
     return rows.mapInArrow(_kept(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
@@ -650,14 +661,14 @@ def keep_unrepeated(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
     """All rows of docs, columns as they are, with only the kept bytes in their texts; bytes of a cut character are left out.
 
     A null text stays null, empty and short ones lose nothing, and texts of any length are judged whole. Rows are told
-    apart by id and text, null ids come first; equal rows lose the same bytes; an empty table stays empty.
+    apart by id and whole text: those of one id, or of none, come in the order of their texts' MD5, null ids first;
+    equal rows lose the same bytes; an empty table stays empty.
     """
     gone = repeated_places(docs, length=length, gram=gram, id_col=id_col, text_col=text_col)
-    did, tag, places = (fresh(docs, c) for c in ("_did", "_tag", "_places"))
-    by_doc = gone.groupBy("did", "tag").agg(F.collect_list(F.struct("q", "n")).alias(places)).withColumnsRenamed({"did": did, "tag": tag})
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumns({did: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), tag: F.pmod(F.xxhash64(text), F.lit(1 << 15)).cast("int")})
-    joined = keyed.join(by_doc, [did, tag], "left").select(*docs.columns, places)
+    *document, places = (fresh(docs, c) for c in ("_did", "_tag", "_tag2", "_places"))
+    by_doc = gone.groupBy(*_DOCUMENT).agg(F.collect_list(F.struct("q", "n")).alias(places)).withColumnsRenamed(dict(zip(_DOCUMENT, document, strict=True)))
+    keyed = docs.select("*", *_document(id_col, text_col, tuple(document)))
+    joined = keyed.join(by_doc, document, "left").select(*docs.columns, places)
     at = docs.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -59,8 +59,9 @@ def test_one_passage_in_all_documents(spark, monkeypatch):
     assert sorted(((r[0], r[1], r[2], r[3], hashlib.sha256(bytes(r[4])).hexdigest()) for r in got), key=str) == brute(table, 100)
 
 
-def first(d):
-    return suffix.NO_ID if d is None else d
+def document(d, t):
+    """Ids in order, null first; of one id, or none, by the text's MD5."""
+    return suffix.NO_ID if d is None else d, hashlib.md5((t or "").encode()).hexdigest()[:30]
 
 
 def brute(rows, length):
@@ -68,14 +69,14 @@ def brute(rows, length):
     for d, t in rows:
         b = (t or "").encode()
         for i in range(len(b) - length + 1):
-            place = (first(d), i)
+            place = (document(d, t), i)
             seen[b[i : i + length]] = min(seen.get(b[i : i + length], place), place)
     out = []
     for d, t in rows:
         b = (t or "").encode()
         gone = bytearray(len(b))
         for i in range(len(b) - length + 1):
-            if (first(d), i) > seen[b[i : i + length]]:
+            if (document(d, t), i) > seen[b[i : i + length]]:
                 gone[i : i + length] = b"\1" * length
         kept = bytes(c for c, x in zip(b, gone, strict=True) if not x)
         out.append((d, len(b), sum(gone), sum(gone[i] and not (i and gone[i - 1]) for i in range(len(b))), hashlib.sha256(kept).hexdigest()))
@@ -104,6 +105,22 @@ def test_repeats(spark, monkeypatch, length, gram, most):
     assert sorted(((r[0], r[1], r[2], r[3], hashlib.sha256(bytes(r[4])).hexdigest()) for r in got), key=str) == brute(rows(), length)
 
 
+def test_many_rows_without_ids_or_of_one_id(spark):
+    """Rows of one id, or none, are documents of their own: clean ones lose nothing, and passages go in all but the first."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, start = word(150), word(300)
+    table = [(None, word(rng.randint(0, 40)) + (passage if k % 2 else word(150)) + word(9)) for k in range(2000)]
+    table += [(None, start + word(20)) for _ in range(20)] + [(7, start + word(20)) for _ in range(20)] + [(7, word(200)) for _ in range(20)]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    got = suffix.remove_repeats(docs).collect()
+    want = brute(table, 100)
+    assert sorted(((r[0], r[1], r[2], r[3], hashlib.sha256(bytes(r[4])).hexdigest()) for r in got), key=str) == want
+    assert sum(r[2] > 0 for r in want) == 999 + 19 + 20
+    kept = {r["text"] for r in suffix.keep_unrepeated(docs).collect()}
+    assert {t for k, (_, t) in enumerate(table) if k < 2000 and not k % 2 or k >= 2040} <= kept
+
+
 def test_long_texts_in_overlapping_parts(monkeypatch):
     monkeypatch.setattr(suffix, "STEP_BITS", 9)
     offsets = np.array([0, 100, 2000, 2050])
