@@ -106,9 +106,12 @@ def validation_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def section_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file of sections, of which every fifth number comes again with another text."""
-    line = F.array(F.concat(F.lit("=== Line "), (F.col("n_nationkey") % 20).cast("string"), F.lit(" ===")), F.concat(F.lit("  "), F.col("n_name"), F.lit(" ")))
-    return src.sections(spark, _files(table(spark, sf_dir, "nation").coalesce(1), "n_nationkey", line, "sections"))
+    """Whole documents as sections of a file, some twice: the last of a number stays, but for blank ones."""
+    head = lambda n: F.concat(F.lit("=== Line "), n.cast("string"), F.lit(" ==="))
+    own, again = head(F.col("doc_id")), head(F.col("doc_id") - F.col("doc_id") % 4)
+    line = F.array(F.concat(own, F.lit("  "), F.col("text")), F.when(F.col("doc_id") % 8 == 5, F.concat(again, F.lit(" again "), F.col("doc_id").cast("string"))).when(F.col("doc_id") % 8 == 2, again).otherwise(F.lit("")))
+    found = src.sections(spark, _files(table(spark, sf_dir, "documents"), "doc_id", line, "sections"))
+    return found.select("line_no", F.regexp_replace("text", r"\s+", " ").alias("text"))
 
 
 def smiles_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +218,11 @@ ORACLE_SQL = {
         FROM documents WHERE {_strip('text')} <> ''""",
     "sniffed_scan": "SELECT 'lines' AS kind, text AS instruction FROM benchmark UNION ALL SELECT 'array', n_name FROM nation",
     "validation_scan": "SELECT '{\"key\":' || n_nationkey || ',\"name\":\"' || n_name || '\"}' AS record FROM nation WHERE n_nationkey <= 20",
-    "section_scan": "SELECT (n_nationkey % 20)::INT AS line_no, arg_max(n_name, n_nationkey) AS text FROM nation GROUP BY 1",
+    "section_scan": rf"""
+        WITH s AS (
+            SELECT doc_id AS line_no, 2 * doc_id AS pos, text FROM documents UNION ALL SELECT doc_id - doc_id % 4, 2 * doc_id + 1, 'again ' || doc_id FROM documents WHERE doc_id % 8 = 5),
+        k AS (SELECT line_no, arg_max({_strip('text')}, pos) AS text FROM s WHERE {_strip('text')} <> '' GROUP BY line_no)
+        SELECT line_no, regexp_replace(text, '[\s\x0B]+', ' ', 'g') AS text FROM k""",
     "smiles_scan": "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS _index, c_name AS smiles FROM customer",
     "molecule_scan": "SELECT s_suppkey::VARCHAR AS id, s_name AS smiles FROM supplier UNION ALL SELECT 'mol_' || (2 * row_number() OVER (ORDER BY n_nationkey) - 1), split_part(n_name, ' ', 1) FROM nation",
     "recursive_scan": "SELECT coalesce(lang, 'none') AS lang, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM documents GROUP BY 1",

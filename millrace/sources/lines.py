@@ -170,14 +170,36 @@ def validation_records(spark: SparkSession, path: str) -> DataFrame:
     return kept.groupBy(record.alias("record")).agg(F.min(place).alias("_at")).select(F.col(f"_at.{FILE}").alias(FILE), F.col(f"_at.{LINE}").alias(LINE), "record")
 
 
+#: What marks a section, and its head.
+SECTION_MARK, SECTION_HEAD = "=== Line", r"=== Line (\d+) ==="
+
+
 def sections(spark: SparkSession, path: str) -> DataFrame:
-    """line_no and text: of `=== Line N ===` sections (the last of a number stays), or of the lines of the trimmed file, from 1."""
-    whole = spark.read.text(path, wholetext=True).select("value")
-    cut = whole.where(F.contains("value", F.lit("=== Line"))).select(F.regexp_extract_all("value", F.lit(r"=== Line (\d+) ==="), 1).alias("n"), F.slice(F.split("value", r"=== Line \d+ ==="), 2, 1 << 30).alias("t"))
-    marked = cut.select(F.posexplode(F.arrays_zip("n", "t")).alias("k", "x")).select("k", F.expr("try_cast(x.n AS int)").alias("line_no"), stripped(F.col("x.t")).alias("text"))
-    last = marked.groupBy("line_no").agg(F.max_by("text", "k").alias("text"))
-    rest = whole.where(~F.contains("value", F.lit("=== Line"))).select(F.posexplode(F.split(stripped("value"), "\n")).alias("k", "t")).select((F.col("k") + 1).cast("int").alias("line_no"), stripped("t").alias("text"))
-    return last.union(rest).where("text <> ''")
+    """line_no and text: of `=== Line N ===` sections (the last of a number that isn't blank stays), or of the lines of the file, from 1.
+
+    Files split: a piece of a line belongs to the last head before it, found within spans of lines and, before them, by
+    a row for each span; only a section's own text is gathered in a row. Without a mark anywhere, lines count from the
+    first that isn't blank.
+    """
+    rows = lines(spark, path)
+    marked = F.contains(VALUE, F.lit(SECTION_MARK))
+    files = rows.groupBy(FILE).agg(F.max(marked).alias("_marked"), F.min(F.when(stripped(VALUE) != "", F.col(LINE))).alias("_start"))  # a row for each file
+    rows = rows.join(F.broadcast(files), FILE)
+    plain = rows.where(~F.col("_marked")).select((F.col(LINE) - F.col("_start") + 1).alias("line_no"), stripped(VALUE).alias("text"))
+
+    heads = F.transform(F.regexp_extract_all(VALUE, F.lit(SECTION_HEAD), 1), lambda n: n.try_cast("long"))
+    pieces = rows.where("_marked").select(FILE, LINE, heads.alias("_heads"), F.posexplode(F.split(VALUE, SECTION_HEAD, -1)).alias("_k", "_piece"))
+    at = F.struct(F.col(LINE).alias("line"), F.col("_k").alias("k"), F.get("_heads", F.col("_k") - 1).alias("number"))
+    spans = pieces.select(FILE, LINE, "_k", "_piece", F.when(F.col("_k") > 0, at).alias("_head"), F.floor(F.col(LINE) / SPAN).alias("_span"))
+    last = spans.groupBy(FILE, "_span").agg(F.max("_head").alias("_last"))
+    before = Window.partitionBy(FILE).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(FILE, "_span", F.max("_last").over(before).alias("_carried"))
+    within = Window.partitionBy(FILE, "_span").orderBy(LINE, "_k").rowsBetween(Window.unboundedPreceding, 0)
+    owned = spans.withColumn("_own", F.max("_head").over(within)).join(carried, [FILE, "_span"]).select(FILE, LINE, "_k", "_piece", F.coalesce("_own", "_carried").alias("_of"))
+    texts = owned.where("_of IS NOT NULL").groupBy(FILE, "_of").agg(F.array_sort(F.collect_list(F.struct(LINE, "_k", "_piece"))).alias("_all"))
+    cut = texts.select(F.col("_of.number").alias("line_no"), stripped(F.array_join(F.col("_all._piece"), "\n")).alias("text"), F.struct(FILE, "_of").alias("_at")).where("text <> ''")
+    kept = cut.groupBy("line_no").agg(F.max_by("text", "_at").alias("text"))
+    return kept.union(plain.where("text <> ''"))
 
 
 def smiles_list(spark: SparkSession, path: str) -> DataFrame:
