@@ -106,22 +106,118 @@ PHRASES = (
 )
 
 
-def default_aliases() -> dict[str, str]:
-    """Alias to canonical name by rule: the name itself; enzymes with inhibitor or substrate by their bare number too,
-    and in Chinese; rules of one word in Chinese; the letters in brackets of a name. The later of two names with one alias has it.
+#: Further names of features, beside those that follow by rule. Where several features list a name, the last
+#: of them in the order of FEATURES has it. This is not every name in use: a full table is the caller's (resolve_aliases).
+ALIASES = (
+    ("10肽", ("ten peptides",)),
+    ("Alarm_NMR Rule", ("警报 nmr 规则",)),
+    ("Acute Toxicity Rule", ("急性毒性 规则",)),
+    ("AMES Toxicity", ("ames", "艾姆斯 毒性", "mutagenicity", "mutagenic", "ames test")),
+    ("Aquatic Toxicity Rule", ("水生毒性 规则",)),
+    ("A549 Cytotoxicity", ("a549 细胞毒性",)),
+    ("BCF", ("生物富集因子",)),
+    ("BCRP inhibitor", ("bcrp", "bcrp 抑制剂")),
+    ("BBB", ("blood brain barrier", "血脑屏障", "blood-brain barrier")),
+    ("Boiling point", ("沸点",)),
+    ("Caco-2 Permeability", ("caco2", "caco-2", "caco2 permeability", "permeability")),
+    ("Carcinogenicity", ("致癌性", "carcinogenic")),
+    ("Chelating Rule", ("螯合 规则",)),
+    ("CL_plasma", ("cl plasma", "cl<sub>plasma</sub>", "血浆 清除率", "plasma clearance")),
+    ("CYP2D6 inhibitor", ("抑制 cyp2d6", "cyp2d6/抑制")),
+    ("DILI", ("drug-induced liver injury", "药物性 肝损伤", "药物 诱导 肝损伤", "hepatotoxicity", "liver injury", "hepatic injury")),
+    ("Density", ("密度",)),
+    ("Eye Corrosion", ("眼腐蚀",)),
+    ("Eye Irritation", ("眼刺激",)),
+    ("FDAMDD", ("fda 最大推荐剂量", "fda mdd")),
+    ("FLuc inhibitors", ("荧光素酶 抑制剂",)),
+    ("Flexibility", ("柔性", "rotatable bonds")),
+    ("Fsp3", ("fsp³", "fsp 3", "fsp<sup>3</sup>")),
+    ("Fu", ("血浆 游离分数", "fraction unbound")),
+    ("GoldenTriangle", ("金三角规则", "golden triangle")),
+    ("Genotoxic Carcinogenicity Mutagenicity Rule", ("遗传毒性 规则",)),
+    ("Genotoxicity", ("遗传毒性", "genotox", "genotoxic", "mutagenicity", "mutagenic")),
+    ("Green fluorescence", ("绿色荧光",)),
+    ("HBD (nHD)", ("hbd", "nhd", "氢供体")),
+    ("HBA (nHA)", ("hba", "nha", "氢受体")),
+    ("Hek293 Cytotoxicity", ("hek293 细胞毒性",)),
+    ("HIA", ("human intestinal absorption", "人肠道吸收")),
+    ("HLM Stability", ("代谢 稳定性", "人肝微粒体 稳定性", "代谢 不稳定性", "分子 不稳定性", "metabolic stability")),
+    ("Human Hepatotoxicity", ("人类 肝毒性", "liver toxicity", "hepatotoxicity", "liver injury")),
+    ("IG C50", ("igc50",)),
+    ("logD7.4", ("logd 7.4", "logd_7_4")),
+    ("logP", ("clogp", "lipophilicity")),
+    ("logS", ("溶解度", "solubility")),
+    ("MDCK Permeability", ("mdck",)),
+    ("Melting point", ("熔点",)),
+    ("Molecular Weight (MW)", ("molecular weight", "分子量")),
+    ("NPscore", ("np 分数",)),
+    ("NonBiodegradable", ("非 生物 降解",)),
+    ("NonGenotoxic Carcinogenicity Rule", ("非 遗传毒性 规则",)),
+    ("nHet", ("杂原子数",)),
+    ("nHD", ("氢供体 数",)),
+    ("nHA", ("氢受体 数",)),
+    ("nRing", ("环数",)),
+    ("nRig", ("刚性 数",)),
+    ("nRot", ("旋转键 数", "roam")),
+    ("NR-Aromatase", ("nr-芳构酶",)),
+    ("NR-PPAR-gamma", ("nr-ppar-γ",)),
+    ("PPB", ("plasma protein binding", "血浆 蛋白 结合率")),
+    ("Promiscuous compounds", ("非特异性 配体",)),
+    ("QED", ("药物 相似度", "drug-likeness")),
+    ("Rat Oral Acute Toxicity", ("大鼠 口服 急性毒性",)),
+    ("Respiratory", ("呼吸毒性",)),
+    ("RPMI-8226 Immunitoxicity", ("rpmi-8226 免疫毒性",)),
+    ("Reactive compounds", ("活性化合物",)),
+    ("SAscore", ("合成可及性 分数", "synthesizability")),
+    ("Skin Sensitization", ("皮肤 致敏性",)),
+    ("Skin Sensitization Rule", ("皮肤 致敏性 规则",)),
+    ("Stereo Centers", ("立体 中心",)),
+    ("Topological Polar Surface Area (TPSA)", ("极性表面积",)),
+    ("T1/2", ("半衰期", "half-life")),
+    ("Toxicity: Eye Corrosion", ("眼腐蚀",)),
+    ("Toxicity: Eye Irritation", ("眼刺激", "eye irritation")),
+    ("Toxicity: Human Hepatotoxicity", ("人类 肝毒性",)),
+    ("Toxicity: Drug-induced Nephrotoxicity", ("药物 诱导 肾毒性", "nephrotoxicity")),
+    ("Toxicity: Drug-induced Neurotoxicity", ("药物 诱导 神经毒性", "neurotoxicity")),
+    ("Toxicity: Ototoxicity", ("耳毒性",)),
+    ("Toxicity: Hematotoxicity", ("血液 毒性",)),
+    ("Toxicity: Genotoxicity", ("基因 毒性",)),
+    ("Toxicity: Carcinogenicity", ("致癌性",)),
+    ("Toxicity: Skin Sensitization", ("皮肤 致敏性",)),
+    ("Toxicity: DILI", ("药物性 肝损伤", "drug-induced liver injury")),
+    ("Toxicity: AMES Toxicity", ("ames 毒性", "mutagenicity", "ames test")),
+    ("Toxicity: Rats Oral Acute Toxicity", ("大鼠 口服 急性毒性",)),
+    ("Toxicity: FDAMDD", ("fda mdd",)),
+    ("Toxicity: RPMI-8226 Immunitoxicity", ("rpmi-8226 免疫毒性",)),
+    ("Toxicity: A549 Cytotoxicity", ("a549 细胞毒性",)),
+    ("Toxicity: Hek293 Cytotoxicity", ("hek293 细胞毒性",)),
+    ("hERG Blockers", ("herg", "herg blockade", "herg inhibition", "herg blocker")),
+    ("Pgp inhibitor", ("p-gp inhibitor",)),
+    ("Pgp substrate", ("p-gp substrate",)),
+)
+
+
+def ruled_aliases(name: str) -> list[str]:
+    """Aliases of a feature by rule: the name itself; of enzymes with inhibitor or substrate the bare number too, and
+    Chinese; of rules of one word Chinese; the letters in brackets."""
+    low = name.lower()
+    forms = [low]
+    if low.startswith("cyp"):
+        enzyme, kind = low.split()
+        forms += [f"{enzyme[3:]} {kind}", f"{enzyme} {'抑制剂' if kind == 'inhibitor' else '底物'}"]
+    if low.endswith(" rule") and low.count(" ") == 1:
+        forms.append(low[: -len("rule")] + "规则")
+    if low.endswith(")") and " (" in low:
+        forms.append(low[low.index(" (") + 2 : -1])
+    return forms
 
-    Further aliases are the caller's.
-    """
-    out: dict[str, str] = {}
-    for name in FEATURES:
-        low = name.lower()
-        forms = [low]
-        if low.startswith("cyp"):
-            enzyme, kind = low.split()
-            forms += [f"{enzyme[3:]} {kind}", f"{enzyme} {'抑制剂' if kind == 'inhibitor' else '底物'}"]
-        if low.endswith(" rule") and low.count(" ") == 1:
-            forms.append(low[: -len("rule")] + "规则")
-        if low.endswith(")") and " (" in low:
-            forms.append(low[low.index(" (") + 2 : -1])
-        out |= dict.fromkeys(forms, name)
-    return out
+
+def alias_entries() -> list[tuple[str, str]]:
+    """Feature and alias, by rule and of ALIASES, in the order of FEATURES."""
+    more = dict(ALIASES)
+    return [(name, alias) for name in FEATURES for alias in (*ruled_aliases(name), *more.get(name, ()))]
+
+
+def default_aliases() -> dict[str, str]:
+    """Alias to canonical name; of names that list one alias the last has it."""
+    return {alias: name for name, alias in alias_entries()}

@@ -7,12 +7,14 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.scoring import BANDS, CORE_FEATURES, FEATURE_WEIGHTS, LESS_IS_BETTER, MORE_IS_BETTER, feature_reward, number_of, set_f_score
 from millrace.functions.text import flat_key, plain_key, split_key, stripped
-from millrace.functions.vocabulary import MERGES, PHRASES, default_aliases
+from millrace.functions.records import PLAIN_ALIAS
+from millrace.functions.trie import longest_matches, within
+from millrace.functions.vocabulary import MERGES, PHRASES, alias_entries, default_aliases
 from millrace.operators.stats import upper_median
 from millrace.session import ship
 
@@ -32,9 +34,28 @@ def feature_table(spark: SparkSession, thresholds: dict[str, float] | None = Non
     return spark.createDataFrame(rows, FEATURE_SCHEMA)
 
 
+def resolve_aliases(entries: DataFrame) -> DataFrame:
+    """alias (lower case, unique), canonical and pos of a table of entries: canonical, alias, pos and, if it has one, block.
+
+    Each canonical name is an alias of itself, and its place is its first entry's. Entries of a later block replace those
+    of the same name in earlier ones, and keep that place. Of names that list one alias the last by place has it; pos is
+    the place of the first that lists it.
+    """
+    block = F.col("block") if "block" in entries.columns else F.lit(0)
+    rows = entries.select("canonical", F.lower(stripped("alias")).alias("alias"), "pos", block.alias("block"))
+    names = rows.groupBy("canonical").agg(F.min("pos").alias("place"), F.max("block").alias("last"))
+    kept = rows.join(names, "canonical").where(F.col("block") == F.col("last")).select("alias", "canonical", "place")
+    own = names.select(F.lower(stripped("canonical")).alias("alias"), "canonical", "place")
+    return kept.union(own).groupBy("alias").agg(F.max_by("canonical", "place").alias("canonical"), F.min("place").alias("pos"))
+
+
 def alias_table(spark: SparkSession, more: dict[str, str] | None = None) -> DataFrame:
-    """alias and canonical of the default aliases and further ones."""
-    return spark.createDataFrame(list((default_aliases() | (more or {})).items()), "alias string, canonical string")
+    """alias, canonical and pos of the default aliases, and of further ones, which come last."""
+    entries = [(c, a) for c, a in alias_entries() if a not in (more or {})] + [(c, a) for a, c in (more or {}).items()]
+    first: dict[str, int] = {}
+    for k, (_, alias) in enumerate(entries):
+        first.setdefault(alias, k)
+    return spark.createDataFrame([(a, c, first[a]) for a, c in {a: c for c, a in entries}.items()], "alias string, canonical string, pos long")
 
 
 def phrase_table(spark: SparkSession, more: dict[str, str] | None = None) -> DataFrame:
@@ -51,31 +72,86 @@ def phrase_table(spark: SparkSession, more: dict[str, str] | None = None) -> Dat
     return spark.createDataFrame([(p, f, d, k) for k, (p, (f, d)) in enumerate(named.items())], "phrase string, feature string, direction string, pos int")
 
 
-def normalized_features(props: DataFrame, aliases: DataFrame | None = None, *, merges: dict[str, str] = MERGES, sample: str = "sample_id", role: str = "role", name: str = "name", raw: str = "raw", pos: str = "pos") -> DataFrame:
-    """Long features with canonical names and numbers.
+def canonical_names(names: DataFrame, aliases: DataFrame | None = None, *, merges: dict[str, str] = MERGES, name: str = "name") -> DataFrame:
+    """name and feature of distinct names.
 
-    aliases: alias (lower case, unique) and canonical, by default alias_table. A name is looked up as it is, with seams
-    split, with _ and - as spaces; the first that is known wins, else the spaced name stays; then merges are applied,
-    and the letters and digits alone looked up (empty: unknown). Of names that become one, the last by pos wins.
+    aliases: alias (lower case, unique), canonical and, for the last step, pos; by default alias_table. A name is looked
+    up as it is, with seams split, with _ and - as spaces; the first that is known wins, else the spaced name stays; then
+    merges are applied, and the letters and digits alone looked up: of aliases that have them in common the last by pos
+    wins, of IG C50 and IGC50 the latter; none at all is unknown.
     """
-    aliases = alias_table(props.sparkSession) if aliases is None else aliases
+    aliases = alias_table(names.sparkSession) if aliases is None else aliases
     merged = F.create_map(*(F.lit(x) for kv in merges.items() for x in kv)) if merges else F.create_map().cast("map<string,string>")
-    table = F.broadcast(aliases.select("alias", "canonical")) if aliases.count() <= 100_000 else aliases
-    flat = aliases.select(flat_key("alias").alias("alias"), "canonical").where("alias <> ''").groupBy("alias").agg(F.max("canonical").alias("canonical"))
+    pos = F.col("pos") if "pos" in aliases.columns else F.lit(0)
+    flat = aliases.select(flat_key("alias").alias("alias"), "canonical", pos.alias("pos")).where("alias <> ''").groupBy("alias").agg(F.max_by("canonical", F.struct("pos", "canonical")).alias("canonical"))
     seams = split_key(name)
     spaced = stripped(F.regexp_replace(F.regexp_replace(seams, r"[_\-]+", " "), r"\s+", " "))
     forms = [plain_key(name), F.lower(stripped(seams)), F.lower(spaced)]
-    out = props
+    out = names.select(name).distinct()
     for k, form in enumerate(forms):
-        out = out.withColumn(f"_f{k}", form).join(table.select(F.col("alias").alias(f"_f{k}"), F.col("canonical").alias(f"_c{k}")), f"_f{k}", "left")
+        out = out.withColumn(f"_f{k}", form).join(aliases.select(F.col("alias").alias(f"_f{k}"), F.col("canonical").alias(f"_c{k}")), f"_f{k}", "left")
     out = out.withColumn("_found", F.coalesce("_c0", "_c1", "_c2", spaced))
     out = out.withColumn("_known", F.coalesce(F.try_element_at(merged, F.col("_found")), "_found")).withColumn("_flat", flat_key("_known"))
     out = out.join(flat.select(F.col("alias").alias("_flat"), F.col("canonical").alias("_c3")), "_flat", "left")
-    feature = F.coalesce("_c3", "_known")
-    numbers = out.select(sample, role, feature.alias("feature"), number_of(raw).alias("value"), pos)
+    return out.select(name, F.coalesce("_c3", "_known").alias("feature"))
+
+
+def normalized_features(props: DataFrame, aliases: DataFrame | None = None, *, merges: dict[str, str] = MERGES, sample: str = "sample_id", role: str = "role", name: str = "name", raw: str = "raw", pos: str = "pos") -> DataFrame:
+    """Long features with canonical names (canonical_names, worked out once for each distinct name) and numbers.
+
+    Of names that become one, the last by pos wins; a null name stays null.
+    """
+    known = canonical_names(props, aliases, merges=merges, name=name).withColumnRenamed(name, "_name")
+    numbers = props.join(known, F.col(name).eqNullSafe(F.col("_name"))).select(sample, role, "feature", number_of(raw).alias("value"), pos)
     return numbers.groupBy(sample, role, "feature").agg(F.max_by("value", pos).alias("value")).where("value IS NOT NULL")
 
 
+#: Aliases of one pattern; more take further passes over the texts.
+PATTERN = 4096
+
+
+def alias_hits(texts: DataFrame, aliases: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, alias, canonical, start (from 0) and end of every alias in lower-cased whole texts, also inside of one another.
+
+    Names of letters, digits, spaces, - and _ are found wherever they stand as whole words, others where they stand first
+    in a text. The aliases (alias, lower case and unique, and canonical; by default alias_table) become patterns of
+    PATTERN each, and each pattern is one pass. A null text counts as empty; repeated rows repeat; a blank alias is
+    nowhere, and one that can overlap itself is refused.
+    """
+    aliases = alias_table(texts.sparkSession) if aliases is None else aliases
+    known = {r["alias"]: r["canonical"] for r in aliases.select("alias", "canonical").collect() if r["alias"] and r["alias"].strip()}  # a dictionary of names
+    plain = sorted(a for a in known if re.fullmatch(PLAIN_ALIAS, a))
+    if refused := [a for a in plain if _overlaps_as_words(a)]:
+        raise ValueError(f"can overlap themselves: {refused}")
+    other = sorted(known.keys() - set(plain))
+    low = texts.select(F.col(id_col).alias("_id"), F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_low"))
+    spark, parts = texts.sparkSession, []
+    for words, whole in ((plain, True), (other, False)):
+        for at in range(0, len(words), PATTERN):
+            own = words[at : at + PATTERN]
+            inner = [(w, a, known[a]) for w, found in within(own, whole).items() for a in found]
+            spread = F.broadcast(spark.createDataFrame(inner, "word string, alias string, canonical string"))
+            found = longest_matches(F.col("_low"), own, whole)
+            hits = low.select("_id", F.explode(found if whole else _firsts(found, within(own, whole))).alias("m")).select("_id", "m.start", "m.word")
+            hits = hits.join(spread, "word") if whole else hits.join(spread.where("word = alias"), "word")
+            parts.append(hits.select(F.col("_id").alias(id_col), "alias", "canonical", "start", (F.col("start") + F.length("alias")).alias("end")))
+    return reduce(DataFrame.union, parts)
+
+
+def _overlaps_as_words(alias: str) -> bool:
+    """Whether an alias of several words ends in whole words that it begins with."""
+    words = re.split("[ -]", alias)
+    return any(words[-k:] == words[:k] for k in range(1, len(words)))
+
+
+def _firsts(matches: Column, inner: dict[str, list[str]]) -> Column:
+    """start and word of the first place of each word, those inside of longer ones among them."""
+    table = F.create_map(*(x for w, own in inner.items() for x in (F.lit(w), F.array(*map(F.lit, own)))))
+    all_ = F.flatten(F.transform(matches, lambda m: F.transform(F.try_element_at(table, m["word"]), lambda a: F.struct(m["start"].alias("start"), a.alias("word")))))
+    names = F.transform(all_, lambda m: m["word"])
+    return F.filter(all_, lambda m, k: F.array_position(names, m["word"]) == k + 1)
+
+
 def lookup(molecules: DataFrame, client: Callable[[str], dict], *, tries: int = 3, smiles: str = "smiles") -> DataFrame:
     """smiles and props (a map) by an injected client; each distinct molecule is asked once, with retries; failures give an empty map."""
 

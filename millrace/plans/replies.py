@@ -108,11 +108,15 @@ def structural_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMES = {
     "CYP3A4 inhibitor": "CYP3A4 inhibitor", "3a4 inhibitor": "CYP3A4 inhibitor", "nRot": "Flexibility", "Drug-induced_Neurotoxicity": "Toxicity: Drug-induced Neurotoxicity",
     "AMES_Toxicity": "AMES Toxicity", "log<sub>S</sub>": "logS", "Unknown-Name": "Unknown Name", "LogP": "logP",
+    "Hepatotoxicity": "Human Hepatotoxicity", "mutagenicity": "Toxicity: AMES Toxicity", "mutagenic": "Genotoxicity", "hERG": "hERG Blockers", "CLogP": "logP",
+    "溶解度": "logS", "人类 肝毒性": "Toxicity: Human Hepatotoxicity", "致癌性": "Toxicity: Carcinogenicity", "Eye Irritation": "Toxicity: Eye Irritation",
+    "CYP2D6": "CYP2D6 substrate", "IG C50": "IGC50", "hepatic injury": "DILI", "HBD": "HBD (nHD)", "nHD": "HBD (nHD)", "drug-induced liver injury": "Toxicity: DILI",
+    "未知": "未知", "Molecular Weight（MW）": "Molecular Weight (MW)", "fsp<sup>3</sup>": "Fsp3", "T1/2": "T1/2", "bms 规则": "BMS Rule", "xlogp": "xlogp",
 }
 
 
 def property_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two properties of each order under names of eight kinds; of two that become one name the later wins."""
+    """Two properties of each order under many kinds of names; of two that become one name the later wins."""
     raw = _pick(F.col("o_orderkey"), F.concat(F.lit(">"), F.col("o_custkey").cast("string"), F.lit(" nM")), F.col("o_custkey").cast("string"), F.lit("++-"))
     names = list(_NAMES)
     two = F.array(F.struct(_pick(F.col("o_orderkey"), *names).alias("name"), raw.alias("raw"), F.lit(0).alias("pos")), F.struct(_pick(F.col("o_orderkey") + 1, *names).alias("name"), F.lit("7%").alias("raw"), F.lit(1).alias("pos")))
@@ -235,7 +239,7 @@ ORACLE_SQL = {
         SELECT p_partkey, CASE WHEN text = '' THEN 'No structural change' ELSE text END AS difference FROM t""",
     "property_normalised": f"""
         WITH x AS (SELECT o_orderkey, unnest([0, 1]) AS pos, o_custkey FROM orders),
-        y AS (SELECT o_orderkey AS sample_id, {_sql_list(_NAMES.values())}[(o_orderkey + pos) % 8 + 1] AS feature, pos,
+        y AS (SELECT o_orderkey AS sample_id, {_sql_list(_NAMES.values())}[(o_orderkey + pos) % {len(_NAMES)} + 1] AS feature, pos,
             CASE WHEN pos = 1 THEN 7.0 WHEN o_orderkey % 3 = 0 THEN o_custkey / 1000::DOUBLE WHEN o_orderkey % 3 = 1 THEN o_custkey ELSE 1.0 END::DOUBLE AS value FROM x)
         SELECT sample_id, 'orig' AS role, feature, round(arg_max(value, pos), 6)::DOUBLE AS value FROM y GROUP BY sample_id, feature""",
     "phrase_directions": f"""
