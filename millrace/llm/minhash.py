@@ -4,8 +4,9 @@
    about (1 - s) of the lanes. Signatures in THRESHOLD lanes or fewer have a chunk in which they differ in at most ERRORS
    lanes (pigeonhole). So the index holds each chunk once for every choice of ERRORS lanes to leave out, and two
    signatures under the threshold always meet in a list. A pair of similarity 0.85 is above it once in 4.7 million times.
-2. Stars: each member of a list meets two others of it, and its nearest one of all its lists is verified. A large group
-   of near copies so becomes few components without a square of its size.
+2. Stars: each member of a list meets two others of it, in later rounds some of the list's most frequent component if
+   it is outside, and its nearest one of all its lists is verified. A large group of near copies so becomes few
+   components without a square of its size.
 3. What is left are pairs across components, in lists where several meet. They go on if their signatures are under the
    threshold, and their sizes and sketches (1024 bits, each the parity of the shingles hashed to it, which differ in no
    more bits than the sets in shingles) allow the similarity.
@@ -17,7 +18,7 @@ bits of their shingles.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,11 @@ PERCENT = 85
 CHUNKS, LANES, BITS, ERRORS = 10, 4, 14, 1
 #: Lanes in which signatures may differ: one more, and every chunk may have more than ERRORS.
 THRESHOLD = CHUNKS * (ERRORS + 1) - 1
+#: Rounds of stars after the first, members of a list's most frequent component that the others meet in each, and links for
+#: each node that a round must find for another one to follow. They decide how many pairs are left, never what is found.
+ROUNDS, HUBS, FEW = 3, 3, 0.01
+#: Pairs of a list that are compared at a time.
+PAIRS = 1 << 20
 #: Members of a list that meet in one task; larger lists are dealt out in blocks.
 BLOCK = 1024
 #: Rows of 16 bytes up to which the rows whose texts are wanted are broadcast; beyond that they are joined.
@@ -85,26 +91,30 @@ def _own(rows: DataFrame) -> DataFrame:
 
 
 def _lists(nodes: DataFrame) -> DataFrame:
-    """key and id: a posting of every chunk of every node without each of its lanes."""
+    """no, key and id: a posting of every chunk of every node without each of its lanes; no tells chunk and lane."""
     rest = [_FULL & ~(((1 << BITS) - 1) << STEP * lane) for lane in range(LANES)]
-    keys = [F.xxhash64(F.lit(c * LANES + lane), F.col("sig")[c].bitwiseAND(F.lit(rest[lane]))) for c in range(CHUNKS) for lane in range(LANES)]
-    return nodes.select(F.explode(F.array(*keys)).alias("key"), "id")
+    keys = [F.struct(F.lit(c * LANES + lane).alias("no"), F.col("sig")[c].bitwiseAND(F.lit(rest[lane])).alias("key")) for c in range(CHUNKS) for lane in range(LANES)]
+    return nodes.select(F.explode(F.array(*keys)).alias("at"), "id").select("at.no", "at.key", "id")
+
+
+def _total(a: str, b: str, count: Callable[[Column], Column]) -> Column:
+    """The sum of a count over the words in which two arrays differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
 def _lanes_apart(a: str, b: str) -> Column:
-    """Lanes in which two signatures differ."""
+    """Lanes in which two signatures differ: a sum reaches a lane's free bit if any bit of the lane does."""
+    return _total(a, b, lambda x: F.bit_count((x + F.lit(_FULL)).bitwiseAND(F.lit(_FREE))))
 
-    def apart(c: int) -> Column:
-        x = F.col(a)[c].bitwiseXOR(F.col(b)[c])
-        return F.bit_count((x + F.lit(_FULL)).bitwiseAND(F.lit(_FREE)))  # the sum reaches a lane's free bit if any bit differs
 
-    return sum((apart(c) for c in range(1, CHUNKS)), apart(0))
+def _bits_apart(a: str, b: str) -> Column:
+    """Bits in which two sketches differ."""
+    return _total(a, b, F.bit_count)
 
 
 def _may_link(a: str, b: str) -> Column:
     """Whether sizes, signatures and sketches of rows with columns n, sig and sketch under two prefixes allow a link."""
-    n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    bits = sum((F.bit_count(F.col(f"{a}sketch")[k].bitwiseXOR(F.col(f"{b}sketch")[k])) for k in range(1, SKETCH)), F.bit_count(F.col(f"{a}sketch")[0].bitwiseXOR(F.col(f"{b}sketch")[0])))
+    n, m, bits = F.col(f"{a}n"), F.col(f"{b}n"), _bits_apart(f"{a}sketch", f"{b}sketch")
     return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (_lanes_apart(f"{a}sig", f"{b}sig") <= THRESHOLD) & ((100 + PERCENT) * bits <= (100 - PERCENT) * (n + m))
 
 
@@ -113,9 +123,10 @@ def _prefixed(nodes: DataFrame, prefix: str, *columns: str) -> DataFrame:
 
 
 def _nearest(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of each node's pairs (u, v) that may link, the one whose signatures differ least; ties to the smaller v."""
+    """Of each node's pairs (u, v) that may link, the one whose sketches, then signatures, differ least for the sizes; ties to the smaller v."""
     told = pairs.join(_prefixed(nodes, "u_", "id", "n", "sig", "sketch"), F.col("u") == F.col("u_id")).join(_prefixed(nodes, "v_", "id", "n", "sig", "sketch"), F.col("v") == F.col("v_id"))
-    return told.where(_may_link("u_", "v_")).groupBy("u").agg(F.min(F.struct(_lanes_apart("u_sig", "v_sig").alias("apart"), "v")).alias("m")).select("u", "m.v")
+    apart = _bits_apart("u_sketch", "v_sketch") / (F.col("u_n") + F.col("v_n"))
+    return told.where(_may_link("u_", "v_")).groupBy("u").agg(F.min(F.struct(apart.alias("bits"), _lanes_apart("u_sig", "v_sig").alias("lanes"), "v")).alias("m")).select("u", "m.v")
 
 
 def _whole_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -148,36 +159,111 @@ def _placed(df: DataFrame, roots: DataFrame) -> DataFrame:
     return df.join(roots.select(F.col("node").alias("of"), F.col("root").alias("found")), F.col("id") == F.col("of"), "left").select(*df.columns, F.coalesce("found", "id").alias("root"))
 
 
-def _across(met: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (u, v), u < v, of different components that meet in a list and may link, each once.
+def _mixed(met: DataFrame, roots: DataFrame, draw: int) -> DataFrame:
+    """no, key, id and root of the lists in which several components meet, with the most frequent one (main), some of its members (hubs), and the number of all members."""
+    placed = materialize(_placed(met, roots), "placed")
+    drawn = F.array(*(F.min_by("id", F.xxhash64("id", "no", F.lit(HUBS * draw + k))) for k in range(HUBS)))
+    parts = placed.groupBy("no", "key", "root").agg(F.count("*").alias("members"), drawn.alias("hubs"))
+    main = F.max_by(F.struct("root", "hubs"), F.struct("members", "root"))
+    lists = parts.groupBy("no", "key").agg(main.alias("main"), F.sum("members").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+    lists = lists.select("no", "key", F.col("main.root").alias("main"), F.array_distinct("main.hubs").alias("hubs"), "all")
+    mixed = materialize(placed.join(lists, ["no", "key"]), "mixed")
+    release(met.sparkSession, placed)
+    return mixed
+
 
-    Of each list, the members outside its most frequent component meet all others; a list of more than BLOCK members is
-    dealt out in blocks, so that no task holds it.
+def _linkable(no: int, ids: np.ndarray, roots: np.ndarray, out: np.ndarray, part: np.ndarray, n: np.ndarray, sig: np.ndarray, sketches: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members of a list, by chunk and lane `no`, that may link: of its two parts, or of its one part (same).
+
+    One of a pair is outside the list's most frequent component (out), and the list is the first in which the two meet.
     """
-    placed = materialize(_placed(met, roots), "placed")
-    parts = placed.groupBy("key", "root").agg(F.count("*").alias("members"))
-    mixed = parts.groupBy("key").agg(F.max_by("root", F.struct("members", "root")).alias("main"), F.count("*").alias("parts"), F.sum("members").alias("members")).where("parts > 1")
-    mixed = mixed.select("key", "main", F.ceil(F.col("members") / BLOCK).alias("blocks"))
-    members = placed.join(mixed, "key").join(_prefixed(nodes, "", "id", "n", "sig", "sketch"), "id")
-    members = materialize(members, "members")
-    left = members.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "root", "main", "n", "sig", "sketch")
-    right = members.where("root <> main").select("key", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), *(F.col(c).alias(f"o_{c}") for c in ("id", "root", "n", "sig", "sketch")))
-    once = (F.col("root") == F.col("main")) | (F.col("id") < F.col("o_id"))
-    met_again = left.join(right, (left["key"] == right["key"]) & (left["block"] == right["block"]) & (F.col("root") != F.col("o_root")) & once & _may_link("", "o_"))
-    pairs = materialize(met_again.select(F.least("id", "o_id").alias("u"), F.greatest("id", "o_id").alias("v")).distinct(), "across")
-    release(met.sparkSession, members, placed)
+    a, b = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(part == 0), np.flatnonzero(part == 1))
+    found = []
+    for k in range(0, len(a), max(PAIRS // max(len(b), 1), 1)):
+        x, y = a[k : k + max(PAIRS // max(len(b), 1), 1)][:, None], b[None, :]
+        least, most = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+        open_ = (roots[x] != roots[y]) & (out[x] | out[y]) & (100 * least >= PERCENT * most) & (ids[x] < ids[y] if same else True)
+        i, j = np.nonzero(open_)
+        i, j = x[i, 0], y[0, j]
+        apart = np.bitwise_count((sig[i] ^ sig[j]) + _FULL & _FREE)
+        near = apart.sum(1) <= THRESHOLD
+        i, j, apart = i[near], j[near], apart[near]
+        bits = np.bitwise_count(sketches[i] ^ sketches[j]).sum(1, dtype=np.int64)
+        near = (100 + PERCENT) * bits <= (100 - PERCENT) * (n[i] + n[j])
+        i, j, apart = i[near], j[near], apart[near]
+        first = (apart <= ERRORS).argmax(1)
+        lanes = (sig[i, first] ^ sig[j, first])[:, None] >> STEP * np.arange(LANES) & (1 << BITS) - 1
+        here = first * LANES + (lanes != 0).argmax(1) == no  # the lane left out; the first one, if none differs
+        found.append((ids[i[here]], ids[j[here]]))
+    u, v = (np.concatenate([np.empty(0, np.int64), *c]) for c in (zip(*found, strict=True) if found else ((), ())))
+    return np.minimum(u, v), np.maximum(u, v)
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by no, key and the two blocks; the last group of a batch waits for the next one."""
+    held: pa.Table | None = None
+
+    def groups(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, low, high, no, ids, roots, out, part, n = (rows.column(c).to_numpy() for c in ("key", "low", "high", "no", "id", "root", "out", "part", "n"))
+        flat = lambda c: rows.column(c).combine_chunks().flatten().to_numpy().reshape(len(key), -1)
+        sig, sketches = flat("sig"), flat("sketch")
+        new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (no[1:] != no[:-1])))
+        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(key)], strict=True):
+            s = slice(a, b)
+            u, v = _linkable(int(no[a]), ids[s], roots[s], out[s], part[s], n[s], sig[s], sketches[s], bool(low[a] == high[a]))
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+        last = [rows.column(c).to_numpy() for c in ("no", "key", "low", "high")]
+        at = int(np.argmax(np.logical_and.reduce([c == c[-1] for c in last])))
+        held = rows.slice(at)
+        if at:
+            yield from groups(rows.slice(0, at))
+    if held is not None:
+        yield from groups(held)
+
+
+def _across(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v), u < v, of different components that meet in a list and may link, each once; mixed is used up.
+
+    A list of more than BLOCK members is dealt out in blocks, each pair of blocks to be compared by itself, so that no
+    task holds the list.
+    """
+    block, blocks = F.pmod(F.xxhash64("id"), F.col("blocks")), F.ceil(F.col("all") / BLOCK)
+    own = mixed.select("no", "key", "id", "root", (F.col("root") != F.col("main")).alias("out"), blocks.alias("blocks")).withColumn("block", block)
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("no", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("part"), "id", "root", "out")
+    rows = dealt.join(_prefixed(nodes, "", "id", "n", "sig", "sketch"), "id")
+    by_list = rows.repartition("no", "key", "low", "high").sortWithinPartitions("no", "key", "low", "high")
+    pairs = materialize(by_list.mapInArrow(_meetings, "u long, v long"), "across")
+    release(mixed.sparkSession, mixed)
     return pairs
 
 
 def similar_sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """node and root of the nodes (id, row, n, sig, sketch; one for each set) that links connect to a smaller one."""
     postings = _lists(nodes)
-    several = postings.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("least"), F.max("id").alias("most")).where("members > 1")
-    met = materialize(postings.join(several.select("key", "least", "most"), "key"), "met")
+    several = postings.groupBy("no", "key").agg(F.count("*").alias("members"), F.min("id").alias("least"), F.max("id").alias("most")).where("members > 1")
+    met = materialize(postings.join(several.select("no", "key", "least", "most"), ["no", "key"]), "met")
     stars = met.select(F.col("id").alias("u"), F.explode(F.array("least", "most")).alias("v")).where("u <> v").distinct()
-    roots = connected_components(_verified(materialize(_nearest(stars, nodes), "stars"), rows, nodes))
-    pairs = _across(met.select("key", "id"), nodes, roots)
+    links = _verified(materialize(_nearest(stars, nodes), "stars"), rows, nodes)
+    roots = connected_components(links)
+    n_nodes, mixed = nodes.count(), _mixed(met.select("no", "key", "id"), roots, 0)
     release(rows.sparkSession, met)
+    for draw in range(1, ROUNDS + 1):
+        if links.count() <= FEW * n_nodes:
+            break
+        stars = mixed.where("root <> main").select(F.col("id").alias("u"), F.explode("hubs").alias("v")).distinct()
+        links = _verified(materialize(_nearest(stars, nodes), "stars"), rows, nodes)
+        roots = connected_components(links, roots)
+        # Lists of one component stay so, and are left out.
+        old, mixed = mixed, _mixed(mixed.select("no", "key", "id"), roots, draw)
+        release(rows.sparkSession, old)
+    pairs = _across(mixed, nodes)
     # Of each node the nearest one of another component first: what these links join need not be verified again.
     links = _verified(materialize(_nearest(pairs, nodes), "nearest"), rows, nodes)
     roots = connected_components(links, roots)
