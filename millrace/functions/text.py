@@ -136,7 +136,7 @@ def reasoning_slice(c: str | Column, fallback: str | Column) -> Column:
     return F.coalesce(stripped(F.get(F.split(behind, "Optimized_SMILES:"), F.lit(0))), F.coalesce(_c(fallback), F.lit("")))
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with the value evaluated once for each row, also where lambdas repeat it."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
@@ -148,12 +148,12 @@ def _share_of(low: Column, keywords: list[str]) -> Column:
 
 def keyword_score(c: str | Column, keywords: list[str]) -> Column:
     """Twice the share of the keywords that the lower-cased text contains, at most 1; a keyword listed twice counts twice."""
-    return _bound(F.lower(_c(c)), lambda low: _share_of(low, keywords))
+    return bound(F.lower(_c(c)), lambda low: _share_of(low, keywords))
 
 
 def quality_score(c: str | Column, lists: list[list[str]]) -> Column:
     """The mean of the lists' keyword scores and a bonus for length, at most 1; 0 for blank text."""
-    mean = _bound(F.lower(_c(c)), lambda low: sum((_share_of(low, k) for k in lists), F.lit(0.0)) / len(lists))
+    mean = bound(F.lower(_c(c)), lambda low: sum((_share_of(low, k) for k in lists), F.lit(0.0)) / len(lists))
     whole = F.least(mean + F.least(F.length(_c(c)) / 500, F.lit(0.2)), F.lit(1.0))
     return F.when(~F.rlike(F.coalesce(_c(c), F.lit("")), F.lit(r"(?U)\S")), 0.0).otherwise(whole)
 

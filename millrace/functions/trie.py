@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.text import bound
+
 #: A place where a whole word begins, and one where it ends.
 BEGIN, END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
@@ -34,16 +36,18 @@ def trie_pattern(words: list[str]) -> str:
 
 def longest_matches(text: Column, words: list[str], whole: bool) -> Column:
     """start (from 0) and word of every place where one of the words begins, the longest there; whole: only between word boundaries."""
-    trie = trie_pattern(words)
+    trie, most = trie_pattern(words), max(map(len, words))
     begin, end = (BEGIN, END) if whole else ("", "")
-    # The text is cut before each match; where the pieces begin, words do, but for the first piece, which may hold none.
-    pieces = F.transform(F.split(text, f"(?={begin}(?:{trie}){end})", -1), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    starts = F.aggregate(pieces, start, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
-    most = max(map(len, words))
-    word = lambda at: F.regexp_extract(F.substring(text, at + 1, F.lit(most + 1)), f"^(?:{trie}){end}", 0)
-    found = F.transform(starts, lambda at: F.struct(at.alias("start"), word(at).alias("word")))
-    return F.filter(found, lambda m: m["word"] != "")
+
+    def matches(t: Column) -> Column:
+        # The text is cut before each match; where the pieces begin, words do, but for the first piece, which may hold none.
+        pieces = F.transform(F.split(t, f"(?={begin}(?:{trie}){end})", -1), F.length)
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(pieces, start, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+        word = lambda at: F.regexp_extract(F.substring(t, at + 1, F.lit(most + 1)), f"^(?:{trie}){end}", 0)
+        return F.filter(F.transform(starts, lambda at: F.struct(at.alias("start"), word(at).alias("word"))), lambda m: m["word"] != "")
+
+    return bound(text, matches)
 
 
 def within(words: list[str], whole: bool) -> dict[str, list[str]]:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.scoring import BANDS, CORE_FEATURES, FEATURE_WEIGHTS, LESS_IS_BETTER, MORE_IS_BETTER, feature_reward, number_of, set_f_score
-from millrace.functions.text import flat_key, plain_key, split_key, stripped
+from millrace.functions.text import bound, flat_key, plain_key, split_key, stripped
 from millrace.functions.records import PLAIN_ALIAS
 from millrace.functions.trie import longest_matches, within
 from millrace.functions.vocabulary import MERGES, PHRASES, alias_entries, default_aliases
@@ -148,8 +148,8 @@ def _firsts(matches: Column, inner: dict[str, list[str]]) -> Column:
     """start and word of the first place of each word, those inside of longer ones among them."""
     table = F.create_map(*(x for w, own in inner.items() for x in (F.lit(w), F.array(*map(F.lit, own)))))
     all_ = F.flatten(F.transform(matches, lambda m: F.transform(F.try_element_at(table, m["word"]), lambda a: F.struct(m["start"].alias("start"), a.alias("word")))))
-    names = F.transform(all_, lambda m: m["word"])
-    return F.filter(all_, lambda m, k: F.array_position(names, m["word"]) == k + 1)
+    first = lambda m, k, own: ~F.exists(F.slice(own, 1, k), lambda x: x["word"] == m["word"])
+    return bound(all_, lambda own: F.filter(own, lambda m, k: first(m, k, own)))
 
 
 def lookup(molecules: DataFrame, client: Callable[[str], dict], *, tries: int = 3, smiles: str = "smiles") -> DataFrame:

@@ -195,7 +195,7 @@ def _sql_list(items) -> str:  # noqa: ANN001
 
 def _named_phrases() -> list[tuple[str, str, str, int]]:
     """The phrases with the names their features go by: what an alias, a merge or its letters alone change is stated here."""
-    renamed = {"nHD": "HBD (nHD)", "nHA": "HBA (nHA)", "SAScore": "SAscore"}
+    renamed = {"nHD": "HBD (nHD)", "nHA": "HBA (nHA)", "SAScore": "SAscore", "Eye Irritation": "Toxicity: Eye Irritation"}
     named = {p: (renamed.get(f, f), d) for p, f, d in PHRASES}
     return [(p, f, d, k) for k, (p, (f, d)) in enumerate(named.items())]
 
