@@ -66,6 +66,37 @@ def labels(prompt_ids: Column, answer_ids: Column, masked: Column | int = 0) ->
     return F.concat(skip, F.slice(answer_ids, masked + 1, F.greatest(F.size(answer_ids) - masked, F.lit(0))))
 
 
+def masked_truncation(ids: Column, label: Column, mask: Column, limit: int, domain: Column | str, *, protected: tuple[int, ...] = (), keep: str = "right", masked: Column | int = 0) -> Column:
+    """Struct of ids, labels and mask of a sequence with a label and a loss weight for each id, cut to the limit.
+
+    The answer begins at the first id whose label counts. A sequence above the limit keeps its answer's tail beside the
+    domain's prompt budget, then the prompt's tail; the prompt's labels are ignored and weigh 0, and the answer's first
+    `masked` labels are ignored, if it has more. Without an answer, or without labels, it is cut to the limit less the
+    number of its protected ids (to none, if they are as many): to the last ids (keep left) or the first (keep right), with
+    the first labels and weights in either case. Others stay, with labels and weights cut to their length; null labels or
+    weights stay null.
+    """
+    if keep not in ("left", "right"):
+        raise ValueError(keep)
+    n = F.size(ids)
+    domain = F.lit(domain) if isinstance(domain, str) else domain
+    head = lambda a, k: F.when(a.isNotNull(), F.slice(a, 1, k))
+    first = F.coalesce(F.array_position(F.transform(label, lambda x: x != IGNORED), True), F.lit(0)).cast("int")  # 0: no answer
+    prompt_n, answer_n = first - 1, n - first + 1
+    kept = kept_lengths(prompt_n, answer_n, limit, domain)
+    prompt, answer = tail(head(ids, prompt_n), kept["prompt"]), F.slice(ids, first, answer_n)
+    own_mask = F.lit(masked) if isinstance(masked, int) else masked
+    own = F.slice(label, first, answer_n)
+    own = F.when(own_mask < answer_n, F.transform(own, lambda x, k: F.when(k < own_mask, F.lit(IGNORED)).otherwise(x))).otherwise(own)
+    weights = F.when(mask.isNotNull(), F.concat(F.transform(prompt, lambda _: F.lit(0.0)), tail(F.slice(mask, first, answer_n), kept["answer"]).cast("array<double>")))
+    answered = F.struct(F.concat(prompt, tail(answer, kept["answer"])).alias("ids"), F.concat(F.transform(prompt, lambda _: F.lit(IGNORED)), tail(own, kept["answer"])).alias("labels"), weights.alias("mask"))
+    room = F.greatest(F.lit(limit) - F.size(F.filter(ids, lambda x: x.isin(*protected))), F.lit(0)) if protected else F.lit(limit)
+    cut = tail(ids, room) if keep == "left" else F.slice(ids, 1, room)
+    bare = F.struct(cut.alias("ids"), head(label, F.size(cut)).alias("labels"), head(mask, F.size(cut)).cast("array<double>").alias("mask"))
+    whole = F.struct(ids.alias("ids"), head(label, n).alias("labels"), head(mask, n).cast("array<double>").alias("mask"))
+    return F.when(n <= limit, whole).when(first > 0, answered).otherwise(bare)
+
+
 def padded(ids: Column, to: Column, pad: int) -> Column:
     return F.concat(ids, F.array_repeat(F.lit(pad), to - F.size(ids)))
 
