@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import scratch
 
 #: Values are ranked in one range for so many distinct values, in this many ranges at least and at most.
 RANGE_VALUES, LEAST_RANGES, MOST_RANGES = 250_000, 64, 4096
@@ -30,7 +34,11 @@ def before_value(counts: DataFrame, value: str, n: str, group: list[str], out: s
 
     Values are cut at approximate quantiles into ranges in proportion to their number; windows run within a range, and
     the ranges' totals, a few rows for each group, are added from a second small window. No group is sorted in one task.
+    The counts are written once, as each step reads them.
     """
+    path = scratch(counts.sparkSession, "counts")
+    counts.write.parquet(path)
+    counts = counts.sparkSession.read.parquet(path)
     ranges = min(max(counts.count() // RANGE_VALUES, LEAST_RANGES), MOST_RANGES)
     cuts = sorted(set(counts.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [k / ranges for k in range(1, ranges)], 0.3 / ranges)))
     own = _range_of(F.col(value).cast("double"), cuts)
@@ -43,29 +51,73 @@ def before_value(counts: DataFrame, value: str, n: str, group: list[str], out: s
     return placed.withColumn(out, F.col("_offset") + F.col("_within")).drop("_range", "_within", "_offset")
 
 
+def order_bits(value: Column) -> Column:
+    """A long for each double, in their order: sign, exponent and fraction, as the double has them; both zeros are 0, NaN is last."""
+    v = value.cast("double")
+    size = F.abs(v)
+    power = lambda e: F.pow(F.lit(2.0), e)
+    about = F.floor(F.log2(size)).cast("double")
+    e = F.greatest(about - (size < power(about)).cast("int") + (size >= power(about + 1)).cast("int"), F.lit(-1022.0))
+    one = 1 << 52
+    normal = (e + 1023).cast("long") * one + ((size / power(e) - 1) * float(one)).cast("long")
+    small = (size * float(1 << 1000) * float(1 << 74)).cast("long")  # below 2 ** -1022 there is the fraction alone
+    of = F.when(size == 0, F.lit(0).cast("long")).when(size == float("inf"), F.lit(2047 * one)).when(size < 2.0**-1022, small).otherwise(normal)
+    return F.when(F.isnan(v), F.lit(2047 * one + 1)).when(v < 0, -of).otherwise(of)
+
+
+#: Bits of the order that the passes of a selection look at, highest first.
+PASSES = (22, 21, 21)
+
+
+def order_statistics(df: DataFrame, value: str, group: list[str], ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """group, name and value of the rows at given ranks (from 0) of each group's values, nulls left out: a rank is a function of their number.
+
+    Nothing is sorted: three passes count rows by ever lower bits of the values' order, each only where a rank lies, so
+    what is shuffled are the counts that tasks have added up. Groups of any size and number go together.
+    """
+    spark, rest = df.sparkSession, 64
+    rows = df.where(F.col(value).isNotNull()).select(*group, value, order_bits(F.col(value)).alias("_bits"))
+    at: list[str] = []
+    for k, bits in enumerate(PASSES):
+        rest -= bits
+        part = lambda k, r: F.shiftright("_bits", r).bitwiseAND(F.lit((1 << PASSES[k]) - 1)) if k else F.shiftright("_bits", r)  # noqa: E731, the highest bits hold the sign
+        own = rows.withColumn("_at", part(k, rest))
+        if k:
+            own = own.withColumns({c: part(i, 64 - sum(PASSES[: i + 1])) for i, c in enumerate(at)})
+            keys = sought.select(*(F.col(c).alias(f"_k_{c}") for c in (*group, *at))).distinct()
+            own = own.join(keys, reduce(and_, (F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*group, *at))), "left_semi")
+        counts = own.groupBy(*group, *at, "_at").agg(F.count("*").alias("_n"), F.min(value).alias("_value"))
+        inside = Window.partitionBy(*group, *at)
+        before = F.coalesce(F.sum("_n").over(inside.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = counts.withColumns({"_before": before, "_all": F.sum("_n").over(inside)})
+        if k:
+            named = sought.select(*(F.col(c).alias(f"_k_{c}") for c in (*group, *at)), "name", "rank", "n")
+            placed = placed.join(named, reduce(and_, (F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*group, *at))))
+        else:
+            wanted = F.array(*(F.struct(F.lit(name).alias("name"), rank(F.col("_all")).cast("long").alias("rank")) for name, rank in ranks.items()))
+            placed = placed.withColumn("_w", F.explode(wanted)).select("*", "_w.*").withColumn("n", F.col("_all"))
+        found = placed.where((F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_n")))
+        path = scratch(spark, "ranks")
+        found.select(*group, *at, F.col("_at").alias(f"_b{k}"), "name", (F.col("rank") - F.col("_before")).alias("rank"), "n", "_value").write.parquet(path)
+        sought = spark.read.parquet(path)  # a row for each group and rank
+        at.append(f"_b{k}")
+    return sought.select(*group, "name", "n", F.col("_value").alias("value"))
+
+
 def upper_median(df: DataFrame, value: str, group: list[str]) -> DataFrame:
-    """sorted[n // 2] of each group, by counts of distinct values, so no group is collected."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
-    placed = before_value(counts, value, "_n", group, "_before")
-    sizes = counts.groupBy(*group).agg(F.sum("_n").alias("_all"))
-    found = placed.join(sizes, group) if group else placed.join(F.broadcast(sizes), how="inner")
-    return found.where(F.col("_before") + F.col("_n") > F.floor(F.col("_all") / 2)).groupBy(*group).agg(F.min(value).alias("upper_median"))
+    """sorted[n // 2] of each group."""
+    return order_statistics(df, value, group, {"upper_median": lambda n: F.floor(n / 2)}).select(*group, F.col("value").alias("upper_median"))
 
 
 def quantiles(df: DataFrame, value: str, group: list[str], shares: dict[str, float]) -> DataFrame:
-    """The linear quantiles of each group, by name, from counts of distinct values: no group is held in one task."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
-    placed = before_value(counts, value, "_n", group, "_before")
-    sizes = counts.groupBy(*group).agg((F.sum("_n") - 1).alias("_last"))
-    found = placed.join(sizes, group) if group else placed.join(F.broadcast(sizes), how="inner")
-    v = F.col(value).cast("double")
-    sides = []
-    for name, share in shares.items():
-        at = F.col("_last") * F.lit(float(share))
-        sides += [F.max(F.when(F.col("_before") <= F.floor(at), v)).alias(f"_{name}_lo"), F.min(F.when(F.col("_before") + F.col("_n") > F.ceil(at), v)).alias(f"_{name}_hi"), F.max(at - F.floor(at)).alias(f"_{name}_part")]
-    ends = found.groupBy(*group).agg(*sides)
-    between = lambda n: F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_part")
-    return ends.select(*group, *(between(n).alias(n) for n in shares))
+    """The linear quantiles of each group, by name."""
+    at = lambda n, share: (n - 1) * F.lit(float(share))
+    sides = {f"{name}/{side}": (lambda n, s=share, f=fn: f(at(n, s))) for name, share in shares.items() for side, fn in (("lo", F.floor), ("hi", F.ceil))}
+    found = order_statistics(df, value, group, sides)
+    of = lambda name, side: F.max(F.when(F.col("name") == f"{name}/{side}", F.col("value").cast("double")))
+    ends = found.groupBy(*group).agg(F.max("n").alias("_n"), *(of(name, side).alias(f"_{name}_{side}") for name in shares for side in ("lo", "hi")))
+    part = lambda share: at(F.col("_n"), share) - F.floor(at(F.col("_n"), share))
+    return ends.select(*group, *((F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * part(s)).alias(n) for n, s in shares.items()))
 
 
 def described(df: DataFrame, value: str, group: list[str]) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,10 +93,29 @@ def plain_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.plain_records(spark, _files(table(spark, sf_dir, "documents"), "doc_id", line, "plain"), None).select("id", "assistant_raw", "channel")
 
 
+def _document_arrays(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of files that hold all documents, each one array over many lines."""
+    path = scratch(spark, "arrays")
+    record = _json(instruction=_text("doc_id"), data=F.array(F.struct(F.col("lang").alias("x"))), output=F.col("text"))
+
+    def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        comma = ""
+        yield pa.RecordBatch.from_pydict({"value": ["["]})
+        for batch in batches:
+            for value in batch.column("value").to_pylist():
+                yield pa.RecordBatch.from_pydict({"value": [comma + value]})
+                comma = ","
+        yield pa.RecordBatch.from_pydict({"value": ["]"]})
+
+    table(spark, sf_dir, "documents").select(record.alias("value")).mapInArrow(bracketed, "value string").write.text(path)
+    return path
+
+
 def sniffed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An array file and a file of JSON lines, told apart by their first characters."""
-    lines = _files(table(spark, sf_dir, "benchmark"), "item_id", F.array(F.lit(" "), _json(instruction=F.col("text"))), "lines")
-    read = [src.sniffed(spark, p, "instruction string").select(F.lit(k).alias("kind"), "instruction") for k, p in (("array", _nation_array(spark, sf_dir)), ("lines", lines))]
+    """All documents as array files that are read in splits, and the benchmark as JSON lines, told apart by their first characters."""
+    lines = _files(table(spark, sf_dir, "benchmark"), "item_id", F.array(F.lit(" "), _json(instruction=_text("item_id"), output=F.col("text"))), "lines")
+    paths = (("array", _document_arrays(spark, sf_dir)), ("lines", lines))
+    read = [src.sniffed(spark, p, "instruction string, output string").select(F.lit(k).alias("kind"), "instruction", "output") for k, p in paths]
     return read[0].union(read[1])
 
 
@@ -216,7 +238,7 @@ ORACLE_SQL = {
     "plain_scan": f"""
         SELECT 'cpt-' || (row_number() OVER (ORDER BY doc_id) - 1) AS id, {_strip('text')} AS assistant_raw, coalesce(CASE WHEN doc_id % 5 <> 0 THEN source END, 'unknown') AS channel
         FROM documents WHERE {_strip('text')} <> ''""",
-    "sniffed_scan": "SELECT 'lines' AS kind, text AS instruction FROM benchmark UNION ALL SELECT 'array', n_name FROM nation",
+    "sniffed_scan": "SELECT 'lines' AS kind, item_id::VARCHAR AS instruction, text AS output FROM benchmark UNION ALL SELECT 'array', doc_id::VARCHAR, text FROM documents",
     "validation_scan": "SELECT '{\"key\":' || n_nationkey || ',\"name\":\"' || n_name || '\"}' AS record FROM nation WHERE n_nationkey <= 20",
     "section_scan": rf"""
         WITH s AS (

@@ -30,7 +30,10 @@ _scratch: list[tuple[SparkSession, str]] = []
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share, removed when the driver ends."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{base.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
     _scratch.append((spark, path))
     return path

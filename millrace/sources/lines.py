@@ -11,8 +11,8 @@ from millrace.functions.text import stripped
 FILE, LINE, VALUE = "_file", "_line", "value"
 
 
-def lines(spark: SparkSession, path: str | list[str], *, pattern: str | None = None, recursive: bool = False) -> DataFrame:
-    """_file, _line (from 1, dense), value of all lines.
+def lines(spark: SparkSession, path: str | list[str], *, pattern: str | None = None, recursive: bool = False, separator: str | None = None) -> DataFrame:
+    """_file, _line (from 1, dense), value of all lines, or of the pieces between separators.
 
     A line's number is its distance from the first row of its file split plus the lines of the splits before, so
     files of any size are numbered without a sort; only a row for each split is aggregated.
@@ -22,6 +22,8 @@ def lines(spark: SparkSession, path: str | list[str], *, pattern: str | None = N
         reader = reader.option("pathGlobFilter", pattern)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
+    if separator:
+        reader = reader.option("lineSep", separator)
     rows = reader.text(path).select(F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"), F.col("value").alias(VALUE))
     splits = rows.groupBy(FILE, "_block").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy(FILE).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -36,16 +38,19 @@ def jsonl(spark: SparkSession, path: str | list[str], schema: str, *, pattern: s
     return rows.withColumn("_r", parsed).where("_r._corrupt IS NULL").select(FILE, LINE, "_r.*").drop("_corrupt")
 
 
-def json_array(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """Elements of files that hold one JSON array, numbered from 1."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias(FILE), F.from_json("value", f"array<struct<{schema}>>").alias("_a"))
-    return whole.select(FILE, F.posexplode("_a").alias("_k", "_r")).select(FILE, (F.col("_k") + 1).cast("long").alias(LINE), "_r.*")
+def json_array(spark: SparkSession, path: str | list[str], schema: str, *, pattern: str | None = None) -> DataFrame:
+    """The objects of files that hold one JSON array, numbered from 1; undecodable ones are left out."""
+    from millrace.sources.arrays import array_elements
+
+    parsed = F.from_json(VALUE, f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    return array_elements(spark, path, pattern=pattern).withColumn("_r", parsed).where("_r._corrupt IS NULL").select(FILE, LINE, "_r.*").drop("_corrupt")
 
 
 def is_array_file(spark: SparkSession, path: str) -> bool:
     """Whether the first character of a file that isn't blank is an opening bracket; reads up to there."""
-    first = lines(spark, path).where(stripped(VALUE) != "").orderBy(FILE, LINE).select(F.substring(stripped(VALUE), 1, 1)).first()
-    return bool(first) and first[0] == "["
+    from millrace.sources.arrays import first_character
+
+    return first_character(spark, path) == "["
 
 
 def sniffed(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -105,7 +110,7 @@ def chat_records(spark: SparkSession, folder: str, limit: int | None = 20_000) -
 def instruction_records(spark: SparkSession, folders: list[str]) -> DataFrame:
     """Instruction triples, or `data` lists of at least three strings whose prefixes are taken off the first two."""
     schema = "instruction string, input string, output string, data array<string>"
-    rows = jsonl(spark, folders, schema, pattern="*.jsonl").unionByName(_array_files(spark, folders, schema))
+    rows = jsonl(spark, folders, schema, pattern="*.jsonl").unionByName(json_array(spark, folders, schema, pattern="*.json"))
     triple = F.size(F.coalesce("data", F.array())) >= 3
     item = lambda k: F.coalesce(F.get("data", F.lit(k)), F.lit(""))
     kept = rows.where(triple | F.col("instruction").isNotNull())
@@ -117,12 +122,6 @@ def instruction_records(spark: SparkSession, folders: list[str]) -> DataFrame:
     )
 
 
-def _array_files(spark: SparkSession, folders: list[str], schema: str) -> DataFrame:
-    whole = spark.read.option("pathGlobFilter", "*.json").text(folders, wholetext=True)
-    items = whole.select(F.col("_metadata.file_path").alias(FILE), F.posexplode(F.from_json("value", f"array<struct<{schema}>>")).alias("_k", "_r"))
-    return items.select(FILE, (F.col("_k") + 1).cast("long").alias(LINE), "_r.*")
-
-
 QA_SYSTEM = "You are a helpful chemistry assistant."
 
 
