@@ -10,6 +10,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.text import bound
 from millrace.session import scratch
 
 #: Values are ranked in one range for so many distinct values, in this many ranges at least and at most.
@@ -133,16 +134,53 @@ def closed_histogram(df: DataFrame, value: Column, bins: int = 5) -> DataFrame:
     return df.where(value.between(0, 1)).groupBy(own.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def two_groups(df: DataFrame, value: str, first: Column, second: Column) -> DataFrame:
-    """Moments of two groups, Cohen's d, and the equal-variance t with its degrees of freedom."""
+def two_groups(df: DataFrame, value: str, first: Column, second: Column, group: list[str] | None = None) -> DataFrame:
+    """Moments of two sides of each group, or of all, Cohen's d, and the equal-variance t with its degrees of freedom and two-sided p."""
+    group = group or []
     of = lambda fn, which: fn(F.when(which, F.col(value).cast("double")))
-    m = df.agg(*(of(fn, g).alias(f"{name}{k}") for k, g in ((1, first), (2, second)) for name, fn in (("n", F.count), ("m", F.avg), ("s", F.stddev_pop), ("v", F.var_samp))))
+    m = df.groupBy(*group).agg(*(of(fn, g).alias(f"{name}{k}") for k, g in ((1, first), (2, second)) for name, fn in (("n", F.count), ("m", F.avg), ("s", F.stddev_pop), ("v", F.var_samp))))
     pooled = F.sqrt((F.col("s1") * F.col("s1") + F.col("s2") * F.col("s2")) / 2)
     d = F.when(pooled > 0, (F.col("m1") - F.col("m2")) / pooled).otherwise(0.0)
     dof = F.col("n1") + F.col("n2") - 2
-    spread = ((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / dof
-    t = F.try_divide(F.col("m1") - F.col("m2"), F.sqrt(spread * (1 / F.col("n1") + 1 / F.col("n2"))))
-    return m.select("n1", "n2", F.col("m1").alias("mean1"), F.col("m2").alias("mean2"), d.alias("cohens_d"), t.alias("t"), dof.alias("dof"))
+    spread = F.try_divide((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2"), dof)
+    t = F.try_divide(F.col("m1") - F.col("m2"), F.sqrt(spread * (F.try_divide(F.lit(1.0), F.col("n1")) + F.try_divide(F.lit(1.0), F.col("n2")))))
+    out = m.select(*group, "n1", "n2", F.col("m1").alias("mean1"), F.col("m2").alias("mean2"), d.alias("cohens_d"), t.alias("t"), dof.alias("dof"))
+    return out.withColumn("p", t_probability(F.col("t"), F.col("dof")))
+
+
+#: Steps of the continued fraction of the incomplete beta function, and of the recurrence before its constant's series.
+FRACTION, SHIFT = 200, 20
+
+
+def t_probability(t: Column, dof: Column) -> Column:
+    """The two-sided P of a t value: the incomplete beta function of dof / 2 and 1/2 at dof / (dof + t t), its continued fraction folded over columns (Lentz). Null without both, or without a degree of freedom."""
+    nu, square = dof.cast("double"), t.cast("double") * t.cast("double")
+    x, rest, half = nu / (nu + square), square / (nu + square), nu / 2
+    # ln of Gamma(half + 1/2) / Gamma(half): a recurrence up to where the series holds.
+    up = half + SHIFT
+    series = F.log(up) / 2 - 1 / (8 * up) + 1 / (192 * up * up * up) - 1 / (640 * F.pow(up, F.lit(5.0)))
+    ratio = series + F.aggregate(F.sequence(F.lit(0), F.lit(SHIFT - 1)), F.lit(0.0), lambda s, k: s + F.log((half + k) / (half + k + 0.5)))
+    front = ratio - F.lit(math.log(math.pi) / 2) + half * F.log(x) + F.log(rest) / 2
+    swapped = x > (half + 1) / (half + 2.5)
+    a, b = F.when(swapped, 0.5).otherwise(half), F.when(swapped, half).otherwise(0.5)
+    z = F.when(swapped, rest).otherwise(x)
+    tiny = lambda v: F.when(F.abs(v) < 1e-300, 1e-300).otherwise(v)
+
+    def step(s: Column, m: Column) -> Column:
+        p = s["p"]
+        m = m.cast("double")
+        even = m * (p["b"] - m) * p["z"] / ((p["a"] + 2 * m - 1) * (p["a"] + 2 * m))
+        odd = -(p["a"] + m) * (p["a"] + p["b"] + m) * p["z"] / ((p["a"] + 2 * m) * (p["a"] + 2 * m + 1))
+        half_way = F.struct(p.alias("p"), tiny(1 + even / s["c"]).alias("c"), (1 / tiny(1 + even * s["d"])).alias("d"), s["out"].alias("out"))
+        whole = bound(half_way, lambda h: F.struct(h["p"].alias("p"), tiny(1 + odd / h["c"]).alias("c"), (1 / tiny(1 + odd * h["d"])).alias("d"), (h["out"] * h["c"] * h["d"]).alias("out")))
+        return bound(whole, lambda w: F.struct(w["p"].alias("p"), w["c"].alias("c"), w["d"].alias("d"), (w["out"] * w["c"] * w["d"]).alias("out")))
+
+    def fraction(p: Column) -> Column:
+        d = 1 / tiny(1 - (p["a"] + p["b"]) * p["z"] / (p["a"] + 1))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(FRACTION)), F.struct(p.alias("p"), F.lit(1.0).alias("c"), d.alias("d"), d.alias("out")), step, lambda s: s["out"])
+
+    value = F.exp(front) / a * bound(F.struct(a.alias("a"), b.alias("b"), z.alias("z")), fraction)
+    return F.when((nu > 0) & t.isNotNull(), F.when(square == 0, 1.0).otherwise(F.when(swapped, 1 - value).otherwise(value)))
 
 
 def two_sided_p(t: float, dof: float) -> float:

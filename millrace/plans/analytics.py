@@ -77,7 +77,13 @@ def cohens_d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ttest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _quality(spark, sf_dir).select(F.round("mean1", 4).alias("mean1"), F.round("mean2", 4).alias("mean2"), F.round("t", 6).alias("t"), "dof")
+    return _quality(spark, sf_dir).select(F.round("mean1", 4).alias("mean1"), F.round("mean2", 4).alias("mean2"), F.round("t", 6).alias("t"), "dof", F.round("p", 6).alias("p"))
+
+
+def ttest_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lengths of good and of other documents, for each language at once, with their P."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
+    return stats.two_groups(rows, "n_chars", F.col("quality") == 1, F.col("quality") == 0, ["lang"]).select("lang", "dof", F.round("t", 6).alias("t"), F.round("p", 6).alias("p"))
 
 
 def spearman_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +178,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         json_property_numeric, unit_convert, feature_reward, sample_score_rollup, upper_median_by_group, describe_percentiles, histogram_closed_last, cohens_d,
-        ttest, spearman_rank, group_advantage, clipped_objective, cosine_nearest, novelty_tier, kmeans_summary, docking_matrix, judge_blend, rollout_stream_agg,
+        ttest, ttest_by_language, spearman_rank, group_advantage, clipped_objective, cosine_nearest, novelty_tier, kmeans_summary, docking_matrix, judge_blend, rollout_stream_agg,
     )
 }
 
@@ -190,6 +196,12 @@ _NEAREST = f"""
     far AS (SELECT vec_id, m.label AS label, 1 - {_DOT.format('embedding', 'c')} / (sqrt({_DOT.format('embedding', 'embedding')}) * sqrt({_DOT.format('c', 'c')})) AS d FROM embeddings, means m)
     SELECT vec_id, arg_min(label, d) AS nearest, min(d) AS distance FROM far GROUP BY vec_id"""
 
+_T_AND_DOF = "(m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2)) AS t, n1 + n2 - 2 AS dof"
+#: The finite sums in the angle atan(t / sqrt(dof)) for even and for odd degrees of freedom.
+_P_OF_T = """(1 - CASE WHEN dof % 2 = 0
+    THEN abs(t) / sqrt(dof + t * t) * list_sum(list_transform(range(0, dof // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1) - ln(pi()) / 2 + k * ln(dof / (dof + t * t)))))
+    ELSE 2 / pi() * (atan(abs(t) / sqrt(dof)) + abs(t) / sqrt(dof + t * t) * coalesce(list_sum(list_transform(range(0, (dof - 1) // 2), lambda k: exp(ln(pi()) / 2 + lgamma(k + 1) - ln(2) - lgamma(k + 1.5) + (k + 0.5) * ln(dof / (dof + t * t))))), 0)) END)"""
+
 ORACLE_SQL = {
     "json_property_numeric": "SELECT event_id, k AS name, try_cast(json_extract_string(props, '$.' || k) AS DOUBLE) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)",
     "unit_convert": "SELECT event_id, round(round(value * 100)::BIGINT * CASE event_id % 5 WHEN 0 THEN 1000.0::DOUBLE WHEN 2 THEN 1::DOUBLE / 1000 WHEN 3 THEN 1::DOUBLE / 1000000 ELSE 1.0::DOUBLE END, 6)::DOUBLE AS converted FROM events",
@@ -216,10 +228,14 @@ ORACLE_SQL = {
             stddev_pop(n_chars) FILTER (quality = 1) AS s1, stddev_pop(n_chars) FILTER (quality = 0) AS s2 FROM documents JOIN labels USING (doc_id)),
         d AS (SELECT n1, n2, round((m1 - m2) / sqrt((s1 * s1 + s2 * s2) / 2), 6)::DOUBLE AS cohens_d FROM g)
         SELECT *, CASE WHEN abs(cohens_d) < 0.2 THEN 'negligible' WHEN abs(cohens_d) < 0.5 THEN 'small' WHEN abs(cohens_d) < 0.8 THEN 'medium' ELSE 'large' END AS effect FROM d""",
-    "ttest": """
+    "ttest": f"""
         WITH g AS (SELECT count(*) FILTER (quality = 1) AS n1, count(*) FILTER (quality = 0) AS n2, avg(n_chars) FILTER (quality = 1) AS m1, avg(n_chars) FILTER (quality = 0) AS m2,
             var_samp(n_chars) FILTER (quality = 1) AS v1, var_samp(n_chars) FILTER (quality = 0) AS v2 FROM documents JOIN labels USING (doc_id))
-        SELECT round(m1, 4)::DOUBLE AS mean1, round(m2, 4)::DOUBLE AS mean2, round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2)), 6)::DOUBLE AS t, n1 + n2 - 2 AS dof FROM g""",
+        SELECT round(m1, 4)::DOUBLE AS mean1, round(m2, 4)::DOUBLE AS mean2, round(t, 6)::DOUBLE AS t, dof, round({_P_OF_T}, 6)::DOUBLE AS p FROM (SELECT *, {_T_AND_DOF} FROM g)""",
+    "ttest_by_language": f"""
+        WITH g AS (SELECT lang, count(*) FILTER (quality = 1) AS n1, count(*) FILTER (quality = 0) AS n2, avg(n_chars) FILTER (quality = 1) AS m1, avg(n_chars) FILTER (quality = 0) AS m2,
+            var_samp(n_chars) FILTER (quality = 1) AS v1, var_samp(n_chars) FILTER (quality = 0) AS v2 FROM documents JOIN labels USING (doc_id) GROUP BY lang)
+        SELECT lang, dof, round(t, 6)::DOUBLE AS t, round({_P_OF_T}, 6)::DOUBLE AS p FROM (SELECT *, {_T_AND_DOF} FROM g)""",
     "spearman_rank": """
         WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS a, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2 AS b FROM lineitem)
         SELECT round(corr(a, b), 6)::DOUBLE AS spearman FROM r""",

@@ -92,8 +92,20 @@ def _said(role: str) -> Column:
 
 
 def _first(rows: DataFrame, limit: int | None) -> DataFrame:
-    """The first rows by file and line; all of them without a limit."""
-    return rows if limit is None else rows.orderBy(FILE, LINE).limit(limit)
+    """The first rows by file and line; all of them without a limit.
+
+    Rows are counted by file and span of lines; the counts before tell which spans are taken, and only within the one that
+    the limit cuts are rows numbered.
+    """
+    if limit is None:
+        return rows
+    spans = rows.withColumn("_span", F.floor(F.col(LINE) / SPAN))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(FILE, "_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each span
+    counts = spans.groupBy(FILE, "_span").agg(F.count("*").alias("_n")).withColumn("_left", F.lit(limit) - before).where("_left > 0")
+    taken = spans.join(counts, [FILE, "_span"])
+    whole = taken.where("_n <= _left").select(*rows.columns)
+    place = F.row_number().over(Window.partitionBy(FILE, "_span").orderBy(LINE))
+    return whole.union(taken.where("_n > _left").withColumn("_place", place).where("_place <= _left").select(*rows.columns))
 
 
 def chat_records(spark: SparkSession, folder: str, limit: int | None = 20_000) -> DataFrame:

@@ -37,3 +37,24 @@ def test_statistics_equal_sorted_lists(spark):
     everything = [v for _, v in rows if v is not None]
     assert stats.upper_median(df, "v", []).first()["upper_median"] == sorted(everything)[len(everything) // 2]
     assert stats.upper_median(df.limit(0), "v", ["g"]).count() == 0
+
+
+def test_p_values_of_many_t(spark):
+    """Against the plain continued fraction, over small and large degrees of freedom; null without one."""
+    pairs = [(t, dof) for t in (0.0, 1e-9, -0.5, 0.7, 2.0, -5.0, 40.0) for dof in (1, 2, 3, 10, 57, 1000, 250_000)]
+    rows = spark.createDataFrame([*pairs, (1.0, 0), (None, 4)], "t double, dof long").select("t", "dof", stats.t_probability(F.col("t"), F.col("dof")).alias("p")).collect()
+    got = {(r["t"], r["dof"]): r["p"] for r in rows}
+    assert all(math.isclose(got[k], stats.two_sided_p(*k), rel_tol=1e-8, abs_tol=1e-12) for k in pairs)
+    assert got[(1.0, 0)] is None and got[(None, 4)] is None
+
+
+def test_limits_cut_across_files(spark, tmp_path, monkeypatch):
+    from millrace.sources import lines as src
+
+    monkeypatch.setattr(src, "SPAN", 4)
+    for k, n in enumerate((5, 0, 1, 9)):
+        (tmp_path / f"{k}.jsonl").write_text("\n".join(f'{{"prompt": "{k}-{i}"}}' for i in range(n)))
+    every = [f"{k}-{i}" for k, n in enumerate((5, 0, 1, 9)) for i in range(n)]
+    for limit in (0, 1, 4, 5, 6, 7, 15, 99):
+        got = src.chat_records(spark, str(tmp_path), limit).collect()
+        assert sorted(r["user"] for r in got) == sorted(every[:limit]) and sorted(r["id"] for r in got) == sorted(f"chat-{i}" for i in range(min(limit, 15)))
