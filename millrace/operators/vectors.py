@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scoring import novelty, novelty_tier
@@ -49,14 +49,66 @@ def lloyd_round(vectors: DataFrame, centroids: list[list[float]], vector: str =
     return mean_centroids(near, "nearest", vector).withColumnsRenamed({"nearest": "cluster"})
 
 
-def fit_centroids(vectors: DataFrame, *, k: int | None = None, tries: int = 10, vector: str = "embedding") -> list[list[float]]:
-    """Centroids of the cheapest of several seeded k-means fits."""
-    rows = vectors.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features")).persist()
-    k = k or cluster_count(rows.count())
-    fits = [KMeans(k=k, seed=s, maxIter=20).fit(rows) for s in range(tries)]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    rows.unpersist()
-    return [c.tolist() for c in best.clusterCenters()]
+def seeded_starts(vectors: DataFrame, k: int, seeds: list[int], vector: str = "embedding") -> np.ndarray:
+    """k different vectors for each seed, those of least hash with it: the same however rows are partitioned. Fewer where there are fewer."""
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"))
+    drawn = rows.withColumn("at", F.explode(F.array(*(F.struct(F.lit(s).alias("seed"), F.md5(F.concat_ws(",", F.lit(str(s)), F.col("v").cast("array<string>")).cast("binary")).alias("hash")) for s in seeds))))
+    once = drawn.groupBy("at.seed", "at.hash").agg(F.first("v").alias("v"))
+    found = once.withColumn("_n", F.row_number().over(Window.partitionBy("seed").orderBy("hash"))).where(F.col("_n") <= k)  # tasks cut their own first
+    by: dict[int, list] = {s: [] for s in seeds}
+    for r in found.orderBy("seed", "hash").collect():  # k for each seed
+        by[r["seed"]].append(r["v"])
+    return np.array([by[s] for s in seeds], float)
+
+
+def lloyd_fits(vectors: DataFrame, starts: np.ndarray, *, rounds: int = 20, vector: str = "embedding") -> tuple[np.ndarray, np.ndarray]:
+    """Centroids and costs (sums of squared distances to them) of k-means from several starts, all in one pass over the vectors a round.
+
+    A start whose centroids stay is settled and takes part no more. A vector goes to its nearest centroid, ties to the
+    first; a centroid without vectors stays. Tasks add up their own vectors; what is shuffled and comes to the driver is a
+    row for each start and centroid. Null vectors take no part.
+    """
+    spark, (n_starts, k, width) = vectors.sparkSession, starts.shape
+    ship(spark)
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"))
+    centroids, costs, open_ = starts.copy(), np.full(n_starts, np.inf), list(range(n_starts))
+    schema = ", ".join(["start int", "cluster int", "n long", "cost double", *(f"x{j} double" for j in range(width))])
+    for last in range(rounds + 1):
+        shared = spark.sparkContext.broadcast((open_, centroids[open_]))  # starts x k x width numbers
+
+        def summed(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own, table = shared.value
+            n, cost, total = np.zeros((len(own), k)), np.zeros((len(own), k)), np.zeros((len(own), k, width))
+            for batch in batches:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                for i, c in enumerate(table):
+                    far = ((x[:, None, :] - c[None]) ** 2).sum(2) if x.size * k < 1 << 22 else (x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)
+                    near = far.argmin(1)
+                    n[i] += np.bincount(near, minlength=k)
+                    cost[i] += np.bincount(near, np.maximum(far[np.arange(len(x)), near], 0), minlength=k)
+                    np.add.at(total[i], near, x)
+            at = np.argwhere(n > 0)
+            columns = [pa.array(np.array(own)[at[:, 0]], pa.int32()), pa.array(at[:, 1], pa.int32()), pa.array(n[n > 0].astype(np.int64)), pa.array(cost[n > 0]), *(pa.array(total[n > 0][:, j]) for j in range(width))]
+            yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in schema.split(", ")])
+
+        sums = rows.mapInArrow(summed, schema).groupBy("start", "cluster").agg(*(F.sum(c.split()[0]).alias(c.split()[0]) for c in schema.split(", ")[2:])).collect()
+        costs[open_] = 0
+        moved = centroids.copy()
+        for r in sums:
+            costs[r["start"]] += r["cost"]
+            moved[r["start"], r["cluster"]] = np.array(r[4:]) / r["n"]
+        still = [s for s in open_ if not np.array_equal(moved[s], centroids[s])]
+        if last == rounds or not still:
+            break  # costs are of the centroids as they are
+        centroids[still], open_ = moved[still], still
+    return centroids, costs
+
+
+def fit_centroids(vectors: DataFrame, *, k: int | None = None, tries: int = 10, rounds: int = 20, vector: str = "embedding") -> list[list[float]]:
+    """Centroids of the cheapest of several seeded k-means fits, which run together; ties to the first seed."""
+    k = k or cluster_count(vectors.count())
+    centroids, costs = lloyd_fits(vectors, seeded_starts(vectors, k, list(range(tries)), vector), rounds=rounds, vector=vector)
+    return centroids[int(costs.argmin())].tolist()
 
 
 def distance_norm(distances: DataFrame, share: float = 0.9, distance: str = "distance") -> DataFrame:
