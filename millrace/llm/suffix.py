@@ -138,11 +138,21 @@ def _after(place: tuple[np.ndarray, ...], first: tuple[np.ndarray, ...]) -> np.n
     return np.logical_or.reduce([a != b for a, b in zip(place, first, strict=True)])
 
 
-def _settle_own(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    """A task's blocks: the first of equal ones as they are; the rest, as runs of windows that go, under n below 0."""
-    did, tag, tag2, q, n, a, core, seg, seg2 = (np.concatenate(c) for c in zip(*rows, strict=True))
+#: Rows of a batch of blocks: what a task holds goes out in parts, so that it isn't copied whole on its way.
+_OUT = 1 << 15
+
+
+def _settle_own(rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """A task's blocks, used up: the first of equal ones as they are; the rest, as runs of windows that go, under n below 0."""
+    columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
+    rows.clear()
+    did, tag, tag2, q, n, a, core, seg, seg2 = columns
     order = np.lexsort((q, tag2, tag, did, seg2, seg, core))
-    did, tag, tag2, q, n, a, core, seg, seg2 = (c[order] for c in (did, tag, tag2, q, n, a, core, seg, seg2))
+    for k, c in enumerate(columns):
+        columns[k] = c[order]
+    del order
+    did, tag, tag2, q, n, a, core, seg, seg2 = columns
+    columns.clear()
     new = np.ones(len(q), bool)
     new[1:] = (core[1:] != core[:-1]) | (seg[1:] != seg[:-1]) | (seg2[1:] != seg2[:-1])
     first = np.maximum.accumulate(np.where(new, np.arange(len(q)), 0))
@@ -150,8 +160,13 @@ def _settle_own(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     rd, rt, rt2, rq, rn = _merged(did[gone], tag[gone], tag2[gone], q[gone], n[gone])
     spread = _mixed((rd * 31 + rq).astype(np.int64).view(np.uint64)).view(np.int64)
     keep = ~gone
-    join = lambda x, y: np.concatenate([x[keep], y])
-    return _batch(_BLOCK_SCHEMA, join(core, spread), join(seg, spread), join(seg2, spread), join(did, rd), join(tag, rt), join(tag2, rt2), join(q, rq), join(n, -rn), join(a, np.zeros(len(rd), np.int64)))
+    for at in range(0, len(q), _OUT):
+        k = np.flatnonzero(keep[at : at + _OUT]) + at
+        if len(k):
+            yield _batch(_BLOCK_SCHEMA, core[k], seg[k], seg2[k], did[k], tag[k], tag2[k], q[k], n[k], a[k])
+    for at in range(0, len(rd), _OUT):
+        part = slice(at, at + _OUT)
+        yield _batch(_BLOCK_SCHEMA, spread[part], spread[part], spread[part], rd[part], rt[part], rt2[part], rq[part], -rn[part], np.zeros(len(rd[part]), np.int64))
 
 
 def _block_rows(length: int, gram: int, common: np.ndarray):
@@ -177,10 +192,10 @@ def _block_rows(length: int, gram: int, common: np.ndarray):
                 held.append((ids[a + doc], tags[a + doc], tags2[a + doc], q + lo, n, at, core, seg, seg2))
                 count += len(q)
                 if count > MOST_BLOCKS:
-                    yield _settle_own(held)
+                    yield from _settle_own(held)
                     held, count = [], 0
         if count:
-            yield _settle_own(held)
+            yield from _settle_own(held)
 
     return make
 
