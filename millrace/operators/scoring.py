@@ -282,19 +282,21 @@ def phrase_features(texts: DataFrame, phrases: DataFrame | None = None, *, id_co
     return hits.groupBy(id_col, "feature").agg(F.min_by("direction", "pos").alias("direction"))
 
 
-def corpus_report(scores: DataFrame, *, value: str = "total", group: list[str] | None = None, used: str | None = None, marked: str | None = None) -> DataFrame:
+def corpus_report(scores: DataFrame, *, value: str = "total", group: list[str] | None = None, used: str | None = None, marked: str | None = None, core: str | None = None) -> DataFrame:
     """Count, means, bounds, the upper median and population deviation of the scores, of each group or of all.
 
     used: a column that is null in rows that were skipped: how many were used and skipped; marked: a column that is null
-    in rows without a reasoning: the share of rows with one.
+    in rows without a reasoning: the share of rows with one; core: how many core features were looked at, as sample_scores
+    counts them (n_core): the mean of its share in all of them.
     """
     group, n = group or [], F.count("*")
     more = [F.count(used).alias("used"), (n - F.count(used)).alias("skipped")] if used else []
     more += [F.avg(F.col(marked).isNotNull().cast("double")).alias("share")] if marked else []
+    more += [F.round(F.avg(F.col(core) / len(CORE_FEATURES)), 4).alias("core_coverage")] if core else []
     bounds = scores.groupBy(*group).agg(n.alias("count"), F.round(F.avg(value), 4).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.stddev_pop(value).alias("std"), *more)
     middle = upper_median(scores, value, group).withColumnRenamed("upper_median", "median")
     both = bounds.join(middle, group, "left") if group else bounds.join(F.broadcast(middle), how="left")  # one row each
-    return both.select(*group, "count", "mean", "min", "max", "median", "std", *(c for c in ("used", "skipped", "share") if c in both.columns))
+    return both.select(*group, "count", "mean", "min", "max", "median", "std", *(c for c in ("used", "skipped", "share", "core_coverage") if c in both.columns))
 
 
 def top_features(listed: DataFrame, k: int = 10, *, feature: str = "feature", order: str = "pos") -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import scoring
 from millrace.operators import matrix, rollout, stats, vectors
-from millrace.operators.scoring import sample_scores
+from millrace.operators.scoring import corpus_report, sample_scores
 from millrace.plans.corpus import table
 from millrace.session import scratch
 from millrace.streaming.rollout_log import to_sink, windowed
@@ -43,15 +45,24 @@ def feature_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _changes(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(reward, 6).alias("reward"))
 
 
-def sample_score_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of orders: their lines' flags as features, the first and the last line of a flag as before and after."""
+def _order_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.min_by("l_quantity", F.struct(*_IN_ORDER)).alias("o"), F.max_by("l_quantity", F.struct(*_IN_ORDER)).alias("p"))
     both = F.explode(F.array(F.struct(F.lit("orig").alias("role"), F.col("o").alias("value")), F.struct(F.lit("opt").alias("role"), F.col("p").alias("value"))))
     features = lines.select(F.col("l_orderkey").alias("sample_id"), F.col("l_returnflag").alias("feature"), both.alias("x")).select("sample_id", "feature", "x.*")
     bad = features.where("value > 40").select("sample_id", "role", "feature")
     dims = spark.createDataFrame([("A", 1, None, None, 25.0, 2.0, True), ("N", -1, None, None, 25.0, 1.0, False), ("R", 0, 10.0, 30.0, None, 1.5, True)], "feature string, direction int, lo double, hi double, threshold double, weight double, is_core boolean")
-    scores = sample_scores(features, bad, dims)
-    return scores.select("sample_id", F.round("base", 6).alias("base"), F.round("coverage", 6).alias("coverage"), F.round("efficiency", 6).alias("efficiency"), F.round("total", 6).alias("total"), "improved", "degraded")
+    return sample_scores(features, bad, dims)
+
+
+def sample_score_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of orders: their lines' flags as features, the first and the last line of a flag as before and after."""
+    return _order_scores(spark, sf_dir).select("sample_id", F.round("base", 6).alias("base"), F.round("coverage", 6).alias("coverage"), F.round("efficiency", 6).alias("efficiency"), F.round("total", 6).alias("total"), "improved", "degraded")
+
+
+def sample_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2, A3, A5: the report of all orders' scores, with their mean coverage of the core features."""
+    report = corpus_report(_order_scores(spark, sf_dir), core="n_core")
+    return report.select("count", F.round("mean", 3).alias("mean"), *(F.round(c, 4).alias(c) for c in ("min", "max", "median", "std")), "core_coverage")
 
 
 def upper_median_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +117,7 @@ def clipped_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(rollout.masked_mean(loss, mask), 6).alias("loss"))
 
 
-#: Labels whose means are broadcast at most.
+#: About how many labels' means are broadcast at a time.
 MOST_LABELS = 4096
 
 
@@ -115,14 +126,17 @@ def _centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cosine_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest label mean of every vector. The means are a row for each label, folded into one row of arrays; labels are few."""
-    if (n := table(spark, sf_dir, "embeddings").select("label").distinct().count()) > MOST_LABELS:
-        raise ValueError(f"{n} labels are too many to broadcast their means")
-    means = _centroids(spark, sf_dir).agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("means"))
-    rows = table(spark, sf_dir, "embeddings").join(F.broadcast(means), how="inner")
-    far = F.transform("means", lambda m: F.struct(vectors.cosine_distance(F.col("embedding"), m["centroid"]).alias("d"), m["label"].alias("label")))
-    best = F.array_min(far)
-    return rows.select("vec_id", best["label"].alias("nearest"), F.round(best["d"], 6).alias("distance"))
+    """Nearest label mean of every vector; the means are a row for each label."""
+    rows, means = table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), _centroids(spark, sf_dir)
+    # Labels go in blocks, each broadcast as one row of arrays, so that any number of them can be met.
+    blocks = -(-max(means.count(), 1) // MOST_LABELS)
+    nearest = []
+    for k in range(blocks):
+        own = means.where(F.pmod(F.xxhash64("label"), F.lit(blocks)) == k).agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("means"))
+        far = F.transform("means", lambda m: F.struct(vectors.cosine_distance(F.col("embedding"), m["centroid"]).alias("d"), m["label"].alias("label")))
+        nearest.append(rows.join(F.broadcast(own), how="inner").select("vec_id", F.array_min(far).alias("best")))
+    found = nearest[0] if blocks == 1 else reduce(DataFrame.union, nearest).groupBy("vec_id").agg(F.min("best").alias("best"))
+    return found.select("vec_id", F.col("best.label").alias("nearest"), F.round("best.d", 6).alias("distance"))
 
 
 def novelty_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +191,7 @@ def rollout_stream_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        json_property_numeric, unit_convert, feature_reward, sample_score_rollup, upper_median_by_group, describe_percentiles, histogram_closed_last, cohens_d,
+        json_property_numeric, unit_convert, feature_reward, sample_score_rollup, sample_report, upper_median_by_group, describe_percentiles, histogram_closed_last, cohens_d,
         ttest, ttest_by_language, spearman_rank, group_advantage, clipped_objective, cosine_nearest, novelty_tier, kmeans_summary, docking_matrix, judge_blend, rollout_stream_agg,
     )
 }
@@ -267,3 +281,7 @@ ORACLE_SQL = {
         SELECT doc_id, round(rigor, 6)::DOUBLE AS rigor, round(logic, 6)::DOUBLE AS logic, round(0.4 * rigor + 0.6 * logic, 6)::DOUBLE AS score, flag OR rigor < 0.4 OR logic < 0.4 AS critical FROM s""",
     "rollout_stream_agg": "SELECT date_trunc('hour', ts) AS window_start, count(*) AS n, round(avg(value), 6)::DOUBLE AS mean_reward, round(avg((event_type = 'click')::INT), 6)::DOUBLE AS ok_share FROM events GROUP BY 1",
 }
+
+ORACLE_SQL["sample_report"] = f"""
+    SELECT count(*) AS count, round(avg(total), 3)::DOUBLE AS mean, round(min(total), 4)::DOUBLE AS min, round(max(total), 4)::DOUBLE AS max, round(list_sort(list(total))[count(*) // 2 + 1], 4)::DOUBLE AS median,
+        round(stddev_pop(total), 4)::DOUBLE AS std, round(avg(coverage * 10), 4)::DOUBLE AS core_coverage FROM ({ORACLE_SQL["sample_score_rollup"]})"""

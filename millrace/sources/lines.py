@@ -242,7 +242,7 @@ def boxes(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def first_sample(spark: SparkSession, path: str) -> DataFrame:
     """The first record: instruction and input as one prompt, and the expected output."""
-    rows = jsonl(spark, path, "instruction string, input string, output string").orderBy(FILE, LINE).limit(1)
+    rows = _first(jsonl(spark, path, "instruction string, input string, output string"), 1)
     return rows.select(F.concat(F.coalesce("instruction", F.lit("")), F.lit("\n\n"), F.coalesce("input", F.lit(""))).alias("user"), F.coalesce("output", F.lit("")).alias("expected"))
 
 

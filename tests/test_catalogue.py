@@ -40,6 +40,16 @@ def test_matches_sql(spark, duck, name):
     assert got == sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall()), key=str)
 
 
+def test_labels_in_blocks(spark, monkeypatch):
+    """Means of labels that are broadcast in several blocks give the same nearest ones."""
+    from millrace.plans import analytics
+
+    rows = lambda: sorted(map(tuple, catalogue.QUERIES["cosine_nearest"](spark, SF).collect()))
+    whole = rows()
+    monkeypatch.setattr(analytics, "MOST_LABELS", 3)
+    assert rows() == whole
+
+
 def test_kmeans_assigns_and_centres(spark):
     """Fitted centroids: each is about the mean of its own vectors, and each vector goes to its nearest by cosine."""
     table = spark.read.parquet(f"{SF}/embeddings.parquet")
