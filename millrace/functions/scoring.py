@@ -51,6 +51,7 @@ def feature_reward(orig: Column, opt: Column, direction: Column, lo: Column, hi:
     up, down = direction == 1, direction == -1
     crossed = F.coalesce(F.when(up, (orig < threshold) & (opt >= threshold)).when(down, (orig > threshold) & (opt <= threshold)), F.lit(False))
     lost = F.coalesce(F.when(up, (orig >= threshold) & (opt < threshold)).when(down, (orig <= threshold) & (opt > threshold)), F.lit(False))
+    # The levels of the ratio, its cap, and the share of a band's bonus that leaving it costs.
     level = F.when(ratio < 0.05, 0.2).when(ratio < 0.15, 0.5).otherwise(1.0)
     better = IMPROVED + F.when(crossed, CROSSED).otherwise(0.0) + RELATIVE * F.least(ratio, F.lit(2.0))
     worse = WORSENED * level + F.when(lost, LOST).otherwise(0.0) - sign * RELATIVE_LOSS * F.least(ratio, F.lit(2.0))
@@ -69,6 +70,7 @@ def set_f_score(bad: str | Column, predicted: str | Column, reasoned: Column) ->
     t = F.size(F.array_intersect(_c(bad), _c(predicted))).cast("double")
     p, r = F.try_divide(t, q), F.try_divide(t, b)
     f2 = F.coalesce(F.try_divide(5 * p * r, 4 * p + r), F.lit(0.0))
+    # Where precision and recall are cut, and the floors there.
     floored = F.when((p < 0.3) & (r > 0.5), F.greatest(f2, F.lit(0.3))).when((r < 0.3) & (p > 0.5), F.greatest(f2, F.lit(0.3))).when((p < 0.3) & (r < 0.3) & (t > 0), F.greatest(f2, F.lit(0.1))).otherwise(f2)
     return (
         F.when(~reasoned, 0.0).when(b == 0, F.when(q == 0, 1.0).otherwise(0.5)).when(q == 0, 0.0)
@@ -79,6 +81,7 @@ def set_f_score(bad: str | Column, predicted: str | Column, reasoned: Column) ->
 def novelty(x: str | Column) -> Column:
     """Novelty of a normalised mean distance, in six tiers."""
     x = _c(x)
+    # The tiers' cuts, and the line or curve in each.
     return (
         F.when(x < 0.5, 0.4 + 0.6 * x).when(x < 0.65, 0.7 + (x - 0.5) / 0.15 * 0.2)
         .when(x < 1.05, 0.9 + 0.1 * F.exp(-((x - 0.85) * (x - 0.85)) / (2 * 0.15 * 0.15)))
@@ -92,6 +95,7 @@ def novelty_tier(x: str | Column) -> Column:
     return F.when(x < 0.5, 1).when(x < 0.65, 2).when(x < 1.05, 3).when(x < 1.3, 4).when(x < 1.8, 5).otherwise(6)
 
 
+#: The blend's weights, and below which a score is critical.
 def judge_blend(rigor: str | Column, logic: str | Column) -> Column:
     return 0.40 * _c(rigor) + 0.60 * _c(logic)
 

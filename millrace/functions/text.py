@@ -116,18 +116,22 @@ def lenient_output(c: str | Column) -> Column:
     return F.struct(reasoning.alias("reasoning"), longest_component(smiles).alias("smiles"))
 
 
+#: What a molecule is written with, and where sentences end.
+MOLECULE, SENTENCE_END = r"^[A-Za-z0-9@+\-\[\]()=#$%/\\.:*]+$", r"[\n\.!?]\s+"
+
+
 def smiles_sane(c: str | Column) -> Column:
     """Allowed characters only, parentheses balanced and never closed before opened, an even number of digits."""
     s = F.coalesce(_c(c), F.lit(""))
     marks = F.filter(F.split(s, ""), lambda x: (x == "(") | (x == ")"))
     depth = F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("low")), lambda d, x: F.struct((d["now"] + F.when(x == "(", 1).otherwise(-1)).alias("now"), F.least(d["low"], d["now"] + F.when(x == "(", 1).otherwise(-1)).alias("low")))
     digits = F.length(s) - F.length(F.regexp_replace(s, "[0-9]", ""))
-    return F.rlike(s, F.lit(r"^[A-Za-z0-9@+\-\[\]()=#$%/\\.:*]+$")) & (depth["now"] == 0) & (depth["low"] == 0) & (digits % 2 == 0)
+    return F.rlike(s, F.lit(MOLECULE)) & (depth["now"] == 0) & (depth["low"] == 0) & (digits % 2 == 0)
 
 
 def sentences(c: str | Column, least: int = 8) -> Column:
     """Trimmed pieces between line ends or closing marks followed by white space, of at least that many characters."""
-    return F.filter(F.transform(F.split(_c(c), r"[\n\.!?]\s+"), lambda x: stripped(x)), lambda x: F.length(x) >= least)
+    return F.filter(F.transform(F.split(_c(c), SENTENCE_END), lambda x: stripped(x)), lambda x: F.length(x) >= least)
 
 
 def reasoning_slice(c: str | Column, fallback: str | Column) -> Column:
