@@ -37,6 +37,8 @@ def band_distance(x: str | Column, lo: str | Column, hi: str | Column) -> Column
 #: Bonuses and penalties of a changed feature.
 IMPROVED, CROSSED, ENTERED, RELATIVE = 2.0, 2.5, 3.5, 1.5
 WORSENED, LOST, RELATIVE_LOSS, LARGEST = -1.5, -2.0, -1.2, 2.0
+#: Four fifths of ENTERED, a fifth and half of WORSENED: products of doubles are off by a last bit, which shows where scores are rounded.
+LEFT, LITTLE_WORSE, HALF_WORSE = -2.8, -0.3, -0.75
 
 
 def feature_reward(orig: Column, opt: Column, direction: Column, lo: Column, hi: Column, threshold: Column, weight: Column, corrected: bool = False) -> Column:
@@ -51,15 +53,15 @@ def feature_reward(orig: Column, opt: Column, direction: Column, lo: Column, hi:
     up, down = direction == 1, direction == -1
     crossed = F.coalesce(F.when(up, (orig < threshold) & (opt >= threshold)).when(down, (orig > threshold) & (opt <= threshold)), F.lit(False))
     lost = F.coalesce(F.when(up, (orig >= threshold) & (opt < threshold)).when(down, (orig <= threshold) & (opt > threshold)), F.lit(False))
-    # The levels of the ratio, its cap, and the share of a band's bonus that leaving it costs.
-    level = F.when(ratio < 0.05, 0.2).when(ratio < 0.15, 0.5).otherwise(1.0)
+    # The levels of the ratio, and its cap.
+    level = F.when(ratio < 0.05, LITTLE_WORSE).when(ratio < 0.15, HALF_WORSE).otherwise(WORSENED)
     better = IMPROVED + F.when(crossed, CROSSED).otherwise(0.0) + RELATIVE * F.least(ratio, F.lit(2.0))
-    worse = WORSENED * level + F.when(lost, LOST).otherwise(0.0) - sign * RELATIVE_LOSS * F.least(ratio, F.lit(2.0))
+    worse = level + F.when(lost, LOST).otherwise(0.0) - sign * RELATIVE_LOSS * F.least(ratio, F.lit(2.0))
     ordered = F.when(gain > 0, better).when(gain < 0, worse).otherwise(0.0)
     before, after = band_distance(orig, lo, hi), band_distance(opt, lo, hi)
     nearer = before - after
     moved = F.when(nearer > 0, RELATIVE * F.least(nearer, F.lit(2.0))).when(nearer < 0, -sign * RELATIVE_LOSS * F.least(-nearer, F.lit(2.0))).otherwise(0.0)
-    banded = F.when((before > 0) & (after == 0), ENTERED).otherwise(0.0) + F.when((before == 0) & (after > 0), -0.8 * ENTERED).otherwise(0.0) + moved
+    banded = F.when((before > 0) & (after == 0), ENTERED).otherwise(0.0) + F.when((before == 0) & (after > 0), LEFT).otherwise(0.0) + moved
     raw = F.when(direction == 0, banded).when(direction.isNotNull(), ordered).otherwise(0.0)
     return F.greatest(F.least(raw * weight, LARGEST * weight), -LARGEST * weight)
 

@@ -206,7 +206,7 @@ def sample_scores(features: DataFrame, bad: DataFrame, dims: DataFrame, *, w_mai
     listed = F.coalesce(fixed.isNotNull().cast("int"), F.lit(0)) + new_bad.cast("int")
     gain = F.when(both & scorable, F.col("reward"))
     per = rows.groupBy("sample_id").agg(
-        (F.sum(F.coalesce(fixed, F.lit(0.0))) + F.sum(F.when(new_bad, -0.3).otherwise(0.0))).alias("main"),
+        F.sum(F.coalesce(fixed, F.lit(0.0)) + F.when(new_bad, -0.3).otherwise(0.0)).alias("main"),
         F.sum(listed * F.col("weight")).alias("weights"), F.sum(listed).alias("n_listed"),
         F.sum(F.when(F.col("is_core"), listed).otherwise(0)).alias("n_core"),
         F.sum((gain > 0).cast("int")).alias("improved"), F.sum((gain < 0).cast("int")).alias("degraded"),

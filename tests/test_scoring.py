@@ -1,7 +1,9 @@
 """Normalisation, lookups, rules and sample scores."""
 
+import duckdb
 import pytest
 
+from millrace import catalogue
 from millrace.operators import scoring
 
 
@@ -33,3 +35,20 @@ def test_sample_scores(spark):
     assert row["base"] == pytest.approx((0.5 * 2.0 + 0.5) / (2 * (1.0 + 3.0)))
     assert row["coverage"] == pytest.approx(0.1 * 2 / 16)
     assert row["efficiency"] == pytest.approx(0.1)
+
+
+def test_scores_on_the_edge_of_rounding(spark, tmp_path):
+    """Orders whose scores lie between two roundings or at zero: terms are added by feature, and penalties are exact."""
+    lines = {
+        7864: [(1, 16.0, "N"), (2, 21.0, "N"), (3, 28.0, "A"), (5, 39.0, "N"), (6, 5.0, "A"), (7, 43.0, "N")],
+        47151: [(1, 14.0, "R"), (2, 18.0, "N"), (3, 1.0, "N"), (5, 7.0, "R"), (6, 9.0, "A"), (7, 3.0, "A")],
+        87873: [(1, 21.0, "R"), (2, 48.0, "R"), (4, 16.0, "N"), (6, 21.0, "N")],
+        96681: [(1, 3.0, "A"), (2, 32.0, "N"), (3, 33.0, "N"), (4, 15.0, "R"), (5, 45.0, "R")],
+    }
+    rows = [(order, n, 1, 1, quantity, flag) for order, own in lines.items() for n, quantity, flag in own]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = sorted(map(tuple, catalogue.QUERIES["sample_score_rollup"](spark, str(tmp_path)).collect()))
+    assert got == sorted(duck.execute(catalogue.ORACLE_SQL["sample_score_rollup"]).fetchall())
+    assert [(r[0], r[1], r[4]) for r in got] == [(7864, -0.379688, -0.30375), (47151, 0.0, 0.01), (87873, -0.145312, -0.11625), (96681, -0.060937, -0.04875)]
