@@ -28,9 +28,14 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def id_and_text_columns(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """doc_id and text; a null text counts as empty."""
+    return [F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")]
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the two columns an operator reads; a null text counts as empty."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    """Only the two columns an operator reads."""
+    return docs.select(*id_and_text_columns(id_col, text_col))
 
 
 def fresh(df: DataFrame, name: str) -> str:

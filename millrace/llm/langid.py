@@ -174,9 +174,10 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", t
     return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, *, least: float = 0.0, languages: tuple[str, ...] | None = None, text_col: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, model: LanguageModel, *, least: float = 0.0, languages: tuple[str, ...] | None = None, text_col: str = "text", into: str | None = None) -> DataFrame:
     """The rows of docs, columns as they are, whose language is determined, has at least that score, and is wanted.
 
+    into: a string column that gets the language instead of what it holds.
     Null, empty and letterless texts go; texts of any length are scored whole; repeated rows stay or go together; ids may
     be null or repeat, as only texts are read; an empty table stays empty.
     """
@@ -184,10 +185,13 @@ def keep_identified(docs: DataFrame, model: LanguageModel, *, least: float = 0.0
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
+    named = None if into is None else docs.columns.index(into)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = shared.value.predict(batch.column(at).to_pylist())
+            if named is not None:
+                batch = batch.set_column(named, batch.schema.field(named), pa.array(names, batch.schema.field(named).type))
             yield batch.filter(pa.array([n != UNDETERMINED and s >= least and (languages is None or n in languages) for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import bound_batches, buffers, id_and_text, runs_of_rows, unsigned_crc32
+from millrace.llm._common import bound_batches, buffers, id_and_text_columns, runs_of_rows, unsigned_crc32
 
 WINDOW = 2048
 END_ID = 1
@@ -146,7 +146,7 @@ class LevelPacker:
         self.next += 1
         return self.next - 1
 
-    def add(self, doc: int | None, ids: bytes) -> None:
+    def add(self, doc: tuple | int | None, ids: bytes) -> None:
         total, w = len(ids) // 4, self.window
         whole = total - total % w
         for start in range(0, whole, w):
@@ -211,25 +211,26 @@ class LevelPacker:
             self.count[level], self.at_level[level], self.n_open = 1, [(sequence, pieces)], 1
 
 
-def _arrow(closed: list[tuple[int, list]]) -> pa.RecordBatch:
+def _arrow(closed: list[tuple[int, list]], more: list[str]) -> pa.RecordBatch:
+    """Rows of SCHEMA and the further columns; a piece's document is its id and what it has in these."""
     rows = []
     for sequence, pieces in closed:
         offset = 0
-        for doc, start, ids, total in pieces:
-            rows.append((doc, start, len(ids) // 4, ids, total, sequence, offset))
+        for (doc, *carried), start, ids, total in pieces:
+            rows.append((doc, start, len(ids) // 4, ids, total, sequence, offset, *carried))
             offset += len(ids) // 4
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), *[pa.string()] * len(more)]
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", *more]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def pack_sum_of_squares(docs: DataFrame, *, window: int = WINDOW, tokenizer: str | None = None, ranks: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_sum_of_squares(docs: DataFrame, *, window: int = WINDOW, tokenizer: str | None = None, ranks: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Pieces of token ids with their places in windows of at most `window` ids.
 
     tokenizer: path of a byte-level BPE file (of `tokenizers`) on the executors; ranks: its rank file, if there is
     one; end_id follows each document's ids. Null and empty texts are a piece of the one end id; repeated rows are
     packed each by itself; a document of any length is cut into full windows and a rest; an empty table gives no
-    row. Other columns are not read. Sequence ids are gapless within a task's range and unique among all; they
+    row. carry: string columns of docs that each piece has, too; others are not read. Sequence ids are gapless within a task's range and unique among all; they
     follow the partitions of docs.
     """
     if tokenizer is None:
@@ -242,20 +243,21 @@ def pack_sum_of_squares(docs: DataFrame, *, window: int = WINDOW, tokenizer: str
         packer = LevelPacker(window, TaskContext.get().partitionId() << 33)
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            names = batch.column("doc_id").to_pylist()
+            names = list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", *carry)), strict=True))
             for a, b in runs_of_rows(offsets, STEP_BYTES):
                 tokens, first = encoder.ids(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 raw, first = tokens.tobytes(), (4 * first).tolist()
                 for k in range(b - a):
                     packer.add(names[a + k], raw[first[k] : first[k + 1]] + end)
                 if 4 * window * len(packer.closed) > OUT_BYTES:
-                    yield _arrow(packer.closed)
+                    yield _arrow(packer.closed, list(carry))
                     packer.closed.clear()
         packer.close()
         if packer.closed:
-            yield _arrow(packer.closed)
+            yield _arrow(packer.closed, list(carry))
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(pack, SCHEMA)
+    rows = docs.select(*id_and_text_columns(id_col, text_col), *(F.col(c).cast("string").alias(c) for c in carry))
+    return rows.mapInArrow(pack, ", ".join([SCHEMA, *(f"`{c}` string" for c in carry)]))
 
 
 def piece_digests(pieces: DataFrame) -> DataFrame:

@@ -112,6 +112,22 @@ def test_stages(spark):
     assert packed["length"].sum() == want and packed.groupby("sequence_id")["length"].sum().max() <= packing.WINDOW
 
 
+def test_identified_language_reaches_the_pieces(spark):
+    """Stated languages that are null or wrong are replaced by the identified ones, and packed pieces carry these."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    first = docs.where("lang IS NOT NULL").orderBy("doc_id").limit(30).collect()
+    odd = spark.createDataFrame([(9100 + 2 * k + j, r["text"], lang, r["source"], r["n_chars"]) for k, r in enumerate(first) for j, lang in enumerate((None, "xx"))], docs.schema)
+    model = langid.fit(docs.union(odd))
+    rows = docs.union(odd).collect()
+    want = {r["doc_id"]: name for r, name in zip(rows, model.predict([r["text"] for r in rows])[0], strict=True)}
+    named = corpus_pipeline.language(spark, docs.union(odd), SF)
+    got = {r["doc_id"]: r["lang"] for r in named.collect()}
+    assert got == {d: name for d, name in want.items() if name != langid.UNDETERMINED}
+    assert any(got[r["doc_id"]] != r["lang"] for r in rows if r["doc_id"] in got)
+    pieces = corpus_pipeline.packed(spark, named, SF)
+    assert {(r["doc_id"], r["lang"]) for r in pieces.select("doc_id", "lang").collect()} == set(got.items())
+
+
 def test_run_on_empty_tables(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
