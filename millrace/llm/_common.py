@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,15 +18,30 @@ from millrace.session import ship
 
 #: Bytes of an Arrow batch sent to a Python worker; a row above it travels alone.
 BATCH_BYTES = 8 << 20
+#: The same for functions that gain nothing from large batches: the executor and its workers hold several copies of one.
+SMALL_BATCH_BYTES = 1 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 _own_base: list[str] = []
 
 
-def bound_batches(spark: SparkSession) -> None:
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     """Make ready for Python on the executors: this package there, and Arrow batches small in bytes, as rows differ in length by a factor of thousands."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
+def handing_back(compute: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """compute for mapInArrow, after which the worker gives free memory back: workers serve later tasks and stages, and else keep the most they ever held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from compute(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return run
 
 
 def id_and_text_columns(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import bound_batches
+from millrace.llm._common import SMALL_BATCH_BYTES, bound_batches, handing_back
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -182,7 +182,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, *, least: float = 0.0
     be null or repeat, as only texts are read; an empty table stays empty.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(spark, SMALL_BATCH_BYTES)
     shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     named = None if into is None else docs.columns.index(into)
@@ -194,4 +194,4 @@ def keep_identified(docs: DataFrame, model: LanguageModel, *, least: float = 0.0
                 batch = batch.set_column(named, batch.schema.field(named), pa.array(names, batch.schema.field(named).type))
             yield batch.filter(pa.array([n != UNDETERMINED and s >= least and (languages is None or n in languages) for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(handing_back(keep), docs.schema)

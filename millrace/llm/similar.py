@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import simhash
-from millrace.llm._common import bound_batches, materialize, release
+from millrace.llm._common import SMALL_BATCH_BYTES, bound_batches, handing_back, materialize, release
 from millrace.llm.components import connected_components, keep_one, row_key
 
 SHINGLE = 5
@@ -95,7 +95,7 @@ def _common(texts: DataFrame) -> np.ndarray:
             sets = [shingles(t) for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([_lists(sets).flatten()], ["shingle"])
 
-    often = drawn.select("text").mapInArrow(compute, "shingle long").groupBy("shingle").count().where(F.col("count") >= COMMON)
+    often = drawn.select("text").mapInArrow(handing_back(compute), "shingle long").groupBy("shingle").count().where(F.col("count") >= COMMON)
     return np.sort(often.select("shingle").toArrow()["shingle"].to_numpy().astype(np.int64).view(np.uint64))
 
 
@@ -115,7 +115,7 @@ def _own(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["id", "row", "text_hash", "node", "n", "last", "prefix", "fp", "sketch"])
 
     schema = "id long, row long, text_hash long, node long, n long, last long, prefix array<long>, fp long, sketch array<long>"
-    return materialize(texts.select("id", "row", "text_hash", "text").mapInArrow(compute, schema), "prefixes")
+    return materialize(texts.select("id", "row", "text_hash", "text").mapInArrow(handing_back(compute), schema), "prefixes")
 
 
 def _sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def _sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             sets = [shingles(t) for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.array([digest(h) for h in sets], np.uint64).view(np.int64)), _lists(sets)], ["node", "shingles"])
 
-    return materialize(near.select("text").mapInArrow(compute, "node long, shingles array<long>"), "sets")
+    return materialize(near.select("text").mapInArrow(handing_back(compute), "node long, shingles array<long>"), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     whole row. Texts without words count as equal, null ones among them; texts of any length go whole; equal rows
     leave one; an empty table stays empty.
     """
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, SMALL_BATCH_BYTES)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), row_key(docs).alias("row"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     own = _own(texts)

@@ -1,6 +1,8 @@
 """Documents of similar shingle sets against all pairs."""
 
 import random
+import subprocess
+import sys
 
 import corpus_pipeline
 import pytest
@@ -66,3 +68,31 @@ def test_stage_on_the_given_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     kept = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
     assert sorted(kept) == survivors(rows) and not {2, 56} <= set(kept)
+
+
+HELD = """
+import re
+from millrace.llm import _common
+resident = lambda: int(re.search(r"VmRSS:\\s+(\\d+)", open("/proc/self/status").read())[1]) // 1024
+def compute(batches):
+    held = [bytearray(50_000) for _ in range(6000)]
+    kept.extend(held[::1000])  # what stays between is why the allocator keeps the rest
+    yield from batches
+    del held
+kept = []
+wrap = getattr(_common, "handing_back", lambda f: f)
+before = resident()
+list(wrap(compute)([]))
+print(resident() - before)
+"""
+
+
+def test_a_worker_gives_back_what_a_task_needed():
+    grown = subprocess.run([sys.executable, "-c", HELD], capture_output=True, text=True, check=True, env={"PYTHONPATH": ":".join(sys.path)}).stdout
+    assert int(grown) < 30  # MB, of 300
+
+
+def test_stage_asks_for_small_batches(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "g")], "doc_id long, text string")
+    assert corpus_pipeline.near_duplicates(spark, docs, SF).count() == 2
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 1 << 20
